@@ -72,43 +72,57 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def prefix_sums(values: Column, block: int = 512) -> Column:
-    """Exclusive prefix sums of an array of longs, by blocks, so that appending costs n * block at most."""
+def prefix_scan(values: Column, combine: Callable[[Column, Column], Column], block: int = 512) -> Column:
+    """Exclusive prefix results of an associative combine over an array of longs, whose neutral start is 0, by blocks, so that appending costs n * block at most."""
     zero = F.lit(0).cast("long")
 
     def scan(xs: Column, start: Column) -> Column:
-        grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-        return F.aggregate(xs, F.array(start), grow)
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
 
     def over(xs: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(block)), lambda s: F.slice(xs, s, block))
         return let(cut, lambda blocks: let(
-            scan(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a + x)), zero),
+            scan(F.transform(blocks, lambda b: F.aggregate(b, zero, combine)), zero),
             lambda offsets: F.flatten(F.transform(blocks, lambda b, i: F.slice(scan(b, F.get(offsets, i)), F.lit(1), F.size(b)))),
         ))
 
     return let(values, lambda xs: F.when(F.size(xs) > 0, over(xs)).otherwise(F.array().cast("array<bigint>")))
 
 
-SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+def prefix_sums(values: Column) -> Column:
+    return prefix_scan(values, lambda a, x: a + x)
+
+
+SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string>>"
+_EDGES = "\"'()[]{}<>,;:!?."
 
 
 def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def regex_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, when: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches as structs (start, end, value), in code points, without Python.
+def bare(word: Column) -> Column:
+    """A word without punctuation at its ends."""
+    return F.btrim(word, F.lit(_EDGES))
+
+
+def regex_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, when: Column | None = None, left: bool = False) -> Column:
+    """All leftmost non-overlapping matches as structs (start, end, value, left), in code points, without Python.
 
     Java's split() and find() agree on the matches, so the text between matches and the matches give the positions. pattern must
     not match the empty string. keep: of a match's text, whether it stays. when: a cheap test that a text can hold a match.
+    left: whether to give the bare lower-case word that ends before the match; else it is null.
     """
+    size = lambda s: F.char_length(s).cast("long")
+
     def spans(found: Column, between: Column) -> Column:
-        size = lambda s: F.char_length(s).cast("long")
-        steps = F.transform(found, lambda m, i: size(F.get(between, i)) + F.when(i > 0, size(F.get(found, i - 1))).otherwise(F.lit(0).cast("long")))
+        previous = lambda i: F.when(i > 0, F.get(found, i - 1))
+        steps = F.transform(found, lambda m, i: size(F.get(between, i)) + F.coalesce(size(previous(i)), F.lit(0).cast("long")))
+        before = lambda i: F.right(F.concat(F.coalesce(previous(i), F.lit("")), F.get(between, i)), F.lit(60))
+        word = lambda i: F.lower(bare(F.regexp_extract(before(i), rf"({WORD}){SPACE}$", 1))) if left else F.lit(None).cast("string")
         # the start of match i is the sum of steps 0..i
-        return let(steps, lambda st: let(prefix_sums(st), lambda before: F.transform(
-            found, lambda m, i: F.struct((F.get(before, i) + F.get(st, i)).alias("start"), (F.get(before, i) + F.get(st, i) + size(m)).alias("end"), m.alias("value")))))
+        return let(steps, lambda st: let(prefix_sums(st), lambda sums: F.transform(found, lambda m, i: let(F.get(sums, i) + F.get(st, i), lambda start: F.struct(
+            start.alias("start"), (start + size(m)).alias("end"), m.alias("value"), word(i).alias("left"))))))
 
     out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, no_spans()).otherwise(
         let(F.split(text, pattern, -1), lambda between: spans(found, between))))

@@ -34,7 +34,7 @@ RULES = (
     Rule("few_words", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("upper_case", "n_upper * 2 > n_letters"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     Rule("few_letters", "n_letters * 2 < word_chars"),
@@ -138,7 +138,7 @@ WITH w AS (
 ), b AS (
   SELECT *, CAST(
     (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN n_upper * 2 > n_letters THEN 16 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 32 ELSE 0 END)
     + (CASE WHEN n_letters * 2 < word_chars THEN 64 ELSE 0 END) + (CASE WHEN 5 * n_loud > n_words THEN 128 ELSE 0 END) AS BIGINT) AS failure_bits FROM f
 )

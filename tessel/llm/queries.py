@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tessel.llm import line_dedup, mixing, quality_rules
+from tessel.llm import bpe, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_pii": pii.op4_pii,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
