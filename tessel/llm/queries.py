@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.llm import bpe, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets
+from tessel.llm import bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+    "op9_html_extraction": html_text.op9_html_extraction,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 SQL = {
