@@ -1,8 +1,8 @@
 """Mixing sources to target weights: hash-random keys, ranges sorted within each source, distributed prefix sums, and a cut at each source's budget.
 
 A source's documents are put in the order of a seeded hash. The order is cut in ranges of the hash, as many as the source's rows
-ask for, so that a source with a third of all rows is many ranges. Prefix sums run within a range; the ranges' totals, one row for
-each RANGE_ROWS rows, give their offsets. A budget above the source's size repeats whole epochs first. Every source ends with the
+ask for (their square root), so that a source with a third of all rows is many ranges. Prefix sums run within a range; the
+ranges' totals give their offsets. A budget above the source's size repeats whole epochs first. Every source ends with the
 whole document that comes nearest to its budget: the document across the cut is taken if at least half of it lies before the cut.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; ties of the hash fall to the id;
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, n_words_of, table, text_of
 
-RANGE_ROWS = 20_000
 SEED = 7
 KEY_BITS = 60
 
@@ -54,8 +53,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     """(doc_id, source, size, source_size, target, epochs, taken): how often each document is taken, and the words that makes."""
     sized = Saved(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), random_key("doc_id", seed).alias("_key")), "sizes").df
     goal = targets(sized, weights, percent, cap)
-    # a range is the key's top bits, as many as give ranges of RANGE_ROWS rows or less on average
-    bits = F.greatest(F.ceil(F.log2(F.col("n_rows") / F.lit(RANGE_ROWS))), F.lit(0)).cast("int")
+    # a range is the key's top bits: about as many ranges as rows in each, so that neither a range nor the list of ranges is long
+    bits = F.ceil(F.log2("n_rows") / 2).cast("int")
     aimed = sized.join(goal.withColumn("_bits", bits).withColumnRenamed("source", "_s"), F.equal_null("source", "_s"), "inner").select(
         "doc_id", "source", "size", "_key", "source_size", "target",
         F.when(F.col("_bits") > 0, F.expr(f"shiftright(_key, {KEY_BITS} - _bits)")).otherwise(F.lit(0).cast("long")).alias("_range"))
