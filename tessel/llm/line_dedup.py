@@ -49,13 +49,15 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, dropped): the places of the lines to drop, for the documents that lose any."""
-    rows = line_hashes(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    ranged = rows.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("doc_id"))
+    # written first: finding the ranges' bounds reads the rows once more
+    rows = Saved(line_hashes(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "hashes")
+    ranged = rows.df.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc("doc_id"))
     group = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("doc_id"))
     first = F.row_number().over(group) == 1
     before = F.lag("doc_id").over(group)
     streamed = ranged.select("doc_id", "h1", "h2", "places", "salt", F.when(first, F.col("doc_id")).alias("_first"), (before.isNull() | (before != F.col("doc_id"))).cast("long").alias("_new"))
     kept = Saved(streamed, "lines")
+    rows.drop()
     local = kept.df.groupBy("h1", "h2", "salt").agg(F.max("_first").alias("doc_id"), F.sum("_new").alias("n"))
     keys = local.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     return kept.df.join(keys, ["h1", "h2"]).filter("doc_id <> keeper").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("dropped"))
