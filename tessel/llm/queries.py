@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessel.llm import bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
+import corpus_pipeline
+from tessel.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op4_pii": pii.op4_pii,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -14,9 +16,12 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
