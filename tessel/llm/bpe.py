@@ -5,7 +5,7 @@ position i, with i in the low bits; the root is then the leftmost pair of least
 neighbour and changes three leaves, each by a path to the root: O(n log n) for a piece of n bytes, whatever it holds.
 
 A whole text is read by one row of an Arrow batch and no row is moved. Pieces repeat, so each worker keeps the ids of short ones,
-up to CACHED of them; that saves time only.
+twice CACHED of them at most; that saves time only.
 
 Defined results: a null text is an empty one; an empty text has no ids; texts of any length are encoded whole; repeated rows are
 encoded alike; an empty table gives an empty one; other columns of the input are not read.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.common import table
 
-CACHED, CACHED_CHARS = 200_000, 48
+CACHED, CACHED_CHARS = 300_000, 48
 
 # Code points that this pattern engine holds for letters and numbers and that of the tiktoken library, whose
 # Unicode tables are older, does not. Texts that hold one are split with the classes less these.
@@ -53,7 +53,8 @@ _NONE = 1 << 62
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece, as the rank table merges it."""
-    if (whole := ranks.get(piece)) is not None:
+    rank = ranks.get
+    if (whole := rank(piece)) is not None:
         return [whole]
     n = len(piece)
     half = 1 << (n - 1).bit_length()
@@ -61,40 +62,36 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     end = list(range(1, n + 1))  # of the token that starts at i
     back = list(range(-1, n))  # the live position before i
     tree = [_NONE] * (2 * half)
-
-    def leaf(i: int) -> int:
-        j = end[i]
-        return _NONE if j >= n or (r := ranks.get(piece[i : end[j]])) is None else r * half + i
-
     for i in range(n - 1):
-        tree[half + i] = leaf(i)
-    for k in range(half - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = half + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            if b < a:
-                a = b
-            if tree[k] == a:
-                break
-            tree[k] = a
-            k >>= 1
-
+        if (r := rank(piece[i : i + 2])) is not None:
+            tree[half + i] = r * half + i
+    for k in range(low, 0, -1):
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
     while (top := tree[1]) != _NONE:
         i = top & low
         j = end[i]
-        end[i] = end[j]
-        if end[j] < n:
-            back[end[j]] = i
-        put(j, _NONE)
-        put(i, leaf(i))
-        if back[i] >= 0:
-            put(back[i], leaf(back[i]))
+        e = end[i] = end[j]
+        p = back[i]
+        # the leaf of j is dead; those of i and of the live position before it are other pairs now
+        changed = [(half + j, _NONE), (half + i, _NONE)]
+        if e < n:
+            back[e] = i
+            if (r := rank(piece[i : end[e]])) is not None:
+                changed[1] = (half + i, r * half + i)
+        if p >= 0:
+            changed.append((half + p, _NONE if (r := rank(piece[p:e])) is None else r * half + p))
+        for k, value in changed:
+            if tree[k] != value:
+                tree[k] = value
+                while k > 1:
+                    beside = tree[k ^ 1]
+                    if beside < value:
+                        value = beside
+                    k >>= 1
+                    if tree[k] == value:
+                        break
+                    tree[k] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -103,16 +100,19 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """The ids of pieces seen; a missing one is merged."""
+    """The ids of pieces seen lately; a missing one is merged. When full, it starts again and takes over what is still in use."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode(), self.ranks)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merge(piece.encode(), self.ranks)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
