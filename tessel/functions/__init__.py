@@ -1 +1 @@
-
+"""Column functions: vector algebra and activations over arrays of doubles."""

@@ -1 +1 @@
-
+"""Operators: encoders, smoothing, densities, classifiers, clusterers, mixtures, neighbours, sequences, networks."""

@@ -1 +1 @@
-
+"""Structured Streaming: online clustering of unbounded rows."""
