@@ -1,4 +1,6 @@
 """All queries of the engine's own operators by name, and SQL for those that SQL can express."""
 
-QUERIES = {}
-SQL = {}
+from tessel.plans import feature_queries
+
+QUERIES = dict(feature_queries.QUERIES)
+SQL = dict(feature_queries.SQL)
