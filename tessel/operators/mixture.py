@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessel.functions.vectors import argmax, let, literal, logsumexp, softmax, total
 from tessel.plans.stats import dimension, fold, matrix
@@ -224,13 +225,13 @@ def criteria(m: Mixture, loglik: float, n: float) -> tuple[float, float]:
     return 2 * k - 2 * loglik, k * math.log(max(1.0, n)) - 2 * loglik
 
 
-def fit(m: Mixture, data: DataFrame, epsilon: float = 1e-5, max_iterations: int = 200, patience: int = 10, start: float = -1e300) -> tuple[Mixture, list[Trace]]:
+def fit(m: Mixture, data: DataFrame, epsilon: float = 1e-5, max_iterations: int = 200, patience: int = 10, start: float | None = None) -> tuple[Mixture, list[Trace]]:
     """Iterations until patience of them, not necessarily in a row, change the mean log-likelihood by less than epsilon of it."""
     trace, old, calm = [], start, 0
     for i in range(max_iterations):
         s = statistics(m, data)
         mean = s.loglik / max(1.0, s.n)
-        delta = abs((mean - old) / mean) if mean else 0.0
+        delta = 1.0 if old is None else abs((mean - old) / mean) if mean else 0.0
         trace.append(Trace(m.n_components, i, mean, delta, *criteria(m, s.loglik, s.n)))
         alive = s.hard > 0 if (s.r <= 0).any() else np.ones(m.n_components, bool)
         if not alive.all():
@@ -314,9 +315,9 @@ def grow(data: DataFrame, max_components: int, covariance: str = "diagonal", eps
     """
     rows = data.select("features").persist()
     try:
-        m, models, trace, last = blank(1, dimension(rows), covariance, min_var), {}, [], -1e300
+        m, models, trace, last = blank(1, dimension(rows), covariance, min_var), {}, [], None
         while m.n_components <= max_components:
-            m, made = fit(m, rows, epsilon, max_iterations, start=-1e300 if reset else last)
+            m, made = fit(m, rows, epsilon, max_iterations, start=None if reset else last)
             trace += made
             last = made[-1].log_likelihood
             m = purge(m)
@@ -361,7 +362,7 @@ class MixtureClassifier:
 
     def predict(self, data: DataFrame, name: str = "predicted") -> DataFrame:
         """data with the label of the largest posterior, the first at ties."""
-        place = data.schema.add(name, "int")
+        place = StructType([*data.schema.fields, StructField(name, IntegerType())])
         columns = data.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tessel.functions.activations import ALPHA_TANH, activate, activate_rows, slope_rows
 from tessel.functions.vectors import dot, literal
@@ -336,7 +337,7 @@ def fit_rows(net: Network, x: np.ndarray, y: np.ndarray, dev: tuple[np.ndarray,
 def predict(net: Network, data: DataFrame, name: str = "predicted", classes: bool = True) -> DataFrame:
     """data with the index of the largest output (the first at ties), or with all outputs."""
     columns = data.columns
-    schema = data.schema.add(name, "int" if classes else "array<double>")
+    schema = StructType([*data.schema.fields, StructField(name, IntegerType() if classes else ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
