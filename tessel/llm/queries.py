@@ -20,8 +20,11 @@ QUERIES = {
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
+    "op3_embedding_near_dedup": embedding_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_minhash_near_dedup": near_dedup.SQL,
+    "op10_secret_scans": secrets.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -103,3 +103,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[_count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)],
         F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("found")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same spans by splitting and extracting in SQL; its engine has neither lookbehind nor possessive repeats, and needs none of them."""
+    parts, keep = [], {"assign": "length(regexp_extract(m, '{p}', 1)) >= 8", "access": "length(m) >= 16"}
+    for rank, rule in enumerate(RULES):
+        pattern = {"hex": "[0-9a-f]{32,}"}.get(rule.kind, rule.plain).replace("'", "''")
+        parts.append(f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i, b, m, {keep.get(rule.kind, 'true').format(p=pattern) if rule.kind != 'assign' else keep['assign'].replace('{p}', pattern)} AS ok FROM "
+                     f"(SELECT doc_id, unnest(f) AS m, unnest(s[1:len(f)]) AS b, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, string_split_regex(t, '{pattern}') AS s FROM d))")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({' UNION ALL '.join(parts)}),
+x AS (SELECT doc_id, rank, kind, ok, sum(length(b) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop, length(m) AS n FROM p),
+s AS (SELECT doc_id, rank, kind, CAST(stop - n AS BIGINT) AS start, kind || ':' || CAST(stop - n AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM x WHERE ok)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+SQL = _sql()
