@@ -42,7 +42,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def read_percentiles(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the second token of each line after three of header, where it exceeds all before it. One small file, read as one row."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     tokens = lines.filter("line >= 3").select("line", F.get(F.split(F.trim("text"), r"\s+"), 1).try_cast("double").alias("value")).filter("value is not null")
     before = F.max("value").over(Window.partitionBy().orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
     return tokens.withColumn("_m", before).filter("_m is null or value > _m").select("line", "value")
