@@ -45,12 +45,3 @@ class Union:
         a, b = self.label[i], self.label[j]
         if a != b:
             self.label[self.label == max(a, b)] = min(a, b)
-
-
-def stars(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (least id of a label, id) of all rows that share a label with another one."""
-    order = np.lexsort((ids, labels))
-    ids, labels = ids[order], labels[order]
-    first = np.r_[True, labels[1:] != labels[:-1]]
-    root = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-    return root[~first], ids[~first]

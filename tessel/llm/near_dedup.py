@@ -7,9 +7,9 @@ Each of TREES independent trees sends a representative down the path of its sket
 NODE representatives are compared exhaustively, by sketch; larger ones branch on two more coordinates that the node's name
 chooses, down to DEPTH levels; what is larger still is compared in pairs of blocks. Two sets of similarity s part ways in one tree
 with a probability of 1 - s at the first level (and of less than a tenth at all later ones together), so that TREES trees
-miss a pair at 0.8 about once in 10**5. Comparison in a node skips what it has connected already; a node yields stars, not pairs.
+miss a pair at 0.8 about once in 10**5. Comparison in a node skips what it has connected already; a node yields the few links that connect it, not pairs.
 
-The connected stars are candidates. Each candidate's whole set is then built once, from its whole text, and links are confirmed on
+What these links connect are candidates. Each candidate's whole set is then built once, from its whole text, and links are confirmed on
 full sets. A candidate group of more than BLOCK members is cut in blocks that each meet the group's LEADERS; only if that
 leaves it in parts, members outside of its largest part meet all its members, again in blocks. No group is ever whole in one task,
 and no link between different parts is left out.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, table
 from tessel.llm.graph import components
-from tessel.llm.groups import Union, grouped, stars
+from tessel.llm.groups import Union, grouped
 
 COORDINATES, TREES, DEPTH = 64, 8, 3
 NODE = 256
@@ -121,21 +121,29 @@ def _near(i: int, rest: np.ndarray, sk: np.ndarray, sizes: np.ndarray, percent:
 
 
 def _compare(percent: int):
-    """Of a node's rows: stars of those that sketches connect."""
+    """Links that connect a node's rows as sketches do. Of a pair of blocks only links across: each block meets itself in a group of its own."""
     def fn(t: pa.Table) -> list[pa.Array]:
-        ids, sizes, sk = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t)
-        known = Union(np.arange(len(ids)))
-        for i in range(len(ids) - 1):
-            rest = np.flatnonzero(known.label != known.label[i])
-            rest = rest[rest > i]  # smaller rows have met this one
-            if len(rest):
-                for j in _near(i, rest, sk, sizes, percent).tolist():
-                    known.join(i, j)
-        return [pa.array(x, pa.int64()) for x in stars(ids, known.label)]
+        ids, sizes, sk, side = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t), t.column("side").to_numpy()
+        known, links = Union(np.arange(len(ids))), []
+        across = bool((side == 1).any())
+        for crossing in (False, True) if across else (False,):
+            for i in range(len(ids) - 1):
+                rest = np.flatnonzero(known.label != known.label[i])
+                rest = rest[(rest > i) & ((side[rest] != side[i]) == crossing)]  # smaller rows have met this one
+                for j in _near(i, rest, sk, sizes, percent).tolist() if len(rest) else ():
+                    if known.label[i] != known.label[j]:
+                        known.join(i, j)
+                        if crossing == across:
+                            links.append((ids[i], ids[j]))
+        return _ends(links)
 
     return fn
 
 
+def _ends(links: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())]
+
+
 def _at(coordinate: Column) -> Column:
     return F.substring("sketch", 4 * coordinate + 1, F.lit(4))
 
@@ -154,8 +162,8 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
         blocks = F.ceil(F.col("size") / F.lit(NODE)).cast("int")
         own = F.pmod(F.xxhash64(F.lit(depth), "rep"), blocks).cast("int")
         # a node of one block is one group; in a larger one, every pair of blocks is a group
-        pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.xxhash64("node", F.least(own, other), F.greatest(own, other))))
-        met = small.select("rep", pair.alias("group")).join(reps.select("rep", "n", "sketch"), "rep")
+        pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.xxhash64("node", F.least(own, other), F.greatest(own, other)).alias("group"), (own > other).cast("int").alias("side"))))
+        met = small.select("rep", pair.alias("p")).select("rep", "p.group", "p.side").join(reps.select("rep", "n", "sketch"), "rep")
         found = grouped(met, "group", _compare(percent), ["a", "b"], "a bigint, b bigint")
         links = found if links is None else links.unionByName(found)
         if depth == DEPTH or not (large := sized.df.filter(F.col("size") > NODE).select("rep", "node")).head(1):
@@ -169,13 +177,13 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirm(k: int, percent: int):
-    """Of a group's rows: stars of those that links on full sets connect. Rows of one part are connected already; where others are marked, only pairs with one of them count."""
+    """Links on full sets that connect a group's rows. Rows of one part are connected already; only rows that ask meet the others."""
     def fn(t: pa.Table) -> list[pa.Array]:
         ids, sizes, sk = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t)
         parts, asks = t.column("part").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
         _, start = np.unique(parts, return_inverse=True)
         known = Union(start.astype(np.int64))
-        texts, sets = t.column("text"), {}
+        texts, sets, links = t.column("text"), {}, []
 
         def of(i: int) -> np.ndarray:
             if i not in sets:
@@ -191,7 +199,8 @@ def _confirm(k: int, percent: int):
                     both = len(np.intersect1d(of(i), of(j), assume_unique=True))
                     if 100 * both >= percent * (len(of(i)) + len(of(j)) - both):
                         known.join(i, j)
-        return [pa.array(x, pa.int64()) for x in stars(ids, known.label)]
+                        links.append((ids[i], ids[j]))
+        return _ends(links)
 
     return fn
 
