@@ -5,11 +5,12 @@ compressed each by itself with either dictionary, so that a long text is judged
 beginning. The difference of the two sizes for each byte of the text, centred and scaled by a logistic fit to labelled texts that filled no
 dictionary, is the score.
 
-The fit reads a bounded sample: at most per_class texts of each label, those whose hashed ids come first, of at most
-SAMPLE_BYTES bytes each. Labels, language, source and id are no inputs of a score.
+The fit reads a bounded sample: at most per_class texts of each label, those whose hashed ids come first. Half of them fill the
+dictionaries, with PIECES blocks each from all over the text; the others calibrate, each with its whole text, and hand the driver
+a number each. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have no difference and get the calibration's score for 0; a table without labels, or with
-one label only, gives every text the score 0.5; repeated rows are scored alike; an empty table gives an empty one; other columns
+one label only (or one text of a label), gives every text the score 0.5; repeated rows are scored alike; an empty table gives an empty one; other columns
 are not read.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tessel.llm.common import table
 
 BLOCK = 512
-SAMPLE_BYTES = 16_384
+PIECES = 16
 DICT_BYTES = 96 * 1024
 LEVEL = 9
 
@@ -75,22 +76,17 @@ def _prepared(content: bytes) -> zstandard.ZstdCompressionDict:
     return d
 
 
-def _dictionary(texts: list[bytes], rng: random.Random) -> bytes:
-    """Raw content: a block from each of many texts, so that no single text fills it."""
-    rng.shuffle(texts)
+def _dictionary(texts: list[list[bytes]]) -> bytes:
+    """Raw content: blocks of many texts in turn, so that no single text fills it."""
     parts, size = [], 0
-    while size < DICT_BYTES and texts:
-        before = size
-        for t in texts:
-            k = rng.randrange(max(1, len(t) - BLOCK + 1))
-            part = t[k : k + BLOCK]
-            parts.append(part)
-            size += len(part)
-            if size >= DICT_BYTES:
-                break
-        if size == before:
-            break
-    return b"\n".join(parts)[-DICT_BYTES:]
+    for k in range(PIECES):
+        for blocks in texts:
+            if k < len(blocks):
+                parts.append(blocks[k])
+                size += len(blocks[k])
+                if size >= DICT_BYTES:
+                    return b"\n".join(parts)[-DICT_BYTES:]
+    return b"\n".join(parts)
 
 
 def _logistic(xs: list[float], ys: list[int], weights: list[float]) -> tuple[float, float]:
@@ -125,32 +121,60 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[int, bytes]]:
-    """(label, text bytes) of at most per_class texts of each label, in an order that reruns repeat."""
+def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(rank, quality, text) of at most per_class labelled texts of each label, ranked by hashed id, which reruns repeat."""
     own = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality").withColumn("_h", F.xxhash64(F.lit(11), "doc_id"))
-    picked = None
-    for label in (0, 1):
-        part = own.filter(F.col("quality") == label).orderBy("_h", "doc_id").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
+    picked = [r for label in (0, 1) for r in enumerate(own.filter(F.col("quality") == label).orderBy("_h", "doc_id").limit(per_class).collect())]
     # 2 * per_class ids at most: a proven bound for the broadcast
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(picked), "doc_id").select("_h", "doc_id", "quality", "text")
-    return [(r.quality, (r.text or "").encode()[:SAMPLE_BYTES]) for r in sorted(texts.collect(), key=lambda r: (r["_h"], r.doc_id))]
+    ids = docs.sparkSession.createDataFrame([(k, r["doc_id"], r["quality"]) for k, r in picked], "rank int, _id bigint, quality int")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("rank", "quality", "text")
+
+
+def _blocks(raw: bytes, rank: int) -> list[bytes]:
+    """PIECES blocks from seeded places all over a text, all of it if it is short."""
+    rng = random.Random(rank)
+    if len(raw) <= BLOCK:
+        return [raw] if raw else []
+    return [raw[k : k + BLOCK] for k in (rng.randrange(len(raw) - BLOCK + 1) for _ in range(PIECES))]
+
+
+def _pieces(rows: DataFrame) -> list[tuple[int, int, list[bytes]]]:
+    """(quality, rank, blocks) in order; a bound number of blocks of each text reaches the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(x.as_py() or "").encode() for x in batch.column("text")]
+            made = [_blocks(t, r) for t, r in zip(texts, batch.column("rank").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("rank"), pa.array(made, pa.list_(pa.binary()))], ["quality", "rank", "blocks"])
+
+    found = rows.mapInArrow(run, "quality int, rank int, blocks array<binary>").collect()
+    return sorted((r["quality"], r["rank"], [bytes(b) for b in r["blocks"]]) for r in found)
+
+
+def _differences(rows: DataFrame, model: Model) -> list[tuple[int, int, float]]:
+    """(quality, rank, difference) in order, each from a whole text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            out = pa.array([scorer.difference(x.as_py()) for x in batch.column("text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("rank"), out], ["quality", "rank", "difference"])
+
+    return sorted(map(tuple, rows.mapInArrow(run, "quality int, rank int, difference double").collect()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
-    """per_class bounds the labelled texts of each label that the driver takes; half of them fill the dictionaries, the others calibrate."""
-    rows = sample(docs, labels, per_class)
-    rng = random.Random(13)
-    halves = {label: [t for q, t in rows if q == label] for label in (0, 1)}
-    if not all(halves.values()):
+    """per_class bounds the labelled texts of each label that are read; those of even rank fill the dictionaries, the others calibrate with their whole texts."""
+    rows = labelled(docs, labels, per_class)
+    filled = _pieces(rows.filter("rank % 2 = 0"))
+    own = {label: [b for q, _, b in filled if q == label and b] for label in (0, 1)}
+    if not all(own.values()):
+        return Model(b"", b"", 0.0, 0.0)
+    model = Model(_dictionary(own[1]), _dictionary(own[0]), 0.0, 1.0)
+    data = _differences(rows.filter("rank % 2 = 1"), model)
+    n = {label: sum(q == label for q, _, _ in data) for label in (0, 1)}
+    if not all(n.values()):
         return Model(b"", b"", 0.0, 0.0)
-    fill = {q: texts[::2] for q, texts in halves.items()}
-    rest = {q: texts[1::2] or texts for q, texts in halves.items()}
-    model = Model(_dictionary(fill[1], rng), _dictionary(fill[0], rng), 0.0, 1.0)
-    scorer = model.scorer()
-    data = [(scorer.difference(t.decode("utf-8", "ignore")), q) for q, texts in rest.items() for t in texts]
     # each label has the same weight: the score does not depend on how many of each the sample holds
-    a, b = _logistic([x for x, _ in data], [q for _, q in data], [1 / len(rest[q]) for _, q in data])
+    a, b = _logistic([x for _, _, x in data], [q for q, _, _ in data], [1 / n[q] for q, _, _ in data])
     return Model(model.good, model.bad, a, b)
 
 
