@@ -8,7 +8,8 @@ the lines that stay.
 
 Defined results: a null or empty text is one empty line; lines shorter than min_chars stay; a key's lines all stay in the
 document with the largest id, repeats included; documents with the same id count as one holder and are each cut alike; an
-empty table gives an empty one; other columns of the input are not read.
+empty table gives an empty one; a document without an id counts as a holder and keeps all its lines; other columns of the input are
+not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ ask for (their square root), so that a source with a third of all rows is many r
 ranges' totals give their offsets. A budget above the source's size repeats whole epochs first. Every source ends with the
 whole document that comes nearest to its budget: the document across the cut is taken if at least half of it lies before the cut.
 
-Defined results: a null text has size 0; a null source is a source of its own and comes last; ties of the hash fall to the id;
+Defined results: a null text has size 0; rows without an id are taken alike, as one id is; a null source is a source of its own and comes last; ties of the hash fall to the id;
 repeated rows count each; an empty table gives an empty one; if all sizes are 0, targets are 0. Reruns agree.
 """
 
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it, 0 to 2 times. Rows that share a doc_id are taken alike, as often as the one taken most."""
     epochs = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("_epochs"))
-    return docs.join(epochs.filter("_epochs > 0").hint("shuffle_hash"), docs["doc_id"] == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*[docs[c] for c in docs.columns])
+    return docs.join(epochs.filter("_epochs > 0").hint("shuffle_hash"), F.equal_null(docs["doc_id"], F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*[docs[c] for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

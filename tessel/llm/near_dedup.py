@@ -253,9 +253,10 @@ def _confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, k: int, perc
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the least id of their class, with their own columns; of rows that share that id, one stays."""
-    kept = near_classes(docs, k, percent).filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.equal_null(docs["doc_id"].cast("bigint"), F.col("_id")), "left_semi")
+    """The rows of docs that are the least id of their class, with their own columns; of rows that share that id, one stays. Rows without an id all stay."""
+    kept = near_classes(docs, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.filter("doc_id is not null").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

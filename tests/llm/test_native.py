@@ -113,3 +113,13 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= 20 or sizes[s] == 0
     assert mixing.mixed(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    text = "a line that is surely long enough to be a key of the table\nshort"
+    rows = [(None, text, "a")] + [(i, text, None) for i in range(6)] + [(3, text, "a"), (7, None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert quality_rules.ledger(df).count() == secrets.find(df).count() == pii.find(df).count() == len(rows)
+    out = {str(r.doc_id): r.text for r in line_dedup.drop_repeated_lines(df).collect()}
+    assert out["None"] == text and out["5"] == text and out["0"] == "short" and out["7"] is None
+    assert mixing.mixed(df).columns == df.columns and mixing.mix(df).count() == len(rows)

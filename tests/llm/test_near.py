@@ -56,6 +56,7 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A B C")], "doc_id long, text string")
     rows = near_dedup.near_classes(df, 2).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("1", "1"), ("1", "1"), ("2", "1"), ("None", "None")]
+    assert sorted(str(r.doc_id) for r in near_dedup.keep_one_of_each(df, 2).collect()) == ["1", "None"]
     assert near_dedup.near_classes(df.limit(0), 2).count() == 0
 
 
