@@ -2,7 +2,8 @@
 
 A piece of text (a match of the pattern) starts as its bytes. Leaf i of the tree holds the rank of the pair that starts at live
 position i, with i in the low bits; the root is then the leftmost pair of least rank. A merge joins a position with its live
-neighbour and changes three leaves, each by a path to the root: O(n log n) for a piece of n bytes, whatever it holds.
+neighbour and changes three leaves, each by a path to the root: O(n log n) for a piece of n bytes, whatever it holds. Short pieces
+of a slice of texts are merged side by side, their trees as arrays.
 
 A whole text is read by one row of an Arrow batch and no row is moved. Pieces repeat, so each worker keeps the ids of short ones,
 twice CACHED of them at most; that saves time only.
@@ -18,6 +19,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessel.llm.common import table
 
 CACHED, CACHED_CHARS = 300_000, 48
+SIDE_BY_SIDE, MANY = 64, 8192
 
 # Code points that this pattern engine holds for letters and numbers and that of the tiktoken library, whose
 # Unicode tables are older, does not. Texts that hold one are split with the classes less these.
@@ -99,23 +102,124 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PairTable:
+    """Ranks of token pairs, for arrays of ids: an open-addressing table of the pairs that make a token."""
+
+    SIZE_BITS = 20
+    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {(x << 32) | y: r for t, r in ranks.items() for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None}
+        self.bits = max(self.SIZE_BITS, (2 * len(pairs)).bit_length())
+        keys, values = np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.keys, self.values = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits, np.int64)
+        at = self._slot(keys)
+        while len(keys):  # of the pairs that want a free slot one gets it; the others go on to the next
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        keys = (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
+        at, out = self._slot(keys), np.full(len(keys), -1, np.int64)
+        seen = self.keys[at]
+        hit = np.flatnonzero(seen == keys)
+        out[hit] = self.values[at[hit]]
+        left = np.flatnonzero((seen != keys) & (seen != self.EMPTY))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            seen, want = self.keys[at[left]], keys[left]
+            hit = left[seen == want]
+            out[hit] = self.values[at[hit]]
+            left = left[(seen != want) & (seen != self.EMPTY)]
+        return out
+
+
+def merge_many(pieces: list[bytes], half: int, table: PairTable) -> list[list[int]]:
+    """merge() of pieces of half bytes at most, a power of two, all trees side by side: level[k] holds level k of every tree, from the leaves up."""
+    m, low, shift = len(pieces), half - 1, half.bit_length() - 1
+    size = np.fromiter(map(len, pieces), np.int64, m)
+    raw = np.frombuffer(b"".join(p.ljust(half, b"\0") for p in pieces), np.uint8).reshape(m, half)
+    ids = table.bytes[raw]
+    following, back = np.tile(np.arange(1, half + 1), (m, 1)), np.tile(np.arange(-1, half), (m, 1))
+    level = [np.full((m, half), _NONE, np.int64)]
+    r, c = np.nonzero(np.arange(1, half + 1)[None] < size[:, None])
+    found = table.find(ids[r, c], ids[r, c + 1])
+    level[0][r, c] = np.where(found < 0, _NONE, (found << shift) | c)
+    for _ in range(shift):
+        level.append(np.minimum(level[-1][:, ::2], level[-1][:, 1::2]))
+    rows = np.flatnonzero(level[-1][:, 0] != _NONE)
+    while len(rows):
+        top = level[-1][rows, 0]
+        i = top & low
+        j = following[rows, i]
+        e = following[rows, j]
+        rank = top >> shift
+        ids[rows, i], following[rows, i] = rank, e
+        level[0][rows, j] = level[0][rows, i] = _NONE
+        more = np.flatnonzero(e < size[rows])
+        q, at = rows[more], e[more]
+        back[q, at] = i[more]
+        found = table.find(rank[more], ids[q, at])
+        level[0][q, i[more]] = np.where(found < 0, _NONE, (found << shift) | i[more])
+        p = back[rows, i]
+        before = np.flatnonzero(p >= 0)
+        q, at = rows[before], p[before]
+        found = table.find(ids[q, at], rank[before])
+        level[0][q, at] = np.where(found < 0, _NONE, (found << shift) | at)
+        # the three paths to the root
+        r, c = np.concatenate([rows, rows, q]), np.concatenate([i, j, at])
+        for k in range(shift):
+            c = c >> 1
+            level[k + 1][r, c] = np.minimum(level[k][r, 2 * c], level[k][r, 2 * c + 1])
+        rows = rows[level[-1][rows, 0] != _NONE]
+    live = np.zeros((m, half + 1), bool)
+    at, r = np.zeros(m, np.int64), np.arange(m)
+    while len(r):  # walk the live positions
+        live[r, at] = True
+        at = following[r, at]
+        on = at < size[r]
+        r, at = r[on], at[on]
+    flat, ends = ids[live[:, :half]].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class _Pieces(dict):
-    """The ids of pieces seen lately; a missing one is merged. When full, it starts again and takes over what is still in use."""
+    """The ids of pieces seen lately. When full, it starts again and takes over what is still in use."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.older = ranks, {}
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = merge(piece.encode(), self.ranks)
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.ranks, self.table, self.older = ranks, PairTable(ranks), {}
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Merges those of the pieces that are new, short ones side by side. Returns the new ones that are too long to be kept."""
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        by_size: dict[int, list[str]] = {}
+        fresh = [p for p in pieces if p not in self]
+        for p in fresh:
+            if (ids := self.older.get(p)) is not None:
+                self[p] = ids
+                continue
+            raw = p.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                self[p] = [whole]
+            elif len(raw) <= SIDE_BY_SIDE:
+                by_size.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append(p)
+            else:
+                self[p] = merge(raw, self.ranks)
+        for half, new in by_size.items():
+            for k in range(0, len(new), MANY):
+                part = new[k : k + MANY]
+                self.update(zip(part, merge_many([p.encode() for p in part], half, self.table)))
+        return [p for p in fresh if len(p) > CACHED_CHARS]
 
 
 class Codec:
@@ -132,8 +236,17 @@ class Codec:
             self.tokens[r] = t
         self.decimals = [str(r) for r in range(len(self.tokens))]
 
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; pieces that any of them holds are merged together first."""
+        split = [self.split(t) for t in texts]
+        long = self.pieces.learn(set().union(*split))
+        for parts in split:
+            yield list(chain.from_iterable(map(self.pieces.__getitem__, parts)))
+        for p in long:
+            del self.pieces[p]
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return next(iter(list(self.encode_all([text]))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -188,7 +301,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = vocabulary.codec()
         for keys, texts in _texts(batches, id_col, text_col):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([codec.encode(t or "") for t in texts], pa.list_(pa.int32()))], [id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(codec.encode_all([t or "" for t in texts])), pa.list_(pa.int32()))], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
 
@@ -211,8 +324,8 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         codec, sha = vocabulary.codec(), hashlib.sha256
         for keys, texts in _texts(batches, "doc_id", "text"):
             counts, ids_sha, text_sha, same = [], [], [], []
-            for t in texts:
-                ids = codec.encode(t := t or "")
+            texts = [t or "" for t in texts]
+            for t, ids in zip(texts, codec.encode_all(texts)):
                 back = codec.decode(ids)
                 counts.append(len(ids))
                 ids_sha.append(sha(",".join(map(codec.decimals.__getitem__, ids)).encode()).hexdigest())
