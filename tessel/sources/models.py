@@ -15,7 +15,7 @@ import numpy as np
 
 from tessel.operators.cluster import Clusters
 from tessel.operators.hmm import Hmm, normalise_transitions
-from tessel.operators.mixture import DIAGONAL, Mixture, derive
+from tessel.operators.mixture import Mixture, derive
 from tessel.operators.neural import Layer, Network, Settings, layer
 
 
