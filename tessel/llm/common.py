@@ -43,9 +43,8 @@ class Saved:
         atexit.register(self._quietly)
 
     def drop(self) -> None:
-        jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        assert jvm
 
     def _quietly(self) -> None:
         try:

@@ -2,7 +2,6 @@ import random
 
 import corpus_pipeline
 from tessel.llm import mixing
-from tests.llm import brute
 from tests.llm.test_near import classes
 
 
