@@ -33,7 +33,7 @@ from tessel.llm.common import Saved, table
 from tessel.llm.graph import components
 from tessel.llm.groups import Union, grouped
 
-COORDINATES, TREES, DEPTH = 64, 8, 3
+COORDINATES, TREES, DEPTH = 64, 8, 2
 NODE = 256
 BLOCK, LEADERS = 512, 4
 #: A sketch of 64 agrees on fewer than 36 places for one in 10**6 pairs at a similarity of 0.8.
