@@ -1,14 +1,13 @@
-"""Embedding near-dedup by NN-descent.
+"""Embedding near-dedup by exact comparison in blocks.
 
 Vectors that may be compared (same label, same length) form a cell. Equal vectors become one representative with a multiplicity.
-Every representative keeps a list of its NEIGHBOURS nearest ones so far. A round refines the lists twice: vectors sorted by the
-signs of fresh random projections meet the next ones in that order, and neighbours of neighbours meet, around each centre, in
-groups of up to MEET. A round ends with an audit: the links of AUDIT vectors, compared with all rows in blocks, against
-the links found so far; there are LEAST_ROUNDS rounds, and more until the recall reaches TARGET, ROUNDS at most.
+All pairs of a cell are compared. Cells of up to SMALL representatives are groups of one pass; of larger ones, blocks of up to
+QUERIES or so are held by every task while a scan reads the cell's rows. No pair is a row: a task gives links that connect what it
+has found connected, one for each linked row and tile of queries at most beside those between queries. Nothing is sampled, and no
+list is cut. The work is quadratic in a cell's size; single precision decides the pairs away from the threshold.
 
-Pairs at the threshold or above are links. A list whose last place is a link is saturated: it may lack links. It is enlarged to all
-links of its vector: members of a component meet in pairs of blocks of BLOCK rows, which count links and emit none, so that a
-group of thousands of near copies makes no row for each pair. Those counts are cosines in double precision over all members.
+Pairs at the threshold or above are links. Members of a component meet in pairs of blocks of BLOCK rows, which count links and
+emit none, so that a group of thousands of near copies makes no row for each pair. Counts are cosines in double precision.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component, or whose label is null, links with
 nothing; repeated rows and ties count as other vectors each; rows that share a vec_id share the outcome; an empty table gives an
@@ -21,19 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, table
 from tessel.llm.graph import components
-from tessel.llm.groups import grouped
+from tessel.llm.groups import Union, grouped
 
-NEIGHBOURS = 8
-ORDERS, BITS, AHEAD = 6, 40, 8
-MEET = 48
+SMALL, QUERIES, TILE = 256, 32_768, 256
 BLOCK = 1024
-AUDIT, TARGET, LEAST_ROUNDS, ROUNDS = 1000, 0.999, 2, 6
-_EDGE = "u bigint, v bigint, sim double"
+AUDIT = 1000
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -62,89 +58,96 @@ def units(vectors: DataFrame) -> DataFrame:
     return usable.mapInArrow(run, "vec_id bigint, cell bigint, vec binary")
 
 
-def _ordered(reps: DataFrame, seed: int) -> DataFrame:
-    """Edges of each representative to the nearest of those around it in ORDERS orders of projection signs."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(BITS, dtype=np.int64)
-        for batch in batches:
-            vecs, out = batch.column("vec").to_pylist(), np.zeros((batch.num_rows, ORDERS), np.int64)
-            dims = np.array([len(v) for v in vecs])
-            for d in np.unique(dims).tolist():
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d // 8, ORDERS * BITS))
-                at = np.flatnonzero(dims == d)
-                signs = (_unit([vecs[i] for i in at]) @ planes[d] > 0).reshape(len(at), ORDERS, BITS)
-                out[at] = signs @ weights
-            for o in range(ORDERS):
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("cell"), batch.column("vec"), pa.array(np.full(batch.num_rows, o)), pa.array(out[:, o])], ["rep", "cell", "vec", "o", "key"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([tail, batch] if tail is not None else [batch]).combine_chunks()
-            ids, cells, orders = (t.column(c).to_numpy() for c in ("rep", "cell", "o"))
-            vecs = t.column("vec").to_pylist()
-            us, vs, sims = [], [], []
-            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (orders[1:] != orders[:-1])) + 1).tolist(), len(ids)]
-            for a, b in zip(cuts, cuts[1:]):
-                x = _unit(vecs[a:b])
-                n = b - a
-                for h in range(1, min(AHEAD, n - 1) + 1):
-                    us.append(ids[a : b - h])
-                    vs.append(ids[a + h : b])
-                    sims.append(np.einsum("ij,ij->i", x[: n - h], x[h:]))
-            if us:
-                yield _best(np.concatenate(us), np.concatenate(vs), np.concatenate(sims), 3)
-            tail = pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.slice(max(0, t.num_rows - AHEAD)).combine_chunks().columns], names=t.column_names)
-
-    dealt = reps.select("rep", "cell", "vec").mapInArrow(keys, "rep bigint, cell bigint, vec binary, o bigint, key bigint")
-    return dealt.repartitionByRange("cell", "o", "key").sortWithinPartitions("cell", "o", "key", "rep").mapInArrow(meet, _EDGE)
-
-
-def _best(u: np.ndarray, v: np.ndarray, sim: np.ndarray, most: int) -> pa.RecordBatch:
-    """Edges both ways, of each u the most similar ones."""
-    u, v, sim = np.r_[u, v], np.r_[v, u], np.r_[sim, sim]
-    order = np.lexsort((v, -sim, u))
-    u, v, sim = u[order], v[order], sim[order]
-    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.array([], np.int64)
-    rank = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
-    keep = rank < most
-    return pa.RecordBatch.from_arrays([pa.array(u[keep], pa.int64()), pa.array(v[keep], pa.int64()), pa.array(sim[keep], pa.float64())], ["u", "v", "sim"])
-
-
-def _around_centres(lists: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges between members of a centre's list, its reverse list and itself that are better than the worst of a member's own list."""
-    worst = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("sim")).otherwise(-2.0).alias("floor"))
-    both = lists.select(F.col("u").alias("centre"), F.col("v").alias("rep")).unionByName(lists.select(F.col("v").alias("centre"), F.col("u").alias("rep"))).distinct()
-    degree = both.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEET)).cast("int").alias("blocks"))
-    # a centre that many lists hold is cut in groups
-    dealt = both.join(degree, "centre").select("rep", F.xxhash64("centre", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("group"))
-    named = reps.select("rep", "vec").join(worst, F.col("rep") == F.col("u"), "left").select("rep", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+def _forest(ids: np.ndarray, near: np.ndarray, names: np.ndarray, known: Union) -> list[tuple[int, int]]:
+    """Links that connect what a tile of rows (near: rows by names) connects, beside those that known, which is kept for names, holds already."""
+    links = []
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        to = np.flatnonzero(near[i])
+        links.append((ids[i], names[to[0]]))
+        for j in np.unique(known.label[to], return_index=True)[1].tolist():
+            if known.label[to[j]] != known.label[to[0]]:
+                links.append((names[to[0]], names[to[j]]))
+                known.join(to[0], to[j])
+    return links
+
+
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cosines of rows of x and y reach the threshold in double precision; those that single precision tells for sure are not computed again."""
+    s = x.astype(np.float32) @ y.astype(np.float32).T
+    margin = 2.0**-22 * (x.shape[1] + 8)
+    near = s >= threshold + margin
+    i, j = np.nonzero((s >= threshold - margin) & ~near)
+    for at in range(0, len(i), 1 << 14):
+        k = slice(at, at + (1 << 14))
+        near[i[k], j[k]] = np.einsum("ij,ij->i", x[i[k]], y[j[k]]) >= threshold
+    return near
+
+
+def _links_of(pairs: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())]
+
 
+def _within(threshold: float):
+    """The connecting links of a whole cell."""
     def fn(t: pa.Table) -> list[pa.Array]:
-        ids, floor = t.column("rep").to_numpy(), t.column("floor").to_numpy()
-        x = _unit(t.column("vec").to_pylist())
-        s = x @ x.T
-        np.fill_diagonal(s, -3.0)
-        i, j = np.nonzero(s > floor[:, None])
-        s = s[i, j]
-        order = np.lexsort((-s, i))
-        i, j, s = i[order], j[order], s[order]
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.array([], np.int64)
-        keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < NEIGHBOURS // 2
-        return [pa.array(ids[i[keep]], pa.int64()), pa.array(ids[j[keep]], pa.int64()), pa.array(s[keep], pa.float64())]
+        ids, x = t.column("rep").to_numpy(), _unit(t.column("vec").to_pylist())
+        near = _near(x, x, threshold)
+        np.fill_diagonal(near, False)
+        return _links_of(_forest(ids, near, ids, Union(np.arange(len(ids)))))
 
-    return grouped(dealt.join(named, "rep"), "group", fn, ["u", "v", "sim"], _EDGE)
+    return fn
 
 
-def _merged(edges: DataFrame) -> DataFrame:
-    """The NEIGHBOURS best of each list."""
-    each = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return each.withColumn("_place", place).filter(F.col("_place") <= NEIGHBOURS).drop("_place")
+def _against(held, threshold: float):
+    """The connecting links of all rows with the queries that held, a broadcast by cell, names; each task keeps what it has connected of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {c: Union(np.arange(len(names))) for c, (names, _) in held.value.items()}
+        for batch in batches:
+            ids, cells, vecs = batch.column("rep").to_numpy(), batch.column("cell").to_numpy(), batch.column("vec").to_pylist()
+            links = []
+            for cell in np.unique(cells).tolist():
+                names, y = held.value[cell]
+                at = np.flatnonzero(cells == cell)
+                for rows in np.array_split(at, range(TILE, len(at), TILE)):
+                    x = _unit([vecs[i] for i in rows])
+                    for c in range(0, len(names), 16 * TILE):
+                        cut = slice(c, c + 16 * TILE)
+                        near = _near(x, y[cut], threshold) & (ids[rows][:, None] != names[cut])
+                        part = Union(known[cell].label[cut])
+                        links += _forest(ids[rows], near, names[cut], part)
+            yield pa.RecordBatch.from_arrays(_links_of(links), ["a", "b"])
+
+    return run
+
+
+def connecting_links(reps: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) at the threshold or above that connect all that such links connect: every pair of a cell is compared."""
+    spark, schema = reps.sparkSession, "a bigint, b bigint"
+    sizes = Saved(reps.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "cells").df
+    small = reps.select("rep", "cell", "vec").join(sizes.filter(F.col("size") <= SMALL).select("cell"), "cell", "left_semi")
+    out = Saved(grouped(small, "cell", _within(threshold), ["a", "b"], schema), "links")
+    scans: list[tuple[list[int], int, int]] = []
+    packed = 0
+    for cell, size in sorted(tuple(r) for r in sizes.filter(F.col("size") > SMALL).collect()):
+        if size > QUERIES:
+            blocks = -(-size // QUERIES)
+            scans = [([cell], k, blocks) for k in range(blocks)] + scans
+        elif scans and scans[-1][2] == 1 and packed + size <= QUERIES:
+            scans[-1][0].append(cell)
+            packed += size
+        else:
+            scans.append(([cell], 0, 1))
+            packed = size
+    for cells, k, blocks in scans:
+        block = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks))
+        rows = reps.select("rep", "cell", "vec").filter(F.col("cell").isin(cells))
+        asked = rows.filter(block == k).toArrow()
+        names, of, vecs = asked.column("rep").to_numpy(), asked.column("cell").to_numpy(), asked.column("vec").to_pylist()
+        held = spark.sparkContext.broadcast({c: (names[at], _unit([vecs[i] for i in at])) for c in np.unique(of).tolist() for at in [np.flatnonzero(of == c)]})
+        # blocks before this one have met all rows
+        rows.filter(block >= k).mapInArrow(_against(held, threshold), schema).write.mode("append").parquet(out.path)
+        held.destroy()
+    return spark.read.schema(schema).parquet(out.path)
 
 
 def _exact_links(reps: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
@@ -201,26 +204,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     every = Saved(units(vectors).withColumn("c1", F.xxhash64("vec")).withColumn("c2", F.xxhash64(F.lit(1), "vec")), "units").df
     same = ["cell", "c1", "c2"]
     reps = Saved(every.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "vector-reps").df
-    queries = reps.select("rep", "cell", "vec").orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(AUDIT)
-    truth = Saved(_exact_links(reps, queries, threshold), "truth").df
-    lists = links = None
-    for r in range(ROUNDS):
-        fresh = _ordered(reps, r)
-        edges = Saved(fresh if lists is None else fresh.unionByName(lists), "edges").df
-        found = [] if links is None else [links]
-        found.append(edges)
-        near = Saved(_merged(edges), "lists").df
-        joined = Saved(_around_centres(near, reps), "joined").df
-        found.append(joined)
-        lists = Saved(_merged(near.unionByName(joined)), "lists").df
-        out = None
-        for x in found:
-            part = x.select("a", "b") if "a" in x.columns else x.filter(F.col("sim") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
-            out = part if out is None else out.unionByName(part)
-        links = Saved(out.distinct(), "links").df
-        if r + 1 >= LEAST_ROUNDS and audited_recall(links, truth) >= TARGET:
-            break
-    groups = Saved(components(links).select(F.col("node").alias("rep"), "component"), "link-groups").df
+    groups = Saved(components(connecting_links(reps, threshold)).select(F.col("node").alias("rep"), "component"), "link-groups").df
     members = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").join(reps.select("rep", "copies", "vec"), "rep")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(9), "rep"), blocks).cast("int")

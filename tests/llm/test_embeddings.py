@@ -43,3 +43,22 @@ def test_equals_brute_force(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, cell string")
     assert e.near_duplicates(df).count() == 0
+
+
+def bridged(rng, n, d=32):
+    """Two groups of n copies at a cosine of 0.999 or so within; one link, at 0.934, joins them: between the first of each."""
+    a, b = np.linalg.qr(rng.standard_normal((d, 2)))[0].T
+    at = lambda degrees: np.cos(np.radians(degrees)) * a + np.sin(np.radians(degrees)) * b
+    copies = lambda centre: centre + 0.02 * rng.standard_normal((n - 1, d)) / np.sqrt(d)
+    return np.r_[[at(8.5)], copies(at(0)), [at(29.4)], copies(at(38))]
+
+
+def outcome(spark, x):
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    return {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(df).collect()}
+
+
+def test_a_link_between_full_groups(spark):
+    got = outcome(spark, bridged(np.random.default_rng(5), 300))
+    assert {c for _, c in got.values()} == {0}
+    assert got[0][0] == got[300][0] == 300 and got[1][0] == got[301][0] == 299
