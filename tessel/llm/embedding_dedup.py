@@ -29,7 +29,6 @@ from tessel.llm.groups import Union, grouped
 
 SMALL, QUERIES, TILE = 256, 32_768, 256
 BLOCK = 1024
-AUDIT = 1000
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -150,37 +149,6 @@ def connecting_links(reps: DataFrame, threshold: float) -> DataFrame:
     return spark.read.schema(schema).parquet(out.path)
 
 
-def _exact_links(reps: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of all links of the queries (AUDIT rows at most, held by every task), by blocks of all rows."""
-    held = [(r["rep"], r["cell"], bytes(r["vec"])) for r in queries.collect()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_cell: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for cell in {c for _, c, _ in held}:
-            own = [(i, v) for i, c, v in held if c == cell]
-            by_cell[cell] = np.array([i for i, _ in own]), _unit([v for _, v in own])
-        for batch in batches:
-            ids, cells, vecs = batch.column("rep").to_numpy(), batch.column("cell").to_numpy(), batch.column("vec").to_pylist()
-            for cell in np.unique(cells).tolist():
-                if cell in by_cell:
-                    at = np.flatnonzero(cells == cell)
-                    names, x = by_cell[cell]
-                    q, k = np.nonzero(x @ _unit([vecs[i] for i in at]).T >= threshold)
-                    u, v = names[q], ids[at[k]]
-                    yield pa.RecordBatch.from_arrays([pa.array(u[u != v], pa.int64()), pa.array(v[u != v], pa.int64())], ["u", "v"])
-
-    return reps.select("rep", "cell", "vec").mapInArrow(run, "u bigint, v bigint")
-
-
-def audited_recall(links: DataFrame, truth: DataFrame) -> float:
-    """The share of the truth's linked pairs (u, v) that links (a, b) connect; 1 if there are none."""
-    found = components(links, "audit")
-    at = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
-    both = truth.join(at("u", "cu"), "u", "left").join(at("v", "cv"), "v", "left")
-    total, hit = both.agg(F.count(F.lit(1)), F.count(F.when(F.col("cu") == F.col("cv"), 1))).first()
-    return hit / total if total else 1.0
-
-
 def _counts(threshold: float):
     def fn(t: pa.Table) -> list[pa.Array]:
         ids, side, copies = t.column("rep").to_numpy(), t.column("side").to_numpy(), t.column("copies").to_numpy()

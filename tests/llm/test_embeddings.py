@@ -62,3 +62,11 @@ def test_a_link_between_full_groups(spark):
     got = outcome(spark, bridged(np.random.default_rng(5), 300))
     assert {c for _, c in got.values()} == {0}
     assert got[0][0] == got[300][0] == 300 and got[1][0] == got[301][0] == 299
+
+
+def test_a_hot_group_hides_no_link(spark):
+    """A group of 1,500 copies beside it, which holds nearly all pairs, and no sample that could miss the one link."""
+    rng = np.random.default_rng(6)
+    x = np.r_[bridged(rng, 100), rng.standard_normal(32) + 0.02 * rng.standard_normal((1500, 32))]
+    got = outcome(spark, x)
+    assert {got[i][1] for i in range(200)} == {0} and {got[i] for i in range(200, 1700)} == {(1499, 200)}
