@@ -1,11 +1,13 @@
 """PII by bootstrapped contextual extraction: seed entities induce lexical patterns, patterns and instances score each other over a graph, and patterns of high confidence discover identifiers that no expression knows.
 
 Seeds are the matches of fixed expressions. A candidate is a word with a digit or an @; its pattern is the word before it, in
-lower case. Patterns and candidates' values (the instances) make a bipartite graph for each kind. An instance that holds a seed
-scores 1, any other starts at 0; a pattern's confidence is the sum of its distinct instances' scores over their number plus
-PRIOR, so that a pattern with few instances is never sure; an instance takes the confidence of its best pattern. After ROUNDS
-rounds, patterns with MIN_SEEDS distinct seeds and a confidence of MIN_CONFIDENCE discover: a candidate of theirs that no seed
-covers and whose form fits the kind becomes a span.
+lower case. Patterns and candidates' values (the instances) make a bipartite graph for each kind. An instance is known if it holds a
+seed, or if its form fits the kind and a sure pattern has it. A known instance scores 1, any other starts at 0; a pattern's confidence
+is the sum of its distinct instances' scores over their number plus PRIOR, so that a pattern with few instances is never sure. LIFTS
+times, an instance that is not known takes the confidence of its best pattern of MIN_SEEDS known instances; more would let a pattern
+lift itself without bound. A pattern is sure with MIN_SEEDS known instances, seeds or discovered, and a confidence of MIN_CONFIDENCE. Rounds go on until none makes another instance known, so discovered
+identifiers make further patterns sure. Sure patterns discover: a candidate of theirs that no seed covers and whose form fits the
+kind becomes a span.
 
 One scan of the texts gives seeds and candidates; all that follows reads rows of documents that hold a digit or an @.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, bare, joined_spans, let, prefix_scan, regex_spans, table, text_of
 
-ROUNDS = 3
+LIFTS = 2
 PRIOR = 2
 MIN_SEEDS = 8
 MIN_CONFIDENCE = 0.8
@@ -95,35 +97,46 @@ def _ranked(rank: int) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"), F.lit(rank).alias("rank"))
 
 
-def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(left, rank, confidence, n_seeds, n_instances) from occurrences (left, value, rank or null).
+def score_patterns(occurrences: DataFrame) -> DataFrame:
+    """(left, rank, confidence, n_known, n_instances) of the sure patterns, from occurrences (left, value, rank or null).
 
-    Each round sums over the graph's distinct edges by pattern and then takes the best pattern by instance; both are aggregations
-    that combine before the shuffle, so a frequent word is no single task's load.
+    Each round joins the graph's distinct edges with what is known and sums by pattern, which combines before the shuffle, so that
+    a frequent word is no single task's load. Known instances only become more, so the rounds end at the least fixed point.
     """
     edges = occurrences.filter("left <> ''").groupBy("left", "value").agg(F.max("rank").alias("seed"))
-    known = [F.when(F.col("seed") == r, 1.0).otherwise(0.0).alias(f"s{r}") for r in range(len(KINDS))]
-    graph = Saved(edges.select("left", "value", "seed", *known), "pii-graph").df
-    by_pattern = lambda g: g.groupBy("left").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"s{r}").alias(f"p{r}") for r in range(len(KINDS))], *[F.count(F.when(F.col("seed") == r, 1)).alias(f"n{r}") for r in range(len(KINDS))])
-    # patterns without enough seeds of one kind can neither discover nor lift an instance
-    patterns = by_pattern(graph).filter(" or ".join(f"n{r} >= {MIN_SEEDS}" for r in range(len(KINDS))))
-    for _ in range(rounds - 1):
-        sure = patterns.select("left", *[F.when(F.col(f"n{r}") >= MIN_SEEDS, F.col(f"p{r}") / (F.col("n") + PRIOR)).otherwise(0.0).alias(f"c{r}") for r in range(len(KINDS))])
-        reached = graph.join(sure, "left")
-        best = reached.filter("seed is null").groupBy("value").agg(*[F.max(f"c{r}").alias(f"b{r}") for r in range(len(KINDS))])
-        lifted = reached.select("left", "value", "seed").join(best, "value", "left").select(
-            "left", "value", "seed", *[F.when(F.col("seed").isNotNull(), (F.col("seed") == r).cast("double")).otherwise(F.coalesce(f"b{r}", F.lit(0.0))).alias(f"s{r}") for r in range(len(KINDS))])
-        patterns = Saved(by_pattern(lifted), "pii-patterns").df
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), (F.col(f"p{r}") / (F.col("n") + PRIOR)).alias("confidence"), F.col(f"n{r}").alias("n_seeds")) for r in range(len(KINDS))]))
-    return patterns.select("left", F.col("n").alias("n_instances"), each.alias("e")).select("left", "n_instances", "e.*")
+    graph = Saved(edges, "pii-graph").df
+    size = Saved(graph.groupBy("left").agg(F.count(F.lit(1)).alias("n_instances")), "pii-sizes").df
+    known = Saved(graph.filter("seed is not null").select("value", F.col("seed").alias("rank")).distinct(), "pii-known")
+    # a value that is a seed somewhere has its kind
+    free = graph.join(known.df.select("value").distinct(), "value", "left_anti").select("left", "value")
+    forms = F.filter(F.array(*[F.when(F.col("value").rlike(k.form), F.lit(r)) for r, k in enumerate(KINDS)]), lambda r: r.isNotNull())
+    unknown = Saved(free.select("left", "value", F.explode(forms).alias("rank")), "pii-unknown").df
+    while True:
+        held = graph.join(known.df, "value").groupBy("left", "rank").agg(F.count(F.lit(1)).alias("n_known")).filter(F.col("n_known") >= MIN_SEEDS)
+        able = Saved(held.join(size, "left"), "pii-able")
+        reached = Saved(graph.filter("seed is null").join(able.df.select("left", "rank"), "left").join(known.df, ["value", "rank"], "left_anti").select("left", "value", "rank"), "pii-reached")
+        scored = able.df.withColumn("confidence", F.col("n_known") / (F.col("n_instances") + PRIOR))
+        for _ in range(LIFTS):
+            best = reached.df.join(scored.select("left", "rank", "confidence"), ["left", "rank"]).groupBy("value", "rank").agg(F.max("confidence").alias("best"))
+            lift = reached.df.join(best, ["value", "rank"]).groupBy("left", "rank").agg(F.sum("best").alias("lift"))
+            scored = able.df.join(lift, ["left", "rank"], "left").withColumn("confidence", (F.col("n_known") + F.coalesce("lift", F.lit(0.0))) / (F.col("n_instances") + PRIOR)).drop("lift")
+        sure = Saved(scored.filter(F.col("confidence") >= MIN_CONFIDENCE).select("left", "rank", "confidence", "n_known", "n_instances"), "pii-patterns")
+        fresh = Saved(unknown.join(sure.df, ["left", "rank"]).select("value", "rank").distinct().join(known.df, ["value", "rank"], "left_anti"), "pii-fresh")
+        able.drop()
+        reached.drop()
+        if not fresh.df.head(1):
+            return sure.df
+        more = Saved(known.df.unionByName(fresh.df), "pii-known")
+        for x in (known, sure, fresh):
+            x.drop()
+        known = more
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added): spans as (start, rank, end, kind); added ones are what patterns discover, beside the base."""
     scanned = Saved(seeds_and_candidates(docs), "pii-spans").df
     rows = scanned.filter(F.size("seen") > 0).select("doc_id", F.explode("seen").alias("c")).select("doc_id", "c.*")
-    sure = score_patterns(rows.select("left", "value", "rank")).filter((F.col("n_seeds") >= MIN_SEEDS) & (F.col("confidence") >= MIN_CONFIDENCE))
+    sure = score_patterns(rows.select("left", "value", "rank"))
     fits = F.coalesce(*[F.when(F.col("p.rank") == r, F.col("o.value").rlike(k.form)) for r, k in enumerate(KINDS)])
     names = F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("p.rank") + 1)
     hits = rows.filter("rank is null").alias("o").join(sure.alias("p"), F.col("o.left") == F.col("p.left")).filter(fits)

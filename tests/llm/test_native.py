@@ -44,6 +44,19 @@ def test_pii_discovers(spark):
     assert not got[61] and not got[62]
 
 
+def test_pii_discovered_identifiers_make_patterns(spark):
+    """phone has seeds, tel only what phone discovers, fax only what tel discovers and dial what nobody knows."""
+    number = lambda k: f"555{k:07d}"
+    texts = [f"phone +1 555 010 {1000 + i} now" for i in range(200)]
+    texts += [f"{word} {number(k)} now" for k in range(20) for word in ("phone", "tel")]
+    texts += [f"{word} {number(k)} now" for k in (100, 101) for word in ("tel", "fax")] + [f"{word} {number(k)} now" for k in range(18) for word in ("fax",)]
+    last = ["fax 5559999999 now", "dial 5559999999 now", *[f"dial {number(k)} now" for k in range(500, 540)]]
+    got = {r.doc_id: r.added for r in pii.find(frame(spark, texts + last)).collect()}
+    n = len(texts)
+    assert all([s.kind for s in got[i]] == ["phone"] for i in range(200, n + 1))
+    assert not any(got[i] for i in range(n + 1, n + len(last)))
+
+
 def test_secrets(spark, texts):
     got = {r.doc_id: r for r in secrets.find(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
