@@ -166,22 +166,20 @@ def explore(data: DataFrame, columns: Sequence[str] | None = None, purity: float
         if r["kind"] == "string":
             if r["share_numeric"] is not None and 1 - purity < r["share_numeric"] < purity:
                 raise ValueError(f"{r['name']}: neither texts nor numbers make {purity:.0%} of it")
-            categories = _distinct(data, r["name"], r["n_distinct"])
+            categories = _distinct(data, r["name"])
             out.append(Meta(r["name"], CATEGORICAL, (EMPTY,) if r["n_missing"] else (), None, None, r["n_distinct"], categories))
             continue
         low, high = r["min"], r["max"]
         excluded = (min(-1.0, low if low is not None else 0.0) - 10,) if r["n_missing"] else ()
         if whole and r["n_distinct"] <= MAX_INTERVALS:
-            out.append(Meta(r["name"], CATEGORICAL, excluded, low, high, r["n_distinct"], _distinct(data, r["name"], r["n_distinct"])))
+            out.append(Meta(r["name"], CATEGORICAL, excluded, low, high, r["n_distinct"], _distinct(data, r["name"])))
         else:
             out.append(Meta(r["name"], NUMERICAL if whole else RANGE, excluded, low, high, min(r["n_distinct"], MAX_INTERVALS)))
     return out
 
 
-def _distinct(data: DataFrame, column: str, n: int, most: int = 100_000) -> tuple:
-    """The distinct values in order; a column with more than most of them has none listed."""
-    if n > most:
-        return ()
+def _distinct(data: DataFrame, column: str) -> tuple:
+    """All distinct values in order, however many; the driver holds them."""
     return tuple(r[0] for r in data.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct().orderBy("v").collect())
 
 

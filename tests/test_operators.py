@@ -229,3 +229,11 @@ def test_network_gradients_and_training(spark, blobs):
     _, mse = neural.finetune(neural.network((2, 2), ("linear",), neural.Settings(learning_rate=0.01)), df, epochs=4)
     assert mse[-1] < mse[0] and len(errors) == 2
     assert all(l.learning_rate > 0 for l in neural.optimal_rates(net, x, y).layers)
+
+
+def test_explore_lists_every_value(spark):
+    from tessel.operators import features
+
+    data = spark.range(100_001).selectExpr("concat('v', lpad(id, 6, '0')) AS c")
+    (meta,) = features.explore(data)
+    assert len(meta.values) == meta.num_intervals == 100_001 and meta.values[-1] == "v100000"
