@@ -1,11 +1,14 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped and the page becomes lines, one for each block element, at the places the page puts them. The text lengths of
-WINDOW lines in a row are summed at each line; where the sum surges past the level that the page itself sets, main text starts,
-where it dives to nothing or to the level of links, it ends. Elements that never are main text (menus, headers, footers, asides,
-forms, scripts, styles, and blocks whose class or id names notices, adverts or comments) put no lines on the page; their places
-count as dives. Where a page marks its article, lines outside of it weigh nothing. All lines between a surge and its dive stay,
-short ones too.
+Markup is stripped and the page becomes lines: one for each block of text, an empty one where a container begins or ends (WINDOW of
+them, which is a dive, for an article), and one empty line for each element that never is main text (menus, headers, footers, asides, forms, scripts, styles, blocks whose whole
+class or id names an advert, a notice, comments and the like, and an article within an article, which is a comment). A line weighs
+as many code points as it has outside of links. Where the page marks an article, its lines weigh INSIDE times their whole length, all
+others a part of theirs, OUTSIDE: a mark tips the scale, the sums decide.
+
+The weights of WINDOW lines in a row are summed at each line. The sums dive where they are 0; between two dives they surge if they
+climb to the level that the page itself sets, a third of its highest sum or LEVEL. The text between a surge's foot and its
+dive stays, short lines and lines of links among it too; text between dives that never surges goes.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by one space.
 
@@ -25,20 +28,24 @@ from pyspark.sql import DataFrame, SparkSession
 from tessel.llm.common import table
 
 WINDOW = 3
+LEVEL = 80
+INSIDE, OUTSIDE = 2, 0.5
 
 # Elements by what they do to the lines of a page.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
-NEVER = frozenset("nav header footer aside form menu dialog button select head figure-ad".split())
+NEVER = frozenset("nav header footer aside form menu dialog button select head".split())
 BLOCK = frozenset(
     "address article blockquote body br caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Names in a class or id that mark blocks beside the main text.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|cookie|cookies|consent|notice|gdpr|popup|modal|newsletter|subscribe|sidebar|side|nav|navbar|menu|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|foot|comment|comments|commentlist|reply|replies|respond|discussion|disqus|related|share|sharing|social|widget|toolbar|pagination|pager|login|signup|search|form)(?:$|[\s_-]|\d)",
-    re.I,
+CONTAINER = frozenset("article div figure main section table".split())
+# Parts of names in a class or id. A name is beside the main text if all its parts are known and one of them is in BESIDE.
+BESIDE = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription sidebar nav navbar navigation menu breadcrumb "
+    "breadcrumbs masthead footer comment comments commentlist disqus replies respond pagination pager toolbar share sharing social login signup notice header widget widgets related skyscraper leaderboard".split()
 )
+BETWEEN = frozenset("site page main global top bottom left right primary secondary mobile desktop post article entry user reader the area block box bar list section wrapper container inner slot unit links buttons icons form text message overlay".split())
+_PART = re.compile(r"[a-z]+|[0-9]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -47,12 +54,21 @@ _BLANK = re.compile(r"\s+")
 
 
 class Line:
-    """A block's text, how much of it is links, whether it lies in a marked article, and whether a dive comes before it."""
+    """A block's text, how much of it is links, and its mark: 2 in an article, 1 in the main element, else 0. Empty lines stand for what parts blocks."""
+
+    __slots__ = ("text", "linked", "mark")
 
-    __slots__ = ("text", "linked", "article", "after_cut")
+    def __init__(self, text: str = "", linked: int = 0, mark: int = 0):
+        self.text, self.linked, self.mark = text, linked, mark
 
-    def __init__(self, text: str, linked: int, article: bool, after_cut: bool):
-        self.text, self.linked, self.article, self.after_cut = text, linked, article, after_cut
+
+def _names_beside(names: str) -> bool:
+    """Whether one of the names says that its block is beside the main text. Letters, hyphens, underscores and a change of case part a name."""
+    for name in names.split():
+        parts = [x for x in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if not x.isdigit()]
+        if any(x in BESIDE for x in parts) and all(x in BESIDE or x in BETWEEN for x in parts):
+            return True
+    return False
 
 
 def _beside(name: str, attributes: str) -> bool:
@@ -64,32 +80,34 @@ def _beside(name: str, attributes: str) -> bool:
         return True
     for key, *values in _NAMED.findall(attributes):
         value = next((v for v in values if v), "")
-        if key.lower() == "role" and value.strip().lower() in _ROLES or key.lower() != "role" and BESIDE.search(value):
+        if key.lower() == "role" and value.strip().lower() in _ROLES or key.lower() != "role" and _names_beside(value):
             return True
     return False
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's lines outside of elements that never are main text."""
+    """The page's lines; what never is main text is an empty one."""
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
     stack: list[str] = []
     skip_at = 0  # depth of the element that is skipped, or 0
-    articles = links = 0
-    cut = False
+    articles = mains = links = 0
     raw_end: re.Pattern[str] | None = None
 
     def close() -> None:
-        nonlocal linked, cut
+        nonlocal linked
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Line(text, min(linked, len(text)), articles > 0, cut))
-                cut = False
+                out.append(Line(text, min(linked, len(text)), 2 if articles else 1 if mains else 0))
             parts.clear()
         linked = 0
 
+    def part(name: str) -> None:
+        if name in CONTAINER:
+            out.extend([Line()] * (WINDOW if name == "article" else 1))
+
     at = 0
     while at < len(page):
         if raw_end:
@@ -115,28 +133,30 @@ def lines_of(page: str) -> list[Line]:
                 if name in BLOCK or name in NEVER:
                     if not skip_at:
                         close()
+                        part(name)
                 elif any(x in BLOCK or x in NEVER for x in stack[k + 1 :]):
                     continue  # an inline end tag does not close blocks
                 for x in stack[k:]:
-                    articles -= x == "article" or x == "main"
+                    articles -= x == "article"
+                    mains -= x == "main"
                     links -= x == "a"
                 del stack[k:]
                 if skip_at > len(stack):
                     skip_at = 0
-                    cut = True
             elif name in BLOCK and not skip_at:
                 close()
             continue
         if name in BLOCK or name in NEVER:
             if not skip_at:
                 close()
+                part(name)
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and name in stack:  # these close one another
                 k = len(stack) - 1 - stack[::-1].index(name)
                 if not any(x in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body") or x in NEVER for x in stack[k + 1 :]) and skip_at <= k + 1:
                     for x in stack[k:]:
                         links -= x == "a"
                     if skip_at > k:
-                        skip_at, cut = 0, True
+                        skip_at = 0
                     del stack[k:]
         if name in RAW:
             if not found[3].rstrip().endswith("/"):
@@ -145,44 +165,49 @@ def lines_of(page: str) -> list[Line]:
         if name in VOID or found[3].rstrip().endswith("/"):
             continue
         stack.append(name)
-        articles += name == "article" or name == "main"
+        comment = name == "article" and articles > 0
+        articles += name == "article"
+        mains += name == "main"
         links += name == "a"
-        if not skip_at and _beside(name, found[3]):
+        if not skip_at and (comment or _beside(name, found[3])):
             close()
+            out.append(Line())
             skip_at = len(stack)
     if not skip_at:
         close()
     return out
 
 
-def _plain(line: Line) -> int:
-    """The length that counts: link text does not, nor does what lies outside a marked article."""
-    return max(0, len(line.text) - line.linked)
+def weights_of(lines: list[Line]) -> list[float]:
+    mark = max((x.mark for x in lines if x.text), default=0)
+    if not mark:
+        return [len(x.text) - x.linked for x in lines]
+    return [INSIDE * len(x.text) if x.mark == mark else OUTSIDE * (len(x.text) - x.linked) for x in lines]
 
 
 def main_lines(lines: list[Line]) -> list[str]:
-    """The lines between surges and dives of the summed lengths."""
-    marked = any(x.article for x in lines)
-    weights = [_plain(x) if x.article or not marked else 0 for x in lines]
-    n = len(lines)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    if not any(sums):
+    """The lines between surges and dives of the summed weights."""
+    weights = weights_of(lines)
+    sums = [sum(weights[i : i + WINDOW]) for i in range(len(lines))]
+    if not sums or not (peak := max(sums)):
         return []
-    # within a marked article any text surges; elsewhere the page's own level decides
-    level = 1 if marked else max(1, min(80, sorted(sums)[-1] // 3))
+    level = min(LEVEL, peak / 3)
     kept: list[str] = []
-    i = 0
-    while i < n:
-        if not (sums[i] >= level and weights[i] > 0):
-            i += 1
+    foot, top, last = None, 0.0, 0
+
+    def dive() -> None:
+        if foot is not None and top >= level:
+            kept.extend(x.text for x in lines[foot : last + 1] if x.text)
+
+    for i, weight in enumerate(weights):
+        if not weight:
             continue
-        j = i
-        while j < n and (weights[j] > 0 or marked and lines[j].article or j + 1 < n and sums[j] >= level and not lines[j + 1].after_cut):
-            if j > i and lines[j].after_cut and not marked and sums[j] < level:
-                break
-            j += 1
-        kept += [x.text for x in lines[i:j]]
-        i = max(j, i + 1)
+        if foot is None or i - last > WINDOW:  # WINDOW lines without weight lie between
+            dive()
+            foot, top = i, 0.0
+        # the sums that begin at or up to WINDOW - 1 lines before this one, within the foot
+        top, last = max(top, *sums[max(foot, i - WINDOW + 1) : i + 1]), i
+    dive()
     return kept
 
 
