@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint directory; a temporary one only where none is set."""
+    """The session's checkpoint directory, which driver and executors share. Where none is set, a local master gets a temporary one, a cluster an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
     return sc.getCheckpointDir()
 
