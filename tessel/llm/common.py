@@ -1,15 +1,16 @@
-"""What the operators of this subpackage share: reading, written tables, native helpers for arrays and spans."""
+"""What the operators of this subpackage share: reading, written tables, joins that deal hot keys, native helpers for arrays and spans."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.plans.tables import shared_dir, table  # noqa: F401 - table is what the operators read by
+
 #: The white space that separates words, and its complement, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,21 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint directory; a temporary one only where none is set."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    sc = spark.sparkContext
-    if not (found := sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
 class Saved:
     """A table written below the shared folder, which cuts lineage and outlives a lost executor. drop() deletes it; what is left goes when the driver ends."""
 
@@ -53,6 +39,18 @@ class Saved:
             pass
 
 
+SALTS = 64
+
+
+def dealt_join(rows: DataFrame, keys: list[str], values: DataFrame, spread: str) -> DataFrame:
+    """rows joined with values, which has a row for each of the keys that stay. A key's rows are dealt over SALTS tasks by the column spread.
+
+    What meets first are values and the (key, salt) that occur, of which a key has SALTS at most, whatever share of the rows it holds.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(salted.select(*keys, "_salt").distinct().join(values, keys), [*keys, "_salt"]).drop("_salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once: a lambda's variable is bound, not substituted."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,25 +1,28 @@
-"""Connected components of a table of links, by alternating large and small stars, in DataFrame operations alone."""
+"""Connected components of a table of links, by alternating large and small stars, in DataFrame operations alone.
+
+A component ends as a star around its least node; the joins deal that node's links over many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Saved
+from tessel.llm.common import Saved, dealt_join
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return dealt_join(both.filter("b > a"), ["a"], least, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, is linked to the least of them. Edges run from the larger to the smaller node."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = dealt_join(down, ["a"], least, "b").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

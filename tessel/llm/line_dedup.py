@@ -61,7 +61,9 @@ def drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     rows.drop()
     local = kept.df.groupBy("h1", "h2", "salt").agg(F.max("_first").alias("doc_id"), F.sum("_new").alias("n"))
     keys = local.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    return kept.df.join(keys, ["h1", "h2"]).filter("doc_id <> keeper").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("dropped"))
+    # the keys meet the groups, of which a key has SALTS at most; the rows meet their groups, so that no task has all rows of a key
+    groups = local.select("h1", "h2", "salt").join(keys, ["h1", "h2"])
+    return kept.df.join(groups, ["h1", "h2", "salt"]).filter("doc_id <> keeper").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("dropped"))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
