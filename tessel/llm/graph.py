@@ -26,20 +26,21 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link to a smaller one, or none and is such a one: then links run from each node to its component's least."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.max("down").alias("downs")).filter("ups + downs > 1").head(1)
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of links (a, b), both longs; component is the smallest node that links reach.
 
-    Links of a node to itself and null ends count for nothing. Each round shrinks the links to stars around smaller nodes; it ends when a round changes none.
+    Links of a node to itself and null ends count for nothing. Each round shrinks the links to stars around smaller nodes, until nothing but stars is left.
     """
-    now = Saved(links.filter("a <> b").select("a", "b").distinct(), name)
-    mark = None
-    while True:
+    now = Saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while not _stars(now.df):
         after = Saved(_small(_large(now.df)), name)
         now.drop()
         now = after
-        seen = now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == tuple(seen):
-            break
-        mark = tuple(seen)
     ends = now.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())

@@ -1,21 +1,26 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-A text's set is its distinct word shingles, as 64-bit hashes. Texts with equal sets become one representative, the least id, before
-anything else. A representative's sketch is its minimum under each of COORDINATES hash functions.
+A text's set is its distinct word shingles, as 64-bit hashes. Texts with equal sets become one representative before anything else.
+A representative's sketch is its minimum under each of COORDINATES hash functions.
 
 Each of TREES independent trees sends a representative down the path of its sketch at one chosen coordinate. Nodes of up to
-NODE representatives are compared exhaustively, by sketch; larger ones branch on two more coordinates that the node's name
-chooses, down to DEPTH levels; what is larger still is compared in pairs of blocks. Two sets of similarity s part ways in one tree
-with a probability of 1 - s at the first level (and of less than a tenth at all later ones together), so that TREES trees
-miss a pair at 0.8 about once in 10**5. Comparison in a node skips what it has connected already; a node yields the few links that connect it, not pairs.
+NODE representatives are compared exhaustively, by sketch. A larger one is cut in blocks of NODE, each of which is compared within
+itself and with the node's LEADERS, so that a cluster of near copies is connected in rows linear in its size. What is then connected
+needs no further comparison; a node stays open while it holds several parts. If up to NODE rows are outside of its largest part,
+they meet all its rows, in blocks; otherwise it branches on two more coordinates that its name chooses. Branching goes on as deep as
+the logarithm of the largest node asks for; in what is still open there, all rows outside of the largest part meet all rows, in blocks, so that no
+depth drops a pair.
+
+Two sets of similarity s part ways in one tree with a probability of 1 - s at the first level and (1 - s)**2 at each later one: TREES
+trees miss a pair at 0.8 about once in 10**5 in small nodes, once in 10**4 three levels down.
 
 What these links connect are candidates. Each candidate's whole set is then built once, from its whole text, and links are confirmed on
-full sets. A candidate group of more than BLOCK members is cut in blocks that each meet the group's LEADERS; only if that
-leaves it in parts, members outside of its largest part meet all its members, again in blocks. No group is ever whole in one task,
-and no link between different parts is left out.
+full sets: a group of more than BLOCK candidates is cut in blocks that each meet LEADERS of those outside of its largest part, round after round while
+these rounds connect more; then all that are left outside meet all members, again in blocks. No group is ever whole in one
+task, and no link between different parts is left out.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; a text with fewer words than a
-shingle has one shingle, all its words; repeated rows and ties are copies of the least id; a null id is a document that no copy
+shingle has one shingle, all its words; repeated rows and ties are copies of the least id; rows that share an id are judged each by its own text; a null id is a document that no copy
 can stand for; an empty table gives an empty one; other columns of the input are not read.
 """
 
@@ -29,17 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Saved, table
+from tessel.llm.common import Saved, dealt_join, table
 from tessel.llm.graph import components
 from tessel.llm.groups import Union, grouped
 
-COORDINATES, TREES, DEPTH = 64, 8, 2
+COORDINATES, TREES = 64, 8
 NODE = 256
-BLOCK, LEADERS = 512, 4
+BLOCK, LEADERS = 512, 8
 #: A sketch of 64 agrees on fewer than 36 places for one in 10**6 pairs at a similarity of 0.8.
 MARGIN = 0.24
 BROADCAST_IDS = 500_000
 _WORDS = 300_000
+#: Tells apart texts of rows that share an id.
+_BODY = "xxhash64(text)"
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,7 +93,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, sketch): c1 and c2 are 128 bits of the whole set, null for an empty one."""
+    """(doc_id, body, n_shingles, c1, c2, sketch): body is a hash of the text, c1 and c2 are 128 bits of the whole set, null for an empty one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, c1, c2, sketches = [], [], [], []
@@ -103,10 +110,11 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                     c2.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "c1", "c2", "sketch"])
+                [batch.column("doc_id"), batch.column("body"), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketches, pa.binary())],
+                ["doc_id", "body", "n_shingles", "c1", "c2", "sketch"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, sketch binary")
+    named = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", f"{_BODY} as body")
+    return named.mapInArrow(run, "doc_id bigint, body bigint, n_shingles bigint, c1 bigint, c2 bigint, sketch binary")
 
 
 def _sketches(t: pa.Table) -> np.ndarray:
@@ -120,21 +128,34 @@ def _near(i: int, rest: np.ndarray, sk: np.ndarray, sizes: np.ndarray, percent:
     return rest[(sk[rest] == sk[i]).sum(axis=1) >= (percent / 100 - MARGIN) * COORDINATES]
 
 
-def _compare(percent: int):
-    """Links that connect a node's rows as sketches do. Of a pair of blocks only links across: each block meets itself in a group of its own."""
+def _connect(percent: int, k: int | None = None):
+    """Links that connect a group's rows, by sketches, or with k on full sets. Rows of one part are connected already; only rows that ask meet the others."""
     def fn(t: pa.Table) -> list[pa.Array]:
-        ids, sizes, sk, side = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t), t.column("side").to_numpy()
-        known, links = Union(np.arange(len(ids))), []
-        across = bool((side == 1).any())
-        for crossing in (False, True) if across else (False,):
-            for i in range(len(ids) - 1):
-                rest = np.flatnonzero(known.label != known.label[i])
-                rest = rest[(rest > i) & ((side[rest] != side[i]) == crossing)]  # smaller rows have met this one
-                for j in _near(i, rest, sk, sizes, percent).tolist() if len(rest) else ():
-                    if known.label[i] != known.label[j]:
-                        known.join(i, j)
-                        if crossing == across:
-                            links.append((ids[i], ids[j]))
+        ids, sizes, sk = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t)
+        _, start = np.unique(t.column("part").to_numpy(), return_inverse=True)
+        known = Union(start.astype(np.int64))
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        sets: dict[int, np.ndarray] = {}
+        links = []
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(t.column("text")[i].as_py(), k)
+            return sets[i]
+
+        waiting = np.ones(len(ids), bool)
+        for i in np.flatnonzero(asks).tolist():
+            waiting[i] = False
+            rest = np.flatnonzero((known.label != known.label[i]) & waiting)
+            for j in _near(i, rest, sk, sizes, percent).tolist() if len(rest) else ():
+                if known.label[i] == known.label[j]:
+                    continue
+                if k is not None:
+                    both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                    if 100 * both < percent * (len(of(i)) + len(of(j)) - both):
+                        continue
+                known.join(i, j)
+                links.append((ids[i], ids[j]))
         return _ends(links)
 
     return fn
@@ -148,115 +169,138 @@ def _at(coordinate: Column) -> Column:
     return F.substring("sketch", 4 * coordinate + 1, F.lit(4))
 
 
-def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of representatives (rep, n, sketch) that the trees bring together and sketches hold for similar."""
+_LINK = "a bigint, b bigint"
+
+
+def _n_blocks(rows: Column, block: int) -> Column:
+    return F.ceil(rows / F.lit(block)).cast("int")
+
+
+def _in_blocks(rows: DataFrame, group: str, block: int, seed: int, led: Column) -> DataFrame:
+    """rows (rep, group, size, ...) with key and asks: a block of its group for each row, all blocks for LEADERS or so of those that led allows, whose number is the column n_led."""
+    blocks = _n_blocks(F.col("size"), block)
+    own = F.pmod(F.xxhash64(F.lit(seed), "rep"), blocks).cast("int")
+    lead = (F.col("size") > block) & led & (F.pmod(F.xxhash64(F.lit(seed + 100), group, "rep"), F.col("n_led")) < LEADERS)
+    return rows.withColumn("_block", F.explode(F.when(lead, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).withColumn("key", F.xxhash64(group, "_block")).withColumn("asks", F.lit(True)).drop("_block")
+
+
+def _against_all(rows: DataFrame, group: str, block: int, seed: int) -> DataFrame:
+    """rows (rep, group, size, part, largest, n_out, ...) with key and asks: those outside of the largest part ask, in blocks of their own, every block of the group."""
+    blocks, asked = _n_blocks(F.col("size"), block), _n_blocks(F.col("n_out"), block)
+    out = F.col("part") != F.col("largest")
+    roles = rows.withColumn("asks", F.explode(F.when(out, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    own = F.pmod(F.xxhash64(F.lit(seed), "rep"), blocks).cast("int")
+    column = F.pmod(F.xxhash64(F.lit(seed + 100), "rep"), asked).cast("int")
+    keys = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64(group, column, b))).otherwise(
+        F.transform(F.sequence(F.lit(0), asked - 1), lambda c: F.xxhash64(group, c, own)))
+    return roles.withColumn("key", F.explode(keys))
+
+
+def _parted(rows: DataFrame, group: str, links: DataFrame) -> DataFrame:
+    """rows (rep, group, ...) of the groups that links leave in several parts, with part, largest, n_out (the rows outside of the largest part) and size."""
+    part = components(links, "parts").withColumnRenamed("node", "_n")
+    parted = Saved(rows.join(part, F.col("rep") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "rep")).drop("_n", "component"), "parted").df
+    sizes = parted.groupBy(group, "part").agg(F.count(F.lit(1)).alias("m"))
+    most = sizes.groupBy(group).agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.sum("m").alias("size"), F.max("m").alias("top")).filter("top < size")
+    return Saved(dealt_join(parted, [group], most.select(group, "largest", "size", (F.col("size") - F.col("top")).alias("n_out")), "rep"), "open").df
+
+
+def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
+    """(rep, group) of the representatives (rep, n, sketch) that links connect, of those that the trees bring together and sketches hold for similar."""
+    payload = reps.select("rep", "n", "sketch")
     roots = F.array(*[F.xxhash64(F.lit(t), _at(F.lit(t * (COORDINATES // TREES)))) for t in range(TREES)])
-    rows = reps.select("rep", F.explode(roots).alias("node"))
-    links, opened = None, []
-    for depth in range(DEPTH + 1):
+    rows = reps.select("rep", F.explode(roots).alias("node"), F.col("rep").alias("part"))
+    links = reps.sparkSession.createDataFrame([], _LINK)
+    deepest, depth = 0, 0
+    while True:
         here = Saved(rows, f"level{depth}")
-        opened.append(here)
-        count = here.df.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = Saved(here.df.join(count, "node"), f"sized{depth}")
-        small = sized.df if depth == DEPTH else sized.df.filter(F.col("size") <= NODE)
-        blocks = F.ceil(F.col("size") / F.lit(NODE)).cast("int")
-        own = F.pmod(F.xxhash64(F.lit(depth), "rep"), blocks).cast("int")
-        # a node of one block is one group; in a larger one, every pair of blocks is a group
-        pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.xxhash64("node", F.least(own, other), F.greatest(own, other)).alias("group"), (own > other).cast("int").alias("side"))))
-        met = small.select("rep", pair.alias("p")).select("rep", "p.group", "p.side").join(reps.select("rep", "n", "sketch"), "rep")
-        found = grouped(met, "group", _compare(percent), ["a", "b"], "a bigint, b bigint")
-        links = found if links is None else links.unionByName(found)
-        if depth == DEPTH or not (large := sized.df.filter(F.col("size") > NODE).select("rep", "node")).head(1):
+        count = here.df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").drop("_p", "_q")
+        sized = Saved(dealt_join(here.df, ["node"], count, "rep"), f"sized{depth}")
+        met = _in_blocks(sized.df.withColumn("n_led", F.col("size")), "node", NODE, depth, F.lit(True)).select("rep", "part", "key", "asks").join(payload, "rep")
+        links = Saved(links.unionByName(grouped(met, "key", _connect(percent), ["a", "b"], _LINK)).distinct(), "candidates").df
+        here.drop()
+        large = sized.df.filter(F.col("size") > NODE)
+        most = large.agg(F.max("size")).first()[0]
+        if most is None:
+            break
+        deepest = deepest or 2 + int(np.ceil(np.log2(most / NODE)))
+        still = _parted(large.select("rep", "node"), "node", links)
+        ends = F.lit(depth >= deepest) | (F.col("n_out") <= NODE)
+        last = _against_all(still.filter(ends), "node", NODE, depth).select("rep", "part", "key", "asks").join(payload, "rep")
+        links = Saved(links.unionByName(grouped(last, "key", _connect(percent), ["a", "b"], _LINK)).distinct(), "candidates").df
+        sized.drop()
+        if not (wide := still.filter(~ends)).select("rep").head(1):
             break
         branch = F.array(*[F.pmod(F.xxhash64(F.lit(depth), F.lit(s), "node"), F.lit(COORDINATES)).cast("int") for s in range(2)])
-        rows = large.join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "node", F.explode(branch).alias("c")).select("rep", F.xxhash64("node", "c", _at(F.col("c"))).alias("node"))
-    out = Saved(links.distinct(), "candidates").df
-    for x in opened:
-        x.drop()
-    return out
+        rows = wide.select("rep", "node", "part", F.explode(branch).alias("c")).join(reps.select("rep", "sketch"), "rep").select("rep", F.xxhash64("node", "c", _at(F.col("c"))).alias("node"), "part")
+        depth += 1
+    return Saved(components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "group"), "groups").df
 
 
-def _confirm(k: int, percent: int):
-    """Links on full sets that connect a group's rows. Rows of one part are connected already; only rows that ask meet the others."""
-    def fn(t: pa.Table) -> list[pa.Array]:
-        ids, sizes, sk = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t)
-        parts, asks = t.column("part").to_numpy(), t.column("asks").to_numpy(zero_copy_only=False)
-        _, start = np.unique(parts, return_inverse=True)
-        known = Union(start.astype(np.int64))
-        texts, sets, links = t.column("text"), {}, []
-
-        def of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(texts[i].as_py(), k)
-            return sets[i]
+def representatives(every: DataFrame) -> DataFrame:
+    """(rep, doc_id, body, c1, c2, n, sketch): a row for each set of every, with a number, rep, of its own; doc_id and body name its row with the least id."""
+    least = every.filter("c1 is not null and doc_id is not null").groupBy("c1", "c2").agg(
+        F.min(F.struct("doc_id", "body")).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    return Saved(least.select(F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.body", "c1", "c2", "n", "sketch"), "reps").df
 
-        asked = np.zeros(len(ids), bool)
-        for i in np.flatnonzero(asks).tolist():
-            asked[i] = True
-            rest = np.flatnonzero((known.label != known.label[i]) & ~asked)
-            for j in _near(i, rest, sk, sizes, percent).tolist() if len(rest) else ():
-                if known.label[i] != known.label[j]:
-                    both = len(np.intersect1d(of(i), of(j), assume_unique=True))
-                    if 100 * both >= percent * (len(of(i)) + len(of(j)) - both):
-                        known.join(i, j)
-                        links.append((ids[i], ids[j]))
-        return _ends(links)
 
-    return fn
+def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, body, n_shingles, component_id, class_body) of every row; component_id and class_body name the row of the class with the least id."""
+    every = Saved(features(docs, k), "features").df
+    reps = representatives(every)
+    found = components(_confirmed(docs, reps, candidate_groups(reps, percent), k, percent)).withColumnRenamed("node", "_rep")
+    own = Saved(reps.select("rep", "doc_id", "body", "c1", "c2").join(found, F.col("rep") == F.col("_rep"), "left").withColumn("class", F.coalesce("component", "rep")).drop("_rep", "component"), "classes").df
+    heads = own.groupBy("class").agg(F.min(F.struct("doc_id", "body")).alias("head"))
+    named = dealt_join(own.select("rep", "c1", "c2", "class"), ["class"], heads, "rep").select("c1", "c2", "head")
+    # copies of one text may be a third of all rows; rows without words or id are of no class
+    sets = dealt_join(every.filter("c1 is not null and doc_id is not null").drop("sketch"), ["c1", "c2"], named, "doc_id").select("doc_id", "body", "n_shingles", F.col("head.doc_id").alias("component_id"), F.col("head.body").alias("class_body"))
+    rest = every.filter("c1 is null or doc_id is null").select("doc_id", "body", "n_shingles", F.col("doc_id").alias("component_id"), F.col("body").alias("class_body"))
+    return sets.unionByName(rest)
 
 
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach; documents link at 100 * intersection >= percent * union."""
-    every = Saved(features(docs, k), "features").df
-    reps = Saved(every.filter("c1 is not null and doc_id is not null").groupBy("c1", "c2").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "reps").df
-    groups = Saved(components(candidate_links(reps.select("rep", "n", "sketch"), percent)).withColumnRenamed("node", "rep").withColumnRenamed("component", "group"), "groups").df
-    links = _confirmed(docs, reps, groups, k, percent)
-    found = components(links).withColumnRenamed("node", "_rep")
-    classes = reps.select("c1", "c2", "rep").join(found, F.col("rep") == F.col("_rep"), "left").select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), F.coalesce("component", "rep").alias("_class"))
-    return every.join(classes, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("component_id"))
+    return classes(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def _confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between candidates of a group that connect what full sets connect."""
-    names = ["a", "b"]
+    columns = ["rep", "n", "sketch", "text", "part", "key", "asks"]
+    linked = lambda rows: grouped(rows.select(*columns), "key", _connect(percent, k), ["a", "b"], _LINK)
     few = groups.count() <= BROADCAST_IDS
-    wanted = groups.join(reps.select("rep", "n", "sketch"), "rep").join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
-    bodies = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(F.broadcast(groups.select(F.col("rep").alias("_c"))) if few else groups.select(F.col("rep").alias("_c")), F.col("_id") == F.col("_c")).dropDuplicates(["_id"])
-    members = Saved(wanted.join(bodies.select("_id", "text"), F.col("rep") == F.col("_id")).drop("_id"), "members").df
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(5), "rep"), blocks).cast("int")
-    # the leaders of a large group, LEADERS of every BLOCK * LEADERS members or so, meet all its blocks
-    lead = (F.col("size") > BLOCK) & (F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("size")) < LEADERS)
-    first = members.withColumn("_block", F.explode(F.when(lead, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).select(
-        "rep", "n", "sketch", "text", F.xxhash64("group", "_block").alias("key"), F.col("rep").alias("part"), F.lit(True).alias("asks"))
-    links = Saved(grouped(first, "key", _confirm(k, percent), names, "a bigint, b bigint"), "links").df
-    large = members.filter(F.col("size") > BLOCK)
-    if not large.select("rep").head(1):
-        return links
-    part = components(links, "parts").withColumnRenamed("node", "_n")
-    parted = Saved(large.join(part, F.col("rep") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "rep")).drop("_n", "component"), "parted").df
-    sizes = parted.groupBy("group", "part").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("group").agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.sum("m").alias("all"), F.max("m").alias("top")).filter("top < all")
-    open_ = parted.join(most, "group")
-    asks = F.col("part") != F.col("largest")
-    asked = F.ceil((F.col("all") - F.col("top")) / F.lit(BLOCK)).cast("int")
-    # members outside of the largest part ask, in blocks of their own, every block of members
-    roles = F.when(asks, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    rows = open_.withColumn("asks", F.explode(roles))
-    column = F.pmod(F.xxhash64(F.lit(8), "rep"), asked).cast("int")
-    keys = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64("group", column, b))).otherwise(
-        F.transform(F.sequence(F.lit(0), asked - 1), lambda c: F.xxhash64("group", c, own)))
-    second = rows.withColumn("key", F.explode(keys)).select("rep", "n", "sketch", "text", "key", "part", "asks")
-    return links.unionByName(grouped(second, "key", _confirm(k, percent), names, "a bigint, b bigint"))
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    wanted = dealt_join(groups, ["group"], sizes, "rep").join(reps.select("rep", "doc_id", "body", "n", "sketch"), "rep")
+    asked = wanted.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
+    bodies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(_BODY).alias("body"), "text").join(
+        F.broadcast(asked) if few else asked.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("body") == F.col("_body")), "left_semi").groupBy("doc_id", "body").agg(F.first("text").alias("text"))
+    members = Saved(wanted.join(bodies, ["doc_id", "body"]).drop("doc_id", "body"), "members").df
+    first = _in_blocks(members.withColumn("part", F.col("rep")).withColumn("n_led", F.col("size")), "group", BLOCK, 0, F.lit(True))
+    links = Saved(linked(first), "links").df
+    large = members.filter(F.col("size") > BLOCK).drop("size")
+    left = None
+    for seed in range(1, 1 << 16):
+        if not large.select("rep").head(1):
+            break
+        still = _parted(large, "group", links)
+        before, left = left, still.filter("part <> largest").count()
+        if not left:
+            break
+        # leaders of those outside go on while they connect more; rounds are linear, what follows is linear in those left outside and in the group
+        if (before is None or 4 * left < 3 * before) and still.filter(F.col("n_out") > BLOCK).select("rep").head(1):
+            more = _in_blocks(still.withColumn("n_led", F.col("n_out")), "group", BLOCK, seed, F.col("part") != F.col("largest"))
+            links = Saved(links.unionByName(linked(more)), "links").df
+            continue
+        return links.unionByName(linked(_against_all(still, "group", BLOCK, seed)))
+    return links
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the least id of their class, with their own columns; of rows that share that id, one stays. Rows without an id all stay."""
-    kept = near_classes(docs, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.filter("doc_id is not null").join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """docs without all but one row of each class, the one with the least id; columns as they are. Of rows with that id and the same text one stays, the same in reruns. Rows without an id all stay."""
+    kept = classes(docs, k, percent).filter("doc_id = component_id and body = class_body").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
+    body, columns = F.expr(_BODY), docs.columns
+    named = docs.filter("doc_id is not null").join(kept.hint("shuffle_hash"), (F.col("doc_id").cast("bigint") == F.col("_id")) & (body == F.col("_body")), "left_semi")
+    one = named.groupBy(F.col("doc_id").alias("_id"), body.alias("_body")).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*[c for c in columns if c != "text"]))).alias("_row")).select("_row.*")
+    return one.unionByName(docs.filter("doc_id is null"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

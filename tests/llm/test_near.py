@@ -60,8 +60,37 @@ def test_empty_table_and_repeated_rows(spark):
     assert near_dedup.near_classes(df.limit(0), 2).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """Each is judged by its own text, and one row of each class stays, the same whatever the partitions."""
+    a, b = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLM123456789")
+    texts = [(1, " ".join(a), "x"), (1, " ".join(b), "y"), (2, " ".join(a) + " more", "x"), (3, " ".join(b) + " more", "z"), (4, " ".join(b), "z"), (5, "of its own, this one", "z"), (1, " ".join(b), "a")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_classes(df, 2).collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+    kept = [sorted(map(tuple, near_dedup.keep_one_of_each(x, 2).collect())) for x in (df, df.repartition(3))]
+    assert kept[0] == kept[1] == sorted([texts[0], texts[6], texts[5]])
+
+
+def rows_met(df, monkeypatch):
+    """The rows that groups are handed for df."""
+    n, grouped = [], near_dedup.grouped
+    monkeypatch.setattr(near_dedup, "grouped", lambda rows, *a: n.append(rows.count()) or grouped(rows, *a))
+    assert near_dedup.near_classes(df, 2).select("component_id").distinct().count() < 10
+    monkeypatch.setattr(near_dedup, "grouped", grouped)
+    return sum(n)
+
+
+def test_rows_are_linear_in_a_cluster(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    copy = lambda: " ".join(rng.choice(base) + "x" if rng.random() < 0.01 else w for w in base)
+    df = spark.createDataFrame([(i, copy()) for i in range(4000)], "doc_id long, text string").repartition(4)
+    small, large = rows_met(df.filter("doc_id < 1000"), monkeypatch), rows_met(df, monkeypatch)
+    assert large < 5 * small
+
+
 def test_components(spark):
     rng = random.Random(1)
+    assert graph.components(spark.createDataFrame([(None, 1), (1, None), (2, 2)], "a long, b long")).count() == 0
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = brute.components(301, [(a, b) for a, b in pairs])
