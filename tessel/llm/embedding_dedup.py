@@ -1,13 +1,23 @@
-"""Embedding near-dedup by exact comparison in blocks.
+"""Embedding near-dedup by NN-descent.
 
 Vectors that may be compared (same label, same length) form a cell. Equal vectors become one representative with a multiplicity.
-All pairs of a cell are compared. Cells of up to SMALL representatives are groups of one pass; of larger ones, blocks of up to
-QUERIES or so are held by every task while a scan reads the cell's rows. No pair is a row: a task gives links that connect what it
-has found connected, one for each linked row and tile of queries at most beside those between queries. Nothing is sampled, and no
-list is cut. The work is quadratic in a cell's size; single precision decides the pairs away from the threshold.
+Every representative keeps a list of its NEIGHBOURS nearest ones among those it is not connected with yet.
 
-Pairs at the threshold or above are links. Members of a component meet in pairs of blocks of BLOCK rows, which count links and
-emit none, so that a group of thousands of near copies makes no row for each pair. Counts are cosines in double precision.
+A round refines all lists: vectors in the orders of fresh random projections meet the next ones, and around each centre the members of its
+list and of the lists that hold it meet, which are neighbours of neighbours. Every pair so compared at the threshold or above is a
+link, whatever the lists hold. Links connect components; a list whose places are links is saturated, since what it lacks is hidden behind
+what it has. It is enlarged by what its vector's component holds already: places of vectors in the own component are given to the next ones
+outside. So a group of thousands of near copies fills no list, and lists go on growing towards other components until none of them is a link.
+
+The descent ends when a round connects nothing, LEAST_ROUNDS at least, and an audit holds: AUDIT * sqrt(rows) vectors or
+so, half of them from those that are linked or have a neighbour close to the threshold, meet all rows of their cells in blocks. A vector is missed if
+it has a link to another component. An audit that sees less than SEEN linked vectors tells nothing and is enlarged, to all vectors in the
+end. If less than TARGET of the linked vectors are complete, what the audit found is added and the descent goes on; after ROUNDS
+rounds the audit takes all vectors, which makes the result exact. audit() gives its figures.
+
+Members of a component then count their links, in double precision over all members. In a component of more than BLOCK members, those
+within half the threshold's angle of a pivot are all linked with each other, by the triangle inequality, and are counted by a sum; the others
+meet all members in pairs of blocks, which count links and emit none.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component, or whose label is null, links with
 nothing; repeated rows and ties count as other vectors each; rows that share a vec_id share the outcome; an empty table gives an
@@ -16,19 +26,26 @@ empty one; other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Saved, table
+from tessel.llm.common import Saved, dealt_join, table
 from tessel.llm.graph import components
 from tessel.llm.groups import Union, grouped
 
-SMALL, QUERIES, TILE = 256, 32_768, 256
-BLOCK = 1024
+NEIGHBOURS, MEET = 10, 48
+ORDERS, BITS, AHEAD = 4, 40, 8
+LEAST_ROUNDS, ROUNDS = 3, 8
+AUDIT, SEEN, TARGET, CLOSE = 10, 200, 0.999, 0.1
+QUERIES, TILE = 32_768, 256
+BLOCK, PIVOT = 512, 256
+_EDGE, _LINK = "u bigint, v bigint, sim double", "a bigint, b bigint"
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -57,17 +74,95 @@ def units(vectors: DataFrame) -> DataFrame:
     return usable.mapInArrow(run, "vec_id bigint, cell bigint, vec binary")
 
 
-def _forest(ids: np.ndarray, near: np.ndarray, names: np.ndarray, known: Union) -> list[tuple[int, int]]:
-    """Links that connect what a tile of rows (near: rows by names) connects, beside those that known, which is kept for names, holds already."""
-    links = []
-    for i in np.flatnonzero(near.any(axis=1)).tolist():
-        to = np.flatnonzero(near[i])
-        links.append((ids[i], names[to[0]]))
-        for j in np.unique(known.label[to], return_index=True)[1].tolist():
-            if known.label[to[j]] != known.label[to[0]]:
-                links.append((names[to[0]], names[to[j]]))
-                known.join(to[0], to[j])
-    return links
+def _best(u: np.ndarray, v: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each u the most similar edges."""
+    order = np.lexsort((v, -sim, u))
+    u, v, sim = u[order], v[order], sim[order]
+    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.array([], np.int64)
+    keep = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)])) < most
+    return u[keep], v[keep], sim[keep]
+
+
+def _edges(names: np.ndarray, part: np.ndarray, i: np.ndarray, j: np.ndarray, sim: np.ndarray, threshold: float, most: int) -> list[pa.Array]:
+    """Of compared pairs (i, j) of rows: links that connect what the pairs at the threshold connect, and each row's best edges to what is below it. Rows of one part are connected already."""
+    apart = part[i] != part[j]
+    i, j, sim = i[apart], j[apart], sim[apart]
+    near = sim >= threshold
+    known, links = Union(np.unique(part, return_inverse=True)[1].astype(np.int64)), []
+    for k in np.flatnonzero(near).tolist():
+        if known.label[i[k]] != known.label[j[k]]:
+            known.join(i[k], j[k])
+            links.append(k)
+    i, j, sim, li, lj, ls = i[~near], j[~near], sim[~near], i[links], j[links], sim[links]
+    u, v, s = _best(np.r_[i, j], np.r_[j, i], np.r_[sim, sim], most)
+    u, v, s = np.r_[u, li], np.r_[v, lj], np.r_[s, ls]
+    return [pa.array(names[u], pa.int64()), pa.array(names[v], pa.int64()), pa.array(s, pa.float64())]
+
+
+def _ordered(nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """Edges of each row of nodes (rep, cell, vec, part) with those around it in ORDERS orders of projection signs."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(BITS, dtype=np.int64)[::-1]
+        for batch in batches:
+            vecs, out = batch.column("vec").to_pylist(), np.zeros((batch.num_rows, ORDERS), np.int64)
+            dims = np.array([len(v) for v in vecs])
+            for d in np.unique(dims).tolist():
+                if d not in planes:
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d // 8, ORDERS * BITS))
+                at = np.flatnonzero(dims == d)
+                signs = (_unit([vecs[i] for i in at]) @ planes[d] > 0).reshape(len(at), ORDERS, BITS)
+                out[at] = signs @ weights
+            for o in range(ORDERS):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "cell", "vec", "part")), pa.array(np.full(batch.num_rows, o)), pa.array(out[:, o])], ["rep", "cell", "vec", "part", "o", "key"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([tail, batch] if tail is not None else [batch]).combine_chunks()
+            ids, cells, orders, part = (t.column(c).to_numpy() for c in ("rep", "cell", "o", "part"))
+            vecs = t.column("vec").to_pylist()
+            i, j, sims = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([])]
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (orders[1:] != orders[:-1])) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                x, n = _unit(vecs[a:b]), b - a
+                for h in range(1, min(AHEAD, n - 1) + 1):
+                    i.append(np.arange(a, b - h))
+                    j.append(np.arange(a + h, b))
+                    sims.append(np.einsum("ij,ij->i", x[: n - h], x[h:]))
+            yield pa.RecordBatch.from_arrays(_edges(ids, part, np.concatenate(i), np.concatenate(j), np.concatenate(sims), threshold, 3), ["u", "v", "sim"])
+            tail = t.slice(max(0, t.num_rows - AHEAD)).to_batches()[0]
+
+    dealt = nodes.select("rep", "cell", "vec", "part").mapInArrow(keys, "rep bigint, cell bigint, vec binary, part bigint, o bigint, key bigint")
+    return dealt.repartitionByRange("cell", "o", "key", "rep").sortWithinPartitions("cell", "o", "key", "rep").mapInArrow(meet, _EDGE)
+
+
+def _around_centres(lists: DataFrame, nodes: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """Edges between the members of a centre's list, the vectors whose lists hold it, and itself."""
+    both = lists.select(F.col("u").alias("centre"), F.col("v").alias("rep")).unionByName(lists.select(F.col("v").alias("centre"), F.col("u").alias("rep"))).unionByName(
+        lists.select(F.col("u").alias("centre"), F.col("u").alias("rep"))).distinct()
+    degree = both.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEET)).cast("int").alias("blocks"))
+    # a centre that many lists hold is cut in groups, other ones each round
+    dealt = dealt_join(both, ["centre"], degree, "rep").select("rep", F.xxhash64("centre", F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col("blocks"))).alias("group"))
+
+    def fn(t: pa.Table) -> list[pa.Array]:
+        x = _unit(t.column("vec").to_pylist())
+        i, j = np.triu_indices(len(x), 1)
+        return _edges(t.column("rep").to_numpy(), t.column("part").to_numpy(), i, j, (x @ x.T)[i, j], threshold, NEIGHBOURS // 2)
+
+    return grouped(dealt.join(nodes.select("rep", "vec", "part"), "rep"), "group", fn, ["u", "v", "sim"], _EDGE)
+
+
+def _refined(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Lists (u, v, sim): of each u the NEIGHBOURS best outside of its component. A place that was a link is in the own component by now and makes room."""
+    part = nodes.select("rep", "part")
+    at = lambda c: part.select(F.col("rep").alias(c), F.col("part").alias(f"_{c}"))
+    each = edges.filter(F.col("sim") < threshold).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    outside = each.join(at("u"), "u").join(at("v"), "v").filter("_u <> _v").drop("_u", "_v")
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+    return outside.withColumn("_place", place).filter(F.col("_place") <= NEIGHBOURS).drop("_place")
 
 
 def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -82,71 +177,132 @@ def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return near
 
 
-def _links_of(pairs: list[tuple[int, int]]) -> list[pa.Array]:
-    return [pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())]
+@dataclass(frozen=True)
+class Audit:
+    """What an audit saw: the vectors asked, those of them that have a link, and those that have one the descent missed. recall is None if none has a link."""
 
+    asked: int
+    linked: int
+    missed: int
 
-def _within(threshold: float):
-    """The connecting links of a whole cell."""
-    def fn(t: pa.Table) -> list[pa.Array]:
-        ids, x = t.column("rep").to_numpy(), _unit(t.column("vec").to_pylist())
-        near = _near(x, x, threshold)
-        np.fill_diagonal(near, False)
-        return _links_of(_forest(ids, near, ids, Union(np.arange(len(ids)))))
+    @property
+    def recall(self) -> float | None:
+        return 1 - self.missed / self.linked if self.linked else None
 
-    return fn
 
-
-def _against(held, threshold: float):
-    """The connecting links of all rows with the queries that held, a broadcast by cell, names; each task keeps what it has connected of them."""
+def _meets_all(held, threshold: float):
+    """Rows against the queries that held, a broadcast by cell. Gives (q, null, false) for a query with a link, (q, null, true) for one with a link to another part, and (a, b, null) for links that connect these parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {c: Union(np.arange(len(names))) for c, (names, _) in held.value.items()}
+        linked, missed, links = set(), set(), []
+        joined = {c: Union(np.unique(part, return_inverse=True)[1].astype(np.int64)) for c, (_, _, part) in held.value.items()}
         for batch in batches:
-            ids, cells, vecs = batch.column("rep").to_numpy(), batch.column("cell").to_numpy(), batch.column("vec").to_pylist()
-            links = []
+            ids, cells, parts = (batch.column(c).to_numpy() for c in ("rep", "cell", "part"))
+            vecs = batch.column("vec").to_pylist()
             for cell in np.unique(cells).tolist():
-                names, y = held.value[cell]
+                if cell not in held.value:
+                    continue
+                names, y, own = held.value[cell]
                 at = np.flatnonzero(cells == cell)
                 for rows in np.array_split(at, range(TILE, len(at), TILE)):
                     x = _unit([vecs[i] for i in rows])
                     for c in range(0, len(names), 16 * TILE):
                         cut = slice(c, c + 16 * TILE)
                         near = _near(x, y[cut], threshold) & (ids[rows][:, None] != names[cut])
-                        part = Union(known[cell].label[cut])
-                        links += _forest(ids[rows], near, names[cut], part)
-            yield pa.RecordBatch.from_arrays(_links_of(links), ["a", "b"])
+                        linked.update(names[cut][near.any(axis=0)].tolist())
+                        new = near & (parts[rows][:, None] != own[cut])
+                        missed.update(names[cut][new.any(axis=0)].tolist())
+                        for i in np.flatnonzero(new.any(axis=1)).tolist():
+                            to = np.flatnonzero(new[i]) + c
+                            links.append((ids[rows[i]], names[to[0]]))
+                            for j in to[1:].tolist():
+                                if joined[cell].label[j] != joined[cell].label[to[0]]:
+                                    joined[cell].join(to[0], j)
+                                    links.append((names[to[0]], names[j]))
+        a = [*linked, *missed, *(x for x, _ in links)]
+        b = [None] * (len(linked) + len(missed)) + [y for _, y in links]
+        what = [False] * len(linked) + [True] * len(missed) + [None] * len(links)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(what, pa.bool_())], ["a", "b", "missed"])
 
     return run
 
 
-def connecting_links(reps: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) at the threshold or above that connect all that such links connect: every pair of a cell is compared."""
-    spark, schema = reps.sparkSession, "a bigint, b bigint"
-    sizes = Saved(reps.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "cells").df
-    small = reps.select("rep", "cell", "vec").join(sizes.filter(F.col("size") <= SMALL).select("cell"), "cell", "left_semi")
-    out = Saved(grouped(small, "cell", _within(threshold), ["a", "b"], schema), "links")
-    scans: list[tuple[list[int], int, int]] = []
-    packed = 0
-    for cell, size in sorted(tuple(r) for r in sizes.filter(F.col("size") > SMALL).collect()):
-        if size > QUERIES:
-            blocks = -(-size // QUERIES)
-            scans = [([cell], k, blocks) for k in range(blocks)] + scans
-        elif scans and scans[-1][2] == 1 and packed + size <= QUERIES:
-            scans[-1][0].append(cell)
-            packed += size
-        else:
-            scans.append(([cell], 0, 1))
-            packed = size
-    for cells, k, blocks in scans:
-        block = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks))
-        rows = reps.select("rep", "cell", "vec").filter(F.col("cell").isin(cells))
-        asked = rows.filter(block == k).toArrow()
-        names, of, vecs = asked.column("rep").to_numpy(), asked.column("cell").to_numpy(), asked.column("vec").to_pylist()
-        held = spark.sparkContext.broadcast({c: (names[at], _unit([vecs[i] for i in at])) for c in np.unique(of).tolist() for at in [np.flatnonzero(of == c)]})
-        # blocks before this one have met all rows
-        rows.filter(block >= k).mapInArrow(_against(held, threshold), schema).write.mode("append").parquet(out.path)
+def audit(nodes: DataFrame, asked: DataFrame, threshold: float) -> tuple[Audit, DataFrame]:
+    """The rows asked, of nodes (rep, cell, vec, part), against all of them: figures, and links (a, b) that connect the parts which the asked ones connect.
+
+    Blocks of about QUERIES asked rows are held by every task while a scan reads the rows of the same cells.
+    """
+    spark, schema = nodes.sparkSession, "a bigint, b bigint, missed boolean"
+    asked = Saved(asked.select("rep", "cell", "vec", "part"), "asked").df
+    n = asked.count()
+    blocks = max(1, -(-n // QUERIES))
+    out = Saved(spark.createDataFrame([], schema), "audit")
+    for k in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks)) == k).toArrow()
+        of, names, part, vecs = rows.column("cell").to_numpy(), rows.column("rep").to_numpy(), rows.column("part").to_numpy(), rows.column("vec").to_pylist()
+        held = spark.sparkContext.broadcast({c: (names[at], _unit([vecs[i] for i in at]), part[at]) for c in np.unique(of).tolist() for at in [np.flatnonzero(of == c)]})
+        nodes.select("rep", "cell", "vec", "part").mapInArrow(_meets_all(held, threshold), schema).write.mode("append").parquet(out.path)
         held.destroy()
-    return spark.read.schema(schema).parquet(out.path)
+    seen = spark.read.schema(schema).parquet(out.path)
+    linked, missed = seen.filter("missed is not null").agg(F.countDistinct("a"), F.countDistinct(F.when(F.col("missed"), F.col("a")))).first()
+    return Audit(n, linked, missed), seen.filter("missed is null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _audited(nodes: DataFrame, lists: DataFrame, threshold: float, seed: int, all_rows: bool) -> tuple[Audit, DataFrame]:
+    """An audit that saw SEEN linked vectors, or took all. Each seed picks other vectors, so that no audit passes by what an earlier one added."""
+    n = nodes.count()
+    best = lists.groupBy("u").agg(F.max("sim").alias("best"))
+    size = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    flagged = nodes.join(best, F.col("rep") == F.col("u"), "left").join(size, "part", "left").withColumn("likely", F.col("_size").isNotNull() | (F.coalesce("best", F.lit(-1.0)) >= threshold - CLOSE))
+    marked = Saved(flagged.select("rep", "likely"), "likely").df
+    likely = marked.filter("likely").count()
+    asked = n if all_rows else math.ceil(AUDIT * math.sqrt(n))
+    while True:
+        share = lambda half, of: min(1.0, half / of) if of else 1.0
+        chance = F.when(F.col("likely"), F.lit(share(asked / 2, likely))).otherwise(F.lit(1.0 if asked >= n else share(asked / 2, n - likely)))
+        picked = marked.filter((F.pmod(F.xxhash64(F.lit(7 + seed), "rep"), F.lit(1 << 30)) < chance * (1 << 30)) | F.lit(asked >= n)).select("rep")
+        found, links = audit(nodes, nodes.join(picked, "rep"), threshold)
+        if found.linked >= SEEN or asked >= n:
+            return found, links
+        asked = min(n, 4 * asked)
+
+
+def descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, list[Audit]]:
+    """(rep, part) of every row of reps (rep, cell, vec), part being the least rep that links connect it with; and the figures of the audits."""
+    bare = reps.select("rep", "cell", "vec")
+    nodes, lists, links = Saved(bare.withColumn("part", F.col("rep")), "nodes"), None, None
+    size = bare.count()
+    audits: list[Audit] = []
+    for r in range(ROUNDS + 1):
+        edges = _ordered(nodes.df, r, threshold)
+        if lists is not None:
+            edges = edges.unionByName(_around_centres(lists.df, nodes.df, r, threshold))
+        edges = Saved(edges, "edges")
+        fresh = edges.df.filter(F.col("sim") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
+        linked = bool(fresh.head(1))
+        if linked:
+            nodes, links = _joined(bare, nodes, links, fresh)
+        after = Saved(_refined(edges.df if lists is None else edges.df.unionByName(lists.df), nodes.df, threshold), "lists")
+        edges.drop()
+        if lists is not None:
+            lists.drop()
+        lists = after
+        if r + 1 < LEAST_ROUNDS or linked and r < ROUNDS:
+            continue
+        found, missing = _audited(nodes.df, lists.df, threshold, r, all_rows=r >= ROUNDS)
+        audits.append(found)
+        if found.missed:
+            nodes, links = _joined(bare, nodes, links, missing)
+        if found.asked >= size or found.recall is not None and found.recall >= TARGET:
+            break
+    return nodes.df.select("rep", "part"), audits
+
+
+def _joined(bare: DataFrame, nodes: Saved, links: DataFrame | None, fresh: DataFrame) -> tuple[Saved, DataFrame]:
+    """Nodes and stars after further links."""
+    stars = Saved(components(fresh if links is None else fresh.unionByName(links)), "stars").df
+    after = Saved(bare.join(stars, F.col("rep") == F.col("node"), "left").select("rep", "cell", "vec", F.coalesce("component", "rep").alias("part")), "nodes")
+    nodes.drop()
+    return after, stars.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _counts(threshold: float):
@@ -167,23 +323,63 @@ def _counts(threshold: float):
     return fn
 
 
+def _in_core(members: DataFrame, threshold: float) -> DataFrame:
+    """members (rep, part, vec, ...) with core: surely linked with all others of the core. The pivot is the mean of PIVOT members or so; any would do."""
+    def pivots(t: pa.Table) -> list[pa.Array]:
+        return [pa.array(t.column("part").to_numpy()[:1]), pa.array([_unit(t.column("vec").to_pylist()).sum(axis=0).tobytes()], pa.binary())]
+
+    some = members.filter((F.col("size") > BLOCK) & (F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("size")) < PIVOT)).select("part", "vec")
+    pivot = grouped(some, "part", pivots, ["part", "pivot"], "part bigint, pivot binary")
+    columns = [*members.columns, "core"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = math.acos(min(1.0, threshold)) / 2 - 1e-6
+        for batch in batches:
+            core = np.zeros(batch.num_rows, bool)
+            for i, (v, p) in enumerate(zip(batch.column("vec").to_pylist(), batch.column("pivot").to_pylist())):
+                x, m = np.frombuffer(v), np.frombuffer(p)
+                norm = math.sqrt(m @ m)
+                core[i] = norm > 0 and math.acos(max(-1.0, min(1.0, x @ m / norm))) <= half
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:-1]), pa.array(core)], columns)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in members.dtypes)
+    large = dealt_join(members.filter(F.col("size") > BLOCK), ["part"], pivot, "rep").mapInArrow(mark, f"{kinds}, core boolean")
+    return members.filter(F.col("size") <= BLOCK).withColumn("core", F.lit(False)).unionByName(large)
+
+
+def link_counts(reps: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n): the vectors, copies counted each, that a rep of reps (rep, copies, vec) is linked with beside its own copies; parts (rep, part) are the components. Only reps of larger components have a row."""
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = dealt_join(parts, ["part"], sizes, "rep").join(reps.select("rep", "copies", "vec"), "rep")
+    marked = Saved(_in_core(members, threshold), "members").df
+    inner = marked.groupBy("part").agg(F.sum(F.when(F.col("core"), F.col("copies"))).alias("in_core"), F.count(F.when(~F.col("core"), 1)).alias("n_out"))
+    known = dealt_join(marked, ["part"], inner, "rep")
+    core = known.filter("core").select("rep", (F.col("in_core") - F.col("copies")).alias("n"))
+    # those outside of the core meet each other, in pairs of blocks, and all of the core
+    n_out, n_core = F.ceil(F.col("n_out") / F.lit(BLOCK)).cast("int"), F.ceil((F.col("size") - F.col("n_out")) / F.lit(BLOCK)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64(F.lit(9), "rep"), n).cast("int")
+    each = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<struct<key:bigint,side:int>>"))
+    meeting = lambda x, y, inside, side: F.struct(F.xxhash64("part", x, y, F.lit(inside)).alias("key"), side.cast("int").alias("side"))
+    own = block(n_out)
+    outer = F.concat(each(n_out, lambda o: meeting(F.least(own, o), F.greatest(own, o), "out", own > o)), each(n_core, lambda c: meeting(own, c, "core", F.lit(0))))
+    pair = F.when(F.col("core"), each(n_out, lambda o: meeting(o, block(n_core), "core", F.lit(1)))).otherwise(outer)
+    met = known.filter("n_out > 0").select("rep", "copies", "vec", F.explode(pair).alias("p")).select("rep", "copies", "vec", "p.key", "p.side")
+    return core.unionByName(grouped(met, "key", _counts(threshold), ["rep", "n"], "rep bigint, n bigint")).groupBy("rep").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
     every = Saved(units(vectors).withColumn("c1", F.xxhash64("vec")).withColumn("c2", F.xxhash64(F.lit(1), "vec")), "units").df
     same = ["cell", "c1", "c2"]
-    reps = Saved(every.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "vector-reps").df
-    groups = Saved(components(connecting_links(reps, threshold)).select(F.col("node").alias("rep"), "component"), "link-groups").df
-    members = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").join(reps.select("rep", "copies", "vec"), "rep")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(9), "rep"), blocks).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(
-        F.xxhash64("component", F.least(own, other), F.greatest(own, other)).alias("key"), (own > other).cast("int").alias("side"))))
-    met = members.select("rep", "copies", "vec", pair.alias("p")).select("rep", "copies", "vec", "p.key", "p.side")
-    counted = grouped(met, "key", _counts(threshold), ["rep", "n"], "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n"))
-    outcome = reps.select(*same, "rep", "copies").join(counted, "rep", "left").join(groups, "rep", "left").select(
-        F.col("cell").alias("_cell"), F.col("c1").alias("_1"), F.col("c2").alias("_2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = every.select("vec_id", *same).join(outcome, (F.col("cell") == F.col("_cell")) & (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
-    per_id = linked.groupBy(F.col("vec_id").alias("_id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    reps = Saved(every.groupBy(*same).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")).withColumn("rep", F.monotonically_increasing_id()), "vector-reps").df
+    parts, _ = descend(reps, threshold)
+    parts = Saved(parts, "parts").df
+    least = parts.join(reps.select("rep", "first"), "rep").groupBy("part").agg(F.min("first").alias("component_id"))
+    named = dealt_join(parts, ["part"], least, "rep").select("rep", "component_id")
+    outcome = reps.select(*same, "rep", "copies").join(named, "rep").join(link_counts(reps, parts, threshold), "rep", "left").select(
+        *same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    # copies of one vector may be a third of all rows
+    per_id = dealt_join(every.select("vec_id", *same), same, outcome, "vec_id").groupBy(F.col("vec_id").alias("_id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(per_id, F.col("vec_id") == F.col("_id"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tessel.llm import embedding_dedup as e
 from tests.llm import brute
@@ -18,6 +19,7 @@ def exact(rows):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(e, "BLOCK", 50)
+    monkeypatch.setattr(e, "PIVOT", 20)
     rng = np.random.default_rng(2)
     rows = [[float(v) for v in x] for x in rng.standard_normal((700, 16))]
     labels = [int(v) for v in rng.integers(0, 3, 700)]
@@ -70,3 +72,44 @@ def test_a_hot_group_hides_no_link(spark):
     x = np.r_[bridged(rng, 100), rng.standard_normal(32) + 0.02 * rng.standard_normal((1500, 32))]
     got = outcome(spark, x)
     assert {got[i][1] for i in range(200)} == {0} and {got[i] for i in range(200, 1700)} == {(1499, 200)}
+
+
+def nodes_of(spark, x):
+    rows = [(i, 1, (np.array(v) / np.linalg.norm(v)).tobytes()) for i, v in enumerate(x.tolist())]
+    return spark.createDataFrame(rows, "rep long, cell long, vec binary").repartition(3)
+
+
+def test_a_void_audit_takes_all(spark):
+    """Where nothing is linked, no sample tells a recall: all vectors are asked."""
+    parts, audits = e.descend(nodes_of(spark, np.random.default_rng(7).standard_normal((400, 32))), 0.93)
+    assert [(a.asked, a.linked, a.missed, a.recall) for a in audits] == [(400, 0, 0, None)]
+    assert parts.filter("rep <> part").count() == 0
+
+
+def test_rounds_that_find_nothing_end_exact(spark, monkeypatch):
+    """A descent that never compares anything fails each audit; the last one takes all vectors."""
+    monkeypatch.setattr(e, "ROUNDS", 4)
+    monkeypatch.setattr(e, "AUDIT", 2)
+    monkeypatch.setattr(e, "SEEN", 5)
+    monkeypatch.setattr(e, "_ordered", lambda nodes, seed, threshold: spark.createDataFrame([], e._EDGE))
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((120, 32))
+    x = np.repeat(centres, 3, axis=0) + 0.02 * rng.standard_normal((360, 32))
+    parts, audits = e.descend(nodes_of(spark, x), 0.93)
+    assert len(audits) > 1 and all(a.missed for a in audits[:-1]) and audits[0].asked < 200 and audits[-1].asked == 360
+    assert {r.rep: r.part for r in parts.collect()} == {i: i - i % 3 for i in range(360)}
+
+
+def test_the_core_needs_no_pairs(spark, monkeypatch):
+    """A tight group is counted without a comparison."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(32) + 0.1 * rng.standard_normal((1500, 32))
+    monkeypatch.setattr(e, "_counts", lambda threshold: lambda t: [t.column("rep"), pa.array([10**6] * t.num_rows)])
+    reps = nodes_of(spark, x).selectExpr("rep", "vec", "1L as copies")
+    got = {r.n for r in e.link_counts(reps, reps.selectExpr("rep", "0L as part"), 0.93).collect()}
+    assert got == {1499}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1, "x", 3), (2, [1.0, 0.1], 1, "y", 4), (3, [0.0, 1.0], 1, None, None)], "vec_id long, embedding array<double>, label int, cell string, part int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in e.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
