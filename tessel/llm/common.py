@@ -90,8 +90,10 @@ def prefix_sums(values: Column) -> Column:
     return prefix_scan(values, lambda a, x: a + x)
 
 
-SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string>>"
-_EDGES = "\"'()[]{}<>,;:!?."
+SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+#: Code points beside a match in which its context is looked for.
+CONTEXT = 200
+EDGES = "\"'()[]{}<>,;:!?."
 
 
 def no_spans() -> Column:
@@ -100,26 +102,30 @@ def no_spans() -> Column:
 
 def bare(word: Column) -> Column:
     """A word without punctuation at its ends."""
-    return F.btrim(word, F.lit(_EDGES))
+    return F.btrim(word, F.lit(EDGES))
 
 
-def regex_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, when: Column | None = None, left: bool = False) -> Column:
-    """All leftmost non-overlapping matches as structs (start, end, value, left), in code points, without Python.
+def regex_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, when: Column | None = None, context: bool = False) -> Column:
+    """All leftmost non-overlapping matches as structs (start, end, value, left, right), in code points, without Python.
 
     Java's split() and find() agree on the matches, so the text between matches and the matches give the positions. pattern must
     not match the empty string. keep: of a match's text, whether it stays. when: a cheap test that a text can hold a match.
-    left: whether to give the bare lower-case word that ends before the match; else it is null.
+    context: whether to give the bare lower-case words beside the match, up to two on the left and one on the right; else they are null.
     """
     size = lambda s: F.char_length(s).cast("long")
 
     def spans(found: Column, between: Column) -> Column:
         previous = lambda i: F.when(i > 0, F.get(found, i - 1))
         steps = F.transform(found, lambda m, i: size(F.get(between, i)) + F.coalesce(size(previous(i)), F.lit(0).cast("long")))
-        before = lambda i: F.right(F.concat(F.coalesce(previous(i), F.lit("")), F.get(between, i)), F.lit(60))
-        word = lambda i: F.lower(bare(F.regexp_extract(before(i), rf"({WORD}){SPACE}$", 1))) if left else F.lit(None).cast("string")
+        before = lambda i: F.right(F.concat(F.coalesce(previous(i), F.lit("")), F.get(between, i)), F.lit(CONTEXT))
+        after = lambda i: F.left(F.concat(F.get(between, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(CONTEXT))
+        words = lambda x: F.lower(F.array_join(F.transform(F.split(x, SPACE), bare), " "))
+        none = F.lit(None).cast("string")
+        left = lambda i: words(F.regexp_extract(before(i), rf"((?:[^\x20\x09-\x0D]++{SPACE}+)?[^\x20\x09-\x0D]++){SPACE}$", 1)) if context else none
+        right = lambda i: words(F.regexp_extract(after(i), rf"^{SPACE}({WORD})", 1)) if context else none
         # the start of match i is the sum of steps 0..i
         return let(steps, lambda st: let(prefix_sums(st), lambda sums: F.transform(found, lambda m, i: let(F.get(sums, i) + F.get(st, i), lambda start: F.struct(
-            start.alias("start"), (start + size(m)).alias("end"), m.alias("value"), word(i).alias("left"))))))
+            start.alias("start"), (start + size(m)).alias("end"), m.alias("value"), left(i).alias("left"), right(i).alias("right"))))))
 
     out = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, no_spans()).otherwise(
         let(F.split(text, pattern, -1), lambda between: spans(found, between))))

@@ -37,26 +37,61 @@ def test_pii(spark, texts):
     assert pii.find(frame(spark, texts).limit(0)).count() == 0
 
 
+def added(spark, texts):
+    return {r.doc_id: [(s.start, s.rank, s.end) for s in sorted(r.added)] for r in pii.find(frame(spark, texts)).collect()}
+
+
 def test_pii_discovers(spark):
-    texts = [f"you can reach us at phone +1 555 010 {1000 + i} any time" for i in range(60)] + ["phone 5550101234 today", "born 5550101234", "about 55501012 things"]
-    got = {r.doc_id: r.added for r in pii.find(frame(spark, texts)).collect()}
-    assert [(s.start, s.end, s.kind) for s in got[60]] == [(6, 16, "phone")]
+    texts = [f"you can reach us at phone +1 555 010 {1000 + i} x{i}y" for i in range(60)] + ["phone 5550101234 today", "born 5550101234", "about 55501012 things", "phone 020 7946 0958, or so"]
+    got = added(spark, texts)
+    assert got[60] == [(6, 3, 16)] and got[63] == [(6, 3, 19)]
     assert not got[61] and not got[62]
 
 
+def test_pii_contexts(spark):
+    """Two words on the left, or one on the right, are patterns where the word before is none."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    texts = [f"{word()} write to {word()}{i}@mail.example.com please" for i in range(40)] + [f"{word()} to 10{i} {word()}" for i in range(40)] + [f"{word()} {word()}@host please", f"write to {word()}@host {word()}", f"{word()} to {word()}@host {word()}"]
+    got = added(spark, texts)
+    assert [len(got[80 + i]) for i in range(3)] == [1, 1, 0]
+
+
 def test_pii_discovered_identifiers_make_patterns(spark):
     """phone has seeds, tel only what phone discovers, fax only what tel discovers and dial what nobody knows."""
     number = lambda k: f"555{k:07d}"
-    texts = [f"phone +1 555 010 {1000 + i} now" for i in range(200)]
-    texts += [f"{word} {number(k)} now" for k in range(20) for word in ("phone", "tel")]
-    texts += [f"{word} {number(k)} now" for k in (100, 101) for word in ("tel", "fax")] + [f"{word} {number(k)} now" for k in range(18) for word in ("fax",)]
-    last = ["fax 5559999999 now", "dial 5559999999 now", *[f"dial {number(k)} now" for k in range(500, 540)]]
-    got = {r.doc_id: r.added for r in pii.find(frame(spark, texts + last)).collect()}
+    texts = [f"phone +1 555 010 {1000 + i}" for i in range(200)]
+    texts += [f"{word} {number(k)}" for k in range(20) for word in ("phone", "tel")]
+    texts += [f"{word} {number(k)}" for k in (100, 101) for word in ("tel", "fax")] + [f"{word} {number(k)}" for k in range(18) for word in ("fax",)]
+    last = ["fax 5559999999", "dial 5559999999", *[f"dial {number(k)}" for k in range(500, 540)]]
+    got = added(spark, texts + last)
     n = len(texts)
-    assert all([s.kind for s in got[i]] == ["phone"] for i in range(200, n + 1))
+    assert all([r for _, r, _ in got[i]] == [3] for i in range(200, n + 1))
     assert not any(got[i] for i in range(n + 1, n + len(last)))
 
 
+def test_pii_added_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = ["call", "phone", "the", "from", "Host:", "card", "mail", "no.", "(ext)"]
+    values = [lambda: f"+1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", lambda: f"555{rng.randrange(60):07d}", lambda: f"10.0.{rng.randrange(9)}.{rng.randrange(300)}", lambda: "fe80::1:%x:2" % rng.randrange(30),
+              lambda: f"u{rng.randrange(50)}@h{rng.randrange(9)}.org", lambda: f"u{rng.randrange(50)}@intern", lambda: rng.choice(["4111111111111111", "4111111111111112", "4111 1111 1111 1112"]), lambda: str(rng.randrange(30)), lambda: f"020 7946 {rng.randrange(30):04d}"]
+    bound = {"call": [0, 1, 8], "phone": [0, 1], "Host:": [2, 3], "mail": [4, 5], "card": [6]}
+    texts = []
+    for _ in range(700):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            w = rng.choice(words)
+            k = rng.choice(bound[w]) if w in bound and rng.random() < 0.95 else rng.randrange(len(values))
+            parts.append(f"{rng.choice(words)} {w} {values[k]()}{rng.choice(['', '.', ',', '  ', chr(10)])}")
+        texts.append(" ".join(parts))
+    texts += [None, "", "9" * 20_000, "phone " * 5000 + "5551234567"]
+    want = brute.discovered(texts, [k.form for k in pii.KINDS])
+    got = added(spark, texts)
+    wrong = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert not wrong, [(texts[i], got[i], want[i]) for i in wrong[:3]]
+    assert sum(map(len, want)) >= 25
+
+
 def test_secrets(spark, texts):
     got = {r.doc_id: r for r in secrets.find(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
