@@ -25,7 +25,7 @@ BROADCAST_IDS = 500_000
 
 @dataclass(frozen=True)
 class Rule:
-    """java: the expression as Java reads it; plain: the same language for the analysis, if java has what Python's parser lacks."""
+    """java: the expression that finds matches; plain: the expression for the analysis, without what looks around it."""
 
     kind: str
     java: str
@@ -47,13 +47,15 @@ BASE = (
     # runs under 32 characters would be dropped: the expression says so itself
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{32,}+", r"[0-9a-f]+"),
 )
+_JWT = r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 #: Published formats of keys that the base does not know.
 ADDED = (
     _same("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     _same("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     _same("google", r"AIza[0-9A-Za-z_-]{35}"),
     _same("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    _same("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # begins a run of its characters, so that a long run is not tried from each of its places
+    Rule("jwt", rf"(?<![A-Za-z0-9_-]){_JWT}", _JWT),
     _same("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
@@ -106,10 +108,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same spans by splitting and extracting in SQL; its engine has neither lookbehind nor possessive repeats, and needs none of them."""
-    parts, keep = [], {"assign": "length(regexp_extract(m, '{p}', 1)) >= 8", "access": "length(m) >= 16"}
+    """The same spans by splitting and extracting in SQL; its engine has neither lookbehind nor possessive repeats. A jwt that continues a run is dropped by what stands before it."""
+    parts, keep = [], {"assign": "length(regexp_extract(m, '{p}', 1)) >= 8", "access": "length(m) >= 16", "jwt": "NOT regexp_matches(b, '[A-Za-z0-9_-]$')"}
     for rank, rule in enumerate(RULES):
-        pattern = {"hex": "[0-9a-f]{32,}"}.get(rule.kind, rule.plain).replace("'", "''")
+        pattern = {"hex": "[0-9a-f]{32,}", "jwt": _JWT.replace("}+", "}")}.get(rule.kind, rule.plain).replace("'", "''")
         parts.append(f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i, b, m, {keep.get(rule.kind, 'true').format(p=pattern) if rule.kind != 'assign' else keep['assign'].replace('{p}', pattern)} AS ok FROM "
                      f"(SELECT doc_id, unnest(f) AS m, unnest(s[1:len(f)]) AS b, generate_subscripts(f, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, string_split_regex(t, '{pattern}') AS s FROM d))")
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({' UNION ALL '.join(parts)}),

@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from tessel.llm import line_dedup, mixing, pii, quality_rules, secrets
+from tessel.llm import line_dedup, mixing, pii, quality_rules, secrets, trigrams
 from tests.llm import brute
 
 TEXTS = [
@@ -102,6 +103,57 @@ def test_secrets(spark, texts):
     assert secrets.find(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_trigram_queries():
+    ask = lambda p: sorted(sorted(c) for c in trigrams.query(p))
+    assert ask("Password") == [["ord", "pas", "swo"]] and ask("ab") == [[]] and ask("[0-9a-f]+") == [[]] and ask("x*abc?") == [[]]
+    assert ask("abc|de[fg]") == [["abc"], ["def"], ["deg"]] and ask("(?:abc){2}") == [["abc"]] and ask(r"a\.b\x20[^x]cde") == [[".b ", "a.b", "cde"]]
+    assert ask("abc.*def") == [["abc", "def"]] and ask("(?i:ABC)[xyz]{2,}(?!q)") == [["abc"]] and ask("[]a-]bc") == [["-bc"], ["]bc"], ["abc"]]
+    for wrong in ("(abc", "abc)", "[abc", "*a", r"\q", "(?P<n>a)"):
+        with pytest.raises(ValueError):
+            trigrams.query(wrong)
+
+
+def test_trigram_queries_lose_no_match():
+    """A text without a query's trigrams holds no match."""
+    rng = random.Random(12)
+    for pattern in [r.plain for r in secrets.RULES] + ["(ab|cd){2}e[fg]?h", "abc+d", "a(?:bcd|efg)*hij", "[ab][cd][ef]gh|xyz{3}"]:
+        q = trigrams.query(pattern)
+        for _ in range(300):
+            m = matching(pattern, rng)
+            assert re.search(pattern, m), (pattern, m)
+            assert any(all(t in m.lower() for t in c) for c in q), (pattern, m)
+
+
+def matching(pattern, rng):
+    """A string that the pattern matches, by its parse."""
+    from re import _constants as c, _parser
+
+    def make(items):
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, x = rng.choice(arg)
+                out += chr(x if kind is c.LITERAL else rng.randint(*x))
+            elif op is c.SUBPATTERN:
+                out += make(arg[3])
+            elif op is c.BRANCH:
+                out += make(rng.choice(arg[1]))
+            elif op in (c.MAX_REPEAT, c.POSSESSIVE_REPEAT):
+                out += "".join(make(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        return out
+
+    return make(_parser.parse(pattern))
+
+
+def test_long_texts_of_secrets(spark):
+    """Runs that a rule begins in many places of, without an end."""
+    texts = ["eyJ" * 300_000 + ".eyJ", "-eyJ" * 200_000 + ".eyJ" + "a" * 20, "ghp_" * 200_000, "xoxb-" * 100_000 + "a" * 9, "AKIA" * 100_000, "token:" * 100_000, "-----BEGIN " * 50_000, "x eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3.c2lnbmF0dXJlMTIz y"]
+    got = {r.doc_id: {s.kind for s in r.found} for r in secrets.find(frame(spark, texts)).collect()}
+    assert got[0] == got[1] == set() and got[7] == {"jwt"}
+
+
 def test_quality(spark, texts):
     rng = random.Random(4)
     more = texts + [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) + "\n" * rng.randrange(4) for _ in range(100)]
