@@ -11,25 +11,35 @@ from pyspark.sql import functions as F
 from tessel.llm.common import Saved, dealt_join
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: Links of a node that one task may have; where a node has more, joins deal them.
+HOT = 50_000
+
+
+def _least(links: DataFrame, hot: bool) -> DataFrame:
+    """links (a, b) with m, the least of each a, its b's included."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    return dealt_join(links, ["a"], least, "b") if hot else links.join(least, "a")
+
+
+def _large(edges: DataFrame, hot: bool) -> DataFrame:
     """Every neighbour above a node is linked to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return dealt_join(both.filter("b > a"), ["a"], least, "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _least(both, hot).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, hot: bool) -> DataFrame:
     """Every neighbour below a node, and the node, is linked to the least of them. Edges run from the larger to the smaller node."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = dealt_join(down, ["a"], least, "b").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    met = _least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), hot)
+    ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))
+    return met.select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether every node has one link to a smaller one, or none and is such a one: then links run from each node to its component's least."""
+def _shape(edges: DataFrame) -> tuple[bool, bool]:
+    """Whether the links are stars, each node being linked to one smaller node or to larger ones only; and whether a node has more than HOT."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.max("down").alias("downs")).filter("ups + downs > 1").head(1)
+    count = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"))
+    mixed, most = count.agg(F.count(F.when((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("downs") > 0), 1)), F.max(F.col("ups") + F.col("downs"))).first()
+    return not mixed, (most or 0) > HOT
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -38,9 +48,36 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     Links of a node to itself and null ends count for nothing. Each round shrinks the links to stars around smaller nodes, until nothing but stars is left.
     """
     now = Saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while not _stars(now.df):
-        after = Saved(_small(_large(now.df)), name)
+    while True:
+        done, hot = _shape(now.df)
+        if done:
+            break
+        after = Saved(_small(_large(now.df, hot), hot), name)
         now.drop()
         now = after
     ends = now.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
+
+
+class Stars:
+    """Components that grow: (node, component) in df, after the links added so far."""
+
+    def __init__(self, links: DataFrame, name: str = "stars"):
+        self.name = name
+        self.saved = Saved(components(links, name), name)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.saved.df
+
+    def add(self, links: DataFrame) -> bool:
+        """Whether links (a, b) join any components."""
+        fresh = Saved(links, f"{self.name}-fresh")
+        some = bool(fresh.df.head(1))
+        if some:
+            held = self.df.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            after = Saved(components(held.unionByName(fresh.df), self.name), self.name)
+            self.saved.drop()
+            self.saved = after
+        fresh.drop()
+        return some

@@ -6,7 +6,7 @@ A representative's sketch is its minimum under each of COORDINATES hash function
 Each of TREES independent trees sends a representative down the path of its sketch at one chosen coordinate. Nodes of up to
 NODE representatives are compared exhaustively, by sketch. A larger one is cut in blocks of NODE, each of which is compared within
 itself and with the node's LEADERS, so that a cluster of near copies is connected in rows linear in its size. What is then connected
-needs no further comparison; a node stays open while it holds several parts. If up to NODE rows are outside of its largest part,
+needs no further comparison; a node stays open while it holds several parts. If up to REST rows are outside of its largest part,
 they meet all its rows, in blocks; otherwise it branches on two more coordinates that its name chooses. Branching goes on as deep as
 the logarithm of the largest node asks for; in what is still open there, all rows outside of the largest part meet all rows, in blocks, so that no
 depth drops a pair.
@@ -27,6 +27,7 @@ can stand for; an empty table gives an empty one; other columns of the input are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, dealt_join, table
-from tessel.llm.graph import components
+from tessel.llm.graph import Stars, components
 from tessel.llm.groups import Union, grouped
 
 COORDINATES, TREES = 64, 8
-NODE = 256
+NODE, REST = 256, 1024
 BLOCK, LEADERS = 512, 8
 #: A sketch of 64 agrees on fewer than 36 places for one in 10**6 pairs at a similarity of 0.8.
 MARGIN = 0.24
@@ -85,18 +86,18 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """COORDINATES minima, as 32-bit numbers."""
+    """COORDINATES minima."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[k : k + 4096, None] * _A + _B).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, body, n_shingles, c1, c2, sketch): body is a hash of the text, c1 and c2 are 128 bits of the whole set, null for an empty one."""
+    """(doc_id, body, n_shingles, c1, c2, sketch, roots): body is a hash of the text, c1 and c2 are 128 bits of the whole set, null for an empty one; sketch holds 16 bits of each minimum, roots all of those that trees start from."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, c1, c2, sketches = [], [], [], []
+            sizes, c1, c2, sketches, roots = [], [], [], [], []
             for x in batch.column("text"):
                 s = shingle_set(x.as_py(), k)
                 sizes.append(len(s))
@@ -104,21 +105,24 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     c1.append(int.from_bytes(d[:8], "little", signed=True))
                     c2.append(int.from_bytes(d[8:], "little", signed=True))
-                    sketches.append(sketch(s).tobytes())
+                    least = sketch(s)
+                    sketches.append((least >> np.uint64(48)).astype(np.uint16).tobytes())
+                    roots.append(least[:: COORDINATES // TREES].astype(np.int64))
                 else:
                     c1.append(None)
                     c2.append(None)
                     sketches.append(None)
+                    roots.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("body"), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketches, pa.binary())],
-                ["doc_id", "body", "n_shingles", "c1", "c2", "sketch"])
+                [batch.column("doc_id"), batch.column("body"), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketches, pa.binary()), pa.array(roots, pa.list_(pa.int64()))],
+                ["doc_id", "body", "n_shingles", "c1", "c2", "sketch", "roots"])
 
     named = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", f"{_BODY} as body")
-    return named.mapInArrow(run, "doc_id bigint, body bigint, n_shingles bigint, c1 bigint, c2 bigint, sketch binary")
+    return named.mapInArrow(run, "doc_id bigint, body bigint, n_shingles bigint, c1 bigint, c2 bigint, sketch binary, roots array<bigint>")
 
 
 def _sketches(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(t.num_rows, COORDINATES)
+    return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, COORDINATES)
 
 
 def _near(i: int, rest: np.ndarray, sk: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -128,6 +132,33 @@ def _near(i: int, rest: np.ndarray, sk: np.ndarray, sizes: np.ndarray, percent:
     return rest[(sk[rest] == sk[i]).sum(axis=1) >= (percent / 100 - MARGIN) * COORDINATES]
 
 
+class _Sets:
+    """The shingle sets of a group's rows, built when asked for."""
+
+    def __init__(self, texts: pa.Array, k: int):
+        self.texts, self.k, self.held = texts, k, {}
+        self.rows = None
+
+    def of(self, i: int) -> np.ndarray:
+        if i not in self.held:
+            self.held[i] = shingle_set(self.texts[i].as_py(), self.k)
+        return self.held[i]
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles row i has in common with each of others; many at once by the rows of each shingle."""
+        if len(others) < 8:
+            return np.array([len(np.intersect1d(self.of(i), self.of(j), assume_unique=True)) for j in others.tolist()], np.int64)
+        if self.rows is None:
+            sets = [self.of(j) for j in range(len(self.texts))]
+            _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            self.rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[np.argsort(codes, kind="stable")]
+            self.start = np.r_[0, np.cumsum(np.bincount(codes))]
+            self.codes = np.split(codes, np.cumsum([len(x) for x in sets])[:-1])
+        first, n = self.start[self.codes[i]], np.diff(self.start)[self.codes[i]]
+        at = np.arange(n.sum()) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n)
+        return np.bincount(self.rows[at], minlength=len(self.texts))[others]
+
+
 def _connect(percent: int, k: int | None = None):
     """Links that connect a group's rows, by sketches, or with k on full sets. Rows of one part are connected already; only rows that ask meet the others."""
     def fn(t: pa.Table) -> list[pa.Array]:
@@ -135,27 +166,20 @@ def _connect(percent: int, k: int | None = None):
         _, start = np.unique(t.column("part").to_numpy(), return_inverse=True)
         known = Union(start.astype(np.int64))
         asks = t.column("asks").to_numpy(zero_copy_only=False)
-        sets: dict[int, np.ndarray] = {}
+        sets = _Sets(t.column("text").combine_chunks(), k) if k is not None else None
         links = []
-
-        def of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(t.column("text")[i].as_py(), k)
-            return sets[i]
-
         waiting = np.ones(len(ids), bool)
         for i in np.flatnonzero(asks).tolist():
             waiting[i] = False
             rest = np.flatnonzero((known.label != known.label[i]) & waiting)
-            for j in _near(i, rest, sk, sizes, percent).tolist() if len(rest) else ():
-                if known.label[i] == known.label[j]:
-                    continue
-                if k is not None:
-                    both = len(np.intersect1d(of(i), of(j), assume_unique=True))
-                    if 100 * both < percent * (len(of(i)) + len(of(j)) - both):
-                        continue
-                known.join(i, j)
-                links.append((ids[i], ids[j]))
+            near = _near(i, rest, sk, sizes, percent) if len(rest) else rest
+            if sets and len(near):
+                both = sets.shared(i, near)
+                near = near[100 * both >= percent * (sizes[i] + sizes[near] - both)]
+            for j in near.tolist():
+                if known.label[i] != known.label[j]:
+                    known.join(i, j)
+                    links.append((ids[i], ids[j]))
         return _ends(links)
 
     return fn
@@ -166,7 +190,7 @@ def _ends(links: list[tuple[int, int]]) -> list[pa.Array]:
 
 
 def _at(coordinate: Column) -> Column:
-    return F.substring("sketch", 4 * coordinate + 1, F.lit(4))
+    return F.substring("sketch", 2 * coordinate + 1, F.lit(2))
 
 
 _LINK = "a bigint, b bigint"
@@ -196,64 +220,71 @@ def _against_all(rows: DataFrame, group: str, block: int, seed: int) -> DataFram
     return roles.withColumn("key", F.explode(keys))
 
 
-def _parted(rows: DataFrame, group: str, links: DataFrame) -> DataFrame:
-    """rows (rep, group, ...) of the groups that links leave in several parts, with part, largest, n_out (the rows outside of the largest part) and size."""
-    part = components(links, "parts").withColumnRenamed("node", "_n")
-    parted = Saved(rows.join(part, F.col("rep") == F.col("_n"), "left").withColumn("part", F.coalesce("component", "rep")).drop("_n", "component"), "parted").df
+def _open(parted: DataFrame, group: str) -> DataFrame:
+    """parted (rep, group, part, ...) of the groups that hold several parts, with largest, n_out (the rows outside of the largest part) and size."""
     sizes = parted.groupBy(group, "part").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy(group).agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.sum("m").alias("size"), F.max("m").alias("top")).filter("top < size")
     return Saved(dealt_join(parted, [group], most.select(group, "largest", "size", (F.col("size") - F.col("top")).alias("n_out")), "rep"), "open").df
 
 
+def _parted(rows: DataFrame, stars: Stars) -> DataFrame:
+    return Saved(rows.join(stars.df, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component"), "parted").df
+
+
 def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(rep, group) of the representatives (rep, n, sketch) that links connect, of those that the trees bring together and sketches hold for similar."""
+    """(rep, group) of the representatives (rep, n, sketch, roots) that links connect, of those that the trees bring together and sketches hold for similar.
+
+    The first level's links part the large nodes; those of all later levels are few and are added at the end.
+    """
     payload = reps.select("rep", "n", "sketch")
-    roots = F.array(*[F.xxhash64(F.lit(t), _at(F.lit(t * (COORDINATES // TREES)))) for t in range(TREES)])
-    rows = reps.select("rep", F.explode(roots).alias("node"), F.col("rep").alias("part"))
-    links = reps.sparkSession.createDataFrame([], _LINK)
-    deepest, depth = 0, 0
+    linked = lambda met: grouped(met.select("rep", "part", "key", "asks").join(payload, "rep"), "key", _connect(percent), ["a", "b"], _LINK)
+    rows = reps.select("rep", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("tree"), F.col("rep").alias("part"))
+    stars, more, deepest, depth = None, [], 0, 0
     while True:
         here = Saved(rows, f"level{depth}")
-        count = here.df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").drop("_p", "_q")
-        sized = Saved(dealt_join(here.df, ["node"], count, "rep"), f"sized{depth}")
-        met = _in_blocks(sized.df.withColumn("n_led", F.col("size")), "node", NODE, depth, F.lit(True)).select("rep", "part", "key", "asks").join(payload, "rep")
-        links = Saved(links.unionByName(grouped(met, "key", _connect(percent), ["a", "b"], _LINK)).distinct(), "candidates").df
+        count = here.df.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").drop("_p", "_q")
+        sized = Saved(dealt_join(here.df, ["tree"], count, "rep"), f"sized{depth}").df
         here.drop()
-        large = sized.df.filter(F.col("size") > NODE)
-        most = large.agg(F.max("size")).first()[0]
-        if most is None:
+        found = linked(_in_blocks(sized.withColumn("n_led", F.col("size")), "tree", NODE, depth, F.lit(True)))
+        if stars is None:
+            stars = Stars(found)
+        else:
+            more.append(found)
+        large = sized.filter(F.col("size") > NODE).drop("size")
+        most = sized.agg(F.max("size")).first()[0] or 0
+        if most <= NODE:
             break
         deepest = deepest or 2 + int(np.ceil(np.log2(most / NODE)))
-        still = _parted(large.select("rep", "node"), "node", links)
-        ends = F.lit(depth >= deepest) | (F.col("n_out") <= NODE)
-        last = _against_all(still.filter(ends), "node", NODE, depth).select("rep", "part", "key", "asks").join(payload, "rep")
-        links = Saved(links.unionByName(grouped(last, "key", _connect(percent), ["a", "b"], _LINK)).distinct(), "candidates").df
-        sized.drop()
+        still = _open(_parted(large.drop("part"), stars) if depth == 0 else large, "tree")
+        ends = F.lit(depth >= deepest) | (F.col("n_out") <= REST)
+        more.append(linked(_against_all(still.filter(ends), "tree", NODE, depth)))
         if not (wide := still.filter(~ends)).select("rep").head(1):
             break
-        branch = F.array(*[F.pmod(F.xxhash64(F.lit(depth), F.lit(s), "node"), F.lit(COORDINATES)).cast("int") for s in range(2)])
-        rows = wide.select("rep", "node", "part", F.explode(branch).alias("c")).join(reps.select("rep", "sketch"), "rep").select("rep", F.xxhash64("node", "c", _at(F.col("c"))).alias("node"), "part")
+        branch = F.array(*[F.pmod(F.xxhash64(F.lit(depth), F.lit(s), "tree"), F.lit(COORDINATES)).cast("int") for s in range(2)])
+        rows = wide.select("rep", "tree", "part", F.explode(branch).alias("c")).join(reps.select("rep", "sketch"), "rep").select("rep", F.xxhash64("tree", "c", _at(F.col("c"))).alias("tree"), "part")
         depth += 1
-    return Saved(components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "group"), "groups").df
+    if more:
+        stars.add(reduce(DataFrame.unionByName, more))
+    return stars.df.select(F.col("node").alias("rep"), F.col("component").alias("group"))
 
 
 def representatives(every: DataFrame) -> DataFrame:
-    """(rep, doc_id, body, c1, c2, n, sketch): a row for each set of every, with a number, rep, of its own; doc_id and body name its row with the least id."""
+    """(rep, doc_id, body, c1, c2, n, sketch, roots): a row for each set of every, with a number, rep, of its own; doc_id and body name its row with the least id."""
     least = every.filter("c1 is not null and doc_id is not null").groupBy("c1", "c2").agg(
-        F.min(F.struct("doc_id", "body")).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    return Saved(least.select(F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.body", "c1", "c2", "n", "sketch"), "reps").df
+        F.min(F.struct("doc_id", "body")).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
+    return Saved(least.select(F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.body", "c1", "c2", "n", "sketch", "roots"), "reps").df
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, body, n_shingles, component_id, class_body) of every row; component_id and class_body name the row of the class with the least id."""
     every = Saved(features(docs, k), "features").df
     reps = representatives(every)
-    found = components(_confirmed(docs, reps, candidate_groups(reps, percent), k, percent)).withColumnRenamed("node", "_rep")
+    found = _confirmed(docs, reps, candidate_groups(reps, percent), k, percent).withColumnRenamed("node", "_rep")
     own = Saved(reps.select("rep", "doc_id", "body", "c1", "c2").join(found, F.col("rep") == F.col("_rep"), "left").withColumn("class", F.coalesce("component", "rep")).drop("_rep", "component"), "classes").df
     heads = own.groupBy("class").agg(F.min(F.struct("doc_id", "body")).alias("head"))
     named = dealt_join(own.select("rep", "c1", "c2", "class"), ["class"], heads, "rep").select("c1", "c2", "head")
     # copies of one text may be a third of all rows; rows without words or id are of no class
-    sets = dealt_join(every.filter("c1 is not null and doc_id is not null").drop("sketch"), ["c1", "c2"], named, "doc_id").select("doc_id", "body", "n_shingles", F.col("head.doc_id").alias("component_id"), F.col("head.body").alias("class_body"))
+    sets = dealt_join(every.filter("c1 is not null and doc_id is not null").drop("sketch", "roots"), ["c1", "c2"], named, "doc_id").select("doc_id", "body", "n_shingles", F.col("head.doc_id").alias("component_id"), F.col("head.body").alias("class_body"))
     rest = every.filter("c1 is null or doc_id is null").select("doc_id", "body", "n_shingles", F.col("doc_id").alias("component_id"), F.col("body").alias("class_body"))
     return sets.unionByName(rest)
 
@@ -264,7 +295,7 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between candidates of a group that connect what full sets connect."""
+    """(node, component) of the candidates that full sets connect within their groups."""
     columns = ["rep", "n", "sketch", "text", "part", "key", "asks"]
     linked = lambda rows: grouped(rows.select(*columns), "key", _connect(percent, k), ["a", "b"], _LINK)
     few = groups.count() <= BROADCAST_IDS
@@ -275,23 +306,22 @@ def _confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, k: int, perc
         F.broadcast(asked) if few else asked.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("body") == F.col("_body")), "left_semi").groupBy("doc_id", "body").agg(F.first("text").alias("text"))
     members = Saved(wanted.join(bodies, ["doc_id", "body"]).drop("doc_id", "body"), "members").df
     first = _in_blocks(members.withColumn("part", F.col("rep")).withColumn("n_led", F.col("size")), "group", BLOCK, 0, F.lit(True))
-    links = Saved(linked(first), "links").df
+    stars = Stars(linked(first), "classes")
     large = members.filter(F.col("size") > BLOCK).drop("size")
     left = None
     for seed in range(1, 1 << 16):
         if not large.select("rep").head(1):
             break
-        still = _parted(large, "group", links)
+        still = _open(_parted(large, stars), "group")
         before, left = left, still.filter("part <> largest").count()
-        if not left:
-            break
         # leaders of those outside go on while they connect more; rounds are linear, what follows is linear in those left outside and in the group
-        if (before is None or 4 * left < 3 * before) and still.filter(F.col("n_out") > BLOCK).select("rep").head(1):
-            more = _in_blocks(still.withColumn("n_led", F.col("n_out")), "group", BLOCK, seed, F.col("part") != F.col("largest"))
-            links = Saved(links.unionByName(linked(more)), "links").df
+        if (before is None or 4 * left < 3 * before) and still.filter(F.col("n_out") > REST).select("rep").head(1):
+            stars.add(linked(_in_blocks(still.withColumn("n_led", F.col("n_out")), "group", BLOCK, seed, F.col("part") != F.col("largest"))))
             continue
-        return links.unionByName(linked(_against_all(still, "group", BLOCK, seed)))
-    return links
+        if left:
+            stars.add(linked(_against_all(still, "group", BLOCK, seed)))
+        break
+    return stars.df
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -41,6 +41,7 @@ def corpus(seed, docs, groups):
 @pytest.mark.parametrize("k", [2, 5])
 def test_classes_equal_brute_force(spark, k, monkeypatch):
     monkeypatch.setattr(near_dedup, "NODE", 16)
+    monkeypatch.setattr(near_dedup, "REST", 24)
     monkeypatch.setattr(near_dedup, "BLOCK", 32)
     texts = corpus(k, 300, [(2, 60, 4)] * 20 + [(6, 100, 12), (40, 80, 6), (150, 60, 4), (90, 90, 12)])
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_shingles int").repartition(3)
