@@ -49,7 +49,9 @@ def logsumexp(z: Column) -> Column:
 
 
 def softmax(z: Column) -> Column:
-    return let(F.transform(z, lambda v: F.exp(v - F.array_max(z))), lambda e: F.transform(e, lambda v: v / total(e)))
+    # the largest entry and the sum are bound, not evaluated again for each entry
+    powers = let(z, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def argmax(z: Column) -> Column:

@@ -67,7 +67,7 @@ def rbf_range(column: Column, bounds: tuple[float, float], bits: int, h: float |
     alpha = -0.5 / (h * h)
     exponents = F.transform(literal(linspace(bounds[0], bounds[1], bits)), lambda m: alpha * (column - m) * (column - m))
     weights = let(exponents, lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top))))
-    return let(weights, lambda w: F.transform(w, lambda v: v / total(w)))
+    return let(weights, lambda w: let(total(w), lambda s: F.transform(w, lambda v: v / s)))
 
 
 def category_bits(column: Column, categories: Sequence[str]) -> Column:

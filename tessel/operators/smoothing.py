@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import let, total
@@ -20,7 +20,12 @@ def smooth(signals: DataFrame, n_to: int | None = None, duration: float = 10.0,
     n = F.size("_ys")
     to = F.lit(n_to) if n_to else n
     place = lambda i, size: F.when(size > 1, F.lit(float(duration)) * i / (size - 1)).otherwise(0.0)
-    grid = cut.withColumn("_x", F.transform(F.sequence(F.lit(0), n - 1), lambda i: place(i, n))).withColumn("t", F.explode(F.sequence(F.lit(0), to - 1)))
-    at = place(F.col("t"), to)
-    weights = F.transform("_x", lambda x: F.exp(-0.5 * ((x - at) / h) * ((x - at) / h)))
-    return grid.select("signal_id", "t", let(weights, lambda w: total(F.zip_with(w, F.col("_ys"), lambda a, b: a * b)) / total(w)).alias("y"))
+    placed = cut.withColumn("_x", F.transform(F.sequence(F.lit(0), n - 1), lambda i: place(i, n)))
+
+    def smoothed(at: Column) -> Column:
+        weights = F.transform("_x", lambda x: F.exp(-0.5 * ((x - at) / h) * ((x - at) / h)))
+        return let(weights, lambda w: total(F.zip_with(w, F.col("_ys"), lambda a, b: a * b)) / total(w))
+
+    # all grid points within the signal's row: only the outcome is exploded, so the signal is not copied
+    values = F.transform(F.sequence(F.lit(0), to - 1), lambda t: let(place(t, to), smoothed))
+    return placed.select("signal_id", F.posexplode(values).alias("t", "y"))

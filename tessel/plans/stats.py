@@ -18,14 +18,17 @@ QUERY_BLOCK = 50_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A column of arrays of one length as a matrix of doubles, a row each."""
+    """A column of arrays of one length as a matrix of doubles, a row each. Null vectors and vectors of different lengths raise; null elements become NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if column.null_count:
+        raise ValueError("a null vector")
+    sizes = np.diff(column.offsets.to_numpy()) if n else np.zeros(0, np.int64)
+    if n and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of different lengths, {sizes.min()} to {sizes.max()}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
-    if n and len(flat) % n:
-        raise ValueError("vectors of different lengths")
-    return flat.reshape(n, -1) if n else np.zeros((0, 0))
+    return flat.reshape(n, sizes[0]) if n else np.zeros((0, 0))
 
 
 def fold(data: DataFrame, partial: Callable[[dict[str, pa.Array]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:

@@ -3,11 +3,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import activations, vectors
 from tessel.operators import cluster, density, features, gaussian, hmm, linear, mixture, neighbours, neural, smoothing
+from tessel.plans import stats
 
 RNG = np.random.default_rng(0)
 
@@ -237,3 +239,15 @@ def test_explore_lists_every_value(spark):
     data = spark.range(100_001).selectExpr("concat('v', lpad(id, 6, '0')) AS c")
     (meta,) = features.explore(data)
     assert len(meta.values) == meta.num_intervals == 100_001 and meta.values[-1] == "v100000"
+
+
+@pytest.mark.parametrize("rows", [[[1.0, 2.0, 3.0, 4.0], None], [[1.0], [2.0, 3.0, 4.0]], [None, None], [[], [1.0]]])
+def test_matrix_refuses_null_and_uneven_vectors(rows):
+    with pytest.raises(ValueError):
+        stats.matrix(pa.array(rows, pa.list_(pa.float64())))
+
+
+def test_matrix_of_slices_and_chunks():
+    whole = pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0]], pa.list_(pa.float64()))
+    assert stats.matrix(whole.slice(1)).tolist()[1] == [5.0, 6.0] and np.isnan(stats.matrix(whole)[1, 1])
+    assert stats.matrix(pa.chunked_array([whole, whole.slice(2)])).shape == (4, 2) and stats.matrix(whole.slice(3)).shape == (0, 0)
