@@ -5,7 +5,7 @@ A component ends as a star around its least node; the joins deal that node's lin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, dealt_join
@@ -17,13 +17,14 @@ HOT = 50_000
 
 def _least(links: DataFrame, hot: bool) -> DataFrame:
     """links (a, b) with m, the least of each a, its b's included."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    return dealt_join(links, ["a"], least, "b") if hot else links.join(least, "a")
+    if not hot:
+        return links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return dealt_join(links, ["a"], links.groupBy("a").agg(F.min("b").alias("m")), "b")
 
 
 def _large(edges: DataFrame, hot: bool) -> DataFrame:
     """Every neighbour above a node is linked to the least node around it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     return _least(both, hot).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
@@ -36,7 +37,8 @@ def _small(edges: DataFrame, hot: bool) -> DataFrame:
 
 def _shape(edges: DataFrame) -> tuple[bool, bool]:
     """Whether the links are stars, each node being linked to one smaller node or to larger ones only; and whether a node has more than HOT."""
-    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    end = lambda node, up: F.struct(F.col(node).alias("x"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = edges.select(F.inline(F.array(end("a", 1), end("b", 0))))
     count = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"))
     mixed, most = count.agg(F.count(F.when((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("downs") > 0), 1)), F.max(F.col("ups") + F.col("downs"))).first()
     return not mixed, (most or 0) > HOT

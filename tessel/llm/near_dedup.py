@@ -234,10 +234,11 @@ def _parted(rows: DataFrame, stars: Stars) -> DataFrame:
 def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     """(rep, group) of the representatives (rep, n, sketch, roots) that links connect, of those that the trees bring together and sketches hold for similar.
 
-    The first level's links part the large nodes; those of all later levels are few and are added at the end.
+    The first level's links part the large nodes; what meets at all later levels is compared in one pass at the end, as keys differ by level.
     """
     payload = reps.select("rep", "n", "sketch")
-    linked = lambda met: grouped(met.select("rep", "part", "key", "asks").join(payload, "rep"), "key", _connect(percent), ["a", "b"], _LINK)
+    met = lambda dealt: dealt.select("rep", "part", "key", "asks")
+    linked = lambda rows: grouped(rows.join(payload, "rep"), "key", _connect(percent), ["a", "b"], _LINK)
     rows = reps.select("rep", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("tree"), F.col("rep").alias("part"))
     stars, more, deepest, depth = None, [], 0, 0
     while True:
@@ -245,11 +246,11 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
         count = here.df.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").drop("_p", "_q")
         sized = Saved(dealt_join(here.df, ["tree"], count, "rep"), f"sized{depth}").df
         here.drop()
-        found = linked(_in_blocks(sized.withColumn("n_led", F.col("size")), "tree", NODE, depth, F.lit(True)))
+        blocks = met(_in_blocks(sized.withColumn("n_led", F.col("size")), "tree", NODE, depth, F.lit(True)))
         if stars is None:
-            stars = Stars(found)
+            stars = Stars(linked(blocks))
         else:
-            more.append(found)
+            more.append(blocks)
         large = sized.filter(F.col("size") > NODE).drop("size")
         most = sized.agg(F.max("size")).first()[0] or 0
         if most <= NODE:
@@ -257,14 +258,14 @@ def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
         deepest = deepest or 2 + int(np.ceil(np.log2(most / NODE)))
         still = _open(_parted(large.drop("part"), stars) if depth == 0 else large, "tree")
         ends = F.lit(depth >= deepest) | (F.col("n_out") <= REST)
-        more.append(linked(_against_all(still.filter(ends), "tree", NODE, depth)))
+        more.append(met(_against_all(still.filter(ends), "tree", NODE, depth)))
         if not (wide := still.filter(~ends)).select("rep").head(1):
             break
         branch = F.array(*[F.pmod(F.xxhash64(F.lit(depth), F.lit(s), "tree"), F.lit(COORDINATES)).cast("int") for s in range(2)])
         rows = wide.select("rep", "tree", "part", F.explode(branch).alias("c")).join(reps.select("rep", "sketch"), "rep").select("rep", F.xxhash64("tree", "c", _at(F.col("c"))).alias("tree"), "part")
         depth += 1
     if more:
-        stars.add(reduce(DataFrame.unionByName, more))
+        stars.add(linked(reduce(DataFrame.unionByName, more)))
     return stars.df.select(F.col("node").alias("rep"), F.col("component").alias("group"))
 
 
