@@ -135,8 +135,8 @@ def gmm_growth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gmm_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Class mixtures on the first dimensions of the embeddings: confusion counts."""
-    data = table(spark, sf, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("features"))
+    """Class mixtures on the embeddings: confusion counts."""
+    data = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("features"))
     model = mixture.fit_classifier(data, 2, max_iter=5)
     return model.predict(data.select("label", "features")).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
@@ -224,17 +224,17 @@ def hmm_baum_welch_continuous(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fixed_network() -> neural.Network:
-    w = lambda o, i, s: np.array([[math.sin(s + 7 * a + 3 * b) / 4 for b in range(i)] for a in range(o)])
-    return neural.Network((neural.Layer("tanh", w(3, 4, 1), np.array([0.1, 0.2, 0.3]), np.zeros(4)), neural.Layer("softmax", w(2, 3, 2), np.array([0.05, -0.05]), np.zeros(3))))
+    w = lambda o, i, s, scale: np.array([[math.sin(s + 7 * a + 3 * b) * scale for b in range(i)] for a in range(o)])
+    return neural.Network((neural.Layer("tanh", w(3, 64, 1, 2), np.array([0.1, 0.2, 0.3]), np.zeros(64)), neural.Layer("softmax", w(2, 3, 2, 0.25), np.array([0.05, -0.05]), np.zeros(3))))
 
 
 def mlp_forward(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    x = F.col("embedding").cast("array<double>")
     return entries(table(spark, sf, "embeddings").select("vec_id", _fixed_network().output_column(x).alias("y")), "vec_id", F.col("y"))
 
 
 def mlp_predict(spark: SparkSession, sf: str) -> DataFrame:
-    data = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("features"))
+    data = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
     return neural.predict(_fixed_network(), data).select("vec_id", "predicted")
 
 
@@ -394,7 +394,7 @@ UNION ALL SELECT l.seq_id, l.t - 1, CASE WHEN w.state = 0 THEN p0 ELSE p1 END FR
 UNION ALL SELECT b.seq_id, b.t - 1, {_ADD(f'{_A[0][0]} + b0 + h0', f'{_A[0][1]} + b1 + h1')}, {_ADD(f'{_A[1][0]} + b0 + h0', f'{_A[1][1]} + b1 + h1')} FROM g JOIN b ON b.seq_id = g.seq_id AND b.t = g.t WHERE b.t > 0)
 SELECT g.seq_id, CAST(g.t AS INTEGER) AS t, round(1 / (1 + exp((a1 + h1) - (a0 + h0))), 6) AS g0 FROM g JOIN l ON l.seq_id = g.seq_id AND l.t = g.t""",
     "mlp_forward": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-h AS (SELECT vec_id, list_transform([0, 1, 2], lambda a: 1.7159 * tanh(2.0::DOUBLE / 3 * (list_sum(list_transform([0, 1, 2, 3], lambda b: sin(1 + 7 * a + 3 * b) / 4 * x[b + 1])) + 0.1 * (a + 1)))) AS h FROM e),
+h AS (SELECT vec_id, list_transform([0, 1, 2], lambda a: 1.7159 * tanh(2.0::DOUBLE / 3 * (list_sum(list_transform(range(64), lambda b: sin(1 + 7 * a + 3 * b) * 2 * x[b + 1])) + 0.1 * (a + 1)))) AS h FROM e),
 z AS (SELECT vec_id, list_transform([0, 1], lambda a: list_sum(list_transform([0, 1, 2], lambda b: sin(2 + 7 * a + 3 * b) / 4 * h[b + 1])) + 0.05 - 0.1 * a) AS z FROM h)
 SELECT vec_id, 0 AS i, round(1 / (1 + exp(z[2] - z[1])), 6) AS w FROM z UNION ALL SELECT vec_id, 1, round(1 / (1 + exp(z[1] - z[2])), 6) FROM z""",
 }
