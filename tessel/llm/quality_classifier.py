@@ -6,7 +6,8 @@ beginning. The difference of the two sizes for each byte of the text, centred an
 dictionary, is the score.
 
 The fit reads a bounded sample: at most per_class texts of each label, those whose hashed ids come first. Half of them fill the
-dictionaries, with PIECES blocks each from all over the text; the others calibrate, each with its whole text, and hand the driver
+dictionaries: PIECES blocks each from all over the text are fetched, and blocks are taken text by text in turn until a dictionary
+holds DICT_BYTES, so with texts of a block or more some 190 texts give one block each; the others calibrate, each with its whole text, and hand the driver
 a number each. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have no difference and get the calibration's score for 0; a table without labels, or with
