@@ -10,10 +10,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import let, linspace, literal, total
+from tessel.plans.tables import running_sum
 
 CATEGORICAL, NUMERICAL, RANGE = "categorical", "numerical", "range_of_values"
 PERCENTILES, PERCENTILES_ACCUM, STANDARD, INTEGER = "percentiles", "percentiles_accum", "zero_mean_variance_one", "integer"
@@ -107,28 +108,27 @@ def category_masses(data: DataFrame, column: str, excluded: Sequence = ()) -> Da
     """(value, n, p) of the values that are there and not excluded."""
     kept = data.select(F.col(column).cast("string").alias("value")).filter(F.col("value").isNotNull() & without(F.col("value"), [str(v) for v in excluded]))
     counts = kept.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("p", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def mass_cut(masses: DataFrame, mass: float = 0.95) -> DataFrame:
     """The categories whose share reaches that of the category at which the running share, largest first, first exceeds mass; ties at it all stay."""
-    running = F.sum("p").over(Window.partitionBy().orderBy(F.desc("p"), "value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ordered = masses.withColumn("_running", running)
-    over = F.max(F.when(F.col("_running") > mass, F.col("p"))).over(Window.partitionBy())
-    least = F.min("p").over(Window.partitionBy())
-    return ordered.withColumn("_cut", F.coalesce(over, least)).filter(F.col("p") >= F.col("_cut")).select("value", "n", "p")
+    ordered = running_sum(masses, [F.desc("p"), F.col("value")], "n", "_running")
+    n = ordered.agg(F.sum("n")).scalar()
+    cut = ordered.filter(F.col("_running") / n > mass).agg(F.max("p")).scalar()
+    return ordered.filter(F.col("p") >= F.coalesce(cut, ordered.agg(F.min("p")).scalar())).select("value", "n", "p")
 
 
 def quantile_grid(data: DataFrame, column: str, num_intervals: int, excluded: Sequence = ()) -> DataFrame:
     """(position, value): sorted values at places 0, step, 2 * step, ..., and the last, each value once; step = n // (num_intervals - 2).
 
-    Values are counted before they are placed, so the running places are over distinct values and no task sorts all rows.
+    Values are counted and dealt to ranges before they are placed, so no task sorts all values, distinct or not.
     """
     x = F.col(column).cast("double")
     kept = data.filter(~is_missing(F.col(column).cast("double"), "double") & without(F.col(column), excluded)).select(x.alias("value"))
     counts = kept.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy().orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    places = counts.withColumn("_end", upto).withColumn("_n", F.sum("n").over(Window.partitionBy()))
+    upto = running_sum(counts, ["value"], "n", "_end")
+    places = upto.withColumn("_n", upto.agg(F.max("_end")).scalar())
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(num_intervals - 2))).cast("long")
     # a value holds the places _end - n .. _end - 1: it is on the grid if a multiple of step is among them
     on_grid = F.floor((F.col("_end") - 1) / step) > F.floor((F.col("_end") - F.col("n") - 1) / step)

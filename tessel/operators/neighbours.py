@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.vectors import dot, sqdist
 from tessel.plans.stats import against_all, chunks, matrix, sqdist_rows
-from tessel.plans.tables import written
+from tessel.plans.tables import running_sum, written
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
@@ -74,8 +74,11 @@ def ball_tree(data: DataFrame, min_split: int | None = None, seed: int = 0) -> D
         one = _farthest(inner.join(start, "node"), "x0", "x1")
         two = _farthest(inner.join(one, "node"), "x1", "x2")
         line = inner.join(one.join(two, "node"), "node").withColumn("_at", dot(F.col("features"), F.zip_with("x1", "x2", lambda a, b: a - b)))
-        place = F.row_number().over(Window.partitionBy("node").orderBy("_at", "id"))
-        rows = written(line.withColumn("_p", place).select("id", "features", (2 * F.col("node") + (F.col("_p") > F.floor(F.col("_n") / 2)).cast("long")).alias("node")), "tree")
+        # places are counted over all nodes at once: the root's rows are dealt to ranges, not to one task
+        placed = running_sum(line.select("id", "features", "node", "_n", "_at", F.lit(1).alias("_one")), ["node", "_at", "id"], "_one", "_p")
+        first = placed.groupBy("node").agg(F.min("_p").alias("_first"))
+        right = (F.col("_p") - F.col("_first") >= F.floor(F.col("_n") / 2)).cast("long")
+        rows = written(placed.join(first, "node").select("id", "features", (2 * F.col("node") + right).alias("node")), "tree")
         depth += 1
 
 

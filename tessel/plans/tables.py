@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     atexit.register(drop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """df with name, the sum of value up to each row, its own included, in an order that no two rows share.
+
+    Rows are dealt to ranges and written with them; each range adds the sums of those before it. Only these sums, a row a range, meet in one task.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("_sum").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.withColumn(name, own).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

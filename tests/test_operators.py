@@ -251,3 +251,16 @@ def test_matrix_of_slices_and_chunks():
     whole = pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0]], pa.list_(pa.float64()))
     assert stats.matrix(whole.slice(1)).tolist()[1] == [5.0, 6.0] and np.isnan(stats.matrix(whole)[1, 1])
     assert stats.matrix(pa.chunked_array([whole, whole.slice(2)])).shape == (4, 2) and stats.matrix(whole.slice(3)).shape == (0, 0)
+
+
+def test_running_sum_equals_a_plain_one(spark):
+    from tessel.plans.tables import running_sum
+
+    values = [(int(i), int(x), None if i % 17 == 0 else 1) for i, x in enumerate(np.random.default_rng(3).integers(0, 50, 500))]
+    df = spark.createDataFrame(values, "id long, x long, n long").repartition(7)
+    found = {r.id: r.upto for r in running_sum(df, ["x", "id"], "n", "upto").collect()}
+    total = 0
+    for i, _, n in sorted(values, key=lambda v: (v[1], v[0])):
+        total += n or 0
+        assert (found[i] or 0) == total
+    assert running_sum(df.filter("id < 0"), ["x", "id"], "n", "upto").count() == 0
