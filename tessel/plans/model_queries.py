@@ -47,6 +47,11 @@ def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, *map(float, c), float(out.J), out.steps) for k, c in enumerate(out.centres)], "cluster int, x double, y double, j double, steps int")
 
 
+def kmeans_lloyd_mean_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to 30 steps from centres that are farthest from the mean and each other; they end where no row changes its cluster."""
+    return _centres(spark, cluster.fit(_points(spark, sf), 6, init="mean-first", max_iter=30, epsilon=0.0).centres)
+
+
 def kmeans_maximin_init(spark: SparkSession, sf: str) -> DataFrame:
     return _centres(spark, cluster.farthest_first(_points(spark, sf), 4))
 
@@ -131,7 +136,8 @@ def gmm_split(spark: SparkSession, sf: str) -> DataFrame:
 def gmm_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Growth to four components on all line items: the trace of the iterations."""
     _, trace = mixture.grow(_lines(spark, sf), 4, epsilon=1e-4, max_iterations=12)
-    return spark.createDataFrame([(t.n_components, t.iteration, float(t.log_likelihood), float(t.delta), float(t.aic), float(t.bic)) for t in trace], "n_components int, iteration int, log_likelihood double, delta double, aic double, bic double")
+    rows = spark.createDataFrame([(t.n_components, t.iteration, float(t.log_likelihood), float(t.delta), float(t.aic), float(t.bic)) for t in trace], "n_components int, iteration int, log_likelihood double, delta double, aic double, bic double")
+    return rows.select("n_components", "iteration", *[r(n).alias(n) for n in ("log_likelihood", "delta")], *[r(n, 2).alias(n) for n in ("aic", "bic")])
 
 
 def gmm_classifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,7 +223,7 @@ def hmm_baum_welch(spark: SparkSession, sf: str) -> DataFrame:
 def hmm_baum_welch_continuous(spark: SparkSession, sf: str) -> DataFrame:
     m, trace = hmm.train(hmm.continuous(np.array([[20.0], [80.0]])), _symbols(spark, sf), 2, "standard")
     rows = [(i, float(x.mu[0, 0]), float(x.sigma[0, 0, 0]), float(trace[-1])) for i, x in enumerate(m.mixtures)]
-    return spark.createDataFrame(rows, "state int, mean double, variance double, loglik double")
+    return spark.createDataFrame(rows, "state int, mean double, variance double, loglik double").select("state", *[r(n, 4).alias(n) for n in ("mean", "variance", "loglik")])
 
 
 # --- networks over embeddings -----------------------------------------------------------------------------------------
@@ -273,7 +279,7 @@ def hashed_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
+    kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_lloyd_mean_first, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
     gmm_growth, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
     hmm_baum_welch_continuous, mlp_forward, mlp_predict, mlp_fit, rbm_cd1, autoencoder, synthetic_normals, hashed_blocks)
 QUERIES = {f.__name__: f for f in _ALL} | {f"gmm_em_2_{c}": _em(c) for c in mixture.COVARIANCES}
@@ -292,9 +298,9 @@ def _step(centres: str) -> str:
     return f"SELECT c.k, coalesce(avg(n.x), 0) AS cx, coalesce(avg(n.y), 0) AS cy FROM {centres} AS c LEFT JOIN ({_nearest(centres)}) AS n ON n.k = c.k GROUP BY c.k"
 
 
-def _unrolled(start: str, steps: int) -> str:
+def _unrolled(start: str, steps: int, first: int = 0) -> str:
     parts = [start]
-    for i in range(steps):
+    for i in range(first, first + steps):
         parts.append(f"c{i + 1} AS MATERIALIZED ({_step(f'c{i}')})")
     return ", ".join(parts)
 
@@ -318,6 +324,7 @@ def _lbg() -> str:
     return out
 
 
+_SHOWN = ", ".join(f"round({n}, 5) + 0.0::DOUBLE AS {n}" for n in ("prior", "m0", "m1", "s00", "s01", "s11", "loglik"))
 _ROWS = "d AS MATERIALIZED (SELECT row_number() OVER () AS i, l_quantity / 10 AS x, l_extendedprice / 10000 AS y FROM lineitem)"
 _MODEL = "m0 AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, {START['priors'][c]}::DOUBLE, {START['mu'][c][0]}::DOUBLE, {START['mu'][c][1]}::DOUBLE, {{v0}}::DOUBLE, 0.0::DOUBLE, {{v1}}::DOUBLE)" for c in range(2)) + ") AS t(c, prior, m0, m1, s00, s01, s11))"
 
@@ -330,17 +337,42 @@ def _responses(model: str, rows: str = "d") -> str:
     return f"SELECT i, x, y, c, z, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY i) AS r, top + ln(sum(exp(z - top)) OVER (PARTITION BY i)) AS ll, row_number() OVER (PARTITION BY i ORDER BY z DESC, c) AS p FROM (SELECT *, max(z) OVER (PARTITION BY i) AS top FROM ({_densities(model, rows)}))"
 
 
+def _em_parts(k: int, covariance: str) -> list[str]:
+    """An iteration from the model m<k> to m<k + 1>, which holds the mean log-likelihood under m<k> and the number of rows."""
+    stats = f"SELECT c, sum(r) AS r, sum(r * x) / sum(r) AS a, sum(r * y) / sum(r) AS b, sum(r * x * x) / sum(r) AS xx, sum(r * x * y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy, sum(ll) / count(*) AS loglik, count(*) AS n FROM r{k} GROUP BY c"
+    own = f"SELECT c, r / n AS prior, a AS m0, b AS m1, greatest(1e-5, xx - a * a) AS s00, xy - a * b AS s01, greatest(1e-5, yy - b * b) AS s11, loglik, n FROM ({stats})"
+    shape = {"diagonal": "s00, 0.0::DOUBLE AS s01, s11", "full": "s00, s01, s11", "spherical": "1.0::DOUBLE AS s00, 0.0::DOUBLE AS s01, 1.0::DOUBLE AS s11", "tied": "avg(s00) OVER () AS s00, avg(s01) OVER () AS s01, avg(s11) OVER () AS s11",
+             "tied_diagonal": "avg(s00) OVER () AS s00, 0.0::DOUBLE AS s01, avg(s11) OVER () AS s11"}[covariance]
+    return [f"r{k} AS MATERIALIZED ({_responses(f'm{k}')})", f"m{k + 1} AS MATERIALIZED (SELECT c, prior, m0, m1, {shape}, loglik, n FROM ({own}))"]
+
+
+def _split_part(k: int, size: int) -> str:
+    """Every one of size diagonal components of m<k> in two, a deviation apart on either side, as m<k + 1>."""
+    half = lambda c, sign: f"SELECT {c} AS c, prior / 2 AS prior, m0 {sign} sqrt(s00) AS m0, m1 {sign} sqrt(s11) AS m1, s00, s01, s11, loglik, n FROM m{k}"
+    return f"m{k + 1} AS MATERIALIZED ({half('c', '-')} UNION ALL {half(f'c + {size}', '+')})"
+
+
+def _growth_sql(sizes: tuple[int, ...], iterations: int) -> str:
+    """Growth from one component, iterations for each size, unrolled; fits to data on which no size ends earlier and no component dies."""
+    parts, trace, k = [_ROWS, "m0 AS (SELECT 0 AS c, 1.0::DOUBLE AS prior, 0.0::DOUBLE AS m0, 0.0::DOUBLE AS m1, 1.0::DOUBLE AS s00, 0.0::DOUBLE AS s01, 1.0::DOUBLE AS s11)"], [], 0
+    for size in sizes:
+        if size > 1:
+            parts.append(_split_part(k, size // 2))
+            k += 1
+        for i in range(iterations):
+            parts += _em_parts(k, "diagonal")
+            k += 1
+            trace.append(f"SELECT {size} AS n_components, {i} AS iteration, loglik, n FROM m{k} WHERE c = 0")
+    delta = "coalesce(abs((loglik - lag(loglik) OVER (PARTITION BY n_components ORDER BY iteration)) / loglik), 1.0)"
+    return f"""WITH {', '.join(parts)}, t AS ({' UNION ALL '.join(trace)}) SELECT n_components, iteration, round(loglik, 6) + 0.0::DOUBLE AS log_likelihood, round({delta}, 6) + 0.0::DOUBLE AS delta,
+round(10 * n_components - 2 * n * loglik, 2) + 0.0::DOUBLE AS aic, round(5 * n_components * ln(n) - 2 * n * loglik, 2) + 0.0::DOUBLE AS bic FROM t"""
+
+
 def _em_sql(covariance: str) -> str:
     v0, v1 = (1.0, 1.0) if covariance == "spherical" else START["var"]
     parts = [_ROWS, _MODEL.format(v0=v0, v1=v1)]
-    for k in range(2):
-        stats = f"SELECT c, sum(r) AS r, sum(r * x) / sum(r) AS a, sum(r * y) / sum(r) AS b, sum(r * x * x) / sum(r) AS xx, sum(r * x * y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy, sum(ll) / count(*) AS loglik, count(*) AS n FROM r{k} GROUP BY c"
-        own = f"SELECT c, r / n AS prior, a AS m0, b AS m1, greatest(1e-5, xx - a * a) AS s00, xy - a * b AS s01, greatest(1e-5, yy - b * b) AS s11, loglik FROM ({stats})"
-        shape = {"diagonal": "s00, 0.0::DOUBLE AS s01, s11", "full": "s00, s01, s11", "spherical": "1.0::DOUBLE AS s00, 0.0::DOUBLE AS s01, 1.0::DOUBLE AS s11", "tied": "avg(s00) OVER () AS s00, avg(s01) OVER () AS s01, avg(s11) OVER () AS s11",
-                 "tied_diagonal": "avg(s00) OVER () AS s00, 0.0::DOUBLE AS s01, avg(s11) OVER () AS s11"}[covariance]
-        parts += [f"r{k} AS MATERIALIZED ({_responses(f'm{k}')})", f"m{k + 1} AS MATERIALIZED (SELECT c, prior, m0, m1, {shape}, loglik FROM ({own}))"]
-    shown = ", ".join(f"round({n}, 5) + 0.0::DOUBLE AS {n}" for n in ("prior", "m0", "m1", "s00", "s01", "s11", "loglik"))
-    return f"WITH {', '.join(parts)} SELECT CAST(c AS INTEGER) AS c, {shown} FROM m2"
+    parts += [p for k in range(2) for p in _em_parts(k, covariance)]
+    return f"WITH {', '.join(parts)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2"
 
 
 _DIAGONAL = _MODEL.format(v0=START["var"][0], v1=START["var"][1])
@@ -362,10 +394,57 @@ _BEST = f"""v AS (SELECT seq_id, t, {_LOG(INITIAL[0])} + b0 AS a0, {_LOG(INITIAL
 UNION ALL SELECT b.seq_id, b.t, greatest(a0 + {_A[0][0]}, a1 + {_A[1][0]}) + b0, greatest(a0 + {_A[0][1]}, a1 + {_A[1][1]}) + b1, CASE WHEN a1 + {_A[1][0]} > a0 + {_A[0][0]} THEN 1 ELSE 0 END, CASE WHEN a1 + {_A[1][1]} > a0 + {_A[0][1]} THEN 1 ELSE 0 END
 FROM v JOIN b ON b.seq_id = v.seq_id AND b.t = v.t + 1)"""
 
+
+
+def _baum_welch_parts(k: int, emission: str, carried: str, pooled: bool) -> list[str]:
+    """An iteration from the row of parameters p<k> to p<k + 1> over q (seq_id, t, len, o, x). emission: a state's log density by its number; carried: what p<k + 1> has of emissions, from x<k> and m<k>."""
+    logs = ", ".join(f"{_LOG(n)} AS l{n}" for n in ("i0", "i1", "a00", "a01", "a10", "a11"))
+    move = lambda i, j: f"sum(exp(a{i} + la{i}{j} + t{j} - z)) AS m{i}{j}"
+    share = lambda i, j: f"sum(m{i}{j}{'' if pooled else f' / g{i}'}) AS m{i}{j}"
+    gamma = [f"exp(a{i} + h{i} - z)" for i in (0, 1)]
+    pairs = [(i, j) for i in (0, 1) for j in (0, 1)]
+    return [
+        f"b{k} AS MATERIALIZED (SELECT seq_id, t, len, o, x, {emission.format(i=0)} AS b0, {emission.format(i=1)} AS b1, {logs} FROM q, p{k})",
+        f"""f{k} AS (SELECT seq_id, t, li0 + b0 AS a0, li1 + b1 AS a1 FROM b{k} WHERE t = 0
+UNION ALL SELECT b.seq_id, b.t, {_ADD('a0 + la00', 'a1 + la10')} + b0, {_ADD('a0 + la01', 'a1 + la11')} + b1 FROM f{k} AS f JOIN b{k} AS b ON b.seq_id = f.seq_id AND b.t = f.t + 1)""",
+        f"""h{k} AS (SELECT seq_id, t, 0.0::DOUBLE AS h0, 0.0::DOUBLE AS h1 FROM b{k} WHERE t = len - 1
+UNION ALL SELECT b.seq_id, b.t - 1, {_ADD('la00 + b0 + h0', 'la01 + b1 + h1')}, {_ADD('la10 + b0 + h0', 'la11 + b1 + h1')} FROM h{k} AS h JOIN b{k} AS b ON b.seq_id = h.seq_id AND b.t = h.t WHERE b.t > 0)""",
+        f"""x{k} AS MATERIALIZED (SELECT b.*, a0, a1, h0, h1, {_ADD('a0 + h0', 'a1 + h1')} AS z, lead(b0 + h0) OVER w AS t0, lead(b1 + h1) OVER w AS t1
+FROM b{k} AS b JOIN f{k} AS f ON f.seq_id = b.seq_id AND f.t = b.t JOIN h{k} AS h ON h.seq_id = b.seq_id AND h.t = b.t WINDOW w AS (PARTITION BY b.seq_id ORDER BY b.t))""",
+        f"m{k} AS MATERIALIZED (SELECT seq_id, {', '.join(move(i, j) for i, j in pairs)}, {', '.join(f'sum({g}) FILTER (WHERE t < len - 1) AS g{i}, sum({g}) AS w{i}' for i, g in enumerate(gamma))} FROM x{k} GROUP BY seq_id)",
+        f"""p{k + 1} AS MATERIALIZED (SELECT s0 / (s0 + s1) AS i0, s1 / (s0 + s1) AS i1, {', '.join(f'm{i}{j} / (m{i}0 + m{i}1) AS a{i}{j}' for i, j in pairs)}, loglik, {carried.format(k=k)}
+FROM (SELECT {', '.join(share(i, j) for i, j in pairs)} FROM m{k}), (SELECT sum({gamma[0]}) AS s0, sum({gamma[1]}) AS s1, sum(z) AS loglik FROM x{k} WHERE t = 0))""",
+    ]
+
+
+def _baum_welch_sql() -> str:
+    """Two iterations for symbols, a sequence weighing as much as any other."""
+    lists = [f"[{', '.join(f'{p}::DOUBLE' for p in row)}] AS e{i}" for i, row in enumerate(EMITS)]
+    start = f"p0 AS (SELECT {INITIAL[0]} AS i0, {INITIAL[1]} AS i1, {', '.join(f'{p} AS a{i}{j}' for i, row in enumerate(MOVES) for j, p in enumerate(row))}, {', '.join(lists)})"
+    seen = ", ".join(f"(SELECT list(y / s ORDER BY o) FROM (SELECT o, y, sum(y) OVER () AS s FROM (SELECT o, sum(exp(a{i} + h{i} - z) / w{i}) AS y FROM x{{k}} AS x JOIN m{{k}} AS m ON m.seq_id = x.seq_id GROUP BY o))) AS e{i}" for i in (0, 1))
+    parts = [_BAUM_WELCH_ROWS, start, *[p for k in range(2) for p in _baum_welch_parts(k, "ln(e{i}[o + 1] + 1e-300)", seen, False)]]
+    rows = [f"SELECT 'a', {i}, {j}, a{i}{j} FROM p2" for i in (0, 1) for j in (0, 1)] + [f"SELECT 'p', {i}, 0, i{i} FROM p2" for i in (0, 1)] + [f"SELECT 'loglik', {i}, 0, loglik FROM p{i + 1}" for i in (0, 1)]
+    rows += [f"SELECT 'b', {i}, {j}, e{i}[{j + 1}] FROM p2" for i in (0, 1) for j in range(len(KINDS))]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT kind, i, j, round(v, 4) + 0.0::DOUBLE AS value FROM ({' UNION ALL '.join(rows)}) AS r(kind, i, j, v)"
+
+
+def _baum_welch_continuous_sql() -> str:
+    """Two iterations for numbers, a Gaussian for each of two states, an observation weighing as much as any other."""
+    start = "p0 AS (SELECT 0.5 AS i0, 0.5 AS i1, 0.5 AS a00, 0.5 AS a01, 0.5 AS a10, 0.5 AS a11, 20.0::DOUBLE AS u0, 80.0::DOUBLE AS u1, 1.0::DOUBLE AS v0, 1.0::DOUBLE AS v1)"
+    mean = lambda i, of: f"(SELECT sum(exp(a{i} + h{i} - z) * {of}) / sum(exp(a{i} + h{i} - z)) FROM x{{k}})"
+    carried = ", ".join(f"{mean(i, 'x')} AS u{i}, greatest(1e-5, {mean(i, 'x * x')} - {mean(i, 'x')} * {mean(i, 'x')}) AS v{i}" for i in (0, 1))
+    emission = "greatest(-0.5 * ((x - u{i}) * (x - u{i}) / v{i} + ln(v{i}) + ln(2 * pi())), ln(1e-50))"
+    parts = [_BAUM_WELCH_ROWS, start, *[p for k in range(2) for p in _baum_welch_parts(k, emission, carried, True)]]
+    return f"WITH RECURSIVE {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {i} AS state, round(u{i}, 4) + 0.0::DOUBLE AS mean, round(v{i}, 4) + 0.0::DOUBLE AS variance, round(loglik, 4) + 0.0::DOUBLE AS loglik FROM p2" for i in (0, 1))
+
+
+_BAUM_WELCH_ROWS = _SEQ.replace("FROM events", ", count(*) OVER (PARTITION BY user_id) AS len, value AS x FROM events")
+
 SQL = {
     "kmeans_assign": f"WITH {_POINTS}, {_FIXED} SELECT id, CAST(k AS INTEGER) AS cluster, round(d2, 6) AS d2 FROM ({_nearest('c0')})",
     "kmeans_step": f"WITH {_POINTS}, {_FIXED} SELECT CAST(k AS INTEGER) AS cluster, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS x, round(avg(y), 6) + 0.0::DOUBLE AS y, round(avg(d2), 6) + 0.0::DOUBLE AS distortion FROM ({_nearest('c0')}) GROUP BY k",
     "kmeans_lloyd_3": f"WITH {_POINTS}, {_unrolled(_FIXED, 3)} {_SHOW} c3",
+    "kmeans_lloyd_mean_first": f"WITH {_POINTS}, {_unrolled(_maximin(6), 30, 5)} {_SHOW} c35",
     "kmeans_maximin_init": f"WITH {_POINTS}, {_maximin(4)} {_SHOW} c3",
     "kmedoids_step": f"WITH {_POINTS}, {_FIXED}, n AS ({_nearest('c0')}), m AS (SELECT *, avg(x) OVER (PARTITION BY k) AS ax, avg(y) OVER (PARTITION BY k) AS ay FROM n), p AS (SELECT k, x AS cx, y AS cy, row_number() OVER (PARTITION BY k ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), id) AS p FROM m) {_SHOW} p WHERE p = 1",
     "lbg_codebook": f"WITH {_POINTS}, {_lbg()} {_SHOW} b2",
@@ -382,6 +461,8 @@ SELECT round((b / (k - 1)) / ((SELECT sum(w) FROM w) / (n - k)), 4) AS ch, round
     "gmm_score": f"WITH d AS (SELECT c_custkey AS i, c_acctbal / 1000 AS x, c_nationkey / 4 AS y FROM customer), {_DIAGONAL}, r AS ({_responses('m0')}) SELECT i AS id, round(max(ll), 6) AS log_likelihood, round(max(r) FILTER (WHERE c = 0), 6) AS p0, CAST(max(c) FILTER (WHERE p = 1) AS INTEGER) AS component FROM r GROUP BY i",
     "gmm_estep_stats": f"{_STATS}, n AS (SELECT count(DISTINCT i) AS n FROM r) SELECT CAST(c AS INTEGER) AS c, count(*) FILTER (WHERE p = 1) AS n_hard, round(sum(r) / any_value(n), 6) AS r, round(sum(r * x) / any_value(n), 6) AS rx, round(sum(r * y) / any_value(n), 6) AS ry, round(sum(r * x * x) / any_value(n), 6) AS rxx, round(sum(r * y * y) / any_value(n), 6) AS ryy, round(sum(ll) / any_value(n), 6) AS loglik FROM r, n GROUP BY c",
     "gmm_aic_bic": f"{_STATS} SELECT round((20 - 2 * sum(ll)) / count(*), 6) AS aic, round((10 * ln(count(*)) - 2 * sum(ll)) / count(*), 6) AS bic FROM r WHERE c = 0",
+    "gmm_split": f"WITH {_ROWS}, {_DIAGONAL}, {', '.join(_em_parts(0, 'diagonal'))}, {_split_part(1, 2)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2",
+    "gmm_growth": _growth_sql((1, 2, 4), 12),
     "knn_topk": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
     "knn_classify": f"WITH {_NEAR} SELECT qid, label AS predicted FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, label) AS p FROM n WHERE rank <= 5 GROUP BY qid, label) WHERE p = 1",
     "hmm_transition_counts": f"WITH {_SEQ}, m AS (SELECT o AS i, lead(o) OVER (PARTITION BY seq_id ORDER BY t) AS j FROM q) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY i)), 6) AS p FROM m WHERE j IS NOT NULL GROUP BY i, j",
@@ -399,4 +480,5 @@ z AS (SELECT vec_id, list_transform([0, 1], lambda a: list_sum(list_transform([0
 SELECT vec_id, 0 AS i, round(1 / (1 + exp(z[2] - z[1])), 6) AS w FROM z UNION ALL SELECT vec_id, 1, round(1 / (1 + exp(z[1] - z[2])), 6) FROM z""",
 }
 SQL["mlp_predict"] = SQL["mlp_forward"].split("SELECT vec_id, 0 AS i")[0] + "SELECT vec_id, CASE WHEN z[2] > z[1] THEN 1 ELSE 0 END AS predicted FROM z"
+SQL |= {"hmm_baum_welch": _baum_welch_sql(), "hmm_baum_welch_continuous": _baum_welch_continuous_sql()}
 SQL |= {f"gmm_em_2_{c}": _em_sql(c) for c in mixture.COVARIANCES}
