@@ -242,3 +242,36 @@ def between_within(assigned: DataFrame) -> tuple[float, float]:
     return (between / (k - 1)) / (within / (n.sum() - k)), sum(worst) / k
 
 
+
+
+def silhouette(assigned: DataFrame) -> float:
+    """The mean silhouette of rows (features, cluster) by squared distances, which sums by cluster give exactly, so that no pairs are made: one aggregation, one projection.
+
+    A cluster's only row counts as 0; with fewer than two clusters the result is NaN.
+    """
+    rows = assigned.select("features", "cluster")
+
+    def partial(batch: dict) -> dict[int, np.ndarray]:
+        x, own = matrix(batch["features"]), batch["cluster"].to_numpy()
+        return {int(c): np.r_[(own == c).sum(), (x[own == c] ** 2).sum(), x[own == c].sum(axis=0)] for c in np.unique(own)}
+
+    sums = fold(rows, partial)
+    if len(sums) < 2:
+        return float("nan")
+    names = sorted(sums)
+    n, means = np.array([sums[c][0] for c in names]), np.array([sums[c][2:] / sums[c][0] for c in names])
+    spread = np.array([sums[c][1] / sums[c][0] for c in names]) - (means**2).sum(axis=1)
+
+    def scores(batch: dict) -> dict[int, np.ndarray]:
+        x, own = matrix(batch["features"]), np.searchsorted(names, batch["cluster"].to_numpy())
+        at = np.arange(len(x))
+        d = sqdist_rows(x, means) + np.maximum(0.0, spread)
+        a = d[at, own] * n[own] / np.maximum(1.0, n[own] - 1)
+        d[at, own] = np.inf
+        b = d.min(axis=1)
+        top = np.maximum(a, b)
+        s = np.where((n[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+        return {0: np.array([s.sum(), len(s)])}
+
+    total, count = fold(rows, scores)[0]
+    return total / count

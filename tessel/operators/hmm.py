@@ -8,7 +8,7 @@ sequences' statistics, a groupBy sums the tasks'.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import literal, logsumexp
+from tessel.operators import cluster
 from tessel.operators import mixture as mx
-from tessel.plans.stats import fold
+from tessel.plans.stats import dimension, fold
 
 # The floors of probabilities and of their logs.
 ZERO_PROB, LOG_ZERO, MIN_PROB = 1e-300, -1e30, 1e-50
@@ -128,6 +129,26 @@ def continuous(centres: np.ndarray, left_to_right: bool = False, terminal: bool
     return Hmm(np.full(n, 1 / n), uniform_transitions(n, left_to_right, terminal), None, mixtures, left_to_right, terminal)
 
 
+def from_samples(sequences: DataFrame, n_states: int, components: int = 1, seed: int = 0, **more) -> Hmm:
+    """A continuous start: each state's components are around rows of sequences (seq_id, t, features) by seeded hash, other rows for each state."""
+    h = continuous(np.zeros((n_states, dimension(sequences))), **more)
+    return replace(h, mixtures=tuple(mx.from_samples(sequences, components, m.covariance, m.min_var, seed + k) for k, m in enumerate(h.mixtures)))
+
+
+def from_kmeans(sequences: DataFrame, n_states: int, **more) -> Hmm:
+    """A continuous start: state k is around centre k of all rows of sequences (seq_id, t, features), clustered from centres far from the mean and each other."""
+    rows = sequences.select(F.xxhash64("seq_id", "t").alias("id"), "features")
+    return continuous(cluster.fit(rows, n_states, init="mean-first").centres, **more)
+
+
+def start(modality: str, *args, **more) -> Hmm:
+    """discrete() or continuous() by name; there is no other kind, semi-continuous ones least of all."""
+    kinds = {"discrete": discrete, "continuous": continuous}
+    if modality.lower() not in kinds:
+        raise ValueError(f"modality must be one of {tuple(kinds)}")
+    return kinds[modality.lower()](*args, **more)
+
+
 # --- one sequence -----------------------------------------------------------------------------------------------------
 
 
@@ -140,9 +161,13 @@ def forward(h: Hmm, log_b: np.ndarray) -> tuple[np.ndarray, float]:
     return alpha, float(_lse(alpha[-1], 0))
 
 
-def backward(h: Hmm, log_b: np.ndarray, final: np.ndarray | None = None) -> np.ndarray:
+def backward(h: Hmm, log_b: np.ndarray, final: np.ndarray | None = None, terminal: Sequence[int] | None = None) -> np.ndarray:
+    """log beta. final: the states' probabilities at the end; terminal: the only states, by number, that a path may end in; else all may."""
     a, beta = _log(h.transitions), np.empty_like(log_b)
     beta[-1] = 0.0 if final is None else _log(final)
+    if final is None and terminal is not None:
+        beta[-1] = LOG_ZERO
+        beta[-1, list(terminal)] = 0.0
     for t in range(len(log_b) - 2, -1, -1):
         beta[t] = _lse(a + log_b[t + 1] + beta[t + 1], 1)
     return beta

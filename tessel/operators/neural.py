@@ -28,7 +28,7 @@ MIN_SIGMA = 0.1
 
 @dataclass(frozen=True)
 class Layer:
-    """weights (out x in), biases, the share of units that stay in training, noise, and normalisers of the net input."""
+    """weights (out x in), biases, the share of units that stay in training, a learning rate of its own or one for each unit, noise, and normalisers of the net input."""
 
     kind: str
     weights: np.ndarray
@@ -36,7 +36,7 @@ class Layer:
     input_bias: np.ndarray
     input_kind: str = "linear"
     keep: float = 1.0
-    learning_rate: float | None = None
+    learning_rate: float | np.ndarray | None = None
     noise: float = 0.0
     mean: np.ndarray | None = None
     sigma: np.ndarray | None = None
@@ -195,6 +195,11 @@ def cap_norms(weights: np.ndarray, most: float) -> np.ndarray:
     return weights * np.minimum(1.0, most / np.maximum(n, 1e-300))
 
 
+def unit_rates(l: Layer, s: Settings, factor: float = 1.0) -> np.ndarray:
+    """A rate for each unit of a layer: its own, else the layer's, else the network's, times a factor."""
+    return np.broadcast_to(np.asarray(s.learning_rate if l.learning_rate is None else l.learning_rate, float), l.n_out) * factor
+
+
 def update(net: Network, grads: Sequence[tuple[np.ndarray, ...]], deltas: Sequence[tuple[np.ndarray, ...]], n: int, factor: float, momentum: float) -> tuple[Network, list[tuple[np.ndarray, ...]]]:
     """One descent step over the sum of gradients of n rows; biases move at twice the rate."""
     s, layers, moved = net.settings, [], []
@@ -203,8 +208,8 @@ def update(net: Network, grads: Sequence[tuple[np.ndarray, ...]], deltas: Sequen
             layers.append(l)
             moved.append(d)
             continue
-        rate = (s.learning_rate if l.learning_rate is None else l.learning_rate) * factor / max(1, n)
-        rates = (rate, 2 * rate, rate, rate)
+        rate = unit_rates(l, s, factor / max(1, n))
+        rates = (rate[:, None], 2 * rate, rate, rate)
         step = tuple(momentum * old - r * new for old, r, new in zip(d, rates, g))
         fresh = replace(l, weights=cap_norms((1 - s.l2) * l.weights + step[0], s.max_norm), bias=l.bias + step[1])
         if s.batch_normalisation and l.mean is not None:
@@ -360,6 +365,11 @@ def divergence(l: Layer, v: np.ndarray, rng: np.random.Generator | None = None)
     return up.T @ v - again.T @ back, (up - again).sum(axis=0), (v - back).sum(axis=0), float(((v - back) ** 2).sum() / v.shape[1])
 
 
+def free_energy(l: Layer, v: np.ndarray) -> np.ndarray:
+    """Of each row under a layer with binary hidden units: -a'v - sum(ln(1 + exp(net input)))."""
+    return -(v @ l.input_bias) - np.logaddexp(0.0, l.net(v)).sum(axis=1)
+
+
 def pretrain(net: Network, data: DataFrame, from_layer: int = 0, to_layer: int | None = None, epochs: int = 10) -> tuple[Network, list[tuple[int, int, float]]]:
     """Layer by layer, each on the outputs of those below: contrastive divergence with one aggregation for each epoch. The trace holds (layer, epoch, error)."""
     trace, s = [], net.settings
@@ -377,8 +387,8 @@ def pretrain(net: Network, data: DataFrame, from_layer: int = 0, to_layer: int |
 
             sums = fold(data.select("features"), partial)[0]
             dw, db, da = _unflat(sums[:-2], (l.weights.shape, l.bias.shape, l.input_bias.shape))
-            rate = (s.learning_rate if l.learning_rate is None else l.learning_rate) * schedule(it) / sums[-1]
-            steps = tuple(momentum_at(it, s.momentum) * old + rate * new for old, new in zip(steps, (dw, db, da)))
+            rate = unit_rates(l, s, schedule(it) / sums[-1])
+            steps = tuple(momentum_at(it, s.momentum) * old + r * new for old, r, new in zip(steps, (rate[:, None], rate, rate.mean()), (dw, db, da)))
             l = replace(l, weights=cap_norms((1 - s.l2) * l.weights + steps[0], s.max_norm), bias=l.bias + steps[1], input_bias=l.input_bias + steps[2])
             net = replace(net, layers=(*net.layers[:k], l, *net.layers[k + 1 :]))
             trace.append((k, it, float(sums[-2] / sums[-1])))
@@ -404,8 +414,8 @@ def finetune(net: Network, data: DataFrame, epochs: int = 10, layers: int | None
             deltas = [tuple(np.zeros_like(a) for a in g) for g in tied]
         s, m, fresh = net.settings, momentum_at(it, net.settings.momentum), []
         for k, (l, g) in enumerate(zip(net.layers, tied)):
-            rate = (s.learning_rate if l.learning_rate is None else l.learning_rate) * schedule(it) / count
-            deltas[k] = tuple(m * d - r * x for d, r, x in zip(deltas[k], (rate, 2 * rate, 2 * rate), g))
+            rate = unit_rates(l, s, schedule(it) / count)
+            deltas[k] = tuple(m * d - r * x for d, r, x in zip(deltas[k], (rate[:, None], 2 * rate, 2 * rate.mean()), g))
             fresh.append(replace(l, weights=cap_norms((1 - s.l2) * l.weights + deltas[k][0], s.max_norm), bias=l.bias + deltas[k][1], input_bias=l.input_bias + deltas[k][2]))
         net = replace(net, layers=(*fresh, *net.layers[n:]))
         trace.append(loss / count)
@@ -413,23 +423,23 @@ def finetune(net: Network, data: DataFrame, epochs: int = 10, layers: int | None
 
 
 def optimal_rates(net: Network, x: np.ndarray, y: np.ndarray, alpha: float = 1e-3, gamma: float = 1e-3, iterations: int = 200) -> Network:
-    """Learning rates by layer from the largest curvature: a power iteration with differences of gradients along a vector; it stops when the norm changes by less than a tenth. x and y: a sample of rows."""
+    """A learning rate for each unit from the largest curvature along its weights: a power iteration with differences of gradients along vectors; it stops when no unit's norm changes by a tenth. x and y: a sample of rows."""
     y = targets(y, net.layers[-1].n_out, net.layers[-1].kind)
     rng = np.random.default_rng(net.settings.seed)
     psi = [rng.standard_normal(l.weights.shape) for l in net.layers]
-    norms = [1.0] * len(psi)
+    norms = [np.ones(l.n_out) for l in net.layers]
     base = [g[0] / len(x) for g in gradients(net, x, y)[0]]
     for it in range(iterations):
-        unit = [p / max(1e-300, n) for p, n in zip(psi, norms)]
+        unit = [p / np.maximum(1e-300, n)[:, None] for p, n in zip(psi, norms)]
         moved = replace(net, layers=tuple(replace(l, weights=l.weights + alpha * u) for l, u in zip(net.layers, unit)))
         there = [g[0] / len(x) for g in gradients(moved, x, y)[0]]
         psi = [(1 - gamma) * p + gamma * (t - b) / alpha if it else (t - b) / alpha for p, t, b in zip(psi, there, base)]
-        fresh = [float(np.linalg.norm(p)) for p in psi]
-        calm = all(abs(a - b) < 0.1 * max(1e-300, b) for a, b in zip(fresh, norms))
+        fresh = [np.linalg.norm(p, axis=1) for p in psi]
+        calm = all((np.abs(a - b) < 0.1 * np.maximum(1e-300, b)).all() for a, b in zip(fresh, norms))
         norms = fresh
         if it and calm:
             break
-    return replace(net, layers=tuple(replace(l, learning_rate=net.settings.learning_rate / max(1e-12, n)) for l, n in zip(net.layers, norms)))
+    return replace(net, layers=tuple(replace(l, learning_rate=net.settings.learning_rate / np.maximum(1e-12, n)) for l, n in zip(net.layers, norms)))
 
 
 # --- columns ----------------------------------------------------------------------------------------------------------

@@ -79,6 +79,11 @@ def cluster_scores(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(float(ch), float(db))], "ch double, db double").select(r("ch", 4).alias("ch"), r("db").alias("db"))
 
 
+def cluster_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    score = cluster.silhouette(cluster.assign(_points(spark, sf), np.array(CENTRES)))
+    return spark.createDataFrame([(float(score),)], "silhouette double").select(r("silhouette").alias("silhouette"))
+
+
 # --- mixtures over line items -----------------------------------------------------------------------------------------
 
 START = {"priors": (0.4, 0.6), "mu": ((1.5, 2.0), (3.5, 6.0)), "var": (1.0, 4.0)}
@@ -279,7 +284,7 @@ def hashed_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_lloyd_mean_first, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
+    kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_lloyd_mean_first, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, cluster_silhouette, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
     gmm_growth, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
     hmm_baum_welch_continuous, mlp_forward, mlp_predict, mlp_fit, rbm_cd1, autoencoder, synthetic_normals, hashed_blocks)
 QUERIES = {f.__name__: f for f in _ALL} | {f"gmm_em_2_{c}": _em(c) for c in mixture.COVARIANCES}
@@ -458,6 +463,10 @@ b AS (SELECT sum(m.n * ((ax - gx) * (ax - gx) + (ay - gy) * (ay - gy))) AS b, co
 w AS (SELECT m.k, avg(sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay))) AS s, sum((x - ax) * (x - ax) + (y - ay) * (y - ay)) AS w, any_value(ax) AS ax, any_value(ay) AS ay FROM n JOIN m ON m.k = n.k GROUP BY m.k),
 r AS (SELECT a.k, max((a.s + c.s) / sqrt((a.ax - c.ax) * (a.ax - c.ax) + (a.ay - c.ay) * (a.ay - c.ay))) AS r FROM w AS a JOIN w AS c ON a.k <> c.k GROUP BY a.k)
 SELECT round((b / (k - 1)) / ((SELECT sum(w) FROM w) / (n - k)), 4) AS ch, round((SELECT avg(r) FROM r), 6) AS db FROM b""",
+    "cluster_silhouette": f"""WITH {_POINTS}, {_FIXED}, n AS MATERIALIZED ({_nearest('c0')}),
+p AS (SELECT a.id, a.k = b.k AS own, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS s, count(*) AS m FROM n AS a, n AS b GROUP BY a.id, a.k, b.k),
+g AS (SELECT id, max(s / greatest(m - 1, 1)) FILTER (WHERE own) AS a, max(m) FILTER (WHERE own) AS m, min(s / m) FILTER (WHERE NOT own) AS b FROM p GROUP BY id)
+SELECT round(avg(CASE WHEN m > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM g""",
     "gmm_score": f"WITH d AS (SELECT c_custkey AS i, c_acctbal / 1000 AS x, c_nationkey / 4 AS y FROM customer), {_DIAGONAL}, r AS ({_responses('m0')}) SELECT i AS id, round(max(ll), 6) AS log_likelihood, round(max(r) FILTER (WHERE c = 0), 6) AS p0, CAST(max(c) FILTER (WHERE p = 1) AS INTEGER) AS component FROM r GROUP BY i",
     "gmm_estep_stats": f"{_STATS}, n AS (SELECT count(DISTINCT i) AS n FROM r) SELECT CAST(c AS INTEGER) AS c, count(*) FILTER (WHERE p = 1) AS n_hard, round(sum(r) / any_value(n), 6) AS r, round(sum(r * x) / any_value(n), 6) AS rx, round(sum(r * y) / any_value(n), 6) AS ry, round(sum(r * x * x) / any_value(n), 6) AS rxx, round(sum(r * y * y) / any_value(n), 6) AS ryy, round(sum(ll) / any_value(n), 6) AS loglik FROM r, n GROUP BY c",
     "gmm_aic_bic": f"{_STATS} SELECT round((20 - 2 * sum(ll)) / count(*), 6) AS aic, round((10 * ln(count(*)) - 2 * sum(ll)) / count(*), 6) AS bic FROM r WHERE c = 0",

@@ -230,7 +230,14 @@ def test_network_gradients_and_training(spark, blobs):
     _, errors = neural.pretrain(neural.network((2, 4), ("sigmoid",)), df, epochs=2)
     _, mse = neural.finetune(neural.network((2, 2), ("linear",), neural.Settings(learning_rate=0.01)), df, epochs=4)
     assert mse[-1] < mse[0] and len(errors) == 2
-    assert all(l.learning_rate > 0 for l in neural.optimal_rates(net, x, y).layers)
+    rated = neural.optimal_rates(net, x, y)
+    assert all(l.learning_rate.shape == (l.n_out,) and (l.learning_rate > 0).all() for l in rated.layers)
+    grads = [(np.ones_like(l.weights), np.ones(l.n_out), np.zeros(l.n_out), np.zeros(l.n_out)) for l in rated.layers]
+    stepped, _ = neural.update(rated, grads, neural.no_deltas(rated), 1, 1.0, 0.0)
+    for before, after in zip(rated.layers, stepped.layers):
+        np.testing.assert_allclose(before.weights - after.weights, np.repeat(before.learning_rate[:, None], before.n_in, axis=1))
+    l = neural.Layer("binary", np.array([[1.0, -2.0]]), np.array([0.5]), np.array([0.1, 0.2]))
+    np.testing.assert_allclose(neural.free_energy(l, np.array([[1.0, 1.0]])), [-0.3 - np.log1p(np.exp(-0.5))])
 
 
 def test_explore_lists_every_value(spark):
@@ -264,3 +271,37 @@ def test_running_sum_equals_a_plain_one(spark):
         total += n or 0
         assert (found[i] or 0) == total
     assert running_sum(df.filter("id < 0"), ["x", "id"], "n", "upto").count() == 0
+
+
+def test_silhouette_equals_the_pairwise_one(spark):
+    from tessel.operators import cluster
+
+    x = np.random.default_rng(5).normal(size=(60, 2))
+    own = np.r_[np.arange(59) % 3, 3]
+    df = spark.createDataFrame([(a.tolist(), int(c)) for a, c in zip(x, own)], "features array<double>, cluster int")
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    plain = []
+    for i, c in enumerate(own):
+        a = d2[i, own == c].sum() / max(1, (own == c).sum() - 1)
+        b = min(d2[i, own == k].mean() for k in range(4) if k != c)
+        plain.append((b - a) / max(a, b) if (own == c).sum() > 1 else 0.0)
+    assert cluster.silhouette(df) == pytest.approx(np.mean(plain))
+    assert np.isnan(cluster.silhouette(df.filter("cluster = 0")))
+
+
+def test_hmm_starts_and_ends(spark):
+    from tessel.operators import hmm
+
+    df = spark.createDataFrame([(k % 4, k, [float(k % 2) * 10 + k / 100]) for k in range(40)], "seq_id int, t int, features array<double>")
+    means = sorted(float(m.mu[0, 0]) for m in hmm.from_kmeans(df, 2).mixtures)
+    np.testing.assert_allclose(means, [0.19, 10.2], atol=1e-6)
+    seen = {r.features[0] for r in df.collect()}
+    picked = hmm.from_samples(df, 3, 2, seed=1)
+    assert len(picked.mixtures) == 3 and all(float(v) in seen for m in picked.mixtures for v in m.mu.ravel())
+    with pytest.raises(ValueError):
+        hmm.start("semi-continuous", 2, 3)
+    h = hmm.start("discrete", 3, 2, seed=2)
+    b = h.log_emissions(np.array([0, 1, 1]))
+    only = hmm.backward(h, b, terminal=[2])
+    assert only[-1].tolist() == [hmm.LOG_ZERO, hmm.LOG_ZERO, 0.0]
+    np.testing.assert_allclose(np.exp(only[-2]), h.transitions[:, 2] * h.emissions[2, 1])
