@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessel.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
+from tessel.llm import bpe, chat, embedding_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op12_chat_formatting": chat.op12_chat_formatting,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -25,6 +26,7 @@ SQL = {
     "op7_mixing": mixing.SQL,
     "op8_minhash_near_dedup": near_dedup.SQL,
     "op10_secret_scans": secrets.SQL,
+    "op12_chat_formatting": chat.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
