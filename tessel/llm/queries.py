@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessel.llm import bpe, chat, embedding_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
+from tessel.llm import bpe, centroids, chat, embedding_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_secret_scans": secrets.op10_secret_scans,
     "op12_chat_formatting": chat.op12_chat_formatting,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -27,6 +28,7 @@ SQL = {
     "op8_minhash_near_dedup": near_dedup.SQL,
     "op10_secret_scans": secrets.SQL,
     "op12_chat_formatting": chat.SQL,
+    "op13_centroid_clustering": centroids.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
