@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessel.llm import bpe, centroids, chat, embedding_dedup, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
+from tessel.llm import bpe, centroids, chat, embedding_dedup, hard_negatives, html_text, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_chat_formatting": chat.op12_chat_formatting,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
     "pipeline": corpus_pipeline.run,
@@ -27,6 +28,7 @@ SQL = {
     "op7_mixing": mixing.SQL,
     "op8_minhash_near_dedup": near_dedup.SQL,
     "op10_secret_scans": secrets.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op12_chat_formatting": chat.SQL,
     "op13_centroid_clustering": centroids.SQL,
 }
