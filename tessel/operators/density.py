@@ -12,7 +12,7 @@ from tessel.plans.stats import against_all, chunks, matrix, sqdist_rows
 
 
 def _log_sums(queries: DataFrame, data: DataFrame, h: float, label: str | None) -> DataFrame:
-    """(qid[, label], top, total): per task, the largest exponent and the sum of exponentials below it."""
+    """(qid[, label], top, total): per cell of the grid, the largest exponent and the sum of exponentials below it."""
     def update(state: dict, x: np.ndarray, batch: dict) -> None:
         rows = matrix(batch["features"])
         labels = batch[label].to_numpy(zero_copy_only=False) if label else np.zeros(len(rows), np.int64)
@@ -42,7 +42,7 @@ def _constant(h: float, dim: int | None) -> float:
 def log_density(queries: DataFrame, data: DataFrame, h: float = 1.0, label: str | None = None, dim: int | None = None) -> DataFrame:
     """(qid[, label], log_density) of queries (qid, features) under a Gaussian kernel on every row of data (features[, label]).
 
-    One scan of data; no pair is a row. Tasks' sums are combined with their largest exponents taken off.
+    One scan of data; no pair is a row. Cells' sums are combined with their largest exponents taken off.
     """
     sums = _log_sums(queries, data, h, label)
     keys = ["qid", "label"]

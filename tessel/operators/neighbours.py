@@ -1,22 +1,24 @@
-"""Exact nearest neighbours, classification by them, and a ball tree as a table."""
+"""Exact nearest neighbours, classification by them, a ball tree as tables, and search by its leaves."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.vectors import dot, sqdist
 from tessel.plans.stats import against_all, chunks, matrix, sqdist_rows
-from tessel.plans.tables import running_sum, written
+from tessel.plans.tables import written
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """(qid, rank, id, d2): of each query (qid, features) the k rows of data (id, features) at the least squared distance, ties by id.
 
-    Each task keeps its own k best for each query; k rows a query and task are shuffled.
+    A grid of queries and rows; a cell keeps its own k best for each query, and k rows a query and line are shuffled.
     """
     def update(state: dict, x: np.ndarray, batch: dict) -> None:
         rows, ids = matrix(batch["features"]), batch["id"].to_numpy()
@@ -34,7 +36,7 @@ def nearest(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
         d, i = state["best"]
         return np.repeat(np.arange(len(x)), d.shape[1]), i.ravel(), d.ravel()
 
-    found = against_all(queries, data.select(F.col("id").cast("bigint").alias("id"), "features"), update, finish, ["id", "d2"], "id bigint, d2 double", block=10_000)
+    found = against_all(queries, data.select(F.col("id").cast("bigint").alias("id"), "features"), update, finish, ["id", "d2"], "id bigint, d2 double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "rank", "id", "d2")
 
@@ -47,49 +49,275 @@ def classify(queries: DataFrame, data: DataFrame, k: int, label: str = "label")
     return votes.withColumn("_p", place).filter("_p = 1").select("qid", F.col("_label").alias("predicted"))
 
 
-def ball_tree(data: DataFrame, min_split: int | None = None, seed: int = 0) -> DataFrame:
-    """(node, parent, depth, n, center, radius2, leaf) of a ball tree over data (id, features), the root being node 1, the children of a node 2n and 2n + 1.
+#: Rows of a subtree that one task finishes, about; rows of the sample that routes to them. A tree of no more rows than a subtree's is built from all of them, exactly.
+SUBTREE, SAMPLE = 100_000, 65_536
+#: Queries that meet the rows of a leaf in one task.
+LEAF_QUERIES = 4_096
 
-    A node of fewer than min_split rows (by default the root of all rows' number, rounded up) is a leaf. Otherwise a row by seeded hash
-    gives the farthest row from it, that one its farthest row in turn, and rows split at the middle place of their projection on the
-    line between the two, the odd row to the right. One pass of aggregations for each level.
+
+def _split(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The direction along which rows split, and their order by it, ids at ties: from the row of the least id the farthest row, from that one the farthest in turn, and the line between the two."""
+    far = lambda origin: x[np.lexsort((ids, -sqdist_rows(x, origin[None])[:, 0]))[0]]
+    one = far(x[np.argmin(ids)])
+    line = one - far(one)
+    return line, np.lexsort((ids, _along(x, line)))
+
+
+def _along(x: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Projections of rows on a line, summed coordinate by coordinate."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * line[d]
+    return out
+
+
+def _subtree(x: np.ndarray, ids: np.ndarray, root: int, least: int) -> tuple[list[tuple], np.ndarray]:
+    """Nodes (node, n, center, radius2, leaf) below and with root, and the leaf of each row."""
+    nodes, leaf, todo = [], np.zeros(len(x), np.int64), [(root, np.arange(len(x)))]
+    while todo:
+        node, at = todo.pop()
+        rows = x[at]
+        centre = rows.mean(axis=0)
+        small = len(at) < least
+        nodes.append((node, len(at), centre, float(sqdist_rows(rows, centre[None]).max()), small))
+        if small:
+            leaf[at] = node
+            continue
+        order = at[_split(rows, ids[at])[1]]
+        todo += [(2 * node, order[: len(at) // 2]), (2 * node + 1, order[len(at) // 2 :])]
+    return nodes, leaf
+
+
+def _routes(sample: DataFrame, depth: int) -> dict[int, tuple[np.ndarray, float, int]]:
+    """Of each node above depth the direction, place and hash at which a sample splits in halves: a row goes right if (its place, its hash) is not below. Rows of one place are told apart by hash, so that equal rows are dealt to both sides."""
+    rows = sample.collect()
+    x, key = np.array([r["features"] for r in rows], float), np.array([r["key"] for r in rows], np.int64)
+    routes, here = {}, {1: np.arange(len(x))}
+    for _ in range(depth):
+        below = {}
+        for node, at in here.items():
+            line, _ = _split(x[at], key[at])
+            along = _along(x[at], line)
+            order = np.lexsort((key[at], along))
+            middle = order[len(at) // 2]
+            routes[node] = line, float(along[middle]), int(key[at][middle])
+            below |= {2 * node: at[order[: len(at) // 2]], 2 * node + 1: at[order[len(at) // 2 :]]}
+        here = below
+    return routes
+
+
+@dataclass(frozen=True)
+class Tree:
+    """nodes: (node, parent, depth, n, center, radius2, leaf), the root being node 1, the children of a node 2n and 2n + 1; rows: (id, features, leaf), leaf being the node that holds the row."""
+
+    nodes: DataFrame
+    rows: DataFrame
+
+
+def grow(data: DataFrame, min_split: int | None = None) -> Tree:
+    """A ball tree over data (id, features). A node of fewer than min_split rows (by default the root of all rows' number, rounded up) is a leaf; ids tell rows apart.
+
+    Otherwise the row of the least id gives the farthest row from it, that one its farthest row in turn, and rows split at the middle place of their projection on the
+    line between the two, the odd row to the right. So it is from each subtree of SUBTREE rows or so down, which one task finishes. What is above is split by a sample of SAMPLE rows,
+    whose halves are only nearly those of all rows; the driver holds the sample and one direction for each of these nodes. All rows are shuffled once and written once, whatever
+    the depth; the upper nodes' centres are sums of their subtrees', and one more pass has their radii.
     """
+    data = data.select(F.col("id").cast("bigint").alias("id"), "features")
     n = data.count()
     least = min_split or max(2, math.ceil(math.sqrt(n)))
-    rows = written(data.select(F.col("id").cast("bigint").alias("id"), "features").withColumn("node", F.lit(1).cast("bigint")), "tree")
-    done, depth = None, 0
-    while True:
-        centres = _centres(rows)
-        far = rows.join(centres, "node")
-        radius = far.groupBy("node").agg(F.max(sqdist(F.col("features"), F.col("center"))).alias("radius2"))
-        here = centres.join(radius, "node").select(
-            "node", F.when(F.col("node") > 1, F.shiftright("node", 1)).alias("parent"), F.lit(depth).alias("depth"), "n", "center", "radius2", (F.col("n") < least).alias("leaf"))
-        here = written(here, "tree-level")
-        done = here if done is None else done.unionByName(here)
-        split = here.filter(~F.col("leaf")).select("node", F.col("n").alias("_n"))
-        inner = rows.join(split, "node")
-        if not inner.head(1):
-            return done
-        start = inner.groupBy("node").agg(F.min_by("features", F.struct(F.xxhash64(F.lit(seed), "id"), "id")).alias("x0"))
-        one = _farthest(inner.join(start, "node"), "x0", "x1")
-        two = _farthest(inner.join(one, "node"), "x1", "x2")
-        line = inner.join(one.join(two, "node"), "node").withColumn("_at", dot(F.col("features"), F.zip_with("x1", "x2", lambda a, b: a - b)))
-        # places are counted over all nodes at once: the root's rows are dealt to ranges, not to one task
-        placed = running_sum(line.select("id", "features", "node", "_n", "_at", F.lit(1).alias("_one")), ["node", "_at", "id"], "_one", "_p")
-        first = placed.groupBy("node").agg(F.min("_p").alias("_first"))
-        right = (F.col("_p") - F.col("_first") >= F.floor(F.col("_n") / 2)).cast("long")
-        rows = written(placed.join(first, "node").select("id", "features", (2 * F.col("node") + right).alias("node")), "tree")
-        depth += 1
-
-
-def _farthest(rows: DataFrame, origin: str, name: str) -> DataFrame:
-    """For each node the row farthest from origin, the least id at ties."""
-    return rows.groupBy("node").agg(F.max_by("features", F.struct(sqdist(F.col("features"), F.col(origin)), -F.col("id"))).alias(name))
-
-
-def _centres(rows: DataFrame) -> DataFrame:
-    """(node, n, center): the means of the nodes' rows."""
-    each = rows.select("node", F.posexplode("features").alias("d", "x")).groupBy("node", "d").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    return each.groupBy("node").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("center"))
+    depth = max(0, math.ceil(math.log2(max(1, n) / SUBTREE)))
+    key = F.xxhash64(F.lit(1), "id")
+    routes = _routes(data.withColumn("key", key).orderBy(F.xxhash64("id"), "id").limit(SAMPLE), depth) if depth else {}
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = np.ones(batch.num_rows, np.int64)
+            if batch.num_rows and routes:
+                x, keys = matrix(batch.column("features")), batch.column("key").to_numpy()
+                for _ in range(depth):
+                    for here in np.unique(node).tolist():
+                        at = np.flatnonzero(node == here)
+                        line, place, cut = routes[here]
+                        along = _along(x[at], line)
+                        node[at] = 2 * here + ((along > place) | ((along == place) & (keys[at] >= cut)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("features"), pa.array(node)], ["id", "features", "node"])
+
+    names, schema = ["id", "features", "leaf", "n", "radius2", "small"], "id bigint, features array<double>, leaf bigint, n bigint, radius2 double, small boolean"
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (id, features, leaf), and nodes with the node in leaf, no id, and the centre in features."""
+        def out(root: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            x, ids = matrix(t.column("features")), t.column("id").to_numpy()
+            nodes, leaf = _subtree(x, ids, root, least)
+            none = pa.nulls(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), t.column("features").combine_chunks(), pa.array(leaf), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.bool_())], names)
+            node, count, centre, radius2, small = zip(*nodes)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(node)).cast(pa.int64()), pa.array([c.tolist() for c in centre], pa.list_(pa.float64())), pa.array(node, pa.int64()), pa.array(count, pa.int64()), pa.array(radius2), pa.array(small)], names)
+
+        held, at = [], None
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and node[a] != at:
+                    yield from out(at, held)
+                    held = []
+                at = int(node[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from out(at, held)
+
+    tasks = min(1 << depth, 20_000)
+    routed = data.withColumn("key", key).mapInArrow(route, "id bigint, features array<double>, node bigint").repartitionById(tasks, F.pmod("node", F.lit(tasks)).cast("int")).sortWithinPartitions("node")
+    both = written(routed.mapInArrow(finish, schema), "tree")
+    rows = both.filter("id is not null").select("id", "features", "leaf")
+    lower = both.filter("id is null").select(F.col("leaf").alias("node"), "n", F.col("features").alias("center"), "radius2", F.col("small").alias("leaf"))
+    nodes = lower.unionByName(_upper(lower, rows, depth)) if depth else lower
+    level = F.length(F.bin("node")) - 1
+    return Tree(nodes.select("node", F.when(F.col("node") > 1, F.shiftright("node", 1)).alias("parent"), level.alias("depth"), "n", "center", "radius2", "leaf"), rows)
+
+
+def _upper(lower: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+    """The nodes above the subtrees: exact numbers, centres and radii over all their rows."""
+    roots = lower.filter((F.col("node") >= 1 << depth) & (F.col("node") < 2 << depth))
+    above = roots.select(F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("up"), "node", "n", F.posexplode("center").alias("d", "m")).select(F.expr("shiftright(node, up)").alias("node"), "n", "d", "m")
+    by_axis = above.groupBy("node", "d").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"))
+    centres = written(by_axis.groupBy("node").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("center")), "tree-upper")
+    held = {r["node"]: np.array(r["center"]) for r in centres.collect()}  # a node for each pair of subtrees
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[int, float] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x, leaf = matrix(batch.column("features")), batch.column("leaf").to_numpy()
+                above = leaf >> (np.floor(np.log2(leaf)).astype(np.int64) - depth)
+                for up in range(1, depth + 1):
+                    for node in np.unique(above >> up).tolist():
+                        gap = float(sqdist_rows(x[above >> up == node], held[node][None]).max())
+                        most[node] = max(most.get(node, 0.0), gap)
+        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int64()), pa.array(list(most.values()), pa.float64())], ["node", "r"])
+
+    radius = rows.select("features", "leaf").mapInArrow(far, "node bigint, r double").groupBy("node").agg(F.max("r").alias("radius2"))
+    return centres.join(radius, "node").select("node", "n", "center", "radius2", F.lit(False).alias("leaf"))
+
+
+def ball_tree(data: DataFrame, min_split: int | None = None) -> DataFrame:
+    """The nodes of grow()."""
+    return grow(data, min_split).nodes
+
+
+@dataclass(frozen=True)
+class Search:
+    """found: (qid, rank, id, d2), as nearest() has it; pairs: how many pairs of a query and a row were compared, of how many there are."""
+
+    found: DataFrame
+    pairs: int
+    of: int
+
+
+def search(queries: DataFrame, tree: Tree, k: int) -> Search:
+    """The k nearest rows of each query (qid, features), exactly, by the leaves of a tree.
+
+    A first pass over (query, leaf) has of each query the leaf nearest to it, and a distance within which leaves are sure to hold k rows. That leaf's rows give the distance of the kth best so far,
+    a second pass the leaves whose ball comes as near as that; these are read, and what both readings found is ranked. Balls are taken a little larger than they are, so that rounding excludes none.
+    """
+    leaves = tree.nodes.filter("leaf").select(F.col("node").alias("id"), F.col("center").alias("features"), F.sqrt("radius2").alias("radius"), "n")
+    leaves, asked = written(leaves, "leaves"), written(queries.select(F.col("qid").cast("bigint").alias("qid"), "features"), "asked")
+    first = written(_nearest_leaves(asked, leaves, k), "first")
+    top = written(_read(asked, tree.rows, first.select("qid", "leaf"), k), "tops")
+    reach = first.join(top.groupBy("qid").agg(F.max("d2").alias("kth"), F.count(F.lit(1)).alias("held")), "qid", "left").select(
+        "qid", F.col("leaf").alias("seen"), F.least(F.when(F.col("held") >= k, F.sqrt("kth")), F.col("sure")).alias("reach"))
+    rest = written(_leaves_within(asked.join(reach, "qid"), leaves), "rest")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id"))
+    found = top.unionByName(_read(asked, tree.rows, rest, k)).withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "rank", "id", "d2")
+    size = leaves.select(F.col("id").alias("leaf"), "n")
+    pairs = rest.unionByName(first.select("qid", "leaf")).join(size, "leaf").agg(F.sum("n")).first()[0] or 0
+    rows = leaves.agg(F.sum("n")).first()[0] or 0
+    return Search(found, pairs, rows * asked.count())
+
+
+def _gaps(x: np.ndarray, batch: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of queries from centres, and radii, with a margin for rounding."""
+    d, r = np.sqrt(sqdist_rows(x, matrix(batch["features"]))), batch["radius"].to_numpy()
+    return d, r + 1e-9 * (1 + r + d)
+
+
+def _nearest_leaves(asked: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
+    """(qid, leaf, sure): the leaf of the nearest centre, and the least distance within which the leaves seen at once hold k rows for sure; infinite if they never do."""
+    def update(state: dict, x: np.ndarray, batch: dict) -> None:
+        best = state.setdefault("best", [np.full(len(x), np.inf), np.zeros(len(x), np.int64), np.full(len(x), np.inf)])
+        ids, n = batch["id"].to_numpy(), batch["n"].to_numpy()
+        for q in chunks(len(x), len(ids)):
+            part = {c: batch[c] for c in ("features", "radius")}
+            d, r = _gaps(x[q], part)
+            at = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, 0]
+            near = d[np.arange(len(d)), at]
+            closer = (near < best[0][q]) | ((near == best[0][q]) & (ids[at] < best[1][q]))
+            best[0][q], best[1][q] = np.where(closer, near, best[0][q]), np.where(closer, ids[at], best[1][q])
+            order = np.argsort(d + r, axis=1, kind="stable")
+            enough = np.cumsum(n[order], axis=1) >= k
+            sure = np.where(enough.any(axis=1), np.take_along_axis(d + r, order, 1)[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
+            best[2][q] = np.minimum(best[2][q], sure)
+
+    def finish(state: dict, x: np.ndarray) -> tuple:
+        d, leaf, sure = state["best"]
+        return np.arange(len(x)), leaf, d, sure
+
+    each = against_all(asked, leaves, update, finish, ["leaf", "d", "sure"], "leaf bigint, d double, sure double")
+    return each.groupBy("qid").agg(F.min_by("leaf", F.struct("d", "leaf")).alias("leaf"), F.min("sure").alias("sure"))
+
+
+def _leaves_within(asked: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(qid, leaf): of queries (qid, features, seen, reach) the leaves beside seen whose balls come as near as reach."""
+    packed = asked.select("qid", F.concat("features", F.array(F.col("reach"), F.col("seen").cast("double"))).alias("features"))
+
+    def update(state: dict, x: np.ndarray, batch: dict) -> None:
+        out, ids = state.setdefault("out", []), batch["id"].to_numpy()
+        for q in chunks(len(x), len(ids)):
+            d, r = _gaps(x[q, :-2], batch)
+            i, j = np.nonzero((d - r <= x[q, -2:-1]) & (ids != x[q, -1:]))
+            out.append((i + q.start, ids[j]))
+
+    def finish(state: dict, x: np.ndarray) -> tuple:
+        return tuple(np.concatenate(c) for c in zip(*state["out"]))
+
+    return against_all(packed, leaves, update, finish, ["leaf"], "leaf bigint")
+
+
+def _read(asked: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(qid, id, d2): of each query the k best rows of each leaf that pairs (qid, leaf) ask of it. A leaf that many queries ask meets them in parts of LEAF_QUERIES or so."""
+    parts = written(pairs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF_QUERIES)).alias("parts")), "parts")
+    cell = F.xxhash64("leaf", "part").alias("cell")
+    left = pairs.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).join(asked, "qid").select(cell, F.lit(0).alias("side"), F.col("qid").alias("id"), "features")
+    right = rows.join(parts, "leaf").select("leaf", "id", "features", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).select(cell, F.lit(1).alias("side"), "id", "features")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def best(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            side, ids, x = t.column("side").to_numpy(), t.column("id").to_numpy(), matrix(t.column("features"))
+            asks, has = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for q in chunks(len(asks), max(1, len(has))):
+                d = sqdist_rows(x[asks[q]], x[has])
+                i = np.broadcast_to(ids[has], d.shape)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks[q]], order.shape[1])), pa.array(np.take_along_axis(i, order, 1).ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["qid", "id", "d2"])
 
+        held, at = [], None
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and cells[a] != at:
+                    yield from best(held)
+                    held = []
+                at = cells[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from best(held)
 
+    return left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "qid bigint, id bigint, d2 double")

@@ -173,6 +173,18 @@ def ball_tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return tree.select("node", "parent", "depth", "n", r(F.get("center", 0)).alias("x"), r(F.get("center", 1)).alias("y"), r("radius2").alias("radius2"), "leaf")
 
 
+def ball_tree_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of each embedding by the leaves of a ball tree: what knn_topk gives."""
+    tree = neighbours.grow(_embedded(spark, sf, "id").select("id", "features"))
+    return neighbours.search(_embedded(spark, sf, "qid").select("qid", "features"), tree, 5).found.select("qid", "rank", "id", r("d2").alias("d2"))
+
+
+def ball_tree_search_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over customers in the plane, where most leaves are out of reach."""
+    points = _points(spark, sf)
+    return neighbours.search(points.withColumnRenamed("id", "qid"), neighbours.grow(points), 5).found.select("qid", "rank", "id", r("d2").alias("d2"))
+
+
 # --- sequences of events ----------------------------------------------------------------------------------------------
 
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -285,7 +297,7 @@ def hashed_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_lloyd_mean_first, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, cluster_silhouette, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
-    gmm_growth, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
+    gmm_growth, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, ball_tree_search, ball_tree_search_points, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
     hmm_baum_welch_continuous, mlp_forward, mlp_predict, mlp_fit, rbm_cd1, autoencoder, synthetic_normals, hashed_blocks)
 QUERIES = {f.__name__: f for f in _ALL} | {f"gmm_em_2_{c}": _em(c) for c in mixture.COVARIANCES}
 
@@ -310,6 +322,24 @@ def _unrolled(start: str, steps: int, first: int = 0) -> str:
     return ", ".join(parts)
 
 
+def _ball_tree(levels: int) -> str:
+    """The nodes of a tree of up to so many levels, each level from the rows of the one above."""
+    parts = ["least AS (SELECT greatest(2, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS least FROM d)", "t0 AS MATERIALIZED (SELECT id, x, y, 1::BIGINT AS node FROM d)"]
+    farthest = lambda of, origin, i: f"SELECT node, x AS ox, y AS oy FROM (SELECT t.node, t.x, t.y, row_number() OVER (PARTITION BY t.node ORDER BY (t.x - o.ox) * (t.x - o.ox) + (t.y - o.oy) * (t.y - o.oy) DESC, t.id) AS p FROM {of} AS t JOIN {origin} AS o ON o.node = t.node) WHERE p = 1"
+    for i in range(levels):
+        parts += [
+            f"n{i} AS MATERIALIZED (SELECT node, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM t{i} GROUP BY node)",
+            f"g{i} AS MATERIALIZED (SELECT n.node, {i} AS depth, any_value(n.n) AS n, any_value(cx) AS cx, any_value(cy) AS cy, max((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS radius2 FROM n{i} AS n JOIN t{i} AS t ON t.node = n.node GROUP BY n.node)",
+            f"s{i} AS MATERIALIZED (SELECT t.*, n.n FROM t{i} AS t JOIN n{i} AS n ON n.node = t.node WHERE n.n >= (SELECT least FROM least))",
+            f"a{i} AS MATERIALIZED (SELECT node, arg_min(x, id) AS ox, arg_min(y, id) AS oy FROM s{i} GROUP BY node)",
+            f"b{i} AS MATERIALIZED ({farthest(f's{i}', f'a{i}', i)})",
+            f"e{i} AS MATERIALIZED ({farthest(f's{i}', f'b{i}', i)})",
+            f"t{i + 1} AS MATERIALIZED (SELECT id, x, y, 2 * node + CASE WHEN p > n // 2 THEN 1 ELSE 0 END AS node FROM (SELECT s.id, s.x, s.y, s.node, s.n, row_number() OVER (PARTITION BY s.node ORDER BY s.x * (b.ox - e.ox) + s.y * (b.oy - e.oy), s.id) AS p FROM s{i} AS s JOIN b{i} AS b ON b.node = s.node JOIN e{i} AS e ON e.node = s.node))",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(levels))
+    return f"WITH {_POINTS}, {', '.join(parts)} SELECT node, CASE WHEN node > 1 THEN node // 2 END AS parent, CAST(depth AS INTEGER) AS depth, n, round(cx, 6) AS x, round(cy, 6) AS y, round(radius2, 6) AS radius2, n < (SELECT least FROM least) AS leaf FROM ({every})"
+
+
 _SHOW = "SELECT CAST(k AS INTEGER) AS cluster, round(cx, 6) + 0.0::DOUBLE AS x, round(cy, 6) + 0.0::DOUBLE AS y FROM "
 
 
@@ -473,6 +503,9 @@ SELECT round(avg(CASE WHEN m > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) A
     "gmm_split": f"WITH {_ROWS}, {_DIAGONAL}, {', '.join(_em_parts(0, 'diagonal'))}, {_split_part(1, 2)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2",
     "gmm_growth": _growth_sql((1, 2, 4), 12),
     "knn_topk": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
+    "ball_tree_nodes": _ball_tree(12),
+    "ball_tree_search": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
+    "ball_tree_search_points": f"WITH {_POINTS} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM (SELECT a.id AS qid, b.id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM d AS a, d AS b)) WHERE rank <= 5",
     "knn_classify": f"WITH {_NEAR} SELECT qid, label AS predicted FROM (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, label) AS p FROM n WHERE rank <= 5 GROUP BY qid, label) WHERE p = 1",
     "hmm_transition_counts": f"WITH {_SEQ}, m AS (SELECT o AS i, lead(o) OVER (PARTITION BY seq_id ORDER BY t) AS j FROM q) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY i)), 6) AS p FROM m WHERE j IS NOT NULL GROUP BY i, j",
     "hmm_forward_loglik": _LOGLIK,

@@ -1,4 +1,4 @@
-"""Sufficient statistics in one distributed aggregation, and stated queries against all rows in blocks.
+"""Sufficient statistics in one distributed aggregation, and stated queries against all rows in a grid.
 
 A training step is a fold: every Arrow batch of rows becomes one row of partial sums per key, a groupBy sums them. Keys are few
 (components, classes, layers), so what reaches the driver does not grow with the data.
@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Query rows that one scan holds; more queries are more scans.
-QUERY_BLOCK = 50_000
+#: Queries that a task holds while it streams rows past them; and the most tasks that a grid of queries and rows is dealt to.
+QUERY_BLOCK, MOST_TASKS = 16_384, 20_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -57,35 +57,55 @@ def dimension(data: DataFrame, column: str = "features") -> int:
     return low
 
 
-def against_all(queries: DataFrame, data: DataFrame, update: Callable[[dict, np.ndarray, dict[str, pa.Array]], None], finish: Callable[[dict, np.ndarray], tuple], names: Sequence[str], schema: str, block: int = QUERY_BLOCK) -> DataFrame:
-    """Every query against every row of data: (qid, then names), rows from each task to be combined by the caller.
+def against_all(queries: DataFrame, data: DataFrame, update: Callable[[dict, np.ndarray, dict[str, pa.Array]], None], finish: Callable[[dict, np.ndarray], tuple], names: Sequence[str], schema: str) -> DataFrame:
+    """Every query against every row of data: (qid, then names), rows from each cell of a grid to be combined by the caller.
 
-    queries is (qid long, features). A task keeps one state (a dict, empty at first) over its batches; update changes it by a batch,
-    finish gives the queries' indices and then a column for each of names. Queries are held block by block, each block with a scan of
-    data; block bounds what a task holds and what is sent to it.
+    Queries (qid long, features) are dealt to columns of about QUERY_BLOCK queries, rows of data to lines; where they meet, a task holds the queries of its column
+    and streams the rows of its line past them, so memory does not grow with the rows. One shuffle: a row goes to every column, a query to every line.
+    Lines are as many as make the cells enough for all cores. A row's line is a hash of all its columns, so that a task that runs again sees the same rows;
+    data without a column that tells equal rows apart keeps these in one line.
+
+    A cell keeps one state (a dict, empty at first) over its batches; update changes it by a batch, finish gives the queries' indices and then a column for each of names.
     """
-    from tessel.plans.tables import written
-
-    parts = None
-    numbered = written(queries.select(F.col("qid").cast("bigint").alias("qid"), "features"), "queries")
-    blocks = max(1, -(-numbered.count() // block))
-    columns = data.columns
-    for k in range(blocks):
-        held = (numbered.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else numbered).orderBy("qid").collect()
-        ids, x = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], float)
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pa.RecordBatch]:
-            state: dict = {}
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    update(state, x, {c: batch.column(c) for c in columns})
+    spark = data.sparkSession
+    columns = max(1, -(-queries.count() // QUERY_BLOCK))
+    lines = max(1, -(-2 * spark.sparkContext.defaultParallelism // columns))
+    cells, kept = columns * lines, data.columns
+    dealt = lambda over, n: F.pmod(F.xxhash64(*over), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("qid").cast("bigint").alias("_qid"), "features", dealt(["qid"], columns).alias("_column")).select("*", upto(lines).alias("_line")).withColumn("_side", F.lit(0))
+    right = data.select("*", dealt(kept, lines).alias("_line")).select("*", upto(columns).alias("_column")).withColumn("_side", F.lit(1))
+    met = left.unionByName(right, allowMissingColumns=True).withColumn("_cell", F.col("_column") * lines + F.col("_line")).drop("_column", "_line")
+    tasks = min(cells, MOST_TASKS)
+    met = met.repartitionById(tasks, F.pmod("_cell", F.lit(tasks))).sortWithinPartitions("_cell", "_side", "_qid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, ids, held, x, at = {}, [], [], None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
             if state:
-                at, *values = finish(state, x)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(v) for v in values]], ["qid", *names])
+                who, *values = finish(state, x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)[who]), *[pa.array(v) for v in values]], ["qid", *names])
 
-        scan = data.mapInArrow(run, f"qid bigint, {schema}")
-        parts = scan if parts is None else parts.unionByName(scan)
-    return parts
+        for batch in batches:
+            cell, side = (batch.column(c).to_numpy() for c in ("_cell", "_side"))
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if cell[a] != at:
+                    yield from done()
+                    state, ids, held, x, at = {}, [], [], None, cell[a]
+                part = batch.slice(a, b - a)
+                if side[a] == 0:
+                    ids.append(part.column("_qid").to_numpy(zero_copy_only=False).astype(np.int64))
+                    held.append(matrix(part.column("features")))
+                elif held:
+                    x = np.concatenate(held) if x is None else x
+                    update(state, x, {c: part.column(c) for c in kept})
+        yield from done()
+
+    return met.mapInArrow(run, f"qid bigint, {schema}")
 
 
 def chunks(n: int, width: int, cells: int = 2_000_000) -> Iterator[slice]:

@@ -146,6 +146,59 @@ def test_neighbours(blobs):
     assert all(t.n < 20 for t in tree.values() if t.leaf)
 
 
+def test_a_grid_of_queries_and_rows(spark, blobs, monkeypatch):
+    """Many columns and lines give what one cell gives, from one scan of the rows and no collected query."""
+    from tessel.plans import stats
+
+    df, x, _ = blobs
+    q = df.select(F.col("id").alias("qid"), "features")
+    whole = sorted(tuple(r) for r in neighbours.nearest(q, df, 3).collect())
+    dense = {r.qid: r.log_density for r in density.log_density(q, df, 1.0).collect()}
+    monkeypatch.setattr(stats, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(stats, "MOST_TASKS", 5)
+    plan = neighbours.nearest(q, df, 3)
+    assert sorted(tuple(r) for r in plan.collect()) == whole
+    got = {r.qid: r.log_density for r in density.log_density(q, df, 1.0).collect()}
+    assert got.keys() == dense.keys() and all(abs(got[k] - dense[k]) < 1e-9 for k in got)
+    assert neighbours.nearest(q.limit(0), df, 3).count() == 0 and neighbours.nearest(q, df.limit(0), 3).count() == 0
+
+
+def test_a_tree_above_subtrees(spark, monkeypatch):
+    """Upper levels from a sample: nodes hold all rows of their leaves, with exact centres and radii; equal rows are dealt to both sides."""
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(size=(700, 3)), np.repeat([[1.0, 2.0, 3.0]], 500, axis=0)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+    monkeypatch.setattr(neighbours, "SUBTREE", 200)
+    monkeypatch.setattr(neighbours, "SAMPLE", 300)
+    tree = neighbours.grow(df, 25)
+    leaf = {r.id: r.leaf for r in tree.rows.collect()}
+    nodes = {r.node: r for r in tree.nodes.collect()}
+    assert sorted(leaf) == list(range(len(x))) and set(leaf.values()) == {n for n, t in nodes.items() if t.leaf}
+    for n, t in nodes.items():
+        own = [i for i, at in leaf.items() if at >> (at.bit_length() - n.bit_length()) == n and at.bit_length() >= n.bit_length()]
+        assert t.n == len(own) and np.allclose(t.center, x[own].mean(axis=0)) and np.isclose(t.radius2, ((x[own] - np.array(t.center)) ** 2).sum(axis=1).max())
+        assert t.leaf == (len(own) < 25) and t.depth == n.bit_length() - 1 and t.parent == (n >> 1 or None)
+    assert max(t.n for t in nodes.values() if t.depth == 3) < 300
+
+
+def test_search_by_leaves(spark, monkeypatch):
+    """On clustered rows what nearest() finds, ties included, from less than a third of the pairs."""
+    rng = np.random.default_rng(13)
+    x = np.r_[np.repeat(rng.normal(size=(12, 4)) * 20, 60, axis=0) + rng.normal(size=(720, 4)), np.repeat([[1.0, 2.0, 3.0, 4.0]], 80, axis=0)]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+    q = df.filter("id % 3 = 0").select(F.col("id").alias("qid"), "features").union(spark.createDataFrame([(-1, [500.0, 0.0, 0.0, 0.0])], "qid long, features array<double>"))
+    want = sorted(tuple(r) for r in neighbours.nearest(q, df, 7).collect())
+    for leaf_queries in (4096, 10):
+        monkeypatch.setattr(neighbours, "LEAF_QUERIES", leaf_queries)
+        out = neighbours.search(q, neighbours.grow(df), 7)
+        assert sorted(tuple(r) for r in out.found.collect()) == want
+        assert out.of == len(x) * q.count() and out.pairs < out.of / 3
+    # more neighbours than a leaf holds, and than there are rows
+    few = df.filter("id < 9")
+    got = neighbours.search(q, neighbours.grow(few, 3), 20).found
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in neighbours.nearest(q, few, 20).collect())
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([(1, 0.5, "b", 3), (2, 99.0, "a", None), (3, float("nan"), None, 7), (4, -1e9, "zz", 1)], "id long, x double, s string, n int")
     rbf = [r[0] for r in df.filter("id <> 3").orderBy("id").select(features.rbf_range(F.col("x"), (0.0, 1.0), 4)).collect()]
