@@ -223,7 +223,7 @@ def hmm_viterbi_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hmm_viterbi_path(spark: SparkSession, sf: str) -> DataFrame:
-    return hmm.viterbi(_model(), _symbols(spark, sf)).select("seq_id", F.posexplode("path").alias("t", "state"))
+    return hmm.best_states(_model(), _symbols(spark, sf)).select("seq_id", "t", "state")
 
 
 def hmm_posteriors(spark: SparkSession, sf: str) -> DataFrame:

@@ -226,6 +226,58 @@ def paths(t, s):
     return np.array(np.meshgrid(*[range(s)] * t, indexing="ij")).reshape(t, -1).T
 
 
+def _long_sequences(spark):
+    rng = np.random.default_rng(21)
+    sizes = {1: 1, 2: 2, 3: 7, 4: 150, 5: 1000, 6: 64}
+    data = {k: (rng.integers(0, 3, n), rng.normal(size=(n, 2))) for k, n in sizes.items()}
+    rows = [(k, 3 * t + 5, int(o[t]), [float(v) for v in x[t]]) for k, (o, x) in data.items() for t in range(len(o))]
+    return data, spark.createDataFrame(rows, "seq_id long, t long, symbol int, features array<double>").repartition(5)
+
+
+def test_chunks_of_long_sequences(spark, monkeypatch):
+    """Cut in many chunks, sequences have the likelihoods, posteriors, paths and statistics that the recursions over each whole one give."""
+    data, df = _long_sequences(spark)
+    moves = np.array([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.1, 0.8]])
+    models = [hmm.Hmm(np.array([0.5, 0.3, 0.2]), moves, np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]])), hmm.continuous(np.array([[0.0, 1.0], [1.0, -1.0]])), hmm.discrete(5, 3, left_to_right=True, seed=2)]
+    for h in models:
+        m, whole = h.emitting, {}
+        for size in (10**6, 60):
+            monkeypatch.setattr(hmm, "CHUNK", size)
+            monkeypatch.setattr(hmm, "CHUNK_STATES", 0)
+            assert hmm.chunked(m, df)[1] == (size == 60)
+            z = {r.seq_id: r.log_likelihood for r in hmm.log_likelihoods(h, df).collect()}
+            gamma, path = {k: {} for k in data}, {k: {} for k in data}
+            for r in hmm.posteriors(h, df).collect():
+                gamma[r.seq_id][r.t] = r.gamma
+            for r in hmm.best_states(h, df).collect():
+                path[r.seq_id][r.t] = r.state, r.score
+            for k, (o, x) in data.items():
+                b = m.log_emissions(o if h.emissions is not None else x)
+                alpha, total = hmm.forward(m, b)
+                score, states = hmm.best_path(m, b)
+                assert np.isclose(z[k], total) and np.allclose([gamma[k][t] for t in range(len(b))], np.exp(alpha + hmm.backward(m, b) - total))
+                assert [path[k][t][0] for t in range(len(b))] == states.tolist() and all(np.isclose(v[1], score) for v in path[k].values())
+            for pooling in ("standard", "per_sequence"):
+                fresh, total = hmm.train_step(h, df, pooling)
+                got = np.concatenate([fresh.initial, fresh.transitions.ravel(), fresh.emissions.ravel() if h.emissions is not None else np.concatenate([np.r_[x.mu.ravel(), x.sigma.ravel()] for x in fresh.mixtures]), [total]])
+                assert np.allclose(got, whole.setdefault(pooling, got), rtol=1e-8, atol=1e-10)
+
+
+def test_paths_that_must_end_in_given_states(spark):
+    """The mask of final states in likelihoods, posteriors and training, against all paths."""
+    data, df = _long_sequences(spark)
+    m = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.7, 0.3], [0.4, 0.6]]), np.array([[0.7, 0.2, 0.1], [0.2, 0.2, 0.6]]))
+    short, o = df.filter("seq_id = 3"), data[3][0]
+    paths = np.array(np.meshgrid(*[[0, 1]] * len(o))).reshape(len(o), -1).T
+    paths = paths[paths[:, -1] == 1]
+    p = np.array([m.initial[s[0]] * m.emissions[s[0], o[0]] * np.prod([m.transitions[s[t - 1], s[t]] * m.emissions[s[t], o[t]] for t in range(1, len(o))]) for s in paths])
+    assert np.isclose(hmm.log_likelihoods(m, short, ends=[1]).first().log_likelihood, math.log(p.sum()))
+    gamma = np.array([r.gamma for r in hmm.posteriors(m, short, ends=[1]).orderBy("t").collect()])
+    assert np.allclose(gamma[:, 1], [p[paths[:, t] == 1].sum() / p.sum() for t in range(len(o))])
+    fresh, total = hmm.train_step(m, short, "standard", ends=[1])
+    assert np.isclose(total, math.log(p.sum())) and np.allclose(fresh.initial, [p[paths[:, 0] == 0].sum() / p.sum(), p[paths[:, 0] == 1].sum() / p.sum()])
+
+
 def test_hmm_against_all_paths(spark):
     m = hmm.Hmm(np.array([0.5, 0.3, 0.2]), np.array([[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.1, 0.8]]), np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]]))
     o = np.array([0, 1, 1, 2, 0])
