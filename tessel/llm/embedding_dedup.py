@@ -9,11 +9,11 @@ link, whatever the lists hold. Links connect components; a list whose places are
 what it has. It is enlarged by what its vector's component holds already: places of vectors in the own component are given to the next ones
 outside. So a group of thousands of near copies fills no list, and lists go on growing towards other components until none of them is a link.
 
-The descent ends when a round connects nothing, LEAST_ROUNDS at least, and an audit holds: AUDIT * sqrt(rows) vectors or
-so, half of them from those that are linked or have a neighbour close to the threshold, meet all rows of their cells in blocks. A vector is missed if
-it has a link to another component. An audit that sees less than SEEN linked vectors tells nothing and is enlarged, to all vectors in the
-end. If less than TARGET of the linked vectors are complete, what the audit found is added and the descent goes on; after ROUNDS
-rounds the audit takes all vectors, which makes the result exact. audit() gives its figures.
+The descent ends when a round connects nothing, LEAST_ROUNDS at least, and an audit holds: AUDIT * sqrt(rows) vectors or so, half of them
+sought where links are likely (in parts of several, or with a neighbour close to the threshold), meet all rows of their cells in blocks. A vector is missed if
+it has a link to another component. Where a share of TARGET or more of the linked vectors asked is complete, or none of those asked has a link, the descent is done. Else what the audit found is
+added, the missed vectors take the ends of their missing links into their lists, so that both neighbourhoods meet, and the descent goes on, with other vectors asked each time. There is no last round
+of another kind: each audit that fails connects components, so audits end. An audit costs rows ** 1.5 comparisons; nothing compares all rows with all. linked() returns the audits' figures.
 
 Members of a component then count their links, in double precision over all members. In a component of more than BLOCK members, those
 within half the threshold's angle of a pivot are all linked with each other, by the triangle inequality, and are counted by a sum; the others
@@ -26,6 +26,7 @@ empty one; other columns of the input are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,9 +42,11 @@ from tessel.llm.groups import Union, grouped
 
 NEIGHBOURS, MEET = 10, 48
 ORDERS, BITS, AHEAD = 4, 40, 8
-LEAST_ROUNDS, ROUNDS = 3, 8
-AUDIT, SEEN, TARGET, CLOSE = 10, 200, 0.999, 0.1
-QUERIES, TILE = 32_768, 256
+LEAST_ROUNDS = 3
+#: TARGET is the share of the linked vectors asked that have to be complete.
+AUDIT, TARGET, CLOSE = 10, 0.99, 0.1
+#: Bytes of vectors that a block of an audit's queries holds, on the driver and in every task; rows that meet them at a time.
+QUERY_BYTES, TILE = 32 << 20, 256
 BLOCK, PIVOT = 512, 256
 _EDGE, _LINK = "u bigint, v bigint, sim double", "a bigint, b bigint"
 
@@ -229,12 +232,12 @@ def _meets_all(held, threshold: float):
 def audit(nodes: DataFrame, asked: DataFrame, threshold: float) -> tuple[Audit, DataFrame]:
     """The rows asked, of nodes (rep, cell, vec, part), against all of them: figures, and links (a, b) that connect the parts which the asked ones connect.
 
-    Blocks of about QUERIES asked rows are held by every task while a scan reads the rows of the same cells.
+    Blocks of asked rows, of QUERY_BYTES or so, are held by every task while a scan reads the rows of the same cells.
     """
     spark, schema = nodes.sparkSession, "a bigint, b bigint, missed boolean"
     asked = Saved(asked.select("rep", "cell", "vec", "part"), "asked").df
-    n = asked.count()
-    blocks = max(1, -(-n // QUERIES))
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.length("vec"))).first()
+    blocks = max(1, -(-(size or 0) // QUERY_BYTES))
     out = Saved(spark.createDataFrame([], schema), "audit")
     for k in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(blocks)) == k).toArrow()
@@ -247,36 +250,33 @@ def audit(nodes: DataFrame, asked: DataFrame, threshold: float) -> tuple[Audit,
     return Audit(n, linked, missed), seen.filter("missed is null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
-def _audited(nodes: DataFrame, lists: DataFrame, threshold: float, seed: int, all_rows: bool) -> tuple[Audit, DataFrame]:
-    """An audit that saw SEEN linked vectors, or took all. Each seed picks other vectors, so that no audit passes by what an earlier one added."""
+def _audited(nodes: DataFrame, lists: DataFrame, threshold: float, seed: int) -> tuple[Audit, DataFrame]:
+    """An audit of AUDIT * sqrt(rows) vectors. Each seed picks other ones, so that no audit passes by what an earlier one added."""
     n = nodes.count()
     best = lists.groupBy("u").agg(F.max("sim").alias("best"))
     size = nodes.groupBy("part").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     flagged = nodes.join(best, F.col("rep") == F.col("u"), "left").join(size, "part", "left").withColumn("likely", F.col("_size").isNotNull() | (F.coalesce("best", F.lit(-1.0)) >= threshold - CLOSE))
-    marked = Saved(flagged.select("rep", "likely"), "likely").df
-    likely = marked.filter("likely").count()
-    asked = n if all_rows else math.ceil(AUDIT * math.sqrt(n))
-    while True:
-        share = lambda half, of: min(1.0, half / of) if of else 1.0
-        chance = F.when(F.col("likely"), F.lit(share(asked / 2, likely))).otherwise(F.lit(1.0 if asked >= n else share(asked / 2, n - likely)))
-        picked = marked.filter((F.pmod(F.xxhash64(F.lit(7 + seed), "rep"), F.lit(1 << 30)) < chance * (1 << 30)) | F.lit(asked >= n)).select("rep")
-        found, links = audit(nodes, nodes.join(picked, "rep"), threshold)
-        if found.linked >= SEEN or asked >= n:
-            return found, links
-        asked = min(n, 4 * asked)
-
-
-def descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, list[Audit]]:
+    marked = Saved(flagged.select("rep", "likely"), "likely")
+    likely, asked = marked.df.filter("likely").count(), math.ceil(AUDIT * math.sqrt(n))
+    share = lambda of: min(1.0, asked / 2 / of) if of else 1.0
+    chance = F.when(F.col("likely"), F.lit(share(likely))).otherwise(F.lit(share(n - likely)))
+    picked = marked.df.filter(F.pmod(F.xxhash64(F.lit(7 + seed), "rep"), F.lit(1 << 30)) < chance * (1 << 30)).select("rep")
+    found = audit(nodes, nodes.join(picked, "rep"), threshold)
+    marked.drop()
+    return found
+
+
+def descend(reps: DataFrame, threshold: float, target: float = TARGET) -> tuple[DataFrame, list[Audit]]:
     """(rep, part) of every row of reps (rep, cell, vec), part being the least rep that links connect it with; and the figures of the audits."""
     bare = reps.select("rep", "cell", "vec")
-    nodes, lists, links = Saved(bare.withColumn("part", F.col("rep")), "nodes"), None, None
-    size = bare.count()
+    nodes, lists, links, hints = Saved(bare.withColumn("part", F.col("rep")), "nodes"), None, None, None
     audits: list[Audit] = []
-    for r in range(ROUNDS + 1):
+    for r in itertools.count():
         edges = _ordered(nodes.df, r, threshold)
         if lists is not None:
-            edges = edges.unionByName(_around_centres(lists.df, nodes.df, r, threshold))
-        edges = Saved(edges, "edges")
+            around = lists.df if hints is None else lists.df.unionByName(hints)
+            edges = edges.unionByName(_around_centres(around, nodes.df, r, threshold))
+        edges, hints = Saved(edges, "edges"), None
         fresh = edges.df.filter(F.col("sim") >= threshold).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
         linked = bool(fresh.head(1))
         if linked:
@@ -286,14 +286,17 @@ def descend(reps: DataFrame, threshold: float) -> tuple[DataFrame, list[Audit]]:
         if lists is not None:
             lists.drop()
         lists = after
-        if r + 1 < LEAST_ROUNDS or linked and r < ROUNDS:
+        if r + 1 < LEAST_ROUNDS or linked:
             continue
-        found, missing = _audited(nodes.df, lists.df, threshold, r, all_rows=r >= ROUNDS)
+        found, missing = _audited(nodes.df, lists.df, threshold, r)
         audits.append(found)
         if found.missed:
             nodes, links = _joined(bare, nodes, links, missing)
-        if found.asked >= size or found.recall is not None and found.recall >= TARGET:
+        if found.recall is None or found.recall >= target:
+            lists.drop()
             break
+        # the ends of a missing link meet each other's neighbours in the next round
+        hints = missing.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))).withColumn("sim", F.lit(threshold))
     return nodes.df.select("rep", "part"), audits
 
 
@@ -367,12 +370,25 @@ def link_counts(reps: DataFrame, parts: DataFrame, threshold: float) -> DataFram
     return core.unionByName(grouped(met, "key", _counts(threshold), ["rep", "n"], "rep bigint, n bigint")).groupBy("rep").agg(F.sum("n").alias("n"))
 
 
+@dataclass(frozen=True)
+class Linked:
+    """rows: (vec_id, n_links, component_id) of every row; audits: the figures of the descent's audits, the last of which held."""
+
+    rows: DataFrame
+    audits: list[Audit]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """(vec_id, n_links, component_id) of every row."""
+    """The rows of linked()."""
+    return linked(vectors, threshold).rows
+
+
+def linked(vectors: DataFrame, threshold: float = 0.93, target: float = TARGET) -> Linked:
+    """Counts and components of all rows of vectors (vec_id, label, embedding), with a recall of target or more among the linked vectors that an audit asks."""
     every = Saved(units(vectors).withColumn("c1", F.xxhash64("vec")).withColumn("c2", F.xxhash64(F.lit(1), "vec")), "units").df
     same = ["cell", "c1", "c2"]
     reps = Saved(every.groupBy(*same).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")).withColumn("rep", F.monotonically_increasing_id()), "vector-reps").df
-    parts, _ = descend(reps, threshold)
+    parts, audits = descend(reps, threshold, target)
     parts = Saved(parts, "parts").df
     least = parts.join(reps.select("rep", "first"), "rep").groupBy("part").agg(F.min("first").alias("component_id"))
     named = dealt_join(parts, ["part"], least, "rep").select("rep", "component_id")
@@ -380,8 +396,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         *same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     # copies of one vector may be a third of all rows
     per_id = dealt_join(every.select("vec_id", *same), same, outcome, "vec_id").groupBy(F.col("vec_id").alias("_id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(per_id, F.col("vec_id") == F.col("_id"), "left").select(
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id")).join(per_id, F.col("vec_id") == F.col("_id"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return Linked(rows, audits)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
