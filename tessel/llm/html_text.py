@@ -8,7 +8,8 @@ others a part of theirs, OUTSIDE: a mark tips the scale, the sums decide.
 
 The weights of WINDOW lines in a row are summed at each line. The sums dive where they are 0; between two dives they surge if they
 climb to the level that the page itself sets, a third of its highest sum or LEVEL. The text between a surge's foot and its
-dive stays, short lines and lines of links among it too; text between dives that never surges goes.
+dive stays, short lines and lines of links among it too; text between dives that never surges goes. An article that surges anywhere is text as a whole: its short blocks
+between dives join the surge. What stands below a heading of comments goes, to the end of the element that holds the heading, or of the next one where the heading is alone in its own.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by one space.
 
@@ -44,7 +45,10 @@ BESIDE = frozenset(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription sidebar nav navbar navigation menu breadcrumb "
     "breadcrumbs masthead footer comment comments commentlist disqus replies respond pagination pager toolbar share sharing social login signup notice header widget widgets related skyscraper leaderboard".split()
 )
-BETWEEN = frozenset("site page main global top bottom left right primary secondary mobile desktop post article entry user reader the area block box bar list section wrapper container inner slot unit links buttons icons form text message overlay".split())
+BETWEEN = frozenset("story stories posts articles items topics site page main global top bottom left right primary secondary mobile desktop post article entry user reader the area block box bar list section wrapper container inner slot unit links buttons icons form text message overlay".split())
+# Headings, without numbers, that reader comments stand below.
+REMARKS = frozenset(("comment", "comments", "reader comments", "user comments", "leave a comment", "leave a reply", "post a comment", "join the discussion"))
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -54,12 +58,12 @@ _BLANK = re.compile(r"\s+")
 
 
 class Line:
-    """A block's text, how much of it is links, and its mark: 2 in an article, 1 in the main element, else 0. Empty lines stand for what parts blocks."""
+    """A block's text, how much of it is links, its mark, which is 2 in an article, 1 in the main element, else 0, and the number of its article, 0 outside of any. Empty lines stand for what parts blocks."""
 
-    __slots__ = ("text", "linked", "mark")
+    __slots__ = ("text", "linked", "mark", "article")
 
-    def __init__(self, text: str = "", linked: int = 0, mark: int = 0):
-        self.text, self.linked, self.mark = text, linked, mark
+    def __init__(self, text: str = "", linked: int = 0, mark: int = 0, article: int = 0):
+        self.text, self.linked, self.mark, self.article = text, linked, mark, article
 
 
 def _names_beside(names: str) -> bool:
@@ -71,6 +75,10 @@ def _names_beside(names: str) -> bool:
     return False
 
 
+def _heads_remarks(text: str) -> bool:
+    return len(text) < 40 and " ".join(re.findall(r"[a-z]+", text.lower())) in REMARKS
+
+
 def _beside(name: str, attributes: str) -> bool:
     if name in NEVER:
         return True
@@ -92,7 +100,8 @@ def lines_of(page: str) -> list[Line]:
     linked = 0
     stack: list[str] = []
     skip_at = 0  # depth of the element that is skipped, or 0
-    articles = mains = links = 0
+    articles = mains = links = seen = 0
+    remarks = False  # whether what is skipped is what follows a heading of comments, and nothing has followed yet
     raw_end: re.Pattern[str] | None = None
 
     def close() -> None:
@@ -100,13 +109,15 @@ def lines_of(page: str) -> list[Line]:
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Line(text, min(linked, len(text)), 2 if articles else 1 if mains else 0))
+                out.append(Line(text, min(linked, len(text)), 2 if articles else 1 if mains else 0, seen if articles else 0))
             parts.clear()
         linked = 0
 
     def part(name: str) -> None:
-        if name in CONTAINER:
-            out.extend([Line()] * (WINDOW if name == "article" else 1))
+        if name == "article" and articles < 2:
+            out.extend([Line()] * WINDOW)
+        elif name in CONTAINER and not (articles and out and not out[-1].text):  # nested boundaries in an article are one
+            out.append(Line())
 
     at = 0
     while at < len(page):
@@ -117,6 +128,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         found = _TOKEN.search(page, at)
         text = page[at : found.start()] if found else page[at:]
+        if remarks and text.strip():
+            remarks = False
         if text and not skip_at:
             parts.append(text)
             if links:
@@ -132,7 +145,11 @@ def lines_of(page: str) -> list[Line]:
                 k = len(stack) - 1 - stack[::-1].index(name)
                 if name in BLOCK or name in NEVER:
                     if not skip_at:
+                        before = len(out)
                         close()
+                        if name in _HEADING and len(out) > before and _heads_remarks(out[-1].text):
+                            out[-1] = Line()
+                            skip_at, remarks = max(1, k), True  # to the end of what holds the heading
                         part(name)
                 elif any(x in BLOCK or x in NEVER for x in stack[k + 1 :]):
                     continue  # an inline end tag does not close blocks
@@ -142,7 +159,8 @@ def lines_of(page: str) -> list[Line]:
                     links -= x == "a"
                 del stack[k:]
                 if skip_at > len(stack):
-                    skip_at = 0
+                    # a heading that is alone in its element heads what follows that
+                    skip_at = len(stack) if remarks else 0
             elif name in BLOCK and not skip_at:
                 close()
             continue
@@ -167,6 +185,7 @@ def lines_of(page: str) -> list[Line]:
         stack.append(name)
         comment = name == "article" and articles > 0
         articles += name == "article"
+        seen += name == "article" and articles == 1
         mains += name == "main"
         links += name == "a"
         if not skip_at and (comment or _beside(name, found[3])):
@@ -192,23 +211,17 @@ def main_lines(lines: list[Line]) -> list[str]:
     if not sums or not (peak := max(sums)):
         return []
     level = min(LEVEL, peak / 3)
-    kept: list[str] = []
-    foot, top, last = None, 0.0, 0
-
-    def dive() -> None:
-        if foot is not None and top >= level:
-            kept.extend(x.text for x in lines[foot : last + 1] if x.text)
-
+    parts: list[tuple[int, int, float]] = []  # first and last line, and the highest sum within
     for i, weight in enumerate(weights):
         if not weight:
             continue
-        if foot is None or i - last > WINDOW:  # WINDOW lines without weight lie between
-            dive()
-            foot, top = i, 0.0
+        if not parts or i - parts[-1][1] > WINDOW:  # WINDOW lines without weight lie between
+            parts.append((i, i, 0.0))
         # the sums that begin at or up to WINDOW - 1 lines before this one, within the foot
-        top, last = max(top, *sums[max(foot, i - WINDOW + 1) : i + 1]), i
-    dive()
-    return kept
+        foot, _, top = parts[-1]
+        parts[-1] = foot, i, max(top, *sums[max(foot, i - WINDOW + 1) : i + 1])
+    surged = {lines[i].article for foot, last, top in parts if top >= level for i in range(foot, last + 1)} - {0}
+    return [x.text for foot, last, top in parts for x in lines[foot : last + 1] if x.text and (top >= level or x.article in surged)]
 
 
 def extract(page: str | None) -> str:

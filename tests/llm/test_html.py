@@ -63,8 +63,36 @@ def test_names_beside_main_text(gone):
     assert html_text.extract(f"<article><p>{SENTENCE % 1}</p><div class='{gone}'><p>{SENTENCE % 2}</p></div></article>") == SENTENCE % 1
 
 
+LONG = " ".join(SENTENCE % i for i in range(4))
+
+
+@pytest.mark.parametrize("body, short", [
+    ("<section><div><p>%s</p></div></section><section><div><p>Short end.</p></div></section>", "Short end."),
+    ("<p>%s</p><figure><img></figure><div><div><p>By a writer</p></div></div><figure><img></figure><p>Goes on.</p>", "By a writer"),
+    ("<div><section><div><p>Before.</p></div></section></div><div><section><div><p>%s</p></div></section></div>", "Before."),
+    ("<div><div><div><div><p>%s</p></div></div></div></div><div><div><div><div><table><tr><td>Cell</td></tr></table></div></div></div></div>", "Cell"),
+])
+def test_an_article_loses_no_short_block(body, short):
+    text = html_text.extract(PAGE % f"<article>{body % LONG}</article>")
+    assert short in text and SENTENCE % 0 in text and SENTENCE % 3 in text and "cookies" not in text
+
+
+@pytest.mark.parametrize("remarks", [
+    "<h3>Comments</h3><div><p>%s</p></div><div><p>%s</p></div>", "<div><h3>3 Comments</h3></div><div><p>%s</p><p>%s</p></div>", "<section><h2>Reader comments</h2><p>%s</p><p>%s</p></section>",
+])
+def test_what_a_heading_of_comments_heads_goes(remarks):
+    remark = "I read this and I do not agree with a word of it. " * 30
+    page = f"<body><main><div><p>{LONG}</p></div>{remarks % (remark, remark)}</main></body>"
+    assert html_text.extract(page) == LONG
+    assert html_text.extract(f"<body><main><h2>Comments on the law</h2><p>{LONG}</p></main></body>").endswith(LONG)
+
+
+def test_lists_of_stories_go():
+    assert html_text.extract(f"<main><div><p>{LONG}</p></div><div class='related-stories'><p>{LONG} {LONG}</p></div></main>") == LONG
+
+
 def plain(lines):
-    """By the definition: text lines between two dives, if a sum that no dive cuts surges."""
+    """By the definition: text lines between two dives, if a sum that no dive cuts surges, or one of the same article."""
     mark = max((x.mark for x in lines if x.text), default=0)
     w = [(2 * len(x.text) if x.mark == mark else 0.5 * (len(x.text) - x.linked)) if mark else len(x.text) - x.linked for x in lines]
     n, k = len(w), html_text.WINDOW
@@ -76,7 +104,9 @@ def plain(lines):
             parts[-1].append(i)
         else:
             parts.append([i])
-    return [x.text for p in parts if max(sum(w[i : i + k]) for i in range(p[0], p[-1] + 1)) >= level for x in lines[p[0] : p[-1] + 1] if x.text]
+    high = [max(sum(w[i : i + k]) for i in range(p[0], p[-1] + 1)) >= level for p in parts]
+    articles = {x.article for p, h in zip(parts, high) if h for x in lines[p[0] : p[-1] + 1] if x.article}
+    return [x.text for p, h in zip(parts, high) for x in lines[p[0] : p[-1] + 1] if x.text and (h or x.article in articles)]
 
 
 def test_equals_the_definition():
