@@ -7,14 +7,15 @@ projection without a job of its own. An encoder's result is an array<double>.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import let, linspace, literal, total
-from tessel.plans.tables import running_sum
+from tessel.plans.tables import running_sum, written_path
 
 CATEGORICAL, NUMERICAL, RANGE = "categorical", "numerical", "range_of_values"
 PERCENTILES, PERCENTILES_ACCUM, STANDARD, INTEGER = "percentiles", "percentiles_accum", "zero_mean_variance_one", "integer"
@@ -24,9 +25,33 @@ MAX_INTERVALS = 100
 DEFAULT_BINS = 10
 
 
+@dataclass(frozen=True)
+class Dictionary(Sequence):
+    """The values of a category in order, as a written table (value, index), index from 0 and dense. A value asked for by place is looked up; iterating streams all through the driver."""
+
+    path: str
+    size: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("value string, index bigint").parquet(self.path)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, place: int) -> str:
+        at = place + self.size if place < 0 else place
+        found = self.table(SparkSession.active()).filter(F.col("index") == at).first()
+        if found is None:
+            raise IndexError(place)
+        return found["value"]
+
+    def __iter__(self) -> Iterator[str]:
+        return (r["value"] for r in self.table(SparkSession.active()).orderBy("index").toLocalIterator())
+
+
 @dataclass(frozen=True)
 class Meta:
-    """What is known of a column. excluded and values hold the column's own type, texts for categories."""
+    """What is known of a column. excluded and values hold the column's own type, texts for categories. A category of many values holds them as a Dictionary."""
 
     name: str
     type: str
@@ -34,7 +59,7 @@ class Meta:
     min: float | None = None
     max: float | None = None
     num_intervals: int | None = None
-    values: tuple = ()
+    values: Sequence = ()
 
 
 def is_missing(column: Column, kind: str) -> Column:
@@ -154,11 +179,16 @@ def profile(data: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return data.agg(F.array(*out).alias("all")).select(F.explode("all").alias("c")).select("c.*")
 
 
-def explore(data: DataFrame, columns: Sequence[str] | None = None, purity: float = 0.9) -> list[Meta]:
+#: Categories of so many values or fewer are listed in their metadata; others have a dictionary.
+INLINE = 1_000
+
+
+def explore(data: DataFrame, columns: Sequence[str] | None = None, purity: float = 0.9, folder: str | None = None, inline: int = INLINE) -> list[Meta]:
     """First metadata: texts are categories, fractions ranges of values, whole numbers categories up to MAX_INTERVALS distinct values and numerical beyond.
 
     A column with missing numbers gets the sentinel min(-1, min) - 10 as an excluded value, one with missing texts EMPTY. A text column of
-    which a share of purity or more, but not all, reads as numbers raises: its type is not clear.
+    which a share of purity or more, but not all, reads as numbers raises: its type is not clear. Values of a text column reach the driver if they are inline or fewer;
+    else they are written to a dictionary below folder, by default the session's shared one, where they stay until the driver ends.
     """
     out = []
     for r in profile(data, columns).collect():
@@ -166,23 +196,41 @@ def explore(data: DataFrame, columns: Sequence[str] | None = None, purity: float
         if r["kind"] == "string":
             if r["share_numeric"] is not None and 1 - purity < r["share_numeric"] < purity:
                 raise ValueError(f"{r['name']}: neither texts nor numbers make {purity:.0%} of it")
-            categories = _distinct(data, r["name"])
-            out.append(Meta(r["name"], CATEGORICAL, (EMPTY,) if r["n_missing"] else (), None, None, r["n_distinct"], categories))
+            excluded, few = (EMPTY,) if r["n_missing"] else (), r["n_distinct"] <= inline
+            out.append(Meta(r["name"], CATEGORICAL, excluded, None, None, r["n_distinct"], _values(data, r["name"]) if few else write_dictionary(data, r["name"], (), folder)))
             continue
         low, high = r["min"], r["max"]
         excluded = (min(-1.0, low if low is not None else 0.0) - 10,) if r["n_missing"] else ()
         if whole and r["n_distinct"] <= MAX_INTERVALS:
-            out.append(Meta(r["name"], CATEGORICAL, excluded, low, high, r["n_distinct"], _distinct(data, r["name"])))
+            out.append(Meta(r["name"], CATEGORICAL, excluded, low, high, r["n_distinct"], _values(data, r["name"])))
         else:
             out.append(Meta(r["name"], NUMERICAL if whole else RANGE, excluded, low, high, min(r["n_distinct"], MAX_INTERVALS)))
     return out
 
 
-def _distinct(data: DataFrame, column: str) -> tuple:
-    """All distinct values in order, however many; the driver holds them."""
+def _values(data: DataFrame, column: str) -> tuple:
+    """The distinct values in order, of a column that is known to have few."""
     return tuple(r[0] for r in data.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct().orderBy("v").collect())
 
 
+def dictionary(data: DataFrame, column: str, excluded: Sequence = ()) -> DataFrame:
+    """(value, index): the distinct values that are there and not excluded, numbered from 0 in order, by ranges."""
+    kept = data.select(F.col(column).cast("string").alias("value")).filter(F.col("value").isNotNull() & without(F.col("value"), [str(v) for v in excluded]))
+    numbered = running_sum(kept.distinct().withColumn("_one", F.lit(1).cast("bigint")), ["value"], "_one", "_n")
+    return numbered.select("value", (F.col("_n") - 1).alias("index"))
+
+
+def write_dictionary(data: DataFrame, column: str, excluded: Sequence = (), folder: str | None = None) -> Dictionary:
+    """A written dictionary. A folder given keeps it; in the shared one it goes when the driver ends."""
+    found = dictionary(data, column, excluded)
+    if folder is None:
+        path = written_path(found, "dictionary")
+    else:
+        path = f"{folder}/{column}-{uuid.uuid4().hex}"
+        found.write.parquet(path)
+    return Dictionary(path, data.sparkSession.read.parquet(path).count())
+
+
 def refine(data: DataFrame, metas: Sequence[Meta]) -> list[Meta]:
     """Metadata after a human has set the types: grids for percentiles and numerical columns without one, mean and deviation (population) for standardised ones, whole bounds for numerical ones."""
     kinds, out = dict(data.dtypes), []
@@ -223,11 +271,62 @@ def encoder(m: Meta, kind: str) -> Column:
 
 
 def encode(data: DataFrame, metas: Sequence[Meta], name: str = "features") -> DataFrame:
-    """data with a column of all encodings, one after another in metadata order."""
+    """data with a column of all encodings, one after another in metadata order. Columns with a dictionary are for encode_sparse()."""
+    if found := [m.name for m in metas if isinstance(m.values, Dictionary)]:
+        raise ValueError(f"{found}: many values make no dense encoding; use encode_sparse()")
     kinds = dict(data.dtypes)
     return data.withColumn(name, F.concat(*[encoder(m, kinds[m.name]) for m in metas]))
 
 
+SPARSE = "array<struct<i:bigint,w:double>>"
+#: Parts that the rows of one value are dealt to when a dictionary is joined.
+PARTS = 64
+
+
+def encode_sparse(data: DataFrame, metas: Sequence[Meta], name: str = "features") -> tuple[DataFrame, int]:
+    """data with a column of the entries (i, w) that are not zero, i counting over all encodings in metadata order; and how many places there are.
+
+    A column with a dictionary is joined with it; values that are missing, excluded or not in it have no entry. A value's rows are dealt to PARTS tasks by a hash of the
+    whole row, so a value that most rows have is no task's alone.
+    """
+    kinds, spark = dict(data.dtypes), data.sparkSession
+    out, parts, at = data, [], 0
+    for k, m in enumerate(metas):
+        if isinstance(m.values, Dictionary):
+            words = m.values.table(spark)
+            if m.excluded:  # what is excluded leaves no gap
+                words = dictionary(words, "value", m.excluded)
+            out = _looked_up(out, data.columns, m.name, words, f"_i{k}")
+            entry = F.when(F.col(f"_i{k}").isNotNull(), F.array(F.struct((F.col(f"_i{k}") + at).alias("i"), F.lit(1.0).alias("w"))))
+            parts.append(F.coalesce(entry, F.array().cast(SPARSE)))
+            at += words.count()
+            continue
+        parts.append(_entries(encoder(m, kinds[m.name]), at))
+        at += _width(m)
+    return out.withColumn(name, F.concat(*parts)).select(*data.columns, name), at
+
+
+def _entries(dense: Column, first: int) -> Column:
+    """The entries of an array that are not zero, its places counted from first."""
+    placed = F.transform(dense, lambda w, i: F.struct((i + first).cast("bigint").alias("i"), w.alias("w")))
+    return F.filter(placed, lambda e: e["w"] != 0)
+
+
+def _width(m: Meta) -> int:
+    if m.type == CATEGORICAL:
+        return len([v for v in m.values if str(v) not in {str(e) for e in m.excluded}])
+    if m.type == RANGE:
+        return m.num_intervals or DEFAULT_BINS
+    return len(set(float(v) for v in m.values)) if m.type in (NUMERICAL, PERCENTILES, PERCENTILES_ACCUM) else 1
+
+
+def _looked_up(rows: DataFrame, columns: Sequence[str], column: str, words: DataFrame, name: str) -> DataFrame:
+    """rows with the index that words (value, index) have for a column, null if none. Words meet the (value, part) pairs that occur first, of which a value has PARTS at most."""
+    salted = rows.withColumn("_value", F.col(column).cast("string")).withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(PARTS)))
+    occur = salted.select("_value", "_part").distinct().join(words.withColumnRenamed("value", "_value"), "_value").withColumnRenamed("index", name)
+    return salted.join(occur, ["_value", "_part"], "left").drop("_value", "_part")
+
+
 def encoded_targets(data: DataFrame, inputs: Sequence[Meta], targets: Sequence[Meta]) -> DataFrame:
     """data with x and y; only rows whose target encodes to something."""
     both = encode(encode(data, inputs, "x"), targets, "y")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessel.functions.vectors import argmax, literal, total
-from tessel.plans.stats import dimension, fold, matrix
+from tessel.plans.stats import chunks, dimension, fold, matrix
 
 COVARIANCES = ("full", "diag", "tied", "tied_diag")
 
@@ -36,8 +38,7 @@ class GaussianModel:
 
 def moments(data: DataFrame, label: str = "label") -> dict:
     """label -> (n, sums, sums of products): one aggregation."""
-    d = dimension(data)
-    labels = [r[0] for r in data.select(label).distinct().orderBy(label).collect()]
+    d, labels = dimension(data), [r[0] for r in data.select(label).distinct().orderBy(label).collect()]
     index = {v: k for k, v in enumerate(labels)}
 
     def partial(batch: dict) -> dict[int, np.ndarray]:
@@ -65,22 +66,30 @@ def fit(data: DataFrame, covariance: str = "full", min_var: float = 1e-5, label:
     return GaussianModel(covariance, tuple(found), np.array([math.log(v[0]) - math.log(n) for v in found.values()]), np.array([v[1] / v[0] for v in found.values()]), np.array(sigma))
 
 
-def scores(model: GaussianModel, features: Column) -> Column:
-    """For each class the log share plus the log density up to the constant that all classes share."""
-    out = []
-    for c, w in enumerate(model.whiteners):
-        centred = F.zip_with(features, literal(model.mu[c]), lambda x, m: x - m)
-        rows = F.array(*[literal(r) for r in w])
-        z = _whitened(rows, centred)
-        out.append(F.lit(float(model.log_prior[c] - 0.5 * (model.log_dets[c] + math.log(2 * math.pi)))) - 0.5 * total(F.transform(z, lambda v: v * v)))
-    return F.array(*out)
-
-
-def _whitened(rows: Column, centred: Column) -> Column:
-    return F.transform(rows, lambda r: total(F.zip_with(r, centred, lambda a, b: a * b)))
+def scores(model: GaussianModel, x: np.ndarray) -> np.ndarray:
+    """Rows x classes: the log share plus the log density up to the constant that all classes share. All classes' whitened rows are one product."""
+    w = model.whiteners
+    c, d = model.mu.shape
+    moved = np.einsum("cij,cj->ci", w, model.mu).ravel()
+    out = np.empty((len(x), c))
+    for part in chunks(len(x), c * d):
+        z = x[part] @ w.reshape(c * d, d).T - moved
+        out[part] = -0.5 * (z * z).reshape(-1, c, d).sum(axis=2)
+    return out + (model.log_prior - 0.5 * (model.log_dets + math.log(2 * math.pi)))
 
 
 def predict(model: GaussianModel, data: DataFrame, name: str = "predicted") -> DataFrame:
-    """data with the label of the largest score; the first class wins ties. A projection."""
-    labels = F.array(*[F.lit(v) for v in model.labels])
-    return data.withColumn(name, F.element_at(labels, argmax(scores(model, F.col("features"))) + 1))
+    """data with the label of the largest score; the first class wins ties. One pass of Arrow batches; a null vector raises."""
+    columns = [*(c for c in data.columns if c != name), name]
+    fields = [f for f in data.schema.fields if f.name != name]
+    kind = data.schema["label"].dataType if "label" in data.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array(list(model.labels))
+        for batch in batches:
+            best = scores(model, matrix(batch.column("features"))).argmax(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:-1]), labels.take(pa.array(best)).cast(own)], columns)
+
+    label_type = kind if kind is not None else (StringType() if isinstance(model.labels[0], str) else LongType())
+    own = to_arrow_type(label_type)
+    return data.select(*columns[:-1]).mapInArrow(run, StructType([*fields, StructField(name, label_type)]))

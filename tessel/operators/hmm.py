@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -584,8 +584,8 @@ def _whole_sequences(m: Hmm, held: DataFrame, last: np.ndarray, pooled: bool) ->
     return joined.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("c", "logs", "packed", "entry", "z"))).alias("both")).mapInArrow(merge, "v array<double>")
 
 
-def train_step(h: Hmm, sequences: DataFrame, pooling: str = "per_sequence", ends: Sequence[int] | None = None) -> tuple[Hmm, float]:
-    """(the next model, the sum of log-likelihoods under h): one Baum-Welch iteration over all sequences.
+def sums(h: Hmm, sequences: DataFrame, pooling: str = "per_sequence", ends: Sequence[int] | None = None) -> np.ndarray | None:
+    """All sequences' sums, flat: initial, moves, emissions (or mixtures' packed statistics), log-likelihood, number of sequences. None without sequences.
 
     pooling: "per_sequence" gives each sequence the same weight (ratios are taken within it and summed), "standard" each observation. ends: the only emitting states that a path may end in; by default all may.
     """
@@ -603,29 +603,54 @@ def train_step(h: Hmm, sequences: DataFrame, pooling: str = "per_sequence", ends
         return {0: out} if out is not None else {}
 
     if cut:
-        v = fold(_whole_sequences(m, _with_scan(m, chunks, cut, last), last, pooled), lambda batch: {0: matrix(batch["v"]).sum(axis=0)})[0]
-    else:
-        v = fold(chunks.select("observed"), partial)[0]
+        return fold(_whole_sequences(m, _with_scan(m, chunks, cut, last), last, pooled), lambda batch: {0: matrix(batch["v"]).sum(axis=0)})[0]
+    return fold(chunks.select("observed"), partial).get(0)
+
+
+def emission_sums(m: Hmm, v: np.ndarray) -> list[np.ndarray]:
+    """The part of sums() that each emitting state has."""
+    s = len(m.transitions)
+    rest = v[s + s * s : -2]
+    if m.emissions is not None:
+        return list(rest.reshape(m.emissions.shape))
+    sizes = [x.mu.shape[0] * (1 + x.mu.shape[1] + x.mu.shape[1] ** 2) for x in m.mixtures]
+    return np.split(rest, np.cumsum(sizes)[:-1])
+
+
+def next_mixture(x: mx.Mixture, own: np.ndarray) -> mx.Mixture:
+    """A state's mixture after its sums; it stays as it is where a component saw nothing."""
+    c, d = x.mu.shape
+    r, rx, rxx = own[:c], own[c : c + c * d].reshape(c, d), own[c + c * d :].reshape(c, d, d)
+    return mx.maximise(x, mx.Statistics(np.full(c, r.sum() / c), r, rx, rxx, 0.0)) if (r > 0).all() else x
+
+
+def next_transitions(h: Hmm, moves: np.ndarray) -> np.ndarray:
+    """A model's transitions after the sums of moves between its emitting states."""
+    if not h.left_to_right:
+        return normalise_transitions(moves)
+    s = len(moves)
+    whole = np.zeros((s + 2, s + 2))
+    whole[0, 1], whole[1:-1, 1:-1] = 1.0, moves
+    whole[-2, -1] = max(1e-3, moves[-1].sum() * 0.5)
+    return normalise_transitions(whole, True)
+
+
+def train_step(h: Hmm, sequences: DataFrame, pooling: str = "per_sequence", ends: Sequence[int] | None = None) -> tuple[Hmm, float]:
+    """(the next model, the sum of log-likelihoods under h): one Baum-Welch iteration over all sequences; pooling and ends as in sums()."""
+    m, v = h.emitting, sums(h, sequences, pooling, ends)
+    if v is None:
+        raise ValueError("no sequences")
     s = len(m.transitions)
-    initial, moves, rest = v[:s], v[s : s + s * s].reshape(s, s), v[s + s * s : -2]
+    own = emission_sums(m, v)
     if m.emissions is not None:
-        fresh = replace(m, emissions=normalise_emissions(rest.reshape(m.emissions.shape)))
+        fresh = replace(m, emissions=normalise_emissions(np.array(own)))
     else:
-        fresh, at = m, 0
-        mixtures = []
-        for mix in m.mixtures:
-            c, d = mix.mu.shape
-            r, rx, rxx = rest[at : at + c], rest[at + c : at + c + c * d].reshape(c, d), rest[at + c + c * d : at + c + c * d + c * d * d].reshape(c, d, d)
-            at += c + c * d + c * d * d
-            mixtures.append(mx.maximise(mix, mx.Statistics(np.full(c, r.sum() / c), r, rx, rxx, 0.0)) if (r > 0).all() else mix)
-        fresh = replace(m, mixtures=tuple(mixtures))
+        fresh = replace(m, mixtures=tuple(next_mixture(x, o) for x, o in zip(m.mixtures, own)))
+    moves = next_transitions(h, v[s : s + s * s].reshape(s, s))
     if h.left_to_right:
-        whole = np.zeros((s + 2, s + 2))
-        whole[0, 1], whole[1:-1, 1:-1] = 1.0, moves
-        whole[-2, -1] = max(1e-3, moves[-1].sum() * 0.5)
-        return replace(fresh, initial=h.initial, transitions=normalise_transitions(whole, True), left_to_right=True), float(v[-2])
-    initial = np.maximum(0.0, initial)
-    return replace(fresh, initial=initial / initial.sum(), transitions=normalise_transitions(moves)), float(v[-2])
+        return replace(fresh, initial=h.initial, transitions=moves, left_to_right=True), float(v[-2])
+    initial = np.maximum(0.0, v[:s])
+    return replace(fresh, initial=initial / initial.sum(), transitions=moves), float(v[-2])
 
 
 def train(h: Hmm, sequences: DataFrame, iterations: int = 10, pooling: str = "per_sequence", ends: Sequence[int] | None = None) -> tuple[Hmm, list[float]]:
@@ -641,3 +666,116 @@ def split_mixtures(h: Hmm, force: bool = False) -> Hmm:
     return replace(h, mixtures=tuple(mx.split(m, force) for m in h.mixtures))
 
 
+# --- chains that share states -----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class State:
+    """What a named state emits: chances of symbols, or a mixture. prior: its chance at the start of a chain. index: its number among all states, if it has one."""
+
+    prior: float
+    emissions: np.ndarray | None = None
+    mixture: mx.Mixture | None = None
+    index: int | None = None
+
+
+@dataclass(frozen=True)
+class Chain:
+    """The names of a chain's emitting states, in order, and of its transitions. initial: its own chances at the start; without, those of its states' priors, which are all that files hold."""
+
+    states: tuple[str, ...]
+    transitions: str
+    initial: np.ndarray | None = field(default=None, compare=False)
+
+
+@dataclass(frozen=True)
+class Registry:
+    """States, transitions and chains by name. Chains that name the same state, or the same transitions, share them."""
+
+    states: dict[str, State]
+    transitions: dict[str, np.ndarray]
+    chains: dict[str, Chain]
+    left_to_right: bool = False
+    terminal: bool = False
+
+    def __post_init__(self) -> None:
+        for name, chain in self.chains.items():
+            if not chain.states:
+                raise ValueError(f"{name}: a chain has states")
+            if lost := sorted({*chain.states} - self.states.keys()):
+                raise ValueError(f"{name}: no states {lost}")
+            if chain.transitions not in self.transitions:
+                raise ValueError(f"{name}: no transitions {chain.transitions}")
+            if len(self.transitions[chain.transitions]) != len(chain.states) + 2 * self.left_to_right:
+                raise ValueError(f"{name}: {len(chain.states)} states and {len(self.transitions[chain.transitions])} in its transitions")
+
+    def model(self, name: str) -> Hmm:
+        """The chain of a name as a model of its own."""
+        chain = self.chains[name]
+        own = [self.states[s] for s in chain.states]
+        a = self.transitions[chain.transitions]
+        priors = np.array([s.prior for s in own])
+        initial = chain.initial
+        if initial is None:
+            initial = priors / priors.sum() if len(priors) == len(a) and priors.sum() > 0 else np.full(len(a), 1 / len(a))
+        if all(s.mixture is not None for s in own):
+            return Hmm(initial, a, None, tuple(s.mixture for s in own), self.left_to_right, self.terminal, name, chain.states)
+        return Hmm(initial, a, np.array([s.emissions for s in own]), (), self.left_to_right, self.terminal, name, chain.states)
+
+    def ordered(self) -> list[str]:
+        """The states' names in order; chains and transitions order by name too."""
+        return sorted(self.states)
+
+    def indexed(self) -> Registry:
+        """With a number for each state, by the order of names."""
+        return replace(self, states={s: replace(self.states[s], index=k) for k, s in enumerate(self.ordered())})
+
+
+def registry(*models: Hmm) -> Registry:
+    """Models by their names; states and transitions that have the same name must be the same."""
+    states: dict[str, State] = {}
+    transitions: dict[str, np.ndarray] = {}
+    chains = {}
+    for h in models:
+        n = len(h.emissions) if h.emissions is not None else len(h.mixtures)
+        names = h.state_names or tuple(f"{h.name}-{k}" for k in range(n))
+        for k, name in enumerate(names):
+            state = State(float(h.initial[min(k, len(h.initial) - 1)]), None if h.emissions is None else h.emissions[k], h.mixtures[k] if h.mixtures else None)
+            held = states.setdefault(name, state)
+            if (held.emissions is None) != (state.emissions is None) or held.emissions is not None and not np.array_equal(held.emissions, state.emissions) or held.mixture is not None and not np.array_equal(held.mixture.mu, state.mixture.mu):
+                raise ValueError(f"two states are named {name}")
+        if not np.array_equal(transitions.setdefault(h.name, h.transitions), h.transitions):
+            raise ValueError(f"two sets of transitions are named {h.name}")
+        chains[h.name] = Chain(names, h.name, h.initial)
+    return Registry(states, transitions, chains, any(h.left_to_right for h in models), any(h.terminal for h in models))
+
+
+def train_shared(r: Registry, sequences: DataFrame, pooling: str = "standard") -> tuple[Registry, dict[str, float]]:
+    """(the next registry, log-likelihoods by chain): one Baum-Welch iteration over sequences (chain, seq_id, t, symbol or features), each trained by the chain it names.
+
+    Sums are keyed by what they belong to: a state's emissions are those of every place in every chain that names it, transitions those of every chain that names them. A chain without sequences adds nothing;
+    a state, or transitions, that no sequence reaches stay as they are. One aggregation for each chain.
+    """
+    emitted: dict[str, np.ndarray] = {}
+    moved: dict[str, np.ndarray] = {}
+    first: dict[str, list[float]] = {}
+    chains, scores = dict(r.chains), {}
+    for name in sorted(r.chains):
+        h, chain = r.model(name), r.chains[name]
+        v = sums(h, sequences.filter(F.col("chain") == name), pooling)
+        if v is None:
+            continue
+        scores[name], s = float(v[-2]), len(h.emitting.transitions)
+        if not h.left_to_right:
+            chains[name] = replace(chain, initial=np.maximum(0.0, v[:s]) / np.maximum(0.0, v[:s]).sum())
+        for state, own, start in zip(chain.states, emission_sums(h.emitting, v), v[:s]):
+            emitted[state] = emitted.get(state, 0.0) + own
+            first.setdefault(state, []).append(max(0.0, float(start)) / max(v[:s].sum(), MIN_PROB))
+        moved[chain.transitions] = moved.get(chain.transitions, 0.0) + v[s : s + s * s].reshape(s, s)
+    states = dict(r.states)
+    for name, own in emitted.items():
+        old = states[name]
+        prior = old.prior if r.left_to_right else float(np.mean(first[name]))
+        states[name] = replace(old, prior=prior, emissions=None if old.emissions is None else normalise_emissions(own[None])[0], mixture=None if old.mixture is None else next_mixture(old.mixture, own))
+    shape = lambda name, moves: next_transitions(r.model(next(c for c in r.chains if r.chains[c].transitions == name)), moves)
+    return replace(r, chains=chains, states=states, transitions={**r.transitions, **{name: shape(name, moves) for name, moves in moved.items()}}), scores

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from tessel.functions.activations import ALPHA_TANH, activate, activate_rows, slope_rows
 from tessel.functions.vectors import dot, literal
+from tessel.plans.tables import dealt
 from tessel.plans.stats import fold, matrix
 
 MOMENTUM_FROM, HALF_FROM = 5, 2
@@ -284,33 +285,44 @@ def evaluate(net: Network, data: DataFrame, target: str = "label") -> tuple[floa
     return error / n, entropy / n if last.kind in ("softmax", "multinomial") else None, 100 - 100 * hits / n
 
 
+#: Slots of rows that make a batch.
+SLOTS = 4
+
+
+def slot_of(seed: int, batches: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(SLOTS * batches)).cast("int")
+
+
+def batches_of(seed: int, epoch: int, batches: int) -> list[list[int]]:
+    """The slots of each batch of an epoch."""
+    return np.random.default_rng([seed, epoch]).permutation(SLOTS * batches).reshape(batches, SLOTS).tolist()
+
+
 def fit(net: Network, data: DataFrame, dev: DataFrame | None = None, target: str = "label", batches: int = 8, max_iter: int | None = None, tolerance: float = 1e-4) -> tuple[Network, list[Epoch]]:
-    """Synchronous training on data (id, features, target): each epoch deals the rows by hash to as many batches, each one aggregation and one step.
+    """Synchronous training on data (id, features, target): each step is one aggregation over a batch.
 
-    Keeps the best network by the dev error (by the training error without dev); stops after min_iter epochs when it improves by tolerance or less.
+    Rows are dealt to SLOTS slots a batch by a hash of id and written once, a folder for each slot; an epoch shuffles the slots and takes SLOTS of them for a batch, so each step reads
+    its own folders and an epoch reads the table once, in other batches than the last one. Keeps the best network by the dev error (by the training error without dev);
+    stops after min_iter epochs when it improves by tolerance or less.
     """
     s, deltas, trace = net.settings, no_deltas(net), []
     best, best_error = net, math.inf
-    columns = data.select("id", "features", target).persist()
-    try:
-        for it in range(s.max_iter if max_iter is None else max_iter):
-            loss = rows = 0.0
-            for b in range(batches):
-                part = columns if batches == 1 else columns.filter(F.pmod(F.xxhash64(F.lit(s.seed), F.lit(it), "id"), F.lit(batches)) == b)
-                grads, one, n = gradient_job(net, part, target, (s.seed, it, b))
-                if n:
-                    net, deltas = update(net, grads, deltas, n, schedule(it), momentum_at(it, s.momentum))
-                loss, rows = loss + one, rows + n
-            now = Epoch(it, loss / max(1.0, rows), *(evaluate(net, dev, target) if dev is not None else ()))
-            trace.append(now)
-            error = now.train_error if now.dev_error is None else now.dev_error
-            gain = best_error - error
-            if error < best_error:
-                best, best_error = net, error
-            if it + 1 >= s.min_iter and gain <= tolerance:
-                break
-    finally:
-        columns.unpersist()
+    held = dealt(data.select("features", target, slot_of(s.seed, batches).alias("slot")), "slot", "batches")
+    for it in range(s.max_iter if max_iter is None else max_iter):
+        loss = rows = 0.0
+        for b, slots in enumerate(batches_of(s.seed, it, batches)):
+            grads, one, n = gradient_job(net, held.filter(F.col("slot").isin(slots)), target, (s.seed, it, b))
+            if n:
+                net, deltas = update(net, grads, deltas, n, schedule(it), momentum_at(it, s.momentum))
+            loss, rows = loss + one, rows + n
+        now = Epoch(it, loss / max(1.0, rows), *(evaluate(net, dev, target) if dev is not None else ()))
+        trace.append(now)
+        error = now.train_error if now.dev_error is None else now.dev_error
+        gain = best_error - error
+        if error < best_error:
+            best, best_error = net, error
+        if it + 1 >= s.min_iter and gain <= tolerance:
+            break
     return best, trace
 
 

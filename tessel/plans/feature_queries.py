@@ -92,6 +92,15 @@ def encode_rows(spark: SparkSession, sf: str) -> DataFrame:
     return entries(features.encode(table(spark, sf, "part"), _part_metas(spark, sf)), "p_partkey", F.col("features"), 5, nonzero=True)
 
 
+def encode_sparse_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts by a dictionary, brands by a list, prices standardised: the entries that are not zero."""
+    part = table(spark, sf, "part")
+    names, brands = features.explore(part, ["p_name", "p_brand"], inline=100)
+    prices = features.refine(part, [features.Meta("p_retailprice", features.STANDARD)])
+    out, _ = features.encode_sparse(part, [names, brands, *prices])
+    return out.select("p_partkey", F.inline("features")).select("p_partkey", "i", r("w", 5).alias("w")).filter("w <> 0")
+
+
 def encoded_targets(spark: SparkSession, sf: str) -> DataFrame:
     """Phase three: only rows whose target encodes to something, here the brands that hold half of the mass."""
     part, metas = table(spark, sf, "part"), _part_metas(spark, sf)
@@ -204,7 +213,7 @@ def activations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    standard_scale, standard_scale_revert, range_bitmap, category_mass_select, category_onehot, percentile_grid, percentile_bitmap, percentile_bitmap_accum, profile_columns, refine_metadata, encode_rows,
+    standard_scale, standard_scale_revert, range_bitmap, category_mass_select, category_onehot, percentile_grid, percentile_bitmap, percentile_bitmap_accum, profile_columns, refine_metadata, encode_rows, encode_sparse_rows,
     encoded_targets, nan_sentinel_fill, excluded_filter, kernel_smooth, class_moments, lda_predict, kde_score, kde_classify, kde_two_class_score, one_hot, error_rate, cross_entropy, text_vectors, vector_norms, activations)}
 QUERIES |= {f"gaussian_predict_{c}": _gaussian(c) for c in gaussian.COVARIANCES}
 
@@ -250,6 +259,10 @@ UNION ALL SELECT 'c_mktsegment', count(*), count(*) - count(c_mktsegment), count
 e AS (SELECT p_partkey, i, CASE WHEN p_size = k.x THEN 1.0 WHEN p_size > before AND p_size < k.x THEN (p_size - before) / (k.x - before) WHEN p_size > k.x AND p_size < after THEN (after - p_size) / (after - k.x) ELSE 0 END AS w FROM part, k
 UNION ALL SELECT p_partkey, nk + b.i, 1.0 FROM part JOIN b ON p_brand = b.value, nk UNION ALL SELECT p_partkey, nk + nb, (p_retailprice - mean) / std FROM part, nk, nb, s)
 SELECT p_partkey, CAST(i AS INTEGER) AS i, round(w, 5) + 0.0::DOUBLE AS w FROM e WHERE round(w, 5) <> 0""",
+    "encode_sparse_rows": """WITH a AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT p_name AS value FROM part)), b AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT p_brand AS value FROM part)),
+na AS (SELECT count(*) AS na FROM a), nb AS (SELECT count(*) AS nb FROM b), s AS (SELECT avg(p_retailprice) AS mean, stddev_pop(p_retailprice) AS std FROM part)
+SELECT p_partkey, CAST(i AS BIGINT) AS i, w FROM (SELECT p_partkey, a.i, 1.0::DOUBLE AS w FROM part JOIN a ON p_name = a.value UNION ALL SELECT p_partkey, na + b.i, 1.0::DOUBLE FROM part JOIN b ON p_brand = b.value, na
+UNION ALL SELECT p_partkey, na + nb, round((p_retailprice - mean) / std, 5) + 0.0::DOUBLE FROM part, na, nb, s) WHERE w <> 0""",
     "encoded_targets": f"WITH {_PARTS}, {_MASS.format(column='p_brand', table='part', mass=0.5)}, b AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM kept) SELECT p_partkey, round((p_retailprice - mean) / std, 5) + 0.0::DOUBLE AS x, CAST(b.i AS INTEGER) AS y FROM part JOIN b ON p_brand = value, s",
     "nan_sentinel_fill": "WITH g AS (SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS value FROM events) SELECT event_id, round(coalesce(value, least(-1.0, (SELECT min(value) FROM g)) - 10), 4) AS value FROM g",
     "excluded_filter": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') GROUP BY 1",

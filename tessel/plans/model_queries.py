@@ -292,7 +292,9 @@ def synthetic_normals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return text.blocks(_points(spark, sf), 16).select("block", F.size("features").alias("n"))
+    """Customers in blocks of 100 rows: how many each has, and which."""
+    blocked = text.blocks(_points(spark, sf), 100)
+    return blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.max_by("id", "place").alias("last"), r(F.sum(F.get("features", 0)), 4).alias("x"))
 
 
 _ALL = (
@@ -503,6 +505,7 @@ SELECT round(avg(CASE WHEN m > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) A
     "gmm_split": f"WITH {_ROWS}, {_DIAGONAL}, {', '.join(_em_parts(0, 'diagonal'))}, {_split_part(1, 2)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2",
     "gmm_growth": _growth_sql((1, 2, 4), 12),
     "knn_topk": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
+    "hashed_blocks": f"WITH {_POINTS}, o AS (SELECT *, row_number() OVER (ORDER BY sha256('0:' || id), id) - 1 AS n FROM d) SELECT n // 100 AS block, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, arg_max(id, n) AS last, round(sum(x), 4) + 0.0::DOUBLE AS x FROM o GROUP BY n // 100",
     "ball_tree_nodes": _ball_tree(12),
     "ball_tree_search": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
     "ball_tree_search_points": f"WITH {_POINTS} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM (SELECT a.id AS qid, b.id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM d AS a, d AS b)) WHERE rank <= 5",

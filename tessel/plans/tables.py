@@ -28,10 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: its lineage is cut, and a lost executor loses none of it."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name))
+
+
+def written_path(df: DataFrame, name: str) -> str:
+    """Where df was written, in the shared folder; it is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _dropped_at_exit(spark, path)
+    return path
 
+
+def _dropped_at_exit(spark: SparkSession, path: str) -> None:
     def drop() -> None:
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(drop)
+
+
+def dealt(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df written once in a folder for each value of column, an int of few values: a filter on it reads those folders alone."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
+    df.repartition(column).write.partitionBy(column).parquet(path)
+    _dropped_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

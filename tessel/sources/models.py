@@ -13,8 +13,9 @@ from dataclasses import asdict, replace
 
 import numpy as np
 
+from tessel.functions.activations import ALPHA_TANH, BETA_TANH
 from tessel.operators.cluster import Clusters
-from tessel.operators.hmm import Hmm, normalise_transitions
+from tessel.operators.hmm import Chain, Hmm, Registry, State, normalise_transitions, registry
 from tessel.operators.mixture import Mixture, derive
 from tessel.operators.neural import Layer, Network, Settings, layer
 
@@ -61,66 +62,92 @@ def load_mixture(path: str, min_var: float = 1e-5) -> Mixture:
 # --- chains -----------------------------------------------------------------------------------------------------------
 
 
+def _transitions_text(name: str, a: np.ndarray) -> str:
+    return f'~t "{name}"\n<TRANSP> {len(a)}\n' + "".join("  " + _row(r, 15) + "\n" for r in a)
+
+
+def _state_text(name: str, s: State) -> str:
+    head = f'~s "{name}"\n' + (f"<GINDEX> {s.index}\n" if s.index is not None and s.index >= 0 else "") + f"<PRIOR> {s.prior:e}\n"
+    if s.mixture is None:
+        return head + f"<B> {len(s.emissions)}\n{_row(s.emissions, 17)}\n<NUMMIXES> 0\n"
+    m = s.mixture
+    parts = [f"<MIXTURE> {c + 1}\n<GCONST> {_row([m.priors[c], m.log_dets[c]], 17)}\n<MEAN> {m.dim}\n{_row(m.mu[c], 17)}\n<VARIANCE> {m.dim}\n{_row(np.diag(m.sigma[c]), 17)}\n" for c in range(m.n_components)]
+    return head + f"<NUMMIXES> {m.n_components}\n" + "".join(parts)
+
+
+def _chain_text(name: str, chain: Chain, n: int, first: int) -> str:
+    states = "".join(f'<STATE> {k + 1 + first}\n~s "{s}"\n' for k, s in enumerate(chain.states))
+    return f'~h "{name}"\n<BEGINHMM>\n<NUMSTATES> {n}\n{states}~t "{chain.transitions}"\n<ENDHMM>\n'
+
+
+def save_registry(r: Registry, states: str, transitions: str, chains: str) -> None:
+    """States, transitions and chains in tagged lines, each in the order of names; the three paths may be files of their own, or one: what a chain names comes before it."""
+    first = 1 if r.left_to_right else 0
+    texts = {path: "" for path in (transitions, states, chains)}
+    texts[transitions] += "".join(_transitions_text(n, r.transitions[n]) for n in sorted(r.transitions))
+    texts[states] += "".join(_state_text(n, r.states[n]) for n in r.ordered())
+    texts[chains] += "".join(_chain_text(n, c, len(r.transitions[c.transitions]), first) for n, c in sorted(r.chains.items()))
+    for path, text in texts.items():
+        with open(path, "w") as f:
+            f.write(text)
+
+
+def load_registry(*paths: str, left_to_right: bool = False, terminal: bool = False) -> Registry:
+    """What save_registry writes, of one file or several, read in this order. Transitions are normalised again; mixtures of states are diagonal."""
+    matrices: dict[str, np.ndarray] = {}
+    states: dict[str, dict] = {}
+    chains: dict[str, Chain] = {}
+    state: dict = {}
+    for path in paths:
+        with open(path) as f:
+            tokens: Iterator[str] = iter(re.findall(r'"[^"]*"|\S+', f.read()))
+        inside, name, title, places = False, "", "", {}
+        place = 0
+        for t in tokens:
+            if t in ("~t", "~s", "~h"):
+                name = next(tokens).strip('"')
+                if t == "~s" and inside:
+                    places[place] = name
+                elif t == "~s":
+                    state = states[name] = {"mix": []}
+                elif t == "~h":
+                    title = name
+            elif t == "<BEGINHMM>":
+                inside, places = True, {}
+            elif t == "<STATE>":
+                place = int(next(tokens))
+            elif t == "<ENDHMM>":
+                chains[title], inside = Chain(tuple(places[k] for k in sorted(places)), name), False
+            elif t == "<TRANSP>":
+                n = int(next(tokens))
+                matrices[name] = np.array([float(next(tokens)) for _ in range(n * n)]).reshape(n, n)
+            elif t == "<GINDEX>":
+                state["index"] = int(next(tokens))
+            elif t == "<PRIOR>":
+                state["prior"] = float(next(tokens))
+            elif t == "<B>":
+                state["b"] = np.array([float(next(tokens)) for _ in range(int(next(tokens)))])
+            elif t == "<GCONST>":
+                state["mix"].append([float(next(tokens))])
+                next(tokens)
+            elif t in ("<MEAN>", "<VARIANCE>"):
+                state["mix"][-1].append([float(next(tokens)) for _ in range(int(next(tokens)))])
+            elif t in ("<NUMMIXES>", "<MIXTURE>", "<NUMSTATES>"):
+                next(tokens)
+    mixture = lambda mix: Mixture("diagonal", np.array([c[0] for c in mix]), np.array([c[1] for c in mix]), np.array([np.diag(c[2]) for c in mix])) if mix else None
+    named = {n: State(s.get("prior", 1.0), s.get("b"), mixture(s["mix"]), s.get("index")) for n, s in states.items()}
+    return Registry(named, {n: normalise_transitions(a, left_to_right) for n, a in matrices.items()}, chains, left_to_right, terminal)
+
+
 def save_hmm(h: Hmm, path: str) -> None:
     """Transitions, states and the chain that names them, in one file of tagged lines."""
-    n = len(h.emissions) if h.emissions is not None else len(h.mixtures)
-    names = h.state_names or tuple(f"{h.name}-{k}" for k in range(n))
-    with open(path, "w") as f:
-        f.write(f'~t "{h.name}"\n<TRANSP> {len(h.transitions)}\n')
-        f.writelines("  " + _row(r, 15) + "\n" for r in h.transitions)
-        for k, name in enumerate(names):
-            f.write(f'~s "{name}"\n<PRIOR> {h.initial[min(k, len(h.initial) - 1)]:e}\n')
-            if h.emissions is not None:
-                f.write(f"<B> {h.emissions.shape[1]}\n{_row(h.emissions[k], 17)}\n<NUMMIXES> 0\n")
-                continue
-            m = h.mixtures[k]
-            f.write(f"<NUMMIXES> {m.n_components}\n")
-            for c in range(m.n_components):
-                f.write(f"<MIXTURE> {c + 1}\n<GCONST> {_row([m.priors[c], m.log_dets[c]], 17)}\n<MEAN> {m.dim}\n{_row(m.mu[c], 17)}\n<VARIANCE> {m.dim}\n{_row(np.diag(m.sigma[c]), 17)}\n")
-        f.write(f'~h "{h.name}"\n<BEGINHMM>\n<NUMSTATES> {len(h.transitions)}\n')
-        for k, name in enumerate(names):
-            f.write(f'<STATE> {k + 1 + (1 if h.left_to_right and n < len(h.transitions) else 0)}\n~s "{name}"\n')
-        f.write(f'~t "{h.name}"\n<ENDHMM>\n')
+    save_registry(registry(h), path, path, path)
 
 
 def load_hmm(path: str, left_to_right: bool = False, terminal: bool = False) -> Hmm:
-    """Reads what save_hmm writes; transitions are normalised again. Mixtures of states are diagonal."""
-    text = open(path).read()
-    tokens: Iterator[str] = iter(re.findall(r'"[^"]*"|\S+', text))
-    matrices, states, chain, kind, name = {}, {}, [], "", ""
-    state: dict = {}
-    inside = False
-    for t in tokens:
-        if t in ("~t", "~s", "~h"):
-            kind, name = t, next(tokens).strip('"')
-            if t == "~s" and inside:
-                chain.append(name)
-            elif t == "~s":
-                state = states[name] = {"mix": []}
-            elif t == "~h":
-                title = name
-        elif t == "<BEGINHMM>":
-            inside = True
-        elif t == "<TRANSP>":
-            n = int(next(tokens))
-            matrices[name] = np.array([float(next(tokens)) for _ in range(n * n)]).reshape(n, n)
-        elif t == "<PRIOR>":
-            state["prior"] = float(next(tokens))
-        elif t == "<B>":
-            state["b"] = [float(next(tokens)) for _ in range(int(next(tokens)))]
-        elif t == "<GCONST>":
-            state["mix"].append([float(next(tokens))])
-            next(tokens)
-        elif t in ("<MEAN>", "<VARIANCE>"):
-            state["mix"][-1].append([float(next(tokens)) for _ in range(int(next(tokens)))])
-        elif t in ("<STATE>", "<NUMMIXES>", "<MIXTURE>", "<NUMSTATES>", "<GINDEX>"):
-            next(tokens)
-    own = [states[s] for s in chain]
-    transitions = normalise_transitions(matrices[name], left_to_right)
-    mixtures = tuple(Mixture("diagonal", np.array([c[0] for c in s["mix"]]), np.array([c[1] for c in s["mix"]]), np.array([np.diag(c[2]) for c in s["mix"]])) for s in own if s["mix"])
-    priors = np.array([s["prior"] for s in own])
-    initial = priors / priors.sum() if len(priors) == len(transitions) else np.full(len(transitions), 1 / len(transitions))
-    return Hmm(initial, transitions, np.array([s["b"] for s in own]) if not mixtures else None, mixtures, left_to_right, terminal, title, tuple(chain))
+    """The one chain of a file that save_hmm wrote; transitions are normalised again. Mixtures of states are diagonal."""
+    found = load_registry(path, left_to_right=left_to_right, terminal=terminal)
+    return found.model(next(iter(found.chains)))
 
 
 # --- clusters and networks --------------------------------------------------------------------------------------------
@@ -166,8 +193,13 @@ def load_network(name: str, directory: str) -> Network | None:
 
 
 def read_network_config(path: str, name: str = "network", seed: int = 0) -> Network:
-    """key value lines and layer size activation kept-share learning-rate [noise] lines; # starts a comment. The first layer line is the input."""
-    settings, rows = Settings(seed=seed), []
+    """key value lines and layer size activation kept-share learning-rate [noise] lines; # starts a comment. The first layer line is the input.
+
+    num_layers must be the number of layer lines; other slopes of tanh than the fixed ones, and rates tuned on line, are refused.
+    """
+    settings, rows, announced = Settings(seed=seed), [], None
+    # fixed values: the only slopes of tanh that layers have
+    fixed = {"alpha_tanh": ALPHA_TANH, "beta_tanh": BETA_TANH}
     truth = lambda s: s.lower() in ("true", "1", "yes")
     keys = {"learning_rate": ("learning_rate", float), "momentum": ("momentum", float), "l2_penalty": ("l2", float), "c_max_norm": ("max_norm", float), "max_iter": ("max_iter", int),
             "add_input_noise": ("add_noise", truth), "add_noise": ("add_noise", truth), "batch_size": ("batch_size", int), "batch_normalisation": ("batch_normalisation", truth), "scale": ("scale", float)}
@@ -181,8 +213,18 @@ def read_network_config(path: str, name: str = "network", seed: int = 0) -> Netw
             elif words[0] in keys:
                 attribute, kind = keys[words[0]]
                 settings = replace(settings, **{attribute: kind(words[1])})
-            elif words[0] not in ("num_layers", "olr_iterations", "alpha_tanh", "beta_tanh"):
+            elif words[0] == "num_layers":
+                announced = int(words[1])
+            elif words[0] in fixed:
+                if abs(float(words[1]) - fixed[words[0]]) > 1e-3:
+                    raise ValueError(f"{path}: {words[0]} is {fixed[words[0]]}, not {words[1]}")
+            elif words[0] == "olr_iterations":
+                if int(words[1]) > 0:
+                    raise ValueError(f"{path}: rates are not tuned on line; olr_iterations must be 0 or below")
+            else:
                 raise ValueError(f"{path}: unknown key {words[0]}")
+    if announced is not None and announced != len(rows):
+        raise ValueError(f"{path}: {len(rows)} layers, {announced} announced")
     rng, layers = np.random.default_rng(seed), []
     for (a, before, *_), (b, kind, *rest) in zip(rows, rows[1:]):
         keep, rate, noise = (rest + [1.0, settings.learning_rate, 0.0][len(rest) :])[:3]

@@ -1,6 +1,7 @@
 """Operators against plain numpy versions and invariants."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -353,6 +354,105 @@ def test_explore_lists_every_value(spark):
     assert len(meta.values) == meta.num_intervals == 100_001 and meta.values[-1] == "v100000"
 
 
+def test_batches_are_read_once_and_trained_on(spark):
+    """Training over a table is the same steps over the same batches in numpy; an epoch's batches are all rows once, dealt anew each time."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(300, 4))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "id long, features array<double>, label int").repartition(5)
+    net = neural.network((4, 6, 2), ("tanh", "softmax"), neural.Settings(learning_rate=0.3, min_iter=4, seed=3))
+    fitted, trace = neural.fit(net, df, batches=3, max_iter=4)
+    slots = {r.id: r.slot for r in df.select("id", neural.slot_of(3, 3).alias("slot")).collect()}
+    now, deltas, best, least, epochs = net, neural.no_deltas(net), None, np.inf, []
+    for it in range(4):
+        loss = 0.0
+        epochs.append([sorted(i for i in slots if slots[i] in own) for own in neural.batches_of(3, it, 3)])
+        for rows in epochs[-1]:
+            grads, one = neural.gradients(now, x[rows], neural.targets(y[rows], 2, "softmax"))
+            now, deltas = neural.update(now, grads, deltas, len(rows), neural.schedule(it), neural.momentum_at(it, net.settings.momentum))
+            loss += one
+        assert sorted(i for rows in epochs[-1] for i in rows) == list(range(300)) and np.isclose(trace[it].train_error, loss / 300)
+        best, least = (now, loss) if loss < least else (best, least)
+    assert epochs[0] != epochs[1] and np.allclose(fitted.layers[0].weights, best.layers[0].weights) and np.allclose(fitted.layers[1].bias, best.layers[1].bias)
+    plan = df.select("features", "label", neural.slot_of(3, 3).alias("slot"))
+    from tessel.plans.tables import dealt
+
+    held = dealt(plan, "slot", "batches")
+    reads = [held.filter(F.col("slot").isin(own)) for own in neural.batches_of(3, 0, 3)]
+    files = lambda rows: rows.select("_metadata.file_path").distinct().count()
+    assert sum(map(files, reads)) == files(held) == len(held.inputFiles()) and all("PartitionFilters: [slot" in r._jdf.queryExecution().toString() for r in reads)
+
+
+def test_chains_that_share_states_train_them_together(spark):
+    """A state in two chains gets one emission from the sums of both; equal to the sums of a plain forward-backward."""
+    rng = np.random.default_rng(41)
+    b = rng.random((3, 3)) + 0.2
+    b /= b.sum(axis=1, keepdims=True)
+    one = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.4, 0.6]]), b[[0, 1]], name="one", state_names=("shared", "own-1"))
+    two = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.5, 0.5], [0.2, 0.8]]), b[[2, 0]], name="two", state_names=("own-2", "shared"))
+    r = hmm.registry(one, two)
+    data = {(c, k): rng.integers(0, 3, n) for k, (c, n) in enumerate([("one", 9), ("one", 30), ("two", 14), ("two", 5)])}
+    df = spark.createDataFrame([(c, k, t, int(v)) for (c, k), o in data.items() for t, v in enumerate(o)], "chain string, seq_id long, t long, symbol int").repartition(3)
+    fresh, scores = hmm.train_shared(r, df)
+    seen, moves, total = {s: np.zeros(3) for s in r.states}, {"one": np.zeros((2, 2)), "two": np.zeros((2, 2))}, {"one": 0.0, "two": 0.0}
+    for (c, _), o in data.items():
+        m = {"one": one, "two": two}[c]
+        log_b = m.log_emissions(o)
+        alpha, z = hmm.forward(m, log_b)
+        beta = hmm.backward(m, log_b)
+        gamma = np.exp(alpha + beta - z)
+        total[c] += z
+        for j, s in enumerate(m.state_names):
+            np.add.at(seen[s], o, gamma[:, j])
+        for t in range(len(o) - 1):
+            moves[c] += np.exp(alpha[t][:, None] + np.log(m.transitions) + log_b[t + 1] + beta[t + 1] - z)
+    assert all(np.isclose(scores[c], total[c]) for c in total)
+    for s in r.states:
+        assert np.allclose(fresh.states[s].emissions, hmm.normalise_emissions(seen[s][None])[0])
+    for c in moves:
+        assert np.allclose(fresh.transitions[c], hmm.normalise_transitions(moves[c]))
+    assert np.array_equal(fresh.model("one").emissions[0], fresh.model("two").emissions[1])
+    idle, _ = hmm.train_shared(r, df.filter("chain = 'one'"))
+    assert np.array_equal(idle.states["own-2"].emissions, r.states["own-2"].emissions) and np.array_equal(idle.transitions["two"], two.transitions)
+    assert r.ordered() == ["own-1", "own-2", "shared"] and [r.indexed().states[s].index for s in r.ordered()] == [0, 1, 2]
+    for broken in ({"states": {}}, {"transitions": {}}, {"chains": {"x": hmm.Chain((), "one")}}):
+        with pytest.raises(ValueError):
+            replace(r, **broken)
+    with pytest.raises(ValueError):
+        hmm.registry(one, replace(two, name="three", emissions=b[[1, 1]]))
+
+
+def test_a_dictionary_encodes_as_a_list_does(spark, monkeypatch):
+    """Sparse entries through a joined dictionary are the places of the dense encoding; hot, missing, excluded and unknown values included."""
+    from tessel.operators import features
+
+    rows = [(i, "hot" if i % 3 else f"v{i % 50:02d}", float(i), "a" if i % 2 else None) for i in range(600)] + [(600, None, 1.0, "b"), (601, "skip", 2.0, "a"), (601, "skip", 2.0, "a")]
+    df = spark.createDataFrame(rows, "id long, c string, x double, d string").repartition(4)
+    monkeypatch.setattr(features, "PARTS", 4)
+    listed, x, d = (features.explore(df)[k] for k in (1, 2, 3))
+    (many,) = features.explore(df, ["c"], inline=5)
+    assert isinstance(many.values, features.Dictionary) and list(many.values) == list(listed.values) and many.num_intervals == len(many.values)
+    (scaled,) = features.refine(df, [replace(x, type=features.STANDARD)])
+    for excluded in ((), ("skip",)):
+        metas = [scaled, replace(listed, excluded=excluded), d]
+        dense = {}
+        for r in features.encode(df, metas).collect():
+            dense.setdefault(r.id, []).append(r.features)
+        out, n = features.encode_sparse(df, [scaled, replace(many, excluded=excluded), d])
+        assert out.columns == [*df.columns, "features"]
+        got = {}
+        for r in out.collect():
+            w = [0.0] * n
+            for e in r.features:
+                w[e["i"]] = e["w"]
+            got.setdefault(r.id, []).append(w)
+        assert got == dense
+    with pytest.raises(ValueError):
+        features.encode(df, [many])
+    with pytest.raises(IndexError):
+        many.values[10**6]
+
+
 @pytest.mark.parametrize("rows", [[[1.0, 2.0, 3.0, 4.0], None], [[1.0], [2.0, 3.0, 4.0]], [None, None], [[], [1.0]]])
 def test_matrix_refuses_null_and_uneven_vectors(rows):
     with pytest.raises(ValueError):

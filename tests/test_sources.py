@@ -1,5 +1,7 @@
 """Files are read as they were written; synthetic data repeats; a stream moves centres as a batch does."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -15,7 +17,7 @@ def test_vectors(spark, tmp_path):
     got = sorted(r.features for r in text.read_index(spark, str(tmp_path / "index")).collect())
     assert got == [[1.0, 2.5, -30.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]]
     data = text.read_vectors(spark, str(tmp_path / "a.txt"))
-    assert sum(r.n for r in text.blocks(data, 3).selectExpr("size(features) as n").collect()) == 2
+    assert sum(r.n for r in text.as_arrays(text.blocks(data, 3, ["features"])).selectExpr("size(features) as n").collect()) == 2
 
 
 def test_table_percentiles_metadata(spark, tmp_path):
@@ -55,6 +57,35 @@ def test_models(spark, tmp_path):
     assert np.array_equal(back.output(x), net.output(x)) and models.load_network("other", str(tmp_path)) is None
 
 
+def test_chains_in_files_of_their_own(tmp_path):
+    b = np.array([[0.7, 0.3], [0.2, 0.8], [0.5, 0.5]])
+    one = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.4, 0.6]]), b[[0, 1]], name="one", state_names=("shared", "left"))
+    two = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.5, 0.5], [0.2, 0.8]]), b[[0, 2]], name="two", state_names=("shared", "right"))
+    r = hmm.registry(one, two).indexed()
+    paths = [str(tmp_path / n) for n in ("transitions", "states", "chains")]
+    models.save_registry(r, paths[1], paths[0], paths[2])
+    assert open(paths[1]).read().count("<GINDEX>") == 3 and "~h" not in open(paths[1]).read() and "<TRANSP>" not in open(paths[2]).read()
+    back = models.load_registry(*paths)
+    assert {n: s.index for n, s in back.states.items()} == {"left": 0, "right": 1, "shared": 2} and back.chains == r.chains
+    for h in (one, two):
+        got = back.model(h.name)
+        assert np.allclose(got.emissions, h.emissions) and np.allclose(got.transitions, h.transitions) and np.allclose(got.initial, h.initial) and got.state_names == h.state_names
+    lr = hmm.continuous(np.array([[0.5, 1.0], [2.0, 3.0]]), left_to_right=True)
+    models.save_hmm(lr, str(tmp_path / "lr"))
+    again = models.load_hmm(str(tmp_path / "lr"), left_to_right=True)
+    assert np.allclose(again.transitions, lr.transitions) and np.allclose(again.mixtures[1].mu, lr.mixtures[1].mu) and "<STATE> 2" in open(tmp_path / "lr").read()
+
+
+@pytest.mark.parametrize("line", ["num_layers 2", "alpha_tanh 1.0", "beta_tanh 0.5", "olr_iterations 3"])
+def test_keys_that_cannot_act_are_refused(tmp_path, line):
+    text_ = "num_layers 3\nalpha_tanh 1.7159\nbeta_tanh 0.666667\nolr_iterations -1\nlayer 4 linear 1.0 0.1\nlayer 8 tanh 0.5 0.2\nlayer 2 softmax 1.0 0.3\n"
+    (tmp_path / "n.cfg").write_text(text_)
+    assert len(models.read_network_config(str(tmp_path / "n.cfg")).layers) == 2
+    (tmp_path / "n.cfg").write_text(text_ + line + "\n")
+    with pytest.raises(ValueError):
+        models.read_network_config(str(tmp_path / "n.cfg"))
+
+
 def test_network_config(tmp_path):
     (tmp_path / "n.cfg").write_text("# a network\nnum_layers 3\nlearning_rate 0.05\nadd_noise False\nlayer 4 linear 1.0 0.1\nlayer 8 tanh 0.5 0.2 0.01\nlayer 2 softmax 1.0 0.3\n")
     net = models.read_network_config(str(tmp_path / "n.cfg"))
@@ -89,3 +120,37 @@ def test_stream_moves_centres_like_one_pass(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert other.counts.sum() == 60
+
+
+def test_blocks_hold_so_many_rows(spark):
+    data = spark.createDataFrame([(i, [float(i)]) for i in range(103)], "id long, features array<double>").repartition(6)
+    first, again = (sorted(tuple(r) for r in text.blocks(d, 10).select("block", "place", "id").collect()) for d in (data, data.repartition(2)))
+    assert first == again and [(b, p) for b, p, _ in first] == [(i // 10, i % 10) for i in range(103)] and {i for *_, i in first} == set(range(103))
+    arrays = {r.block: [x[0] for x in r.features] for r in text.as_arrays(text.blocks(data, 10)).collect()}
+    assert arrays == {b: [float(i) for x, _, i in first if x == b] for b in range(11)}
+
+
+def test_three_phases_over_files(spark, tmp_path, monkeypatch):
+    from tessel import encode
+
+    data = tmp_path / "data.csv"
+    data.write_text("x;c;y\n" + "".join(f"{i / 4};{'abc'[i % 3]};{'no' if i % 5 else 'yes'}\n" for i in range(60)))
+    first, refined, target, out = (str(tmp_path / n) for n in ("first", "refined", "target", "out"))
+    encode.main(["--phase", "1", "--data", str(data), "--output-metadata", first])
+    proposed = {m.name: m for m in text.read_metadata(first)}
+    assert {k: m.type for k, m in proposed.items()} == {"x": features.RANGE, "c": features.CATEGORICAL, "y": features.CATEGORICAL}
+    text.write_metadata(first, [replace(proposed["x"], type=features.STANDARD), proposed["c"]])
+    encode.main(["--phase", "2", "--data", str(data), "--input-metadata", first, "--output-metadata", refined])
+    text.write_metadata(target, [replace(proposed["y"], values=("yes",))])
+    encode.main(["--phase", "3", "--data", str(data), "--input-metadata", refined, "--output-metadata", target, "--output", out])
+    lines = [r[0].split() for r in spark.read.text(out).collect()]
+    assert len(lines) == 12 and all(len(x) == 5 and sorted(x[1:4]) == ["0.000000", "0.000000", "1.000000"] and x[4] == "1.000000" for x in lines)
+    # the same with a dictionary instead of a list
+    (many,) = features.explore(text.read_table(spark, str(data)), ["c"], inline=1, folder=str(tmp_path / "kept"))
+    text.write_metadata(refined, [text.read_metadata(refined)[0], many])
+    assert text.read_metadata(refined)[1].values == many.values
+    encode.main(["--phase", "3", "--data", str(data), "--input-metadata", refined, "--output-metadata", target, "--output", out + "-sparse"])
+    sparse = sorted(r[0] for r in spark.read.text(out + "-sparse").collect())
+    assert len(sparse) == 12 and all(line.endswith(" | 0:1.000000") and len(line.split(" | ")[0].split()) == 2 for line in sparse)
+    with pytest.raises(SystemExit):
+        encode.main(["--phase", "3", "--data", str(data), "--output-metadata", target])
