@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessel.functions.vectors import argmax, let, literal, logsumexp, softmax, total
 from tessel.plans.stats import dimension, fold, matrix
+from tessel.plans.training_log import TrainingLog
 
 DIAGONAL = ("spherical", "diagonal", "tied_diagonal")
 COVARIANCES = (*DIAGONAL, "tied", "full")
@@ -225,22 +226,28 @@ def criteria(m: Mixture, loglik: float, n: float) -> tuple[float, float]:
     return 2 * k - 2 * loglik, k * math.log(max(1.0, n)) - 2 * loglik
 
 
-def fit(m: Mixture, data: DataFrame, epsilon: float = 1e-5, max_iterations: int = 200, patience: int = 10, start: float | None = None) -> tuple[Mixture, list[Trace]]:
-    """Iterations until patience of them, not necessarily in a row, change the mean log-likelihood by less than epsilon of it."""
-    trace, old, calm = [], start, 0
-    for i in range(max_iterations):
+def fit(m: Mixture, data: DataFrame, epsilon: float = 1e-5, max_iterations: int = 200, patience: int = 10, start: float | None = None,
+        log: Callable[[Trace, Mixture, int, float | None], None] | None = None, first: int = 0, calm: int = 0) -> tuple[Mixture, list[Trace]]:
+    """Iterations until patience of them, not necessarily in a row, change the mean log-likelihood by less than epsilon of it.
+
+    log: gets each iteration's figures, the model after it, how many were calm so far, and the log-likelihood that the next one is compared with; first, calm and start: where to go on from these.
+    """
+    trace, old = [], start
+    for i in range(first, max_iterations):
+        if calm >= patience:
+            break
         s = statistics(m, data)
         mean = s.loglik / max(1.0, s.n)
         delta = 1.0 if old is None else abs((mean - old) / mean) if mean else 0.0
         trace.append(Trace(m.n_components, i, mean, delta, *criteria(m, s.loglik, s.n)))
         alive = s.hard > 0 if (s.r <= 0).any() else np.ones(m.n_components, bool)
-        if not alive.all():
+        if alive.all():
+            m, old = maximise(m, s), mean
+            calm += delta < epsilon
+        else:
             m = purge(replace(m, counts=s.hard))
-            continue
-        m, old = maximise(m, s), mean
-        calm += delta < epsilon
-        if calm >= patience:
-            break
+        if log:
+            log(trace[-1], m, calm, old)
     return m, trace
 
 
@@ -307,23 +314,51 @@ def split(m: Mixture, force: bool = False) -> Mixture:
     return derive(out)
 
 
+def to_state(m: Mixture) -> dict:
+    """A model as what JSON holds, every number whole."""
+    return {"covariance": m.covariance, "priors": m.priors.tolist(), "mu": m.mu.tolist(), "sigma": m.sigma.tolist(), "min_var": m.min_var, "counts": np.asarray(m.counts).tolist()}
+
+
+def from_state(x: dict) -> Mixture:
+    return derive(Mixture(x["covariance"], np.array(x["priors"]), np.array(x["mu"]), np.array(x["sigma"]), x["min_var"], counts=np.array(x["counts"])))
+
+
 def grow(data: DataFrame, max_components: int, covariance: str = "diagonal", epsilon: float = 1e-5, max_iterations: int = 200, min_var: float = 1e-5,
-         reset: bool = True, record: Callable[[Mixture], None] | None = None) -> tuple[dict[int, Mixture], list[Trace]]:
+         reset: bool = True, record: Callable[[Mixture], None] | None = None, log: TrainingLog | None = None) -> tuple[dict[int, Mixture], list[Trace]]:
     """From one component on: fit, purge, record, split, until there are more than max_components. reset: whether each size starts anew from no log-likelihood.
 
-    Returns the models by size and the trace; the input is kept in memory meanwhile where it fits.
+    Returns the models by size and the trace; the input is kept in memory meanwhile where it fits. log: gets a row for each iteration and each size that is done; a run
+    whose rows it holds already, of the same data and arguments, goes on after the last of them and returns what it would have returned at once.
     """
     rows = data.select("features").persist()
+    models: dict[int, Mixture] = {}
+    trace: list[Trace] = []
+    m, done, first, calm, old = None, False, 0, 0, None
+    for event, figures, state in log.events() if log else ():
+        m, done = from_state(state["model"]), event == "size"
+        if done:
+            models[m.n_components] = m
+        else:
+            trace.append(Trace(int(figures["n_components"]), int(figures["iteration"]), *(figures[k] for k in ("log_likelihood", "delta", "aic", "bic"))))
+            first, calm, old = trace[-1].iteration + 1, state["calm"], state["old"]
+
+    def note(t: Trace, now: Mixture, calm: int, old: float | None) -> None:
+        log.append("iteration", asdict(t), {"model": to_state(now), "calm": int(calm), "old": old})
+
     try:
-        m, models, trace, last = blank(1, dimension(rows), covariance, min_var), {}, [], None
+        m = blank(1, dimension(rows), covariance, min_var) if m is None else m
         while m.n_components <= max_components:
-            m, made = fit(m, rows, epsilon, max_iterations, start=None if reset else last)
-            trace += made
-            last = made[-1].log_likelihood
-            m = purge(m)
-            models[m.n_components] = m
-            if record:
-                record(m)
+            if not done:
+                last = old if first else None if reset or not trace else trace[-1].log_likelihood
+                m, made = fit(m, rows, epsilon, max_iterations, start=last, log=note if log else None, first=first, calm=calm)
+                trace += made
+                m = purge(m)
+                models[m.n_components] = m
+                if log:
+                    log.append("size", {"n_components": m.n_components}, {"model": to_state(m)})
+                if record:
+                    record(m)
+            done, first, calm = False, 0, 0
             larger = split(m)
             if larger.n_components in models:
                 larger = split(m, force=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from tessel.functions import vectors as v
 from tessel.operators import cluster, hmm, mixture, neighbours, neural
 from tessel.plans.feature_queries import entries, r
-from tessel.plans.tables import table
+from tessel.plans.tables import dropped_at_exit, shared_dir, table
+from tessel.plans.training_log import TrainingLog
 from tessel.sources import synthetic, text
 
 # --- clusters over customers, in the plane of balance and nation ------------------------------------------------------
@@ -140,7 +142,21 @@ def gmm_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def gmm_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Growth to four components on all line items: the trace of the iterations."""
-    _, trace = mixture.grow(_lines(spark, sf), 4, epsilon=1e-4, max_iterations=12)
+    return _traced(spark, mixture.grow(_lines(spark, sf), 4, epsilon=1e-4, max_iterations=12)[1])
+
+
+def gmm_growth_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The same run in two halves, the second of which goes on from the log of the first: the trace as the log has it."""
+    log = f"{shared_dir(spark)}/tessel-log-{uuid.uuid4().hex}"
+    dropped_at_exit(spark, log)
+    mixture.grow(_lines(spark, sf), 2, epsilon=1e-4, max_iterations=12, log=TrainingLog(spark, log, "growth"))
+    mixture.grow(_lines(spark, sf), 4, epsilon=1e-4, max_iterations=12, log=TrainingLog(spark, log, "growth"))
+    figures = lambda n: F.col("figures")[n].alias(n)
+    rows = TrainingLog(spark, log, "growth").rows().filter("event = 'iteration'").select(*[figures(n) for n in ("n_components", "iteration", "log_likelihood", "delta", "aic", "bic")])
+    return rows.select(F.col("n_components").cast("int").alias("n_components"), F.col("iteration").cast("int").alias("iteration"), *[r(n).alias(n) for n in ("log_likelihood", "delta")], *[r(n, 2).alias(n) for n in ("aic", "bic")])
+
+
+def _traced(spark: SparkSession, trace: list[mixture.Trace]) -> DataFrame:
     rows = spark.createDataFrame([(t.n_components, t.iteration, float(t.log_likelihood), float(t.delta), float(t.aic), float(t.bic)) for t in trace], "n_components int, iteration int, log_likelihood double, delta double, aic double, bic double")
     return rows.select("n_components", "iteration", *[r(n).alias(n) for n in ("log_likelihood", "delta")], *[r(n, 2).alias(n) for n in ("aic", "bic")])
 
@@ -299,7 +315,7 @@ def hashed_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_lloyd_mean_first, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, cluster_silhouette, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
-    gmm_growth, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, ball_tree_search, ball_tree_search_points, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
+    gmm_growth, gmm_growth_log, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, ball_tree_search, ball_tree_search_points, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
     hmm_baum_welch_continuous, mlp_forward, mlp_predict, mlp_fit, rbm_cd1, autoencoder, synthetic_normals, hashed_blocks)
 QUERIES = {f.__name__: f for f in _ALL} | {f"gmm_em_2_{c}": _em(c) for c in mixture.COVARIANCES}
 
@@ -504,6 +520,7 @@ SELECT round(avg(CASE WHEN m > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) A
     "gmm_aic_bic": f"{_STATS} SELECT round((20 - 2 * sum(ll)) / count(*), 6) AS aic, round((10 * ln(count(*)) - 2 * sum(ll)) / count(*), 6) AS bic FROM r WHERE c = 0",
     "gmm_split": f"WITH {_ROWS}, {_DIAGONAL}, {', '.join(_em_parts(0, 'diagonal'))}, {_split_part(1, 2)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2",
     "gmm_growth": _growth_sql((1, 2, 4), 12),
+    "gmm_growth_log": _growth_sql((1, 2, 4), 12),
     "knn_topk": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
     "hashed_blocks": f"WITH {_POINTS}, o AS (SELECT *, row_number() OVER (ORDER BY sha256('0:' || id), id) - 1 AS n FROM d) SELECT n // 100 AS block, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, arg_max(id, n) AS last, round(sum(x), 4) + 0.0::DOUBLE AS x FROM o GROUP BY n // 100",
     "ball_tree_nodes": _ball_tree(12),

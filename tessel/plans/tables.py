@@ -36,11 +36,12 @@ def written_path(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _dropped_at_exit(spark, path)
+    dropped_at_exit(spark, path)
     return path
 
 
-def _dropped_at_exit(spark: SparkSession, path: str) -> None:
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a path when the driver ends."""
     def drop() -> None:
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,7 +57,7 @@ def dealt(df: DataFrame, column: str, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
     df.repartition(column).write.partitionBy(column).parquet(path)
-    _dropped_at_exit(spark, path)
+    dropped_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

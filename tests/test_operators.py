@@ -354,6 +354,38 @@ def test_explore_lists_every_value(spark):
     assert len(meta.values) == meta.num_intervals == 100_001 and meta.values[-1] == "v100000"
 
 
+@pytest.mark.parametrize("stop", [1, 4, 6, 9])
+def test_growth_resumes_from_its_log(spark, blobs, tmp_path, stop):
+    """A driver that is lost after any row of the log loses at most the iteration under way: the run that goes on ends as one that was never stopped."""
+    from tessel.plans.training_log import TrainingLog
+
+    df, *_ = blobs
+    more = {"epsilon": 1e-3, "max_iterations": 3}
+    whole, trace = mixture.grow(df, 4, **more)
+
+    class Lost(Exception):
+        pass
+
+    class Stopped(TrainingLog):
+        def append(self, *row):
+            super().append(*row)
+            if self.step == stop:
+                raise Lost
+
+    path = str(tmp_path / "log")
+    with pytest.raises(Lost):
+        mixture.grow(df, 4, **more, log=Stopped(spark, path, "a"))
+    models, again = mixture.grow(df, 4, **more, log=TrainingLog(spark, path, "a"))
+    assert [(t.n_components, t.iteration) for t in again] == [(t.n_components, t.iteration) for t in trace] and np.allclose([t.log_likelihood for t in again], [t.log_likelihood for t in trace])
+    assert models.keys() == whole.keys() and all(np.allclose(models[k].mu, whole[k].mu) and np.allclose(models[k].priors, whole[k].priors) for k in whole)
+    log = TrainingLog(spark, path, "a")
+    assert log.rows().count() == len(trace) + len(whole) == log.step and TrainingLog(spark, path, "other").step == 0
+    finished, same = mixture.grow(df, 4, **more, log=log)
+    assert finished.keys() == whole.keys() and len(same) == len(trace) and log.step == len(trace) + len(whole)
+    shown = log.table().filter("event = 'iteration'").selectExpr("figures['aic'] AS aic").count()
+    assert shown == len(trace)
+
+
 def test_batches_are_read_once_and_trained_on(spark):
     """Training over a table is the same steps over the same batches in numpy; an epoch's batches are all rows once, dealt anew each time."""
     rng = np.random.default_rng(31)
