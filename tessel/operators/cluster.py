@@ -112,8 +112,9 @@ def medoid_centres(data: DataFrame, centres: np.ndarray, now: Step | None = None
 
 
 def random_centres(data: DataFrame, k: int, seed: int = 0) -> np.ndarray:
-    """k rows by seeded hash."""
-    return np.array([r[0] for r in data.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).select("features").collect()], float)
+    """k rows by seeded hash of their ids."""
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)
+    return np.array([r[0] for r in data.orderBy(order, "id").limit(k).select("features").collect()], float)
 
 
 def farthest_first(data: DataFrame, k: int, first: str = "mean", seed: int = 0) -> np.ndarray:

@@ -11,11 +11,11 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import let, linspace, literal, total
-from tessel.plans.tables import running_sum, written_path
+from tessel.plans.tables import running_sum, written, written_path
 
 CATEGORICAL, NUMERICAL, RANGE = "categorical", "numerical", "range_of_values"
 PERCENTILES, PERCENTILES_ACCUM, STANDARD, INTEGER = "percentiles", "percentiles_accum", "zero_mean_variance_one", "integer"
@@ -136,24 +136,36 @@ def category_masses(data: DataFrame, column: str, excluded: Sequence = ()) -> Da
     return counts.withColumn("p", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
+#: Distinct values of a column that one task places; the result is the same either way.
+PLAIN = 1_000_000
+
+
+def _running(counts: DataFrame, order: list, name: str) -> tuple[DataFrame, Column]:
+    """counts (..., n), a row for each distinct value, with the running sum of n in an order that no two rows share, and the sum of all: by one window for PLAIN rows or fewer, by ranges beyond."""
+    held = written(counts, "counts")
+    whole = held.agg(F.sum("n")).scalar()
+    if held.count() > PLAIN:
+        return running_sum(held, order, "n", name), whole
+    upto = F.sum("n").over(Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return held.withColumn(name, upto), whole
+
+
 def mass_cut(masses: DataFrame, mass: float = 0.95) -> DataFrame:
     """The categories whose share reaches that of the category at which the running share, largest first, first exceeds mass; ties at it all stay."""
-    ordered = running_sum(masses, [F.desc("p"), F.col("value")], "n", "_running")
-    n = ordered.agg(F.sum("n")).scalar()
-    cut = ordered.filter(F.col("_running") / n > mass).agg(F.max("p")).scalar()
-    return ordered.filter(F.col("p") >= F.coalesce(cut, ordered.agg(F.min("p")).scalar())).select("value", "n", "p")
+    ordered, n = _running(masses, [F.desc("p"), F.col("value")], "_running")
+    cut = ordered.agg(F.max(F.when(F.col("_running") / n > mass, F.col("p"))).alias("cut"), F.min("p").alias("least")).select(F.coalesce("cut", "least")).scalar()
+    return ordered.filter(F.col("p") >= cut).select("value", "n", "p")
 
 
 def quantile_grid(data: DataFrame, column: str, num_intervals: int, excluded: Sequence = ()) -> DataFrame:
     """(position, value): sorted values at places 0, step, 2 * step, ..., and the last, each value once; step = n // (num_intervals - 2).
 
-    Values are counted and dealt to ranges before they are placed, so no task sorts all values, distinct or not.
+    Values are counted before they are placed; where many are distinct they are dealt to ranges, so no task sorts all of them.
     """
     x = F.col(column).cast("double")
     kept = data.filter(~is_missing(F.col(column).cast("double"), "double") & without(F.col(column), excluded)).select(x.alias("value"))
-    counts = kept.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    upto = running_sum(counts, ["value"], "n", "_end")
-    places = upto.withColumn("_n", upto.agg(F.max("_end")).scalar())
+    upto, n = _running(kept.groupBy("value").agg(F.count(F.lit(1)).alias("n")), ["value"], "_end")
+    places = upto.withColumn("_n", n)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(num_intervals - 2))).cast("long")
     # a value holds the places _end - n .. _end - 1: it is on the grid if a multiple of step is among them
     on_grid = F.floor((F.col("_end") - 1) / step) > F.floor((F.col("_end") - F.col("n") - 1) / step)

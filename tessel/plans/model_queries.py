@@ -46,7 +46,8 @@ def kmeans_lloyd_3(spark: SparkSession, sf: str) -> DataFrame:
 
 def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
     out = cluster.fit(_points(spark, sf), 6, init="maximin")
-    return spark.createDataFrame([(k, *map(float, c), float(out.J), out.steps) for k, c in enumerate(out.centres)], "cluster int, x double, y double, j double, steps int")
+    rows = spark.createDataFrame([(k, *map(float, c), float(out.J), out.steps) for k, c in enumerate(out.centres)], "cluster int, x double, y double, j double, steps int")
+    return rows.select("cluster", *[r(n).alias(n) for n in ("x", "y", "j")], "steps")
 
 
 def kmeans_lloyd_mean_first(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,6 +341,49 @@ def _unrolled(start: str, steps: int, first: int = 0) -> str:
     return ", ".join(parts)
 
 
+def _near_of(points: str, centres: str) -> str:
+    return f"SELECT id, x, y, k, d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, k) AS p FROM (SELECT id, x, y, k, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM {points}, {centres})) WHERE p = 1"
+
+
+def _to_the_end(name: str, points: str, start: str, steps: int = 32) -> list[str]:
+    """Lloyd's steps from start over points, up to steps of them, and in name the centres (k, cx, cy, j, steps) after the first one that changes no row's cluster or improves the distortion too little."""
+    parts, ends, shown = [f"{name}a0 AS MATERIALIZED ({_near_of(points, start)})"], [], []
+    for i in range(1, steps + 1):
+        before = f"{name}c{i - 1}" if i > 1 else start
+        parts += [
+            f"{name}c{i} AS MATERIALIZED (SELECT c.k, coalesce(avg(n.x), 0) AS cx, coalesce(avg(n.y), 0) AS cy FROM {before} AS c LEFT JOIN {name}a{i - 1} AS n ON n.k = c.k GROUP BY c.k)",
+            f"{name}a{i} AS MATERIALIZED ({_near_of(points, f'{name}c{i}')})",
+        ]
+        ends.append(f"SELECT {i} AS i, avg(n.d2) AS j, avg(o.d2) AS old, count(*) FILTER (WHERE n.k <> o.k) AS changed FROM {name}a{i} AS n JOIN {name}a{i - 1} AS o ON o.id = n.id")
+        shown.append(f"SELECT {i} AS i, k, cx, cy FROM {name}c{i}")
+    parts.append(f"{name}e AS MATERIALIZED ({' UNION ALL '.join(ends)})")
+    parts.append(f"{name}l AS MATERIALIZED (SELECT i, j FROM {name}e WHERE changed = 0 OR abs(old - j) / (abs(j) + 1e-4) <= 1e-4 ORDER BY i LIMIT 1)")
+    parts.append(f"{name} AS MATERIALIZED (SELECT k, cx, cy, j, l.i AS steps FROM ({' UNION ALL '.join(shown)}) AS s JOIN {name}l AS l ON l.i = s.i)")
+    return parts
+
+
+def _from_a_row(name: str, points: str, k: int) -> list[str]:
+    """In name k centres, each farthest from those before, from the row of the least hash, which the row farthest from all replaces at the end."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT 0 AS k, arg_min(x, sha256('0:' || id)) AS cx, arg_min(y, sha256('0:' || id)) AS cy FROM {points})"]
+    far = lambda of: f"(SELECT x, y FROM ({_near_of(points, of)}) ORDER BY d2 DESC, id LIMIT 1)"
+    for i in range(1, k):
+        parts.append(f"{name}{i} AS MATERIALIZED (SELECT * FROM {name}{i - 1} UNION ALL SELECT {i}, x, y FROM {far(f'{name}{i - 1}')})")
+    parts.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}{k - 1} WHERE k > 0 UNION ALL SELECT 0, x, y FROM {far(f'{name}{k - 1}')})")
+    return parts
+
+
+def _selective(k: int) -> str:
+    """The most populated cluster splits in two until there are k; then Lloyd's steps over all."""
+    parts = [*_from_a_row("f1", "d", 2), *_to_the_end("h1", "d", "f1"), "z1 AS MATERIALIZED (SELECT k, cx, cy FROM h1)"]
+    for m in range(2, k):
+        parts += [
+            f"w{m} AS MATERIALIZED ({_near_of('d', f'z{m - 1}')})", f"b{m} AS MATERIALIZED (SELECT k AS b FROM w{m} GROUP BY k ORDER BY count(*) DESC, k LIMIT 1)", f"p{m} AS MATERIALIZED (SELECT id, x, y FROM w{m} JOIN b{m} ON k = b)",
+            *_from_a_row(f"f{m}", f"p{m}", 2), *_to_the_end(f"h{m}", f"p{m}", f"f{m}"),
+            f"z{m} AS MATERIALIZED (SELECT z.k, CASE WHEN z.k = b THEN h.cx ELSE z.cx END AS cx, CASE WHEN z.k = b THEN h.cy ELSE z.cy END AS cy FROM z{m - 1} AS z, b{m}, h{m} AS h WHERE h.k = 0 UNION ALL SELECT {m}, cx, cy FROM h{m} WHERE k = 1)",
+        ]
+    return f"WITH {_POINTS}, {', '.join([*parts, *_to_the_end('o', 'd', f'z{k - 1}')])} {_SHOW} o"
+
+
 def _ball_tree(levels: int) -> str:
     """The nodes of a tree of up to so many levels, each level from the rows of the one above."""
     parts = ["least AS (SELECT greatest(2, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS least FROM d)", "t0 AS MATERIALIZED (SELECT id, x, y, 1::BIGINT AS node FROM d)"]
@@ -497,6 +541,8 @@ SQL = {
     "kmeans_assign": f"WITH {_POINTS}, {_FIXED} SELECT id, CAST(k AS INTEGER) AS cluster, round(d2, 6) AS d2 FROM ({_nearest('c0')})",
     "kmeans_step": f"WITH {_POINTS}, {_FIXED} SELECT CAST(k AS INTEGER) AS cluster, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS x, round(avg(y), 6) + 0.0::DOUBLE AS y, round(avg(d2), 6) + 0.0::DOUBLE AS distortion FROM ({_nearest('c0')}) GROUP BY k",
     "kmeans_lloyd_3": f"WITH {_POINTS}, {_unrolled(_FIXED, 3)} {_SHOW} c3",
+    "kmeans_lloyd": f"WITH {_POINTS}, {', '.join([*_from_a_row('f', 'd', 6), *_to_the_end('o', 'd', 'f')])} SELECT CAST(k AS INTEGER) AS cluster, round(cx, 6) + 0.0::DOUBLE AS x, round(cy, 6) + 0.0::DOUBLE AS y, round(j, 6) AS j, CAST(steps AS INTEGER) AS steps FROM o",
+    "selective_split": _selective(5),
     "kmeans_lloyd_mean_first": f"WITH {_POINTS}, {_unrolled(_maximin(6), 30, 5)} {_SHOW} c35",
     "kmeans_maximin_init": f"WITH {_POINTS}, {_maximin(4)} {_SHOW} c3",
     "kmedoids_step": f"WITH {_POINTS}, {_FIXED}, n AS ({_nearest('c0')}), m AS (SELECT *, avg(x) OVER (PARTITION BY k) AS ax, avg(y) OVER (PARTITION BY k) AS ay FROM n), p AS (SELECT k, x AS cx, y AS cy, row_number() OVER (PARTITION BY k ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), id) AS p FROM m) {_SHOW} p WHERE p = 1",

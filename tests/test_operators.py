@@ -386,6 +386,16 @@ def test_growth_resumes_from_its_log(spark, blobs, tmp_path, stop):
     assert shown == len(trace)
 
 
+def test_many_distinct_values_are_placed_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i * i % 501), f"c{i % 37}") for i in range(2000)], "x double, c string").repartition(5)
+    both = []
+    for plain in (features.PLAIN, 10):
+        monkeypatch.setattr(features, "PLAIN", plain)
+        grid = sorted(tuple(r) for r in features.quantile_grid(df, "x", 12).collect())
+        both.append((grid, sorted(r.value for r in features.mass_cut(features.category_masses(df, "c"), 0.6).collect())))
+    assert both[0] == both[1] and len(both[0][0]) > 8
+
+
 def test_batches_are_read_once_and_trained_on(spark):
     """Training over a table is the same steps over the same batches in numpy; an epoch's batches are all rows once, dealt anew each time."""
     rng = np.random.default_rng(31)
