@@ -143,8 +143,9 @@ PLAIN = 1_000_000
 def _running(counts: DataFrame, order: list, name: str) -> tuple[DataFrame, Column]:
     """counts (..., n), a row for each distinct value, with the running sum of n in an order that no two rows share, and the sum of all: by one window for PLAIN rows or fewer, by ranges beyond."""
     held = written(counts, "counts")
-    whole = held.agg(F.sum("n")).scalar()
-    if held.count() > PLAIN:
+    rows, whole = held.agg(F.count(F.lit(1)), F.sum("n")).first()
+    whole = F.lit(whole)
+    if rows > PLAIN:
         return running_sum(held, order, "n", name), whole
     upto = F.sum("n").over(Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return held.withColumn(name, upto), whole

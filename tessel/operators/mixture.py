@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -410,13 +410,17 @@ class MixtureClassifier:
 
 def fit_classifier(data: DataFrame, n_components: int, covariance: str = "diagonal", label: str = "label", max_iter: int = 100, epsilon: float = 1e-5, use_priors: bool = True,
                    min_var: float = 1e-5, seed: int = 0) -> MixtureClassifier:
-    """min(n_components, max(1, rows // 20)) components a class, means from rows by seeded hash; all classes are trained in one job for each iteration."""
+    """min(n_components, max(1, rows // 20)) components a class, means from rows by seeded hash, of their id where there is one; all classes are trained in one job for each iteration."""
     sizes = data.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()
     labels = tuple(r["l"] for r in sizes)
     index = F.coalesce(*[F.when(F.col(label) == v, F.lit(k)) for k, v in enumerate(labels)])
     rows = data.select("features", index.cast("bigint").alias("k")).persist()
+    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256) if "id" in data.columns else F.xxhash64(F.lit(seed), "features")
     try:
-        models = [from_samples(rows.filter(F.col("k") == k), min(n_components, max(1, r["n"] // 20)), covariance, min_var, seed) for k, r in enumerate(sizes)]
+        first = F.row_number().over(Window.partitionBy("k").orderBy("_key"))
+        picked = data.select("features", index.alias("k"), key.alias("_key")).withColumn("_first", first).filter(F.col("_first") <= n_components).orderBy("k", "_first").collect()
+        means = [[p["features"] for p in picked if p["k"] == k][: max(1, r["n"] // 20)] for k, r in enumerate(sizes)]
+        models = [from_centroids(np.array(m), covariance, min_var) for m in means]
         scale = _variances(rows, len(labels))
         models = [derive(replace(m, sigma=np.repeat(np.diag(np.maximum(min_var, v))[None], m.n_components, axis=0))) for m, v in zip(models, scale)]
         old = -1e300

@@ -164,7 +164,7 @@ def _traced(spark: SparkSession, trace: list[mixture.Trace]) -> DataFrame:
 
 def gmm_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Class mixtures on the embeddings: confusion counts."""
-    data = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("features"))
+    data = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
     model = mixture.fit_classifier(data, 2, max_iter=5)
     return model.predict(data.select("label", "features")).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
 
@@ -465,6 +465,30 @@ def _growth_sql(sizes: tuple[int, ...], iterations: int) -> str:
 round(10 * n_components - 2 * n * loglik, 2) + 0.0::DOUBLE AS aic, round(5 * n_components * ln(n) - 2 * n * loglik, 2) + 0.0::DOUBLE AS bic FROM t"""
 
 
+def _classifier_sql(iterations: int) -> str:
+    """Two diagonal components a class over embeddings, iterations unrolled; fits to classes of 40 rows or more in which no component dies and no iteration is the last by its gain."""
+    dims = "range(1, 65)"
+    density = lambda x: f"ln(prior) - 0.5 * list_sum(list_transform({dims}, lambda i: ({x}[i] - m[i]) * ({x}[i] - m[i]) / s[i] + ln(s[i]) + ln(2 * pi())))"
+    spread = "list(greatest(1e-5, q - m * m) ORDER BY i)"
+    parts = [
+        "e AS MATERIALIZED (SELECT vec_id AS id, label AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
+        "u AS MATERIALIZED (SELECT id, k, x, unnest(range(1, 65)) AS i FROM e)",
+        f"w AS MATERIALIZED (SELECT k, {spread} AS s FROM (SELECT k, i, avg(x[i]) AS m, avg(x[i] * x[i]) AS q FROM u GROUP BY k, i) GROUP BY k)",
+        "m0 AS MATERIALIZED (SELECT p.k, c, 0.5::DOUBLE AS prior, x AS m, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sha256('0:' || id)) AS c FROM e) AS p JOIN w ON w.k = p.k WHERE c <= 2)",
+    ]
+    for t in range(iterations):
+        parts += [
+            f"z{t} AS MATERIALIZED (SELECT e.id, e.k, e.x, c, {density('e.x')} AS z FROM e JOIN m{t} AS m ON m.k = e.k)",
+            f"r{t} AS MATERIALIZED (SELECT k, c, x, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY id) AS r FROM (SELECT *, max(z) OVER (PARTITION BY id) AS top FROM z{t}))",
+            f"n{t} AS MATERIALIZED (SELECT k, c, sum(r) / (sum(sum(r)) OVER (PARTITION BY k)) AS prior FROM r{t} GROUP BY k, c)",
+            f"m{t + 1} AS MATERIALIZED (SELECT a.k, a.c, any_value(n.prior) AS prior, list(m ORDER BY i) AS m, {spread} AS s FROM (SELECT k, c, i, sum(r * x[i]) / sum(r) AS m, sum(r * x[i] * x[i]) / sum(r) AS q FROM (SELECT *, unnest(range(1, 65)) AS i FROM r{t}) GROUP BY k, c, i) AS a JOIN n{t} AS n ON n.k = a.k AND n.c = a.c GROUP BY a.k, a.c)",
+        ]
+    return f"""WITH {', '.join(parts)}, p AS (SELECT k, ln(count(*)) - ln(sum(count(*)) OVER ()) AS prior FROM e GROUP BY k),
+g AS (SELECT id, label, k, max(z) + ln(sum(exp(z - top))) AS z FROM (SELECT *, max(z) OVER (PARTITION BY id, k) AS top FROM (SELECT e.id, e.k AS label, m.k, {density('e.x')} AS z FROM e, m{iterations} AS m)) GROUP BY id, label, k),
+b AS (SELECT id, label, g.k, row_number() OVER (PARTITION BY id ORDER BY z + p.prior DESC, g.k) AS place FROM g JOIN p ON p.k = g.k)
+SELECT label, k AS predicted, count(*) AS n FROM b WHERE place = 1 GROUP BY label, k"""
+
+
 def _em_sql(covariance: str) -> str:
     v0, v1 = (1.0, 1.0) if covariance == "spherical" else START["var"]
     parts = [_ROWS, _MODEL.format(v0=v0, v1=v1)]
@@ -565,6 +589,7 @@ SELECT round(avg(CASE WHEN m > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) A
     "gmm_estep_stats": f"{_STATS}, n AS (SELECT count(DISTINCT i) AS n FROM r) SELECT CAST(c AS INTEGER) AS c, count(*) FILTER (WHERE p = 1) AS n_hard, round(sum(r) / any_value(n), 6) AS r, round(sum(r * x) / any_value(n), 6) AS rx, round(sum(r * y) / any_value(n), 6) AS ry, round(sum(r * x * x) / any_value(n), 6) AS rxx, round(sum(r * y * y) / any_value(n), 6) AS ryy, round(sum(ll) / any_value(n), 6) AS loglik FROM r, n GROUP BY c",
     "gmm_aic_bic": f"{_STATS} SELECT round((20 - 2 * sum(ll)) / count(*), 6) AS aic, round((10 * ln(count(*)) - 2 * sum(ll)) / count(*), 6) AS bic FROM r WHERE c = 0",
     "gmm_split": f"WITH {_ROWS}, {_DIAGONAL}, {', '.join(_em_parts(0, 'diagonal'))}, {_split_part(1, 2)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2",
+    "gmm_classifier": _classifier_sql(5),
     "gmm_growth": _growth_sql((1, 2, 4), 12),
     "gmm_growth_log": _growth_sql((1, 2, 4), 12),
     "knn_topk": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
