@@ -152,15 +152,15 @@ def add_noise(x: np.ndarray, kind: str, sigma: float, rng: np.random.Generator)
 # --- gradients --------------------------------------------------------------------------------------------------------
 
 
-def gradients(net: Network, x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None) -> tuple[list[tuple[np.ndarray, ...]], float]:
-    """([(dW, db, dmean, dsigma) of each layer], the sum of squared errors over outputs); rng: for dropped units and noise, none without."""
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None, drop: bool = True) -> tuple[list[tuple[np.ndarray, ...]], float]:
+    """([(dW, db, dmean, dsigma) of each layer], the sum of squared errors over outputs); rng: for dropped units and noise, none without; drop: whether units are dropped at all, noise or not."""
     nets, acts, masks = [], [x if rng is None else add_noise(x, net.layers[0].input_kind, net.layers[0].noise if net.settings.add_noise else 0.0, rng)], []
     for k, l in enumerate(net.layers):
         z = l.net(acts[-1])
         if rng is not None and l.noise > 0 and k:
             z = z + l.noise * rng.standard_normal(z.shape)
         a = activate_rows(l.kind, z)
-        mask = None if rng is None or l.keep >= 1 else (rng.random(a.shape) < l.keep).astype(float)
+        mask = None if rng is None or l.keep >= 1 or not drop else (rng.random(a.shape) < l.keep).astype(float)
         nets.append(z)
         masks.append(mask)
         acts.append(a if mask is None else a * mask)
@@ -290,7 +290,9 @@ SLOTS = 4
 
 
 def slot_of(seed: int, batches: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(SLOTS * batches)).cast("int")
+    """The slot of a row by the first 32 bits of a seeded hash of its id."""
+    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256), 1, 8), 16, 10)
+    return F.pmod(bits.cast("bigint"), F.lit(SLOTS * batches)).cast("int")
 
 
 def batches_of(seed: int, epoch: int, batches: int) -> list[list[int]]:
@@ -414,6 +416,11 @@ def mirrored(net: Network, layers: int | None = None) -> Network:
     return Network((*own, *back), net.settings, f"{net.name}-mirrored")
 
 
+def reconstruct(net: Network, data: DataFrame, name: str = "reconstructed", layers: int | None = None) -> DataFrame:
+    """data with what the first layers make of features and their mirror leads back to."""
+    return predict(mirrored(net, layers), data, name, classes=False)
+
+
 def finetune(net: Network, data: DataFrame, epochs: int = 10, layers: int | None = None) -> tuple[Network, list[float]]:
     """Trains the first layers as an autoencoder with tied weights: a layer and its mirror share the sum of their gradients. The trace holds the mean squared error of each epoch."""
     n, trace, deltas = layers or len(net.layers), [], None

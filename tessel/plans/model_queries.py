@@ -278,14 +278,23 @@ def mlp_predict(spark: SparkSession, sf: str) -> DataFrame:
     return neural.predict(_fixed_network(), data).select("vec_id", "predicted")
 
 
+def mlp_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings through the network and back through its mirror."""
+    data = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    return entries(neural.reconstruct(_fixed_network(), data), "vec_id", F.col("reconstructed"))
+
+
 def _learnt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
 
 
+def _untrained() -> neural.Network:
+    return neural.network((64, 16, 10), ("tanh", "softmax"), neural.Settings(learning_rate=0.5, min_iter=3))
+
+
 def mlp_fit(spark: SparkSession, sf: str) -> DataFrame:
-    net = neural.network((64, 16, 10), ("tanh", "softmax"), neural.Settings(learning_rate=0.5, min_iter=3))
-    _, trace = neural.fit(net, _learnt(spark, sf), batches=2, max_iter=3)
-    return spark.createDataFrame([(e.iteration, float(e.train_error)) for e in trace], "epoch int, error double")
+    _, trace = neural.fit(_untrained(), _learnt(spark, sf), batches=2, max_iter=3)
+    return spark.createDataFrame([(e.iteration, float(e.train_error)) for e in trace], "epoch int, error double").select("epoch", r("error").alias("error"))
 
 
 def rbm_cd1(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +326,7 @@ def hashed_blocks(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     kmeans_assign, kmeans_step, kmeans_lloyd_3, kmeans_lloyd, kmeans_lloyd_mean_first, kmeans_maximin_init, kmedoids_step, lbg_codebook, selective_split, online_kmeans, cluster_scores, cluster_silhouette, gmm_score, gmm_estep_stats, gmm_aic_bic, gmm_split,
     gmm_growth, gmm_growth_log, gmm_classifier, knn_topk, knn_classify, ball_tree_nodes, ball_tree_search, ball_tree_search_points, hmm_transition_counts, hmm_forward_loglik, hmm_forward_native, hmm_viterbi_score, hmm_viterbi_path, hmm_posteriors, hmm_baum_welch,
-    hmm_baum_welch_continuous, mlp_forward, mlp_predict, mlp_fit, rbm_cd1, autoencoder, synthetic_normals, hashed_blocks)
+    hmm_baum_welch_continuous, mlp_forward, mlp_predict, mlp_reconstruct, mlp_fit, rbm_cd1, autoencoder, synthetic_normals, hashed_blocks)
 QUERIES = {f.__name__: f for f in _ALL} | {f"gmm_em_2_{c}": _em(c) for c in mixture.COVARIANCES}
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
@@ -489,6 +498,39 @@ b AS (SELECT id, label, g.k, row_number() OVER (PARTITION BY id ORDER BY z + p.p
 SELECT label, k AS predicted, count(*) AS n FROM b WHERE place = 1 GROUP BY label, k"""
 
 
+def _network_sql(epochs: int, batches: int) -> str:
+    """Descent of the untrained network over batches of embeddings, steps unrolled: weights and the last steps are rows (k, j, w, d) by layer, biases those with j = 0."""
+    net = _untrained()
+    s = net.settings
+    rows = lambda l: ", ".join(f"({k}, {j}, {w!r}::DOUBLE, 0.0::DOUBLE)" for k, ws in enumerate(l.weights.tolist(), 1) for j, w in enumerate([0.0, *ws]))
+    parts = [f"l1s0 AS MATERIALIZED (SELECT * FROM (VALUES {rows(net.layers[0])}) AS t(k, j, w, d))", f"l2s0 AS MATERIALIZED (SELECT * FROM (VALUES {rows(net.layers[1])}) AS t(k, j, w, d))",
+             f"e AS MATERIALIZED (SELECT vec_id, label, list_prepend(1.0::DOUBLE, CAST(embedding AS DOUBLE[])) AS x, ('0x' || substr(sha256('{s.seed}:' || vec_id), 1, 8))::BIGINT % {neural.SLOTS * batches} AS slot FROM embeddings)"]
+    shown, t = [], 0
+    table_of = lambda layer, t: f"(SELECT list(w ORDER BY k) FROM (SELECT k, list(w ORDER BY j) AS w FROM l{layer}s{t} GROUP BY k))"
+    for it in range(epochs):
+        losses = []
+        for slots in neural.batches_of(s.seed, it, batches):
+            m, rate = neural.momentum_at(it, s.momentum), s.learning_rate * neural.schedule(it)
+            parts += [
+                f"h{t} AS MATERIALIZED (SELECT label, x, list_prepend(1.0::DOUBLE, list_transform({table_of(1, t)}, lambda w: 1.7159 * tanh(2.0::DOUBLE / 3 * list_dot_product(w, x)))) AS h FROM e WHERE slot IN ({', '.join(map(str, slots))}))",
+                f"z{t} AS MATERIALIZED (SELECT *, list_transform({table_of(2, t)}, lambda w: list_dot_product(w, h)) AS z FROM h{t})",
+                f"p{t} AS MATERIALIZED (SELECT *, list_transform(z, lambda v: exp(v - list_max(z))) AS p FROM z{t})",
+                f"o{t} AS MATERIALIZED (SELECT label, x, h, list_transform(p, lambda v, i: v / list_sum(p) - CASE WHEN label = i - 1 THEN 1 ELSE 0 END) AS g FROM p{t})",
+                f"b{t} AS MATERIALIZED (SELECT x, h, g, list_transform(range(2, 18), lambda j: 2.0::DOUBLE / 3 * (1.7159 - h[j] * h[j] / 1.7159) * list_dot_product(g, c.w[j])) AS f FROM o{t}, (SELECT list(w ORDER BY j) AS w FROM (SELECT j + 1 AS j, list(w ORDER BY k) AS w FROM l2s{t} GROUP BY j)) AS c)",
+                f"n{t} AS MATERIALIZED (SELECT count(*) AS n, sum(list_sum(list_transform(g, lambda v: v * v))) / 10 AS loss FROM b{t})",
+            ]
+            for layer, error, below in ((1, "f", "x"), (2, "g", "h")):
+                # a bias moves at twice the rate
+                parts += [
+                    f"g{layer}s{t} AS MATERIALIZED (SELECT k, j, {m} * any_value(l.d) - {rate!r}::DOUBLE / any_value(n) * (CASE WHEN j = 0 THEN 2 ELSE 1 END) * sum({error}[k] * {below}[j + 1]) AS d FROM l{layer}s{t} AS l, b{t}, n{t} GROUP BY k, j)",
+                    f"l{layer}s{t + 1} AS MATERIALIZED (SELECT l.k, l.j, l.w + g.d AS w, g.d FROM l{layer}s{t} AS l JOIN g{layer}s{t} AS g ON g.k = l.k AND g.j = l.j)",
+                ]
+            losses.append(f"SELECT n, loss FROM n{t}")
+            t += 1
+        shown.append(f"SELECT {it} AS epoch, round(sum(loss) / sum(n), 6) AS error FROM ({' UNION ALL '.join(losses)})")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(shown)}"
+
+
 def _em_sql(covariance: str) -> str:
     v0, v1 = (1.0, 1.0) if covariance == "spherical" else START["var"]
     parts = [_ROWS, _MODEL.format(v0=v0, v1=v1)]
@@ -590,6 +632,7 @@ SELECT round(avg(CASE WHEN m > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) A
     "gmm_aic_bic": f"{_STATS} SELECT round((20 - 2 * sum(ll)) / count(*), 6) AS aic, round((10 * ln(count(*)) - 2 * sum(ll)) / count(*), 6) AS bic FROM r WHERE c = 0",
     "gmm_split": f"WITH {_ROWS}, {_DIAGONAL}, {', '.join(_em_parts(0, 'diagonal'))}, {_split_part(1, 2)} SELECT CAST(c AS INTEGER) AS c, {_SHOWN} FROM m2",
     "gmm_classifier": _classifier_sql(5),
+    "mlp_fit": _network_sql(3, 2),
     "gmm_growth": _growth_sql((1, 2, 4), 12),
     "gmm_growth_log": _growth_sql((1, 2, 4), 12),
     "knn_topk": f"WITH {_NEAR} SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(d2, 6) AS d2 FROM n WHERE rank <= 5",
@@ -613,5 +656,8 @@ z AS (SELECT vec_id, list_transform([0, 1], lambda a: list_sum(list_transform([0
 SELECT vec_id, 0 AS i, round(1 / (1 + exp(z[2] - z[1])), 6) AS w FROM z UNION ALL SELECT vec_id, 1, round(1 / (1 + exp(z[1] - z[2])), 6) FROM z""",
 }
 SQL["mlp_predict"] = SQL["mlp_forward"].split("SELECT vec_id, 0 AS i")[0] + "SELECT vec_id, CASE WHEN z[2] > z[1] THEN 1 ELSE 0 END AS predicted FROM z"
+SQL["mlp_reconstruct"] = SQL["mlp_forward"].split("SELECT vec_id, 0 AS i")[0] + """, y AS (SELECT vec_id, 1 / (1 + exp(z[2] - z[1])) AS a, 1 / (1 + exp(z[1] - z[2])) AS b FROM z),
+m AS (SELECT vec_id, list_transform([0, 1, 2], lambda k: sin(2 + 3 * k) / 4 * a + sin(9 + 3 * k) / 4 * b) AS h FROM y)
+SELECT vec_id, CAST(j AS INTEGER) AS i, round(list_sum(list_transform([0, 1, 2], lambda k: sin(1 + 7 * k + 3 * j) * 2 * h[k + 1])), 6) + 0.0::DOUBLE AS w FROM m, range(64) AS t(j)"""
 SQL |= {"hmm_baum_welch": _baum_welch_sql(), "hmm_baum_welch_continuous": _baum_welch_continuous_sql()}
 SQL |= {f"gmm_em_2_{c}": _em_sql(c) for c in mixture.COVARIANCES}

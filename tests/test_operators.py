@@ -396,6 +396,14 @@ def test_many_distinct_values_are_placed_by_ranges(spark, monkeypatch):
     assert both[0] == both[1] and len(both[0][0]) > 8
 
 
+def test_units_stay_where_none_is_to_be_dropped():
+    rng = np.random.default_rng(51)
+    x, y = rng.normal(size=(40, 3)), np.eye(2)[rng.integers(0, 2, 40)]
+    net = neural.network((3, 8, 2), ("tanh", "softmax"), keep=(0.5, 1.0))
+    kept, dropped, plain = (neural.gradients(net, x, y, *a) for a in ((np.random.default_rng(1), False), (np.random.default_rng(1),), ()))
+    assert np.allclose(kept[0][0][0], plain[0][0][0]) and not np.allclose(dropped[0][0][0], plain[0][0][0])
+
+
 def test_batches_are_read_once_and_trained_on(spark):
     """Training over a table is the same steps over the same batches in numpy; an epoch's batches are all rows once, dealt anew each time."""
     rng = np.random.default_rng(31)
