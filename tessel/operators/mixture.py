@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,11 +172,53 @@ def _unpacked(v: np.ndarray, c: int, d: int) -> Statistics:
     return Statistics(v[:c], v[c : 2 * c], v[2 * c : 2 * c + c * d].reshape(c, d), v[2 * c + c * d : -1].reshape(c, d, d), float(v[-1]))
 
 
+#: Sums that an aggregation of columns makes; models with more are folded over Arrow batches.
+COLUMNS = 64
+
+
 def statistics(m: Mixture, data: DataFrame) -> Statistics:
-    """The statistics of all rows of data (features): one job."""
+    """The statistics of all rows of data (features): one job. Small models are an aggregation of columns without Python; the sums are the same either way."""
+    if m.n_components * (2 + m.dim + m.dim**2) <= COLUMNS:
+        return _column_statistics(m, data)
     return _unpacked(fold(data.select("features"), lambda b: {0: _packed(accumulate(m, matrix(b["features"])))})[0], m.n_components, m.dim)
 
 
+def _column_statistics(m: Mixture, data: DataFrame) -> Statistics:
+    c, d, whole = m.n_components, m.dim, m.covariance not in DIAGONAL
+    roots = [np.linalg.inv(np.linalg.cholesky(s)) if whole else np.diag(1 / np.sqrt(np.diag(s))) for s in m.sigma]
+    with np.errstate(divide="ignore"):
+        constants = -0.5 * (m.log_dets + d * LOG_2PI) + np.log(m.priors)
+    plus = lambda terms: reduce(lambda a, b: a + b, terms)
+    x, z, e, r = ([f"{name}{k}" for k in range(n)] for name, n in (("_x", d), ("_z", c), ("_e", c), ("_r", c)))
+    right = F.coalesce((F.size("features") == d).cast("int"), F.lit(0))
+    rows = data.select(right.alias("_right"), *[F.coalesce(F.get("features", k).cast("double"), F.lit(math.nan)).alias(n) for k, n in enumerate(x)])
+
+    def density(k: int) -> Column:
+        centred = [F.col(n) - float(v) for n, v in zip(x, m.mu[k])]
+        white = [plus([centred[j] * float(w) for j, w in enumerate(row) if w]) for row in roots[k]]
+        return float(constants[k]) - 0.5 * plus([v * v for v in white])
+
+    rows = rows.select("*", *[density(k).alias(n) for k, n in enumerate(z)])
+    rows = rows.withColumn("_top", F.greatest(*z) if c > 1 else F.col(z[0]))
+    rows = rows.select("*", *[F.exp(F.col(a) - F.col("_top")).alias(b) for a, b in zip(z, e)]).withColumn("_s", plus([F.col(n) for n in e]))
+    best = F.coalesce(*[F.when(F.col(n) == F.col("_top"), k) for k, n in enumerate(z)], F.lit(0))
+    rows = rows.select("*", *[(F.col(a) / F.col("_s")).alias(b) for a, b in zip(e, r)], best.alias("_best"), (F.col("_top") + F.log("_s")).alias("_ll"))
+    pairs = [(i, j) for i in range(d) for j in range(i, d) if whole or i == j]
+    sums = [F.count(F.when(F.col("_best") == k, 1)) for k in range(c)] + [F.sum(n) for n in r] + [F.sum(F.col(n) * F.col(v)) for n in r for v in x]
+    sums += [F.sum(F.col(n) * F.col(x[i]) * F.col(x[j])) for n in r for i, j in pairs]
+    n, right, loglik, *v = rows.agg(F.count(F.lit(1)), F.sum("_right"), F.sum("_ll"), *[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
+    if not n:
+        raise ValueError("no rows")
+    if right != n:
+        raise ValueError(f"{n - right} vectors are null or have not {d} components")
+    v = np.array(v, float)
+    rxx = np.zeros((c, d, d))
+    for k in range(c):
+        for (i, j), value in zip(pairs, v[c * (2 + d) + k * len(pairs) :]):
+            rxx[k, i, j] = rxx[k, j, i] = value
+    return Statistics(v[:c], v[c : 2 * c], v[2 * c : c * (2 + d)].reshape(c, d), rxx, float(loglik))
+
+
 def statistics_by_class(models: Sequence[Mixture], data: DataFrame, index: str) -> list[Statistics]:
     """The statistics of each class under its own model, of all classes in one job; index is the class's place, an int column."""
     def partial(batch: dict) -> dict[int, np.ndarray]:
