@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, shared_dir, table
+from tessel.plans.tables import dropped_at_exit
 
 K, ROUNDS, DIM, SEED = 40, 5, 64, 2
 BITS = 6
@@ -52,6 +53,7 @@ class Bucketed:
         self.name = f"tessel_{name}_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
         df.write.format("parquet").option("path", self.path).bucketBy(buckets, "row").sortBy("row").saveAsTable(self.name)
+        dropped_at_exit(self.spark, self.path)  # what drop() does not delete before
 
     @property
     def df(self) -> DataFrame:
