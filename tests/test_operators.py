@@ -396,24 +396,6 @@ def test_many_distinct_values_are_placed_by_ranges(spark, monkeypatch):
     assert both[0] == both[1] and len(both[0][0]) > 8
 
 
-@pytest.mark.parametrize("covariance", mixture.COVARIANCES)
-def test_statistics_by_columns_equal_the_fold(spark, monkeypatch, covariance):
-    rng = np.random.default_rng(61)
-    x = np.r_[rng.normal(size=(300, 2)), rng.normal(size=(200, 2)) * 3 + 5, [[300.0, -400.0]]]
-    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "features array<double>").repartition(3)
-    sigma = np.array([[[1.0, 0.3], [0.3, 2.0]], [[2.0, -0.5], [-0.5, 1.0]], np.eye(2)])
-    m = mixture.derive(mixture.Mixture(covariance, np.array([0.5, 0.5, 0.0]), np.array([[0.0, 0.0], [5.0, 5.0], [1.0, 1.0]]), sigma))
-    by_columns = mixture.statistics(m, df)
-    monkeypatch.setattr(mixture, "COLUMNS", 0)
-    folded = mixture.statistics(m, df)
-    for a, b in zip(mixture._packed(by_columns), mixture._packed(folded)):
-        assert np.isclose(a, b, rtol=1e-9, atol=1e-9)
-    monkeypatch.setattr(mixture, "COLUMNS", 64)
-    for bad in ([[1.0, 2.0], None], [[1.0, 2.0], [1.0]]):
-        with pytest.raises(ValueError):
-            mixture.statistics(m, spark.createDataFrame([(v,) for v in bad], "features array<double>"))
-
-
 def test_units_stay_where_none_is_to_be_dropped():
     rng = np.random.default_rng(51)
     x, y = rng.normal(size=(40, 3)), np.eye(2)[rng.integers(0, 2, 40)]
