@@ -42,13 +42,13 @@ class Saved:
 SALTS = 64
 
 
-def dealt_join(rows: DataFrame, keys: list[str], values: DataFrame, spread: str) -> DataFrame:
+def dealt_join(rows: DataFrame, keys: list[str], values: DataFrame, spread: str, how: str = "inner") -> DataFrame:
     """rows joined with values, which has a row for each of the keys that stay. A key's rows are dealt over SALTS tasks by the column spread.
 
     What meets first are values and the (key, salt) that occur, of which a key has SALTS at most, whatever share of the rows it holds.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return salted.join(salted.select(*keys, "_salt").distinct().join(values, keys), [*keys, "_salt"]).drop("_salt")
+    return salted.join(salted.select(*keys, "_salt").distinct().join(values, keys), [*keys, "_salt"], how).drop("_salt")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -16,70 +16,70 @@ HOT = 50_000
 
 
 def _least(links: DataFrame, hot: bool) -> DataFrame:
-    """links (a, b) with m, the least of each a, its b's included."""
-    if not hot:
-        return links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    return dealt_join(links, ["a"], links.groupBy("a").agg(F.min("b").alias("m")), "b")
+    """links (a, b, open), each pair once, with m, the least of each a, its b's included. open is whether any of a pair's rows is."""
+    if hot:
+        once = links.groupBy("a", "b").agg(F.max("open").alias("open"))
+        return dealt_join(once, ["a"], once.groupBy("a").agg(F.min("b").alias("m")), "b")
+    around = Window.partitionBy("a").orderBy("b", F.desc("open"))
+    met = links.withColumn("m", F.first("b").over(around.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_before", F.lag("b").over(around))
+    return met.filter("_before is null or _before <> b").drop("_before")
 
 
 def _large(edges: DataFrame, hot: bool) -> DataFrame:
-    """Every neighbour above a node is linked to the least node around it."""
-    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    return _least(both, hot).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    """Every neighbour above a node is linked to the least node around it. A link is open if the node has neighbours on either side."""
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).withColumn("open", F.lit(False))
+    return _least(both, hot).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"), (F.col("m") < F.col("a")).alias("open"))
 
 
 def _small(edges: DataFrame, hot: bool) -> DataFrame:
-    """Every neighbour below a node, and the node, is linked to the least of them. Edges run from the larger to the smaller node."""
-    met = _least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), hot)
-    ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))
-    return met.select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+    """Every neighbour below a node, and the node, is linked to the least of them: one link for each of edges, which run from the larger to the smaller node. A link is open if it was, or if the node has several neighbours below."""
+    return _least(edges, hot).select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"), (F.col("open") | (F.col("b") > F.col("m"))).alias("open"))
 
 
-def _shape(edges: DataFrame) -> tuple[bool, bool]:
-    """Whether the links are stars, each node being linked to one smaller node or to larger ones only; and whether a node has more than HOT."""
-    end = lambda node, up: F.struct(F.col(node).alias("x"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
-    ends = edges.select(F.inline(F.array(end("a", 1), end("b", 0))))
-    count = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.sum("down").alias("downs"))
-    mixed, most = count.agg(F.count(F.when((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("downs") > 0), 1)), F.max(F.col("ups") + F.col("downs"))).first()
-    return not mixed, (most or 0) > HOT
+def _hot(edges: DataFrame) -> bool:
+    """Whether a node has more than HOT links."""
+    if edges.count() <= HOT:
+        return False
+    ends = edges.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return ends.agg(F.max("n")).first()[0] > HOT
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) of every node of links (a, b), both longs; component is the smallest node that links reach.
+def stars(links: DataFrame, name: str = "components") -> Saved:
+    """(node, component) of every node of links (a, b), both longs, but the components' own; component is the smallest node that links reach.
 
-    Links of a node to itself and null ends count for nothing. Each round shrinks the links to stars around smaller nodes, until nothing but stars is left.
+    Links of a node to itself and null ends count for nothing. Each round shrinks the links to stars around smaller nodes and says by open whether
+    it met anything but stars; one that met none has left them as they are.
     """
-    now = Saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    while True:
-        done, hot = _shape(now.df)
-        if done:
-            break
+    now = Saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+    more = True
+    while more:
+        hot = _hot(now.df)
         after = Saved(_small(_large(now.df, hot), hot), name)
         now.drop()
-        now = after
-    ends = now.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        now, more = after, after.df.agg(F.max("open")).first()[0]
+    now.df = now.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return now
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component) of every node of links (a, b); see stars()."""
+    ends = stars(links, name).df
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
 
 
 class Stars:
-    """Components that grow: (node, component) in df, after the links added so far."""
+    """Components that grow: (node, component) in df, after the links added so far, of all nodes but the components' own."""
 
     def __init__(self, links: DataFrame, name: str = "stars"):
         self.name = name
-        self.saved = Saved(components(links, name), name)
+        self.saved = stars(links, name)
 
     @property
     def df(self) -> DataFrame:
         return self.saved.df
 
-    def add(self, links: DataFrame) -> bool:
-        """Whether links (a, b) join any components."""
-        fresh = Saved(links, f"{self.name}-fresh")
-        some = bool(fresh.df.head(1))
-        if some:
-            held = self.df.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            after = Saved(components(held.unionByName(fresh.df), self.name), self.name)
-            self.saved.drop()
-            self.saved = after
-        fresh.drop()
-        return some
+    def add(self, links: DataFrame) -> None:
+        """links (a, b) join components."""
+        after = stars(self.df.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), self.name)
+        self.saved.drop()
+        self.saved = after

@@ -32,11 +32,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import Saved, dealt_join, table
-from tessel.llm.graph import Stars, components
+from tessel.llm.graph import Stars
 from tessel.llm.groups import Union, grouped
 
 COORDINATES, TREES = 64, 8
@@ -160,15 +160,14 @@ class _Sets:
 
 
 def _connect(percent: int, k: int | None = None):
-    """Links that connect a group's rows, by sketches, or with k on full sets. Rows of one part are connected already; only rows that ask meet the others."""
+    """Links that connect the parts of a group's rows, each with the least that it is connected with, by sketches, or with k on full sets. Rows of one part are connected already; only rows that ask meet the others."""
     def fn(t: pa.Table) -> list[pa.Array]:
-        ids, sizes, sk = t.column("rep").to_numpy(), t.column("n").to_numpy(), _sketches(t)
-        _, start = np.unique(t.column("part").to_numpy(), return_inverse=True)
+        sizes, sk = t.column("n").to_numpy(), _sketches(t)
+        parts, first, start = np.unique(t.column("part").to_numpy(), return_index=True, return_inverse=True)
         known = Union(start.astype(np.int64))
         asks = t.column("asks").to_numpy(zero_copy_only=False)
         sets = _Sets(t.column("text").combine_chunks(), k) if k is not None else None
-        links = []
-        waiting = np.ones(len(ids), bool)
+        waiting = np.ones(len(sizes), bool)
         for i in np.flatnonzero(asks).tolist():
             waiting[i] = False
             rest = np.flatnonzero((known.label != known.label[i]) & waiting)
@@ -177,18 +176,15 @@ def _connect(percent: int, k: int | None = None):
                 both = sets.shared(i, near)
                 near = near[100 * both >= percent * (sizes[i] + sizes[near] - both)]
             for j in near.tolist():
-                if known.label[i] != known.label[j]:
-                    known.join(i, j)
-                    links.append((ids[i], ids[j]))
-        return _ends(links)
+                known.join(i, j)
+        # a label is the least of its parts' places
+        to = known.label[first]
+        moved = np.flatnonzero(to != np.arange(len(parts)))
+        return [pa.array(parts[moved], pa.int64()), pa.array(parts[to[moved]], pa.int64())]
 
     return fn
 
 
-def _ends(links: list[tuple[int, int]]) -> list[pa.Array]:
-    return [pa.array([max(x) for x in links], pa.int64()), pa.array([min(x) for x in links], pa.int64())]
-
-
 def _at(coordinate: Column) -> Column:
     return F.substring("sketch", 2 * coordinate + 1, F.lit(2))
 
@@ -220,53 +216,73 @@ def _against_all(rows: DataFrame, group: str, block: int, seed: int) -> DataFram
     return roles.withColumn("key", F.explode(keys))
 
 
-def _open(parted: DataFrame, group: str) -> DataFrame:
-    """parted (rep, group, part, ...) of the groups that hold several parts, with largest, n_out (the rows outside of the largest part) and size."""
+def _with(rows: DataFrame, key: str, values: Saved) -> DataFrame:
+    """rows with the columns of values, which has a row for some of the keys; null for others. Up to BROADCAST_IDS values are broadcast; more meet rows that are dealt over salts."""
+    if values.df.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(values.df), key, "left")
+    return Saved(dealt_join(rows, [key], values.df, "rep", "left"), "met").df
+
+
+def _open(parted: DataFrame, group: str) -> Saved:
+    """(group, largest, size, n_out) of the groups of parted (rep, group, part, ...) that hold several parts; n_out is the rows outside of the largest part."""
     sizes = parted.groupBy(group, "part").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy(group).agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.sum("m").alias("size"), F.max("m").alias("top")).filter("top < size")
-    return Saved(dealt_join(parted, [group], most.select(group, "largest", "size", (F.col("size") - F.col("top")).alias("n_out")), "rep"), "open").df
+    most = sizes.groupBy(group).agg(F.max_by("part", F.struct("m", "part")).alias("largest"), F.sum("m").alias("size"), F.max("m").alias("top"))
+    return Saved(most.filter("top < size").select(group, "largest", "size", (F.col("size") - F.col("top")).alias("n_out")), "open")
 
 
 def _parted(rows: DataFrame, stars: Stars) -> DataFrame:
-    return Saved(rows.join(stars.df, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component"), "parted").df
+    return Saved(_joined(rows, stars).withColumn("part", F.coalesce("component", "rep")).drop("component"), "parted").df
 
 
-def candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
-    """(rep, group) of the representatives (rep, n, sketch, roots) that links connect, of those that the trees bring together and sketches hold for similar.
+def _joined(rows: DataFrame, stars: Stars) -> DataFrame:
+    """rows (rep, ...) with component, null for what is its component's least node or in none."""
+    held = stars.df.select(F.col("node").alias("rep"), "component")
+    return rows.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, "rep", "left")
+
+
+def candidate_stars(reps: DataFrame, percent: int) -> Stars:
+    """Of the representatives (rep, n, sketch, roots), the components of those that the trees bring together and sketches hold for similar.
 
     The first level's links part the large nodes; what meets at all later levels is compared in one pass at the end, as keys differ by level.
+    Sizes are looked up for large nodes alone; the rows of a small one meet in one task, which sees whether it is alone.
     """
     payload = reps.select("rep", "n", "sketch")
     met = lambda dealt: dealt.select("rep", "part", "key", "asks")
     linked = lambda rows: grouped(rows.join(payload, "rep"), "key", _connect(percent), ["a", "b"], _LINK)
     rows = reps.select("rep", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("tree"), F.col("rep").alias("part"))
-    stars, more, deepest, depth = None, [], 0, 0
+    nodes = Saved(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > NODE), "nodes")
+    most = nodes.df.agg(F.max("size")).first()[0] or 0
+    sized = _with(rows, "tree", nodes)
+    small = sized.filter("size is null").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("tree"))).filter("size > 1")
+    large = sized.filter("size is not null")
+    blocks = lambda rows, depth: met(_in_blocks(rows.withColumn("n_led", F.col("size")), "tree", NODE, depth, F.lit(True)))
+    stars = Stars(linked(blocks(small.unionByName(large), 0)))
+    if most <= NODE:
+        return stars
+    deepest = 2 + int(np.ceil(np.log2(most / NODE)))
+    more, depth, here = [], 0, _parted(large.drop("part", "size"), stars)
     while True:
-        here = Saved(rows, f"level{depth}")
-        count = here.df.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("_p"), F.max("part").alias("_q")).filter("_p <> _q").drop("_p", "_q")
-        sized = Saved(dealt_join(here.df, ["tree"], count, "rep"), f"sized{depth}").df
-        here.drop()
-        blocks = met(_in_blocks(sized.withColumn("n_led", F.col("size")), "tree", NODE, depth, F.lit(True)))
-        if stars is None:
-            stars = Stars(linked(blocks))
-        else:
-            more.append(blocks)
-        large = sized.filter(F.col("size") > NODE).drop("size")
-        most = sized.agg(F.max("size")).first()[0] or 0
-        if most <= NODE:
+        nodes = _open(here, "tree")
+        size, n_out = nodes.df.agg(F.max("size"), F.max(F.when(F.col("size") > NODE, F.col("n_out")))).first()
+        if not size:
             break
-        deepest = deepest or 2 + int(np.ceil(np.log2(most / NODE)))
-        still = _open(_parted(large.drop("part"), stars) if depth == 0 else large, "tree")
+        sized = _with(here, "tree", nodes).filter("size is not null")
+        if depth:
+            more.append(blocks(sized, depth))
+        if size <= NODE:
+            break
+        still = sized.filter(F.col("size") > NODE)
         ends = F.lit(depth >= deepest) | (F.col("n_out") <= REST)
         more.append(met(_against_all(still.filter(ends), "tree", NODE, depth)))
-        if not (wide := still.filter(~ends)).select("rep").head(1):
+        if depth >= deepest or n_out <= REST:
             break
         branch = F.array(*[F.pmod(F.xxhash64(F.lit(depth), F.lit(s), "tree"), F.lit(COORDINATES)).cast("int") for s in range(2)])
-        rows = wide.select("rep", "tree", "part", F.explode(branch).alias("c")).join(reps.select("rep", "sketch"), "rep").select("rep", F.xxhash64("tree", "c", _at(F.col("c"))).alias("tree"), "part")
+        wide = still.filter(~ends).select("rep", "tree", "part", F.explode(branch).alias("c")).join(reps.select("rep", "sketch"), "rep")
         depth += 1
+        here = Saved(wide.select("rep", F.xxhash64("tree", "c", _at(F.col("c"))).alias("tree"), "part"), f"level{depth}").df
     if more:
         stars.add(linked(reduce(DataFrame.unionByName, more)))
-    return stars.df.select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    return stars
 
 
 def representatives(every: DataFrame) -> DataFrame:
@@ -280,10 +296,10 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, body, n_shingles, component_id, class_body) of every row; component_id and class_body name the row of the class with the least id."""
     every = Saved(features(docs, k), "features").df
     reps = representatives(every)
-    found = _confirmed(docs, reps, candidate_groups(reps, percent), k, percent).withColumnRenamed("node", "_rep")
-    own = Saved(reps.select("rep", "doc_id", "body", "c1", "c2").join(found, F.col("rep") == F.col("_rep"), "left").withColumn("class", F.coalesce("component", "rep")).drop("_rep", "component"), "classes").df
-    heads = own.groupBy("class").agg(F.min(F.struct("doc_id", "body")).alias("head"))
-    named = dealt_join(own.select("rep", "c1", "c2", "class"), ["class"], heads, "rep").select("c1", "c2", "head")
+    found = _confirmed(docs, reps, candidate_stars(reps, percent), k, percent)
+    own = Saved(_joined(reps.select("rep", "doc_id", "body", "c1", "c2"), found).withColumn("class", F.coalesce("component", "rep")).drop("component"), "classes").df
+    heads = Saved(own.groupBy("class").agg(F.min(F.struct("doc_id", "body")).alias("head"), F.count(F.lit(1)).alias("_size")).filter("_size > 1").drop("_size"), "heads")
+    named = _with(own, "class", heads).select("c1", "c2", F.coalesce("head", F.struct("doc_id", "body")).alias("head"))
     # copies of one text may be a third of all rows; rows without words or id are of no class
     sets = dealt_join(every.filter("c1 is not null and doc_id is not null").drop("sketch", "roots"), ["c1", "c2"], named, "doc_id").select("doc_id", "body", "n_shingles", F.col("head.doc_id").alias("component_id"), F.col("head.body").alias("class_body"))
     rest = every.filter("c1 is null or doc_id is null").select("doc_id", "body", "n_shingles", F.col("doc_id").alias("component_id"), F.col("body").alias("class_body"))
@@ -295,34 +311,42 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return classes(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of the candidates that full sets connect within their groups."""
+def _confirmed(docs: DataFrame, reps: DataFrame, candidates: Stars, k: int, percent: int) -> Stars:
+    """The components of the candidates that full sets connect within their groups."""
     columns = ["rep", "n", "sketch", "text", "part", "key", "asks"]
     linked = lambda rows: grouped(rows.select(*columns), "key", _connect(percent, k), ["a", "b"], _LINK)
-    few = groups.count() <= BROADCAST_IDS
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    wanted = dealt_join(groups, ["group"], sizes, "rep").join(reps.select("rep", "doc_id", "body", "n", "sketch"), "rep")
+    sizes = Saved(candidates.df.groupBy(F.col("component").alias("group")).agg((F.count(F.lit(1)) + 1).alias("size")), "groups")
+    few = (sizes.df.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_IDS
+    some = lambda rows, hint=None: F.broadcast(rows) if few else rows.hint(hint) if hint else rows
+    groups = candidates.df.select(F.col("node").alias("rep"), F.col("component").alias("group")).unionByName(sizes.df.select(F.col("group").alias("rep"), "group"))
+    wanted = reps.select("rep", "doc_id", "body", "n", "sketch").join(some(groups), "rep")
     asked = wanted.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
     bodies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(_BODY).alias("body"), "text").join(
-        F.broadcast(asked) if few else asked.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("body") == F.col("_body")), "left_semi").groupBy("doc_id", "body").agg(F.first("text").alias("text"))
-    members = Saved(wanted.join(bodies, ["doc_id", "body"]).drop("doc_id", "body"), "members").df
+        some(asked, "shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("body") == F.col("_body")), "left_semi").groupBy("doc_id", "body").agg(F.first("text").alias("text"))
+    # the size of a group that fits into a block is not asked for
+    over = Saved(sizes.df.filter(F.col("size") > BLOCK), "large-groups")
+    sized = _with(wanted.join(bodies, ["doc_id", "body"]).drop("doc_id", "body"), "group", over)
+    members = Saved(sized.withColumn("size", F.coalesce("size", F.lit(1))), "members").df
     first = _in_blocks(members.withColumn("part", F.col("rep")).withColumn("n_led", F.col("size")), "group", BLOCK, 0, F.lit(True))
     stars = Stars(linked(first), "classes")
     large = members.filter(F.col("size") > BLOCK).drop("size")
     left = None
     for seed in range(1, 1 << 16):
-        if not large.select("rep").head(1):
+        if not over.df.head(1):
+            break
+        parted = _parted(large, stars)
+        nodes = _open(parted, "group")
+        before, (left, most) = left, nodes.df.agg(F.sum("n_out"), F.max("n_out")).first()
+        if not left:
             break
-        still = _open(_parted(large, stars), "group")
-        before, left = left, still.filter("part <> largest").count()
+        still = _with(parted, "group", nodes).filter("size is not null")
         # leaders of those outside go on while they connect more; rounds are linear, what follows is linear in those left outside and in the group
-        if (before is None or 4 * left < 3 * before) and still.filter(F.col("n_out") > REST).select("rep").head(1):
+        if (before is None or 4 * left < 3 * before) and most > REST:
             stars.add(linked(_in_blocks(still.withColumn("n_led", F.col("n_out")), "group", BLOCK, seed, F.col("part") != F.col("largest"))))
             continue
-        if left:
-            stars.add(linked(_against_all(still, "group", BLOCK, seed)))
+        stars.add(linked(_against_all(still, "group", BLOCK, seed)))
         break
-    return stars.df
+    return stars
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

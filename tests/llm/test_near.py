@@ -97,3 +97,15 @@ def test_components(spark):
     want = brute.components(301, [(a, b) for a, b in pairs])
     ends = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {i: want[i] for i in ends}
+
+
+def test_rounds_of_components_shuffle_twice(spark, monkeypatch):
+    """A small table takes two shuffles a round, with no pass of its own that looks whether the round was the last."""
+    plans, saved = [], graph.Saved
+    monkeypatch.setattr(graph, "Saved", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(i, i + 1) for i in range(20)] + [(30, 40), (31, 40), (31, 31)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    assert got == {i: 0 for i in range(21)} | {i: 30 for i in (30, 31, 40)}
+    assert max(p.count("Exchange") for p in plans) <= 2 and plans[0].count("Exchange") == 0
+    monkeypatch.setattr(graph, "HOT", 1)
+    assert {r.node: r.component for r in graph.components(links).collect()} == got
