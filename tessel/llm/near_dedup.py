@@ -244,12 +244,13 @@ def candidate_stars(reps: DataFrame, percent: int) -> Stars:
     """Of the representatives (rep, n, sketch, roots), the components of those that the trees bring together and sketches hold for similar.
 
     The first level's links part the large nodes; what meets at all later levels is compared in one pass at the end, as keys differ by level.
-    Sizes are looked up for large nodes alone; the rows of a small one meet in one task, which sees whether it is alone.
+    Sizes are looked up for large nodes alone; the rows of a small one meet in one task, which sees whether it is alone. The rows of the first level, TREES for each
+    representative, are written, since sizes, small nodes, large ones and their parts each read them.
     """
     payload = reps.select("rep", "n", "sketch")
     met = lambda dealt: dealt.select("rep", "part", "key", "asks")
     linked = lambda rows: grouped(rows.join(payload, "rep"), "key", _connect(percent), ["a", "b"], _LINK)
-    rows = reps.select("rep", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("tree"), F.col("rep").alias("part"))
+    rows = Saved(reps.select("rep", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("tree")), "roots").df.withColumn("part", F.col("rep"))
     nodes = Saved(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > NODE), "nodes")
     most = nodes.df.agg(F.max("size")).first()[0] or 0
     sized = _with(rows, "tree", nodes)

@@ -89,6 +89,26 @@ def test_rows_are_linear_in_a_cluster(spark, monkeypatch):
     assert large < 5 * small
 
 
+@pytest.mark.parametrize("node", [16, 4096])
+def test_first_level_is_made_once(spark, monkeypatch, node):
+    """Whether nodes are large or small, one plan alone makes the rows of the first level, TREES for each representative."""
+    plans, tables, saved = [], {}, near_dedup.Saved
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        tables[name] = saved(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(near_dedup, "NODE", node)
+    monkeypatch.setattr(near_dedup, "Saved", spy)
+    monkeypatch.setattr(graph, "Saved", spy)
+    df = spark.createDataFrame(list(enumerate(corpus(5, 50, [(60, 80, 3)]))), "doc_id long, text string")
+    near_dedup.near_classes(df, 2).collect()
+    assert (tables["nodes"].df.count() > 0) == (node == 16)
+    assert sum(p.count("explode(transform(roots") for p in plans) == 1
+    assert tables["roots"].df.count() == near_dedup.TREES * tables["reps"].df.count()
+
+
 def test_components(spark):
     rng = random.Random(1)
     assert graph.components(spark.createDataFrame([(None, 1), (1, None), (2, 2)], "a long, b long")).count() == 0
