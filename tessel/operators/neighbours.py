@@ -49,7 +49,7 @@ def classify(queries: DataFrame, data: DataFrame, k: int, label: str = "label")
     return votes.withColumn("_p", place).filter("_p = 1").select("qid", F.col("_label").alias("predicted"))
 
 
-#: Rows of a subtree that one task finishes, about; rows of the sample that routes to them. A tree of no more rows than a subtree's is built from all of them, exactly.
+#: Rows of a subtree that one task finishes, about; rows that the driver takes at most to settle the halves of a level.
 SUBTREE, SAMPLE = 100_000, 65_536
 #: Queries that meet the rows of a leaf in one task.
 LEAF_QUERIES = 4_096
@@ -64,10 +64,10 @@ def _split(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _along(x: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Projections of rows on a line, summed coordinate by coordinate."""
+    """Projections of rows on a line, or of each row on its own, summed coordinate by coordinate."""
     out = np.zeros(len(x))
     for d in range(x.shape[1]):
-        out += x[:, d] * line[d]
+        out += x[:, d] * line[..., d]
     return out
 
 
@@ -88,21 +88,118 @@ def _subtree(x: np.ndarray, ids: np.ndarray, root: int, least: int) -> tuple[lis
     return nodes, leaf
 
 
-def _routes(sample: DataFrame, depth: int) -> dict[int, tuple[np.ndarray, float, int]]:
-    """Of each node above depth the direction, place and hash at which a sample splits in halves: a row goes right if (its place, its hash) is not below. Rows of one place are told apart by hash, so that equal rows are dealt to both sides."""
-    rows = sample.collect()
-    x, key = np.array([r["features"] for r in rows], float), np.array([r["key"] for r in rows], np.int64)
-    routes, here = {}, {1: np.arange(len(x))}
+#: Of each level its nodes' lines and first rows to the right, as words of place and id: a row goes right if its words are not below these.
+Routes = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _words(place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and ids as unsigned integers of the same order; nan comes last."""
+    bits = (place + 0.0).view(np.int64)
+    bits = np.where(np.isnan(place), np.iinfo(np.int64).max, np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits))
+    top = np.uint64(1 << 63)
+    return bits.view(np.uint64) ^ top, ids.astype(np.int64).view(np.uint64) ^ top
+
+
+def _descend(x: np.ndarray, ids: np.ndarray, routes: Routes) -> np.ndarray:
+    """The node that each row comes to."""
+    node = np.ones(len(x), np.int64)
+    for lines, places, cuts in routes:
+        at = node - len(lines)
+        place, key = _words(_along(x, lines[at]), ids)
+        node = 2 * node + ((place > places[at]) | ((place == places[at]) & (key >= cuts[at])))
+    return node
+
+
+def _farthest(data: DataFrame, routes: Routes, origins: np.ndarray | None) -> np.ndarray:
+    """Of each node of the level below routes the row farthest from its origin, the least id at ties; without origins the row of the least id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x, ids = matrix(batch.column("features")), batch.column("id").to_numpy()
+                node = _descend(x, ids, routes)
+                score = np.zeros(len(x))
+                if origins is not None:
+                    for d in range(x.shape[1]):
+                        score -= (x[:, d] - origins[node - len(origins), d]) ** 2
+                order = np.lexsort((ids, score, node))
+                for i in order[np.flatnonzero(np.diff(node[order], prepend=0))]:
+                    found = (bool(np.isnan(score[i])), float(score[i]), int(ids[i]))
+                    if node[i] not in best or found < best[node[i]][0]:
+                        best[node[i]] = found, x[i].tolist()
+        found = [(int(n), *at, x) for n, (at, x) in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found) if found else [[]] * 5, (pa.int64(), pa.bool_(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], ["node", "nan", "score", "id", "features"])
+
+    rows = data.mapInArrow(run, "node bigint, nan boolean, score double, id bigint, features array<double>").groupBy("node").agg(F.min_by("features", F.struct("nan", "score", "id")).alias("x")).collect()
+    out = np.zeros((1 << len(routes), len(rows[0]["x"])))
+    for r in rows:
+        out[r["node"] - len(out)] = r["x"]
+    return out
+
+
+def _middles(data: DataFrame, routes: Routes, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node of the level below routes the words of its middle row by place on its line, ids at ties: as many rows are below it as half the node's, rounded down.
+
+    Rows are counted by 16 bits of their words at a time, the highest first, among those that agree with the middle row in the bits before. Once no more than SAMPLE rows are left
+    in all nodes, the driver takes their words. A node's counts, 65,536 at most, are added up in a window; one of them reaches the driver.
+    """
+    spark, nodes = data.sparkSession, len(lines)
+    words, left = np.zeros((2, nodes), np.uint64), None
+
+    def agreeing(batch: pa.RecordBatch, digits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        x, ids = matrix(batch.column("features")), batch.column("id").to_numpy()
+        at = _descend(x, ids, routes) - nodes
+        own = np.stack(_words(_along(x, lines[at]), ids))
+        for word in range(2):
+            if known := min(4, max(0, digits - 4 * word)):
+                same = (own[word] ^ words[word, at]) >> np.uint64(64 - 16 * known) == 0
+                at, own = at[same], own[:, same]
+        return at, list(own)
+
+    def count(digits: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at, own = agreeing(batch, digits)
+                    digit = (own[digits // 4] >> np.uint64(48 - 16 * (digits % 4)) & np.uint64(0xFFFF)).astype(np.int64)
+                    key, n = np.unique(at << 16 | digit, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key >> 16), pa.array(key & 0xFFFF), pa.array(n.astype(np.int64))], ["node", "digit", "n"])
+
+        return data.mapInArrow(run, "node bigint, digit bigint, n bigint").groupBy("node", "digit").agg(F.sum("n").alias("n"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, own = agreeing(batch, digits)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(w.view(np.int64)) for w in own]], ["node", "place", "id"])
+
+    for digits in range(8):
+        if left is not None and sum(n for n, _ in left.values()) <= SAMPLE:
+            found: dict[int, list] = {}
+            for r in data.mapInArrow(take, "node bigint, place bigint, id bigint").collect():
+                found.setdefault(r["node"], []).append((r["place"] % (1 << 64), r["id"] % (1 << 64)))
+            for node, (_, rank) in left.items():
+                words[:, node] = sorted(found[node])[rank]
+            return words[0], words[1]
+        counts = count(digits).withColumn("to", F.sum("n").over(Window.partitionBy("node").orderBy("digit")))
+        if left is None:
+            counts = counts.withColumn("rank", F.floor(F.sum("n").over(Window.partitionBy("node")) / 2))
+        else:
+            counts = counts.join(F.broadcast(spark.createDataFrame([(node, rank) for node, (_, rank) in left.items()], "node bigint, rank bigint")), "node")
+        left = {}
+        for r in counts.filter("to > rank and to - n <= rank").collect():
+            words[digits // 4, r["node"]] |= np.uint64(r["digit"] << 48 - 16 * (digits % 4))
+            left[r["node"]] = r["n"], r["rank"] - (r["to"] - r["n"])
+    return words[0], words[1]
+
+
+def _halves(data: DataFrame, depth: int) -> Routes:
+    """The splits of all nodes above depth, exactly as _split() has them, over all rows."""
+    routes: Routes = []
     for _ in range(depth):
-        below = {}
-        for node, at in here.items():
-            line, _ = _split(x[at], key[at])
-            along = _along(x[at], line)
-            order = np.lexsort((key[at], along))
-            middle = order[len(at) // 2]
-            routes[node] = line, float(along[middle]), int(key[at][middle])
-            below |= {2 * node: at[order[: len(at) // 2]], 2 * node + 1: at[order[len(at) // 2 :]]}
-        here = below
+        one = _farthest(data, routes, _farthest(data, routes, None))
+        lines = one - _farthest(data, routes, one)
+        routes = [*routes, (lines, *_middles(data, routes, lines))]
     return routes
 
 
@@ -118,28 +215,22 @@ def grow(data: DataFrame, min_split: int | None = None) -> Tree:
     """A ball tree over data (id, features). A node of fewer than min_split rows (by default the root of all rows' number, rounded up) is a leaf; ids tell rows apart.
 
     Otherwise the row of the least id gives the farthest row from it, that one its farthest row in turn, and rows split at the middle place of their projection on the
-    line between the two, the odd row to the right. So it is from each subtree of SUBTREE rows or so down, which one task finishes. What is above is split by a sample of SAMPLE rows,
-    whose halves are only nearly those of all rows; the driver holds the sample and one direction for each of these nodes. All rows are shuffled once and written once, whatever
+    line between the two, ids at ties, the odd row to the right. A subtree of SUBTREE rows or so is finished by one task. What is above is split level by level by aggregations over all rows,
+    six passes or so a level; the driver holds two rows and one place of each of these nodes. All rows are written once, shuffled once and written once more, whatever
     the depth; the upper nodes' centres are sums of their subtrees', and one more pass has their radii.
     """
     data = data.select(F.col("id").cast("bigint").alias("id"), "features")
     n = data.count()
     least = min_split or max(2, math.ceil(math.sqrt(n)))
-    depth = max(0, math.ceil(math.log2(max(1, n) / SUBTREE)))
-    key = F.xxhash64(F.lit(1), "id")
-    routes = _routes(data.withColumn("key", key).orderBy(F.xxhash64("id"), "id").limit(SAMPLE), depth) if depth else {}
+    depth = max(0, math.ceil(math.log2(max(1, n) / max(SUBTREE, least))))
+    if depth:
+        tasks = 2 * data.sparkSession.sparkContext.defaultParallelism
+        data = written(data if data.rdd.getNumPartitions() >= tasks else data.repartition(tasks, "id"), "points")
+    routes = _halves(data, depth)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = np.ones(batch.num_rows, np.int64)
-            if batch.num_rows and routes:
-                x, keys = matrix(batch.column("features")), batch.column("key").to_numpy()
-                for _ in range(depth):
-                    for here in np.unique(node).tolist():
-                        at = np.flatnonzero(node == here)
-                        line, place, cut = routes[here]
-                        along = _along(x[at], line)
-                        node[at] = 2 * here + ((along > place) | ((along == place) & (keys[at] >= cut)))
+            node = _descend(matrix(batch.column("features")), batch.column("id").to_numpy(), routes)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("features"), pa.array(node)], ["id", "features", "node"])
 
     names, schema = ["id", "features", "leaf", "n", "radius2", "small"], "id bigint, features array<double>, leaf bigint, n bigint, radius2 double, small boolean"
@@ -171,7 +262,7 @@ def grow(data: DataFrame, min_split: int | None = None) -> Tree:
             yield from out(at, held)
 
     tasks = min(1 << depth, 20_000)
-    routed = data.withColumn("key", key).mapInArrow(route, "id bigint, features array<double>, node bigint").repartitionById(tasks, F.pmod("node", F.lit(tasks)).cast("int")).sortWithinPartitions("node")
+    routed = data.mapInArrow(route, "id bigint, features array<double>, node bigint").repartitionById(tasks, F.pmod("node", F.lit(tasks)).cast("int")).sortWithinPartitions("node")
     both = written(routed.mapInArrow(finish, schema), "tree")
     rows = both.filter("id is not null").select("id", "features", "leaf")
     lower = both.filter("id is null").select(F.col("leaf").alias("node"), "n", F.col("features").alias("center"), "radius2", F.col("small").alias("leaf"))

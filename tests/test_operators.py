@@ -182,6 +182,25 @@ def test_a_tree_above_subtrees(spark, monkeypatch):
     assert max(t.n for t in nodes.values() if t.depth == 3) < 300
 
 
+def test_a_tree_above_subtrees_is_that_of_one_task(spark, monkeypatch):
+    """Levels above the subtrees split all rows where one task splits them: equal rows, negative ids and rows of one place included, whether few or many rows settle a half."""
+    rng = np.random.default_rng(14)
+    x = np.r_[rng.normal(size=(400, 2)), np.repeat([[1.0, 2.0], [-3.0, 0.5]], [300, 60], axis=0), np.c_[np.arange(240.0) % 4, np.zeros(240)]]
+    df = spark.createDataFrame([(3 * i - 700, [float(v) for v in r]) for i, r in enumerate(rng.permutation(x))], "id long, features array<double>").repartition(3)
+
+    def grown(least):
+        tree = neighbours.grow(df, least)
+        nodes = sorted((r.node, r.depth, r.n, r.leaf, [round(c, 9) for c in r.center], round(r.radius2, 9)) for r in tree.nodes.collect())
+        return nodes, sorted((r.id, r.leaf) for r in tree.rows.collect())
+
+    want, large = grown(20), grown(400)
+    for subtree, sample in ((130, 65_536), (130, 100), (130, 0)):
+        monkeypatch.setattr(neighbours, "SUBTREE", subtree)
+        monkeypatch.setattr(neighbours, "SAMPLE", sample)
+        assert grown(20) == want
+    assert grown(400) == large  # leaves of more rows than a subtree has
+
+
 def test_search_by_leaves(spark, monkeypatch):
     """On clustered rows what nearest() finds, ties included, from less than a third of the pairs."""
     rng = np.random.default_rng(13)
