@@ -15,26 +15,102 @@ from tessel.plans.stats import against_all, chunks, matrix, sqdist_rows
 from tessel.plans.tables import written
 
 
+class _Best:
+    """The k best rows (d2, id) of each query among those offered; a place not taken yet holds nan and the largest id, which come last.
+
+    Products in single precision, of vectors shifted and scaled to the queries', exclude rows by a margin that is above what rounding does to them. The distances of the others are summed
+    as sqdist_rows() has them, so that what is found is exact, ties included. Of equal rows offered at once only the k of the least ids are looked at.
+    """
+
+    def __init__(self, x: np.ndarray, k: int) -> None:
+        self.x, self.k, width = x, k, x.shape[1]
+        self.d, self.i = np.full((len(x), k), np.nan), np.full((len(x), k), np.iinfo(np.int64).max)
+        self.margin = (2 * width + 20) * 2.0**-24
+        self.left, self.norm = np.ones((len(x), width + 1), np.float32), np.zeros(len(x))
+        with np.errstate(all="ignore"):
+            some = x[:4096]
+            some = some[np.isfinite(some).all(axis=1)]
+            self.centre = some.mean(axis=0) if len(some) else np.zeros(width)
+            self.scale = 1.0
+            for q in chunks(len(x), width):
+                self.norm[q] = ((x[q] - self.centre) ** 2).sum(axis=1)
+            most = self.norm[np.isfinite(self.norm)].max(initial=0.0)
+            if 1e-200 < most < 1e200:
+                self.scale = 2.0 ** -math.ceil(math.log2(most) / 2)
+            for q in chunks(len(x), width):
+                self.left[q, :width] = (x[q] - self.centre) * (-2 * self.scale)
+            self.norm *= self.scale**2
+            self.left[~(self.norm < 1e30)] = np.nan
+
+    def _bound(self, q: slice | np.ndarray) -> np.ndarray:
+        return (self.d[q, -1] * (self.scale**2 * (1 + 2.0**-20)) - self.norm[q] * (1 - 2 * self.margin) + 1e-30).astype(np.float32)[:, None]
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray, asks: np.ndarray | None = None) -> None:
+        """Rows for all queries, or for those at asks."""
+        if len(rows) > self.k:
+            same = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 8 * rows.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+            order = np.lexsort((ids, same))
+            ahead = np.arange(len(rows)) - np.maximum.accumulate(np.where(np.diff(same[order], prepend=-1) != 0, np.arange(len(rows)), 0))
+            rows, ids = rows[order[ahead < self.k]], ids[order[ahead < self.k]]
+        with np.errstate(all="ignore"):
+            right = np.empty((len(rows), rows.shape[1] + 1), np.float32)
+            shifted = (rows - self.centre) * self.scale
+            norm = (shifted**2).sum(axis=1)
+            right[:, :-1], right[:, -1] = shifted, norm * (1 - 2 * self.margin)
+            right[~(norm < 1e30)] = np.nan
+            for part in chunks(len(self.x) if asks is None else len(asks), len(rows), 1_000_000):
+                q = part if asks is None else asks[part]
+                near, who = self.left[q] @ right.T, np.arange(part.start, part.stop) if asks is None else q
+                some = np.flatnonzero(~(near.min(axis=1) > self._bound(q)[:, 0]))
+                near, who = near[some], who[some]
+                beyond = near > self._bound(who)
+                if beyond.size - np.count_nonzero(beyond) > 16 * self.k * len(who):  # nothing is known yet, or little: the best of these rows first
+                    first = np.argpartition(near, self.k - 1, axis=1)[:, : self.k]
+                    self._take(np.repeat(who, self.k), first.ravel(), rows, ids)
+                    beyond = near > self._bound(who)
+                    np.put_along_axis(beyond, first, True, 1)
+                at = np.flatnonzero(~beyond)
+                self._take(who[at // len(rows)], at % len(rows), rows, ids)
+
+    def _take(self, q: np.ndarray, r: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        """Pairs of a query and a row: what is better than the worst place held takes its place."""
+        for part in chunks(len(q), rows.shape[1]):
+            who, i = q[part], ids[r[part]]
+            gap = self.x[who] - rows[r[part]]
+            gap *= gap
+            d = np.zeros(len(who))
+            for axis in range(rows.shape[1]):
+                d += gap[:, axis]
+            worst = self.d[who, -1]
+            keep = np.isnan(worst) | (d < worst) | ((d == worst) & (i < self.i[who, -1]))
+            if not keep.any():
+                continue
+            who, d, i = who[keep], d[keep], i[keep]
+            old = np.unique(who)
+            who, d, i = np.r_[np.repeat(old, self.k), who], np.r_[self.d[old].ravel(), d], np.r_[self.i[old].ravel(), i]
+            order = np.lexsort((i, d, who))
+            starts = np.flatnonzero(np.diff(who[order], prepend=-1))
+            best = order[starts[:, None] + np.arange(self.k)]
+            self.d[old], self.i[old] = d[best], i[best]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries' indices, ids and squared distances."""
+        taken = np.flatnonzero((~np.isnan(self.d) | (self.i < np.iinfo(np.int64).max)).ravel())
+        return taken // self.k, self.i.ravel()[taken], self.d.ravel()[taken]
+
+
 def nearest(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """(qid, rank, id, d2): of each query (qid, features) the k rows of data (id, features) at the least squared distance, ties by id.
 
     A grid of queries and rows; a cell keeps its own k best for each query, and k rows a query and line are shuffled.
     """
     def update(state: dict, x: np.ndarray, batch: dict) -> None:
-        rows, ids = matrix(batch["features"]), batch["id"].to_numpy()
-        best_d, best_i = state.get("best", (np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64)))
-        out_d, out_i = [], []
-        for q in chunks(len(x), len(rows)):
-            d = np.concatenate([best_d[q], sqdist_rows(x[q], rows)], axis=1)
-            i = np.concatenate([best_i[q], np.broadcast_to(ids, (d.shape[0], len(ids)))], axis=1)
-            order = np.lexsort((i, d), axis=1)[:, :k]
-            out_d.append(np.take_along_axis(d, order, 1))
-            out_i.append(np.take_along_axis(i, order, 1))
-        state["best"] = np.concatenate(out_d), np.concatenate(out_i)
+        if "best" not in state:
+            state["best"] = _Best(x, k)
+        state["best"].offer(matrix(batch["features"]), batch["id"].to_numpy())
 
     def finish(state: dict, x: np.ndarray) -> tuple:
-        d, i = state["best"]
-        return np.repeat(np.arange(len(x)), d.shape[1]), i.ravel(), d.ravel()
+        return state["best"].found()
 
     found = against_all(queries, data.select(F.col("id").cast("bigint").alias("id"), "features"), update, finish, ["id", "d2"], "id bigint, d2 double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id"))

@@ -147,6 +147,47 @@ def test_neighbours(blobs):
     assert all(t.n < 20 for t in tree.values() if t.leaf)
 
 
+@pytest.mark.parametrize("kind", ["near", "copies", "far", "tiny", "large", "odd"])
+def test_best_rows_are_exact(kind):
+    """What single precision excludes is never among the best: near ties, copies, outliers, offsets, sizes out of its range, nan and infinity."""
+    rng = np.random.default_rng(15)
+    x, rows = rng.normal(size=(150, 5)), rng.normal(size=(900, 5))
+    if kind == "near":
+        rows = x[rng.integers(0, 150, 900)] + rng.normal(size=(900, 5)) * 1e-9 + 1e6
+        x = x + 1e6
+    if kind == "copies":
+        rows = np.r_[rows[:300], np.repeat(x[:2], 300, axis=0)]
+    if kind == "far":
+        rows[::50] *= 1e25
+        x[::40] *= 1e22
+    if kind in ("tiny", "large"):
+        x, rows = (a * {"tiny": 1e-150, "large": 1e150}[kind] for a in (x, rows))
+    if kind == "odd":
+        rows[::30, 1], rows[7, 2], x[3, 0], x[5, 1], x[6, 4] = np.nan, np.inf, np.nan, np.inf, -np.inf
+    ids = rng.permutation(900) - 400
+    best = neighbours._Best(x, 4)
+    for a in range(0, 900, 130):
+        best.offer(rows[a : a + 130], ids[a : a + 130])
+    with np.errstate(all="ignore"):
+        d = stats.sqdist_rows(x, rows)
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :4]
+    q, i, d2 = best.found()
+    assert np.array_equal(q, np.repeat(np.arange(150), 4)) and np.array_equal(i, ids[order].ravel()) and np.array_equal(d2, np.take_along_axis(d, order, 1).ravel(), equal_nan=True)
+
+
+def test_few_pairs_are_measured(monkeypatch):
+    """Of 400 x 4,000 pairs, half of them with copies of one row, only a small part is measured beyond the products."""
+    rng = np.random.default_rng(16)
+    x, rows = rng.normal(size=(400, 32)), rng.normal(size=(4000, 32))
+    x[::2] = rows[::2] = x[0]
+    measured, take = [], neighbours._Best._take
+    monkeypatch.setattr(neighbours._Best, "_take", lambda self, q, *rest: measured.append(len(q)) or take(self, q, *rest))
+    best = neighbours._Best(x, 5)
+    for a in range(0, 4000, 1000):
+        best.offer(rows[a : a + 1000], np.arange(a, a + 1000))
+    assert sum(measured) < 0.05 * 400 * 4000 and best.i[0].tolist() == [0, 2, 4, 6, 8]
+
+
 def test_a_grid_of_queries_and_rows(spark, blobs, monkeypatch):
     """Many columns and lines give what one cell gives, from one scan of the rows and no collected query."""
     from tessel.plans import stats
