@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.plans.stats import against_all, chunks, matrix, sqdist_rows
+from tessel.plans.stats import against_all, chunks, matrix, query_columns, sqdist_rows
 from tessel.plans.tables import written
 
 
@@ -19,11 +19,12 @@ class _Best:
     """The k best rows (d2, id) of each query among those offered; a place not taken yet holds nan and the largest id, which come last.
 
     Products in single precision, of vectors shifted and scaled to the queries', exclude rows by a margin that is above what rounding does to them. The distances of the others are summed
-    as sqdist_rows() has them, so that what is found is exact, ties included. Of equal rows offered at once only the k of the least ids are looked at.
+    as sqdist_rows() has them, so that what is found is exact, ties included. Of equal rows offered at once only the k of the least ids are looked at. What is beyond a query's limit, a squared distance, is not kept.
     """
 
-    def __init__(self, x: np.ndarray, k: int) -> None:
+    def __init__(self, x: np.ndarray, k: int, limit: np.ndarray | None = None) -> None:
         self.x, self.k, width = x, k, x.shape[1]
+        self.limit = np.full(len(x), np.inf) if limit is None else limit
         self.d, self.i = np.full((len(x), k), np.nan), np.full((len(x), k), np.iinfo(np.int64).max)
         self.margin = (2 * width + 20) * 2.0**-24
         self.left, self.norm = np.ones((len(x), width + 1), np.float32), np.zeros(len(x))
@@ -43,7 +44,27 @@ class _Best:
             self.left[~(self.norm < 1e30)] = np.nan
 
     def _bound(self, q: slice | np.ndarray) -> np.ndarray:
-        return (self.d[q, -1] * (self.scale**2 * (1 + 2.0**-20)) - self.norm[q] * (1 - 2 * self.margin) + 1e-30).astype(np.float32)[:, None]
+        worst = np.fmin(self.d[q, -1], self.limit[q])
+        return (worst * (self.scale**2 * (1 + 2.0**-20)) - self.norm[q] * (1 - 2 * self.margin) + 1e-30).astype(np.float32)[:, None]
+
+    def _right(self, rows: np.ndarray) -> np.ndarray:
+        right = np.empty((len(rows), rows.shape[1] + 1), np.float32)
+        shifted = (rows - self.centre) * self.scale
+        norm = (shifted**2).sum(axis=1)
+        right[:, :-1], right[:, -1] = shifted, norm * (1 - 2 * self.margin)
+        right[~(norm < 1e30)] = np.nan
+        return right
+
+    def reached(self, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """For each query and ball, whether the ball may come as near as the worst place held; balls and distances are taken a little larger than they are."""
+        out = np.empty((len(self.x), len(centres)), bool)
+        with np.errstate(all="ignore"):
+            right = self._right(centres).T
+            for q in chunks(len(self.x), len(centres), 1_000_000):
+                least = (self.left[q] @ right).astype(float) + (self.norm[q] * (1 - 2 * self.margin) - 1e-30)[:, None]
+                reach = np.sqrt(np.fmin(self.d[q, -1], self.limit[q]))[:, None] + radii
+                out[q] = ~(np.sqrt(np.maximum(least, 0.0)) * ((1 - 1e-6) / self.scale) > reach * (1 + 1e-6))
+        return out
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, asks: np.ndarray | None = None) -> None:
         """Rows for all queries, or for those at asks."""
@@ -53,11 +74,7 @@ class _Best:
             ahead = np.arange(len(rows)) - np.maximum.accumulate(np.where(np.diff(same[order], prepend=-1) != 0, np.arange(len(rows)), 0))
             rows, ids = rows[order[ahead < self.k]], ids[order[ahead < self.k]]
         with np.errstate(all="ignore"):
-            right = np.empty((len(rows), rows.shape[1] + 1), np.float32)
-            shifted = (rows - self.centre) * self.scale
-            norm = (shifted**2).sum(axis=1)
-            right[:, :-1], right[:, -1] = shifted, norm * (1 - 2 * self.margin)
-            right[~(norm < 1e30)] = np.nan
+            right = self._right(rows)
             for part in chunks(len(self.x) if asks is None else len(asks), len(rows), 1_000_000):
                 q = part if asks is None else asks[part]
                 near, who = self.left[q] @ right.T, np.arange(part.start, part.stop) if asks is None else q
@@ -82,7 +99,7 @@ class _Best:
             for axis in range(rows.shape[1]):
                 d += gap[:, axis]
             worst = self.d[who, -1]
-            keep = np.isnan(worst) | (d < worst) | ((d == worst) & (i < self.i[who, -1]))
+            keep = (np.isnan(worst) | (d < worst) | ((d == worst) & (i < self.i[who, -1]))) & ~(d > self.limit[who])
             if not keep.any():
                 continue
             who, d, i = who[keep], d[keep], i[keep]
@@ -378,7 +395,7 @@ def ball_tree(data: DataFrame, min_split: int | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Search:
-    """found: (qid, rank, id, d2), as nearest() has it; pairs: how many pairs of a query and a row were compared, of how many there are."""
+    """found: (qid, rank, id, d2), as nearest() has it; pairs: how many pairs of a query and a row balls did not exclude, of how many there are."""
 
     found: DataFrame
     pairs: int
@@ -388,22 +405,28 @@ class Search:
 def search(queries: DataFrame, tree: Tree, k: int) -> Search:
     """The k nearest rows of each query (qid, features), exactly, by the leaves of a tree.
 
-    A first pass over (query, leaf) has of each query the leaf nearest to it, and a distance within which leaves are sure to hold k rows. That leaf's rows give the distance of the kth best so far,
-    a second pass the leaves whose ball comes as near as that; these are read, and what both readings found is ranked. Balls are taken a little larger than they are, so that rounding excludes none.
+    A first pass over (query, leaf) has of each query the leaf nearest to it, and a distance within which leaves are sure to hold k rows. That leaf's rows give the distance of the kth best so far.
+    Queries of neighbouring leaves then share a column of a grid. A second pass has the leaves whose ball comes as near as that to one of a column's queries; these leaves' rows go to the column, where
+    the balls of a leaf's rows choose the queries that meet them. So rows are dealt out once for each column at most, however few leaves are excluded, and no pair of a query and a leaf is written.
     """
-    leaves = tree.nodes.filter("leaf").select(F.col("node").alias("id"), F.col("center").alias("features"), F.sqrt("radius2").alias("radius"), "n")
-    leaves, asked = written(leaves, "leaves"), written(queries.select(F.col("qid").cast("bigint").alias("qid"), "features"), "asked")
+    leaves = written(tree.nodes.filter("leaf").select(F.col("node").alias("id"), F.col("center").alias("features"), F.sqrt("radius2").alias("radius"), "n"), "leaves")
+    asked = written(queries.select(F.col("qid").cast("bigint").alias("qid"), "features"), "asked")
     first = written(_nearest_leaves(asked, leaves, k), "first")
-    top = written(_read(asked, tree.rows, first.select("qid", "leaf"), k), "tops")
-    reach = first.join(top.groupBy("qid").agg(F.max("d2").alias("kth"), F.count(F.lit(1)).alias("held")), "qid", "left").select(
-        "qid", F.col("leaf").alias("seen"), F.least(F.when(F.col("held") >= k, F.sqrt("kth")), F.col("sure")).alias("reach"))
-    rest = written(_leaves_within(asked.join(reach, "qid"), leaves), "rest")
+    columns, total = query_columns(asked), asked.count()
+    along = Window.partitionBy().orderBy(F.expr("shiftleft(leaf, 63 - length(bin(leaf)))"), "leaf").rowsBetween(Window.unboundedPreceding, -1)  # a row for each leaf
+    starts = first.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(along), F.lit(0)))
+    column = F.floor((F.col("before") + F.pmod(F.xxhash64("qid"), F.col("m"))) * columns / max(1, total)).cast("int").alias("column")
+    limit = F.least("kth", F.col("sure") * F.col("sure") * (1 + 1e-9)).alias("limit")
+    limits = first.join(_kth(asked, tree.rows, first.select("qid", "leaf"), k), "qid", "left").join(starts, "leaf").select("qid", limit, column)
+    dealt = written(asked.join(limits, "qid").select("qid", F.concat("features", F.array("limit", F.col("column").cast("double"))).alias("features"), "column"), "dealt")
+    met = written(_leaves_met(dealt, leaves, columns), "met")
+    rows = tree.rows.join(met.groupBy("leaf").agg(F.collect_list("column").alias("columns")), "leaf")
     place = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id"))
-    found = top.unionByName(_read(asked, tree.rows, rest, k)).withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "rank", "id", "d2")
+    found = _read(dealt, rows, columns, k).withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "rank", "id", "d2")
     size = leaves.select(F.col("id").alias("leaf"), "n")
-    pairs = rest.unionByName(first.select("qid", "leaf")).join(size, "leaf").agg(F.sum("n")).first()[0] or 0
-    rows = leaves.agg(F.sum("n")).first()[0] or 0
-    return Search(found, pairs, rows * asked.count())
+    pairs = met.select("leaf", "asks").unionByName(first.select("leaf", F.lit(1).cast("bigint").alias("asks"))).join(size, "leaf").agg(F.sum(F.col("n") * F.col("asks"))).first()[0] or 0
+    count = leaves.agg(F.sum("n")).first()[0] or 0
+    return Search(found, pairs, count * total)
 
 
 def _gaps(x: np.ndarray, batch: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -417,16 +440,20 @@ def _nearest_leaves(asked: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
     def update(state: dict, x: np.ndarray, batch: dict) -> None:
         best = state.setdefault("best", [np.full(len(x), np.inf), np.zeros(len(x), np.int64), np.full(len(x), np.inf)])
         ids, n = batch["id"].to_numpy(), batch["n"].to_numpy()
+        by_id = np.argsort(ids)
         for q in chunks(len(x), len(ids)):
-            part = {c: batch[c] for c in ("features", "radius")}
-            d, r = _gaps(x[q], part)
-            at = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, 0]
+            d, r = _gaps(x[q], batch)
+            at = by_id[np.where(np.isnan(d), np.inf, d)[:, by_id].argmin(axis=1)]
             near = d[np.arange(len(d)), at]
             closer = (near < best[0][q]) | ((near == best[0][q]) & (ids[at] < best[1][q]))
             best[0][q], best[1][q] = np.where(closer, near, best[0][q]), np.where(closer, ids[at], best[1][q])
-            order = np.argsort(d + r, axis=1, kind="stable")
-            enough = np.cumsum(n[order], axis=1) >= k
-            sure = np.where(enough.any(axis=1), np.take_along_axis(d + r, order, 1)[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
+            far = np.where(np.isnan(d + r), np.inf, d + r)
+            if (n >= k).all():
+                sure = far.min(axis=1)
+            else:
+                order = np.argsort(far, axis=1, kind="stable")
+                enough = np.cumsum(n[order], axis=1) >= k
+                sure = np.where(enough.any(axis=1), np.take_along_axis(far, order, 1)[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
             best[2][q] = np.minimum(best[2][q], sure)
 
     def finish(state: dict, x: np.ndarray) -> tuple:
@@ -437,40 +464,61 @@ def _nearest_leaves(asked: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
     return each.groupBy("qid").agg(F.min_by("leaf", F.struct("d", "leaf")).alias("leaf"), F.min("sure").alias("sure"))
 
 
-def _leaves_within(asked: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(qid, leaf): of queries (qid, features, seen, reach) the leaves beside seen whose balls come as near as reach."""
-    packed = asked.select("qid", F.concat("features", F.array(F.col("reach"), F.col("seen").cast("double"))).alias("features"))
+def _leaves_met(dealt: DataFrame, leaves: DataFrame, columns: int) -> DataFrame:
+    """(column, leaf, asks): of each column of queries (qid, features with limit and column, column) the leaves whose balls come as near as the limit to some of them, and to how many."""
+    def update(state: dict, x: np.ndarray, batch: dict) -> None:
+        if "best" not in state:
+            state |= {"best": _Best(x[:, :-2], 1, x[:, -2]), "asks": []}
+        state["asks"].append((batch["id"].to_numpy(), state["best"].reached(matrix(batch["features"]), batch["radius"].to_numpy()).sum(axis=0)))
+
+    def finish(state: dict, x: np.ndarray) -> tuple:
+        leaf, asks = (np.concatenate(c) for c in zip(*state["asks"]))
+        met = asks > 0
+        return np.zeros(met.sum(), np.int64), np.full(met.sum(), int(x[0, -1]), np.int32), leaf[met], asks[met].astype(np.int64)
+
+    return against_all(dealt, leaves, update, finish, ["column", "leaf", "asks"], "column int, leaf bigint, asks bigint", columns).select("column", "leaf", "asks")
 
+
+def _read(dealt: DataFrame, rows: DataFrame, columns: int, k: int) -> DataFrame:
+    """(qid, id, d2): of each query the k best rows within its limit that each cell has; rows (id, features, leaf, columns) go to the columns that meet their leaf."""
     def update(state: dict, x: np.ndarray, batch: dict) -> None:
-        out, ids = state.setdefault("out", []), batch["id"].to_numpy()
-        for q in chunks(len(x), len(ids)):
-            d, r = _gaps(x[q, :-2], batch)
-            i, j = np.nonzero((d - r <= x[q, -2:-1]) & (ids != x[q, -1:]))
-            out.append((i + q.start, ids[j]))
+        if "best" not in state:
+            state["best"] = _Best(x[:, :-2], k, x[:, -2])
+        best, ids, leaf, data = state["best"], batch["id"].to_numpy(), batch["leaf"].to_numpy(), matrix(batch["features"])
+        cuts = [0, *(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1).tolist(), len(leaf)]
+        with np.errstate(all="ignore"):
+            centres = np.stack([data[a:b].mean(axis=0) for a, b in zip(cuts, cuts[1:])])
+            radii = np.array([np.sqrt(sqdist_rows(data[a:b], c[None]).max()) for a, b, c in zip(cuts, cuts[1:], centres)]) * (1 + 1e-9)
+        reached = best.reached(centres, radii)
+        if reached.mean() > 0.5:  # balls exclude little
+            best.offer(data, ids)
+            return
+        for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if len(asks := np.flatnonzero(reached[:, j])):
+                best.offer(data[a:b], ids[a:b], asks)
 
     def finish(state: dict, x: np.ndarray) -> tuple:
-        return tuple(np.concatenate(c) for c in zip(*state["out"]))
+        return state["best"].found()
 
-    return against_all(packed, leaves, update, finish, ["leaf"], "leaf bigint")
+    return against_all(dealt, rows.select("id", "features", "leaf", "columns"), update, finish, ["id", "d2"], "id bigint, d2 double", columns, "leaf")
 
 
-def _read(asked: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(qid, id, d2): of each query the k best rows of each leaf that pairs (qid, leaf) ask of it. A leaf that many queries ask meets them in parts of LEAF_QUERIES or so."""
+def _kth(asked: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(qid, kth): the squared distance of the kth best row of the leaf that pairs (qid, leaf) have of each query, nan if it has fewer. A leaf that many queries ask meets them in parts of LEAF_QUERIES or so."""
     parts = written(pairs.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF_QUERIES)).alias("parts")), "parts")
     cell = F.xxhash64("leaf", "part").alias("cell")
     left = pairs.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).join(asked, "qid").select(cell, F.lit(0).alias("side"), F.col("qid").alias("id"), "features")
     right = rows.join(parts, "leaf").select("leaf", "id", "features", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).select(cell, F.lit(1).alias("side"), "id", "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def best(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def worst(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             side, ids, x = t.column("side").to_numpy(), t.column("id").to_numpy(), matrix(t.column("features"))
             asks, has = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for q in chunks(len(asks), max(1, len(has))):
-                d = sqdist_rows(x[asks[q]], x[has])
-                i = np.broadcast_to(ids[has], d.shape)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks[q]], order.shape[1])), pa.array(np.take_along_axis(i, order, 1).ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["qid", "id", "d2"])
+            best = _Best(x[asks], k)
+            if len(has):
+                best.offer(x[has], ids[has])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.array(best.d[:, -1])], ["qid", "kth"])
 
         held, at = [], None
         for batch in batches:
@@ -480,11 +528,11 @@ def _read(asked: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFr
                 if a == b:
                     continue
                 if held and cells[a] != at:
-                    yield from best(held)
+                    yield from worst(held)
                     held = []
                 at = cells[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from best(held)
+            yield from worst(held)
 
-    return left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "qid bigint, id bigint, d2 double")
+    return left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "qid bigint, kth double")

@@ -260,6 +260,28 @@ def test_search_by_leaves(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in neighbours.nearest(q, few, 20).collect())
 
 
+def test_search_writes_no_pairs(spark, monkeypatch):
+    """Where no ball is out of reach, what search() writes grows with the rows, not with queries times leaves; a vector with nan hides no others. Several columns of queries give what one gives."""
+    x = np.random.default_rng(17).normal(size=(500, 16))
+    x[40, 3] = np.nan
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+    q = df.select(F.col("id").alias("qid"), "features")
+    want = sorted(map(str, neighbours.nearest(q, df, 6).collect()))
+    sizes, kept = [], neighbours.written
+
+    def written(rows, name):
+        out = kept(rows, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "written", written)
+    for block in (131_072, 120):
+        monkeypatch.setattr(stats, "QUERY_BLOCK", block)
+        out = neighbours.search(q, neighbours.grow(df, 12), 6)
+        assert sorted(map(str, out.found.collect())) == want
+        assert out.pairs > 0.8 * out.of and max(sizes) < 2 * len(x)
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([(1, 0.5, "b", 3), (2, 99.0, "a", None), (3, float("nan"), None, 7), (4, -1e9, "zz", 1)], "id long, x double, s string, n int")
     rbf = [r[0] for r in df.filter("id <> 3").orderBy("id").select(features.rbf_range(F.col("x"), (0.0, 1.0), 4)).collect()]
