@@ -79,13 +79,19 @@ class _Best:
                 q = part if asks is None else asks[part]
                 near, who = self.left[q] @ right.T, np.arange(part.start, part.stop) if asks is None else q
                 some = np.flatnonzero(~(near.min(axis=1) > self._bound(q)[:, 0]))
-                near, who = near[some], who[some]
-                beyond = near > self._bound(who)
-                if beyond.size - np.count_nonzero(beyond) > 16 * self.k * len(who):  # nothing is known yet, or little: the best of these rows first
-                    first = np.argpartition(near, self.k - 1, axis=1)[:, : self.k]
-                    self._take(np.repeat(who, self.k), first.ravel(), rows, ids)
-                    beyond = near > self._bound(who)
-                    np.put_along_axis(beyond, first, True, 1)
+                if len(some) < len(who):
+                    near, who = near[some], who[some]
+                beyond, seen = near > self._bound(who), None
+                for width in (max(1024, 4 * self.k), len(rows)):
+                    if beyond.size - np.count_nonzero(beyond) <= 16 * self.k * len(who):
+                        break
+                    # nothing is known yet, or little: the best of some of these rows first, then of all
+                    first = np.argpartition(near[:, :width], self.k - 1, axis=1)[:, : self.k]
+                    seen = np.zeros(beyond.shape, bool) if seen is None else seen
+                    new = ~np.take_along_axis(seen, first, 1).ravel()
+                    self._take(np.repeat(who, self.k)[new], first.ravel()[new], rows, ids)
+                    np.put_along_axis(seen, first, True, 1)
+                    beyond = (near > self._bound(who)) | seen
                 at = np.flatnonzero(~beyond)
                 self._take(who[at // len(rows)], at % len(rows), rows, ids)
 
